@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotmere.llm import decontaminate, ngram_lm, simhash_dedup
+from plotmere.llm import decontaminate, ngram_lm, simhash_dedup, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +23,11 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_simhash_dedup, op8_benchmark_decontamination)}
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_simhash_dedup, op8_benchmark_decontamination, op9_substring_dedup)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -51,4 +55,24 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_benchmark_decontamination": _OP8}
+_OP9 = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), places AS (
+  SELECT r, i, md5_number(array_to_string(w[i:i + 34], ' ')) AS win
+  FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)
+), again AS (
+  SELECT win FROM places GROUP BY win HAVING count(*) > 1
+), gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM places WHERE win IN (SELECT win FROM again)
+), lost AS (
+  SELECT r, list(p) AS ps, count(*) AS n FROM gone GROUP BY r
+), left_over AS (
+  SELECT r, string_agg(word, ' ' ORDER BY p) AS kept
+  FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) ANTI JOIN gone USING (r, p) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN lost USING (r) LEFT JOIN left_over USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_benchmark_decontamination": _OP8, "op9_substring_dedup": _OP9}
