@@ -40,6 +40,33 @@ PACKINGS = [(120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8,
 FILE_IDS, REMEMBERED = 2_000_000, 400_000
 
 
+def _packings(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of whole blocks: the selector of a word that starts there, and how many ids it takes.
+
+    It is the one of most ids that all fit, up to the block's end.
+    """
+    n = ids.size
+    place = np.arange(n, dtype=np.int32)
+    left = np.minimum(place // BLOCK * BLOCK + BLOCK, n) - place
+    most = int(ids.max()).bit_length()
+    select, take = np.zeros(n, np.uint8), np.ones(n, np.int32)
+    for selector in range(len(PACKINGS), 0, -1):
+        count, bits = PACKINGS[selector - 1]
+        many = np.minimum(count, left)
+        if bits >= most:
+            if selector == 1 or PACKINGS[selector - 2][1] < most:
+                select[:], take = selector, many
+            continue
+        large = (ids >> np.uint64(bits)).astype(bool)
+        run = np.minimum.accumulate(np.where(large, place, np.int32(n))[::-1])[::-1] - place
+        fits = run >= many
+        if not fits.any():
+            break  # where no word of these fits, none of more ids of fewer bits does
+        np.copyto(select, selector, where=fits)
+        np.copyto(take, many, where=fits)
+    return select, take
+
+
 def pack_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words (uint64) of ids and the first word of each block."""
     ids = np.asarray(ids, np.uint64)
@@ -47,23 +74,7 @@ def pack_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     blocks = -(-n // BLOCK)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    place = np.arange(n, dtype=np.int32)
-    left = np.minimum(place // BLOCK * BLOCK + BLOCK, n) - place  # ids up to the block's end
-    need = np.zeros(n, np.uint8)  # bits
-    for bits in sorted({bits for _, bits in PACKINGS}):
-        need[ids >> np.uint64(bits) > 0] = bits + 1
-    # For each place the packing of a word that starts there: the first whose ids all fit, up to the block's end.
-    select, take = np.zeros(n, np.uint8), np.ones(n, np.int32)
-    for selector in range(len(PACKINGS), 0, -1):
-        count, bits = PACKINGS[selector - 1]
-        large = need > bits
-        if np.count_nonzero(large) == n:
-            break  # nor do packings of fewer bits fit
-        run = np.minimum.accumulate(np.where(large, place, n)[::-1])[::-1] - place if count > 1 else np.where(large, 0, 1)
-        many = np.minimum(count, left)
-        fits = np.flatnonzero(run >= many)
-        select[fits] = selector
-        take[fits] = many[fits]
+    select, take = (np.concatenate(x) for x in zip(*(_packings(ids[i : i + 128 * BLOCK]) for i in range(0, n, 128 * BLOCK)), strict=True))
     # Follow the words of all blocks at once.
     at, ends, words_at = np.arange(blocks) * BLOCK, np.minimum((np.arange(blocks) + 1) * BLOCK, n), []
     while at.size:
