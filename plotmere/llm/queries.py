@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plotmere.llm import decontaminate, ngram_lm, piece_bpe, simhash_dedup, substring_dedup, token_store
+from plotmere.llm import decontaminate, language_id, license_scan, ngram_lm, phrase_fingerprint, piece_bpe, simhash_dedup, substring_dedup, token_store, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,18 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.cluster(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_fingerprint.compare_edits(table(spark, sf_dir, "documents"))
+
+
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -36,7 +48,14 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_simhash_dedup, op6_token_ids, op7_sentencepiece, op8_benchmark_decontamination, op9_substring_dedup)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict_held_out(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_lm_scoring, op2_simhash_dedup, op3_license_scan, op4_toxicity, op5_document_fingerprints, op6_token_ids, op7_sentencepiece, op8_benchmark_decontamination, op9_substring_dedup, op10_language_id)
+}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -84,4 +103,42 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, s
 FROM d LEFT JOIN lost USING (r) LEFT JOIN left_over USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_benchmark_decontamination": _OP8, "op9_substring_dedup": _OP9}
+
+
+def _op3(templates: list[tuple[str, str]] = license_scan.TEMPLATES, threshold: float = license_scan.THRESHOLD) -> str:
+    """Every unit against every template, without the bounds and keys that prune."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    rows = ", ".join(f"({i}, {quoted(name)}, {quoted(text)})" for i, (name, text) in enumerate(templates))
+    plain = f"regexp_replace({_LOWER.format('text')}, '{license_scan.OTHER}', ' ', 'g')"
+    pairs = "list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))])"
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_replace({_LOWER.format("coalesce(text, '')")}, '{license_scan.OTHER}', ' ', 'g') AS t FROM documents
+), u AS (
+  SELECT DISTINCT r, trim(regexp_replace(replace(u, chr(10), ' '), ' +', ' ', 'g')) AS u
+  FROM (SELECT r, unnest(string_split(t, chr(10)) || regexp_split_to_array(t, '\n *\n') || [t]) AS u FROM d)
+), ub AS (
+  SELECT r, u, unnest({pairs}) AS g FROM (SELECT r, u, string_split(u, ' ') AS w FROM u)
+), sizes AS (
+  SELECT r, u, count(*) AS n FROM ub GROUP BY r, u
+), t AS (
+  SELECT k, name, unnest({pairs}) AS g FROM (SELECT k, name, string_split(trim({plain}), ' ') AS w FROM (VALUES {rows}) v(k, name, text))
+), m AS (
+  SELECT k, count(*) AS m FROM t GROUP BY k
+), hits AS (
+  SELECT r, u, name, 2.0 * c / (n + m) AS dice
+  FROM (SELECT r, u, k, name, count(*) AS c FROM ub JOIN t USING (g) GROUP BY r, u, k, name) JOIN sizes USING (r, u) JOIN m USING (k)
+  WHERE 2.0 * c / (n + m) >= {threshold}
+), best AS (
+  SELECT r, max(dice) AS score FROM hits GROUP BY r
+), lists AS (
+  SELECT r, count(DISTINCT u) AS n_units, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses FROM hits GROUP BY r
+), names AS (
+  SELECT r, min(name) AS license FROM hits JOIN best USING (r) WHERE dice = score GROUP BY r
+)
+SELECT doc_id, coalesce(n_units, 0) AS n_units, coalesce(licenses, '') AS licenses, license, CAST(score AS DOUBLE) AS score
+FROM d LEFT JOIN lists USING (r) LEFT JOIN names USING (r) LEFT JOIN best USING (r)
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op3_license_scan": _op3(), "op8_benchmark_decontamination": _OP8, "op9_substring_dedup": _OP9}
