@@ -1,11 +1,12 @@
 """Licence scans: normalised text against licence templates, by Dice's coefficient over word bigrams.
 
-A text is put in lower case (A-Z), and runs of characters that are no ASCII letter or digit and not beyond ASCII become
-one space; line feeds stay. What is compared are its lines, its blocks (between blank lines) and the whole text, each
-different one once. Dice's coefficient of two sets of n and m bigrams is at most 2 min(n, m) / (n + m), so a template is
-looked at only where n lies between m t / (2 - t) and m (2 - t) / t for the threshold t. A unit that passes some
-template's bounds must also share one of the template's key bigrams: of m bigrams, m - c + 1 are keys, where c is the least number
-that a match shares, so no match is lost.
+Runs of ASCII characters other than letters and digits become one space (line feeds stay), and the rest is put in lower
+case. What is compared are a text's lines, its blocks (between blank lines) and the whole text, each different one once.
+Dice's coefficient of n and m bigrams (with repeats) is at most 2 min(n, m) / (n + m), so a template is looked at only
+where n lies between m t / (2 - t) and m (2 - t) / t for the threshold t; n follows from the number of words, before any
+bigram is made. A unit must also have a key word: of a template's m bigrams, so many are keys that every match shares
+one (all but c - 1, where c is the least number that a match shares), and the longer word of each is a key word. No
+match is lost.
 
 Everything is one projection over built-in functions: no shuffle, join or Python, whatever the input. The templates are
 a list in the plan; many more than a few hundred would ask for a broadcast table.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,15 +48,14 @@ TEMPLATES: list[tuple[str, str]] = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What becomes a space: ASCII other than letters, digits and line feeds.
-OTHER = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
+OTHER = r"[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def bigrams(text: str) -> list[str]:
-    """Different word bigrams of one template or unit, sorted."""
-    found = re.sub(OTHER, " ", text.translate(str.maketrans(UPPER, LOWER))).split()
-    return sorted({f"{a} {b}" for a, b in zip(found, found[1:], strict=False)})
+def bigrams(text: str) -> Counter[str]:
+    """Word bigrams of one template or unit, with their numbers."""
+    found = re.sub(OTHER, " ", text).lower().split()
+    return Counter(f"{a} {b}" for a, b in zip(found, found[1:], strict=False))
 
 
 def size_bounds(m: int, threshold: float) -> tuple[int, int]:
@@ -62,51 +63,65 @@ def size_bounds(m: int, threshold: float) -> tuple[int, int]:
     return math.ceil(m * threshold / (2 - threshold) - 1e-9), math.floor(m * (2 - threshold) / threshold + 1e-9)
 
 
-def key_bigrams(grams: list[str], threshold: float) -> list[str]:
-    """So many of the bigrams (the longest) that every match shares one of them."""
-    least = math.ceil(threshold * (len(grams) + size_bounds(len(grams), threshold)[0]) / 2 - 1e-9)
-    return sorted(grams, key=lambda g: (-len(g), g))[: len(grams) - least + 1]
+def key_bigrams(grams: Counter[str], threshold: float) -> list[str]:
+    """So many of the bigrams (those with the longest words) that every match shares one of them."""
+    m = grams.total()
+    least = math.ceil(threshold * (m + size_bounds(m, threshold)[0]) / 2 - 1e-9)
+    out, rest = [], m
+    for g in sorted(grams, key=lambda g: (-max(map(len, g.split())), g)):
+        if rest < least:
+            break
+        out.append(g)
+        rest -= grams[g]
+    return out
+
+
+def _array(values) -> Column:
+    return F.array(*map(F.lit, values))
 
 
 def _units(text: Column) -> Column:
-    """Lines, blocks and the whole of a text, normalised, each different one once."""
-    plain = F.regexp_replace(F.translate(text, UPPER, LOWER), OTHER, " ")
-    blocks = F.transform(F.split(plain, r"\n *\n"), lambda b: F.translate(b, "\n", " "))
-    every = F.concat(F.split(plain, "\n"), blocks, F.array(F.translate(plain, "\n", " ")))
-    return F.array_distinct(F.transform(every, lambda u: F.trim(F.regexp_replace(u, " +", " "))))
+    """Lines, blocks and the whole of a text, each different one once."""
+    plain = F.regexp_replace(text, OTHER, " ")
+    blocks = F.transform(F.split(plain, r"\n *\n"), lambda b: F.replace(b, F.lit("\n"), F.lit(" ")))
+    return F.array_distinct(F.concat(F.split(plain, "\n"), blocks, F.array(F.replace(plain, F.lit("\n"), F.lit(" ")))))
 
 
-def _bigrams(unit: Column) -> Column:
-    found = F.split(unit, " ")
-    return F.array_distinct(F.zip_with(F.slice(found, 1, F.size(found) - 1), F.slice(found, 2, F.size(found) - 1), lambda a, b: F.concat_ws(" ", a, b)))
+def _bigrams(words: Column) -> Column:
+    return F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))
 
 
 def scan(docs: DataFrame, text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """docs with n_units (units that match a template), licenses (names found, sorted, joined by commas), license and score (of the best match)."""
     if not 0 < threshold <= 1:
         raise ValueError("the threshold lies above 0, up to 1")
-    own = [c for c in docs.columns if c not in ("n_units", "licenses", "license", "score")]
-    known = [(name, bigrams(text)) for name, text in templates]
-    known = [(name, grams, *size_bounds(len(grams), threshold)) for name, grams in known if grams]
-    keys = sorted({g for _, grams, _, _ in known for g in key_bigrams(grams, threshold)})
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_units", "licenses", "license", "score")]
+    known = [(name, grams, *size_bounds(grams.total(), threshold)) for name, grams in ((name, bigrams(text)) for name, text in templates) if grams]
+    keys = sorted({max(g.split(), key=len) for _, grams, _, _ in known for g in key_bigrams(grams, threshold)})
     fewest, most = min(k[2] for k in known), max(k[3] for k in known)
-    table = F.array(*(F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, grams)).alias("grams"), F.lit(low).alias("low"), F.lit(high).alias("high")) for name, grams, low, high in known))
-    # A unit of w words has at most w - 1 different bigrams; one of very many words may still have few.
-    spaces = lambda u: F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit("")))
-    long_enough = F.filter(_units(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), lambda u: spaces(u) >= F.lit(fewest))
-    cut = F.transform(long_enough, _bigrams)
-    near = F.filter(cut, lambda g: (F.size(g) >= fewest) & (F.size(g) <= most) & F.arrays_overlap(g, F.array(*map(F.lit, keys))))
+    table = F.array(*(F.struct(F.lit(name).alias("name"), _array(grams).alias("grams"), _array(grams.values()).alias("times"), F.lit(grams.total()).alias("m"), F.lit(low).alias("low"), F.lit(high).alias("high")) for name, grams, low, high in known))
+    # Two neighbouring words have at least one space between them, and at most two where blocks were joined.
+    spaces = lambda u: F.octet_length(u) - F.octet_length(F.replace(u, F.lit(" "), F.lit("")))
+    fitting = F.filter(_units(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), lambda u: (spaces(u) >= fewest) & (spaces(u) <= 2 * most + 2))
+    split = F.transform(fitting, lambda u: F.split(F.lower(F.trim(F.regexp_replace(u, " +", " "))), " "))
+    sized = F.filter(split, lambda w: (F.size(w) > fewest) & (F.size(w) <= most + 1) & F.arrays_overlap(w, _array(keys)))
+    near = F.array_distinct(F.transform(sized, _bigrams))
 
     def matches(g: Column) -> Column:
-        fitting = F.filter(table, lambda t: (F.size(g) >= t["low"]) & (F.size(g) <= t["high"]))
-        rated = F.transform(fitting, lambda t: F.struct((F.lit(2.0) * F.size(F.array_intersect(g, t["grams"])) / (F.size(g) + F.size(t["grams"]))).alias("dice"), t["name"].alias("name")))
+        in_bounds = F.filter(table, lambda t: (F.size(g) >= t["low"]) & (F.size(g) <= t["high"]))
+
+        def dice(t: Column) -> Column:
+            shared = F.zip_with(t["grams"], t["times"], lambda b, c: F.least(c, F.size(F.filter(g, lambda x: x == b))))
+            return F.lit(2.0) * F.aggregate(shared, F.lit(0), lambda a, b: a + b) / (F.size(g) + t["m"])
+
+        rated = F.transform(in_bounds, lambda t: F.struct(dice(t).alias("dice"), t["name"].alias("name")))
         return F.filter(rated, lambda r: r["dice"] >= threshold)
 
     hits = F.filter(F.transform(near, matches), lambda m: F.size(m) > 0)
-    found = docs.select(*(F.col(f"`{c}`") for c in own), hits.alias("_hits")).withColumn("_all", F.flatten("_hits"))
+    found = docs.select(*own, hits.alias("_hits")).withColumn("_all", F.flatten("_hits"))
     best = F.array_max(F.transform("_all", lambda r: r["dice"]))
     return found.select(
-        *(F.col(f"`{c}`") for c in own),
+        *own,
         F.size("_hits").cast("long").alias("n_units"),
         F.array_join(F.array_sort(F.array_distinct(F.transform("_all", lambda r: r["name"]))), ",").alias("licenses"),
         F.array_min(F.transform(F.filter("_all", lambda r: r["dice"] == best), lambda r: r["name"])).alias("license"),

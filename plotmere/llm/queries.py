@@ -109,25 +109,27 @@ def _op3(templates: list[tuple[str, str]] = license_scan.TEMPLATES, threshold: f
     """Every unit against every template, without the bounds and keys that prune."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     rows = ", ".join(f"({i}, {quoted(name)}, {quoted(text)})" for i, (name, text) in enumerate(templates))
-    plain = f"regexp_replace({_LOWER.format('text')}, '{license_scan.OTHER}', ' ', 'g')"
-    pairs = "list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))])"
+    other = license_scan.OTHER
+    pairs = "unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))])"
     return f"""
 WITH d AS (
-  SELECT row_number() OVER () AS r, doc_id, regexp_replace({_LOWER.format("coalesce(text, '')")}, '{license_scan.OTHER}', ' ', 'g') AS t FROM documents
+  SELECT row_number() OVER () AS r, doc_id, regexp_replace(coalesce(text, ''), '{other}', ' ', 'g') AS t FROM documents
 ), u AS (
-  SELECT DISTINCT r, trim(regexp_replace(replace(u, chr(10), ' '), ' +', ' ', 'g')) AS u
-  FROM (SELECT r, unnest(string_split(t, chr(10)) || regexp_split_to_array(t, '\n *\n') || [t]) AS u FROM d)
+  SELECT DISTINCT r, lower(trim(regexp_replace(replace(u, chr(10), ' '), ' +', ' ', 'g'))) AS u
+  FROM (SELECT r, unnest(string_split(t, chr(10)) || regexp_split_to_array(t, '\\n *\\n') || [t]) AS u FROM d)
 ), ub AS (
-  SELECT r, u, unnest({pairs}) AS g FROM (SELECT r, u, string_split(u, ' ') AS w FROM u)
+  SELECT r, u, g, count(*) AS c FROM (SELECT r, u, {pairs} AS g FROM (SELECT r, u, string_split(u, ' ') AS w FROM u)) GROUP BY r, u, g
 ), sizes AS (
-  SELECT r, u, count(*) AS n FROM ub GROUP BY r, u
+  SELECT r, u, sum(c) AS n FROM ub GROUP BY r, u
 ), t AS (
-  SELECT k, name, unnest({pairs}) AS g FROM (SELECT k, name, string_split(trim({plain}), ' ') AS w FROM (VALUES {rows}) v(k, name, text))
+  SELECT k, name, g, count(*) AS c
+  FROM (SELECT k, name, {pairs} AS g FROM (SELECT k, name, string_split(lower(trim(regexp_replace(text, '{other}', ' ', 'g'))), ' ') AS w FROM (VALUES {rows}) v(k, name, text)))
+  GROUP BY k, name, g
 ), m AS (
-  SELECT k, count(*) AS m FROM t GROUP BY k
+  SELECT k, sum(c) AS m FROM t GROUP BY k
 ), hits AS (
   SELECT r, u, name, 2.0 * c / (n + m) AS dice
-  FROM (SELECT r, u, k, name, count(*) AS c FROM ub JOIN t USING (g) GROUP BY r, u, k, name) JOIN sizes USING (r, u) JOIN m USING (k)
+  FROM (SELECT r, u, k, name, sum(least(ub.c, t.c)) AS c FROM ub JOIN t USING (g) GROUP BY r, u, k, name) JOIN sizes USING (r, u) JOIN m USING (k)
   WHERE 2.0 * c / (n + m) >= {threshold}
 ), best AS (
   SELECT r, max(dice) AS score FROM hits GROUP BY r
