@@ -27,11 +27,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotmere.llm.shared import alphabet, grams, saved, slices, window_least, words, workspace
+from plotmere.llm.shared import alphabet, grams, saved, slices, unzipped, window_least, words, workspace, zipped
 
 WINDOW, GRAM, HOT = 35, 12, 4000
 
@@ -234,24 +233,6 @@ def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.withColumn("id", F.struct(F.col(id_col).cast("string").alias("doc"), F.xxhash64(text).alias("hash"))).withColumn("text", text)
 
 
-def zipped(docs: DataFrame, *columns: str) -> DataFrame:
-    """The columns, the last of them (text) as zstandard frames: half the bytes in a shuffle."""
-    docs = docs.select(*columns)
-
-    def smaller(batches):
-        for batch in batches:
-            zip_ = zstandard.ZstdCompressor(level=3).compress
-            texts = pa.array([zip_(t.as_py().encode()) if t.is_valid else None for t in batch.column(batch.num_columns - 1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], list(columns))
-
-    schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in columns[:-1])
-    return docs.mapInArrow(smaller, f"{schema}, {columns[-1]} binary")
-
-
-def unzipped(data: bytes | None) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data) if data else b""
-
-
 def _removed(size: int, found: list | None, window: int) -> np.ndarray:
     gone = np.zeros(size + 1, np.int64)
     for s in found or ():

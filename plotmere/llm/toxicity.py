@@ -5,9 +5,9 @@ Features of a text are its words, pairs of neighbours and pairs with one word be
 term keeps weights of cells without evidence at zero, so the model is a short list that every worker gets by broadcast.
 
 Training uses a bounded sample of labelled rows (``sample`` rows or so, chosen by a hash of the id), dealt over
-``shards`` groups. In each round every group runs FTRL over its rows from the last round's state, and the states are
-added up by cell with a Spark aggregation (both parts are sums over examples); only cells whose weight is not zero come to the driver at the end (at most
-2**bits). Every text is scored whole.
+``shards`` groups. In each round every group runs FTRL over its rows from the last round's state, and a cell changes by
+the mean of the changes of the groups that met it, worked out by range of cells from packed arrays. The driver gets one state of at most 2**bits
+cells a round, and at the end only the cells whose weight is not zero. Every text is scored whole.
 
 Edge cases: null and empty texts have no feature and get the bias alone. Labels that are null are not learnt; of several
 labels for an id the largest holds. Without labelled rows every score is 0.5 and predicted 1 by the fixed rule
@@ -25,17 +25,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotmere.llm.shared import alphabet, held_out, mix, saved, slices, words, workspace
+from plotmere.llm.shared import alphabet, held_out, mix, pack, saved, slices, unpack, unzipped, words, workspace, zipped
 
 #: Cells (as a power of two), labelled rows to learn from, groups that learn side by side, rounds.
-BITS, SAMPLE, SHARDS, ROUNDS = 20, 24_000, 6, 3
+BITS, SAMPLE, SHARDS, ROUNDS = 20, 24_000, 4, 3
 #: Rate, its smoothing, and the weights of the L1 and L2 terms.
-ALPHA, BETA, L1, L2 = 0.2, 1.0, 2.0, 0.5
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 2.0, 0.1
 
 LETTERS = alphabet(lower=True, letters=True)
 #: Odd factors that tell the kinds of feature apart.
 _KINDS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _SPAN = 1 << 40
+#: Ranges of cells whose changes are added up side by side.
+RANGES, _STATE = 16, "part int, cell binary, z binary, n binary"
 
 
 def features(piece, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -84,34 +86,61 @@ def learn(texts: list[str], labels: np.ndarray, order: np.ndarray, z: np.ndarray
         n[0] += g * g
 
 
+def _packed(cell: np.ndarray, z: np.ndarray, n: np.ndarray, bits: int) -> pd.DataFrame:
+    """Cells (ascending) with their z and n as one row for each range that has any."""
+    cuts = np.searchsorted(cell, np.arange(RANGES + 1) * ((1 << bits) // RANGES))
+    full = np.flatnonzero(np.diff(cuts))
+    own = [cell[cuts[i] : cuts[i + 1]] for i in full]
+    return pd.DataFrame({"part": full, "cell": [pack(c, True) for c in own], "z": [pack(z[c].astype(np.float32)) for c in own], "n": [pack(n[c].astype(np.float32)) for c in own]})
+
+
+def _unpacked(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return unpack(row.cell, np.int64, True), unpack(row.z, np.float32), unpack(row.n, np.float32)
+
+
 def train(labelled: DataFrame, bits: int = BITS, shards: int = SHARDS, rounds: int = ROUNDS) -> dict:
     """Weights from (id, text, label) rows, already bounded in number. Returns cells, weights and the bias."""
     spark, folder = labelled.sparkSession, workspace(labelled.sparkSession, "toxicity")
-    rows = labelled.select("id", F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("double").alias("label"), F.pmod(F.xxhash64("id", F.lit("shard")), F.lit(shards)).cast("int").alias("shard"))
-    rows = saved(rows.filter("label is not null"), f"{folder}/sample")
-    state: dict[str, np.ndarray] = {"cell": np.zeros(0, np.int64), "z": np.zeros(0), "n": np.zeros(0)}
+    rows = labelled.filter("label is not null").select("id", F.col("label").cast("double").alias("label"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = zipped(rows, "id", "label", "text").withColumn("shard", F.pmod(F.xxhash64("id", F.lit("shard")), F.lit(shards)).cast("int"))
+    rows = saved(rows, f"{folder}/sample")
+    state = {"cell": np.zeros(0, np.int64), "z": np.zeros(0, np.float32), "n": np.zeros(0, np.float32)}
     for number in range(rounds):
-        start = spark.sparkContext.broadcast(state)
+        start, last = spark.sparkContext.broadcast(state), number == rounds - 1
 
         def one(pdf: pd.DataFrame) -> pd.DataFrame:
+            """Learn from a group's rows; what changed, packed by range of cells."""
             z, n = np.zeros(1 << bits), np.zeros(1 << bits)
             z[start.value["cell"]], n[start.value["cell"]] = start.value["z"], start.value["n"]
             pdf = pdf.sort_values("id", kind="stable")
-            learn(pdf["text"].tolist(), pdf["label"].to_numpy(), np.random.default_rng(number).permutation(len(pdf)), z, n, bits)  # noqa: B023
-            more = n.copy()
+            learn([unzipped(t).decode() for t in pdf["text"]], pdf["label"].to_numpy(), np.random.default_rng(number).permutation(len(pdf)), z, n, bits)  # noqa: B023
             z[start.value["cell"]] -= start.value["z"]
-            more[start.value["cell"]] -= start.value["n"]
-            cell = np.flatnonzero(more)
-            return pd.DataFrame({"cell": cell, "z": z[cell], "n": more[cell]})
-
-        parts = rows.groupBy("shard").applyInPandas(one, "cell long, z double, n double")
-        # Both parts of the state are sums over examples, so the groups' changes add up.
-        before = spark.createDataFrame(pd.DataFrame(state), "cell long, z double, n double")
-        total = parts.union(before).groupBy("cell").agg(F.sum("z").alias("z"), F.sum("n").alias("n"))
-        if number == rounds - 1:  # cells whose weight is zero need not travel
-            total = total.filter((F.abs("z") > L1) | (F.col("cell") == 0))
-        table = total.toArrow()
-        state = {k: table[k].to_numpy() for k in ("cell", "z", "n")}
+            n[start.value["cell"]] -= start.value["n"]
+            return _packed(np.flatnonzero(n), z, n, bits)
+
+        def total(pdf: pd.DataFrame) -> pd.DataFrame:
+            """A cell changes by the mean over the groups that changed it: a sum would overshoot where all agree."""
+            z, n, groups = np.zeros(1 << bits), np.zeros(1 << bits), np.zeros(1 << bits)
+            for cell, dz, dn in (_unpacked(r) for r in pdf.itertuples(index=False)):
+                z[cell] += dz
+                n[cell] += dn
+                groups[cell] += 1
+            z /= np.maximum(groups, 1)
+            n /= np.maximum(groups, 1)
+            part, width = int(pdf["part"].iloc[0]), (1 << bits) // RANGES
+            old = (start.value["cell"] >= part * width) & (start.value["cell"] < (part + 1) * width)  # noqa: B023
+            z[start.value["cell"][old]] += start.value["z"][old]  # noqa: B023
+            n[start.value["cell"][old]] += start.value["n"][old]  # noqa: B023
+            cell = np.flatnonzero(n)
+            return _packed(cell[(np.abs(z[cell]) > L1) | (cell == 0)] if last else cell, z, n, bits)  # noqa: B023
+
+        changed = rows.groupBy("shard").applyInPandas(one, _STATE)
+        found = changed.groupBy("part").applyInPandas(total, _STATE).toPandas()
+        parts = [_unpacked(r) for r in found.sort_values("part").itertuples(index=False)]
+        # A range that no group changed stays as it was.
+        kept = ~np.isin(state["cell"] // ((1 << bits) // RANGES), found["part"].to_numpy())
+        parts.append((state["cell"][kept], state["z"][kept], state["n"][kept]))
+        state = dict(zip(("cell", "z", "n"), map(np.concatenate, zip(*parts, strict=True)), strict=True))
     z, n, cell = state["z"], state["n"], state["cell"]
     bias = cell == 0
     return {"bits": bits, "cells": cell[~bias], "weights": _weights(z[~bias], n[~bias]), "bias": float((-z[bias] / ((BETA + np.sqrt(n[bias])) / ALPHA + L2)).sum())}
