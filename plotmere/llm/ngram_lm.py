@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotmere.llm.shared import Alphabet, alphabet, get_file, held_out, mix, pack, put_file, slices, summed, unpack, words, workspace
+from plotmere.llm.shared import Alphabet, alphabet, get_file, held_out, mix, pack, part_count, put_file, slices, summed, unpack, words, workspace
 
 #: Fixed hashes of the end of a text (a token) and of its beginning (only ever a context).
 END, BEGIN = np.uint64(0xE4D0E4D0E4D0E4D1), np.uint64(0xBE61BE61BE61BE63)
@@ -158,9 +158,13 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), c) for d, c in zip(out, (1, 2, 3), strict=True))
 
 
-def train(texts: DataFrame, text_col: str = "text", shards: int = 64) -> dict:
-    """Count a model from texts. Returns what scoring needs: the folder, sizes, totals and discounts (small numbers)."""
+def train(texts: DataFrame, text_col: str = "text", shards: int | None = None) -> dict:
+    """Count a model from texts. Returns what scoring needs: the folder, sizes, totals and discounts (small numbers).
+
+    Shards follow the session's shuffle partitions (the next power of two, 64 at least), as the data's size sets those.
+    """
     spark, folder = texts.sparkSession, workspace(texts.sparkSession, "ngrams")
+    shards = shards or max(64, 1 << (part_count(spark) - 1).bit_length())
     texts = texts.select(F.col(text_col).cast("string").alias("text"))
     letters = alphabet(lower=True)
 
