@@ -19,6 +19,8 @@ ids come first. An empty table writes no file. Rows' other columns are not read.
 
 from __future__ import annotations
 
+import array
+import itertools
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -40,65 +42,64 @@ PACKINGS = [(120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8,
 FILE_IDS, REMEMBERED = 2_000_000, 400_000
 
 
-def _packings(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each place of whole blocks: the selector of a word that starts there, and how many ids it takes.
+def _chosen(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each word of each block starts (ascending), its selector, and how many ids it takes.
 
-    It is the one of most ids that all fit, up to the block's end.
+    A word takes the most ids that all fit, up to the block's end. All blocks are followed side by side; where a word of
+    more ids fits, one of fewer ids and more bits does too, so a block tries one selector after the other.
     """
     n = ids.size
-    place = np.arange(n, dtype=np.int32)
-    left = np.minimum(place // BLOCK * BLOCK + BLOCK, n) - place
-    most = int(ids.max()).bit_length()
-    select, take = np.zeros(n, np.uint8), np.ones(n, np.int32)
-    for selector in range(len(PACKINGS), 0, -1):
-        count, bits = PACKINGS[selector - 1]
-        many = np.minimum(count, left)
-        if bits >= most:
-            if selector == 1 or PACKINGS[selector - 2][1] < most:
-                select[:], take = selector, many
-            continue
-        large = (ids >> np.uint64(bits)).astype(bool)
-        run = np.minimum.accumulate(np.where(large, place, np.int32(n))[::-1])[::-1] - place
-        fits = run >= many
-        if not fits.any():
-            break  # where no word of these fits, none of more ids of fewer bits does
-        np.copyto(select, selector, where=fits)
-        np.copyto(take, many, where=fits)
-    return select, take
+    bits = np.zeros(n + 1, np.uint8)  # the place after the last stands for none
+    bits[:n] = np.frexp(ids.astype(np.float64))[1]
+    at = np.arange(0, n, BLOCK)
+    ends, found = np.minimum(at + BLOCK, n), []
+    while at.size:
+        select, take = np.zeros(at.size, np.uint8), np.ones(at.size, np.int64)
+        open_, most, seen = np.arange(at.size), bits[at], 1
+        for selector in range(len(PACKINGS), 0, -1):
+            count, width = PACKINGS[selector - 1]
+            start, end = at[open_], ends[open_]
+            for k in range(seen, count):
+                place = start + k
+                most = np.maximum(most, bits[np.where(place < end, place, n)])
+            seen = count
+            fits = most <= width
+            open_, most = open_[fits], most[fits]
+            if not open_.size:
+                break
+            select[open_] = selector
+            take[open_] = np.minimum(count, ends[open_] - at[open_])
+        found.append((at, select, take))
+        at = at + take
+        more = at < ends
+        at, ends = at[more], ends[more]
+    at, select, take = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(at, kind="stable")
+    return at[order], select[order], take[order]
 
 
 def pack_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words (uint64) of ids and the first word of each block."""
     ids = np.asarray(ids, np.uint64)
-    n = ids.size
-    blocks = -(-n // BLOCK)
-    if not n:
+    if not ids.size:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    select, take = (np.concatenate(x) for x in zip(*(_packings(ids[i : i + 128 * BLOCK]) for i in range(0, n, 128 * BLOCK)), strict=True))
-    # Follow the words of all blocks at once.
-    at, ends, words_at = np.arange(blocks) * BLOCK, np.minimum((np.arange(blocks) + 1) * BLOCK, n), []
-    while at.size:
-        words_at.append(at)
-        at = at + take[at]
-        open_ = at < ends
-        at, ends = at[open_], ends[open_]
-    starts = np.sort(np.concatenate(words_at))
-    chosen = select[starts]
-    spot = np.cumsum(np.where(chosen == 0, 2, 1)) - np.where(chosen == 0, 2, 1)
-    words = np.zeros(int(spot[-1] + (2 if chosen[-1] == 0 else 1)), np.uint64)
-    for selector in np.unique(chosen):
-        mine = chosen == selector
+    starts, chosen, take = _chosen(ids)
+    size = np.where(chosen == 0, 2, 1)
+    spot = np.cumsum(size) - size
+    words = np.zeros(int(size.sum()), np.uint64)
+    for selector in np.unique(chosen).tolist():
+        mine = np.flatnonzero(chosen == selector)
         first = starts[mine]
         if selector == 0:
             words[spot[mine] + 1] = ids[first]
             continue
         count, bits = PACKINGS[selector - 1]
-        out = np.full(first.size, selector, np.uint64)
+        out, many = np.full(first.size, selector, np.uint64), take[mine]
         for j in range(count if bits else 0):
-            some = j < take[first]
+            some = slice(None) if j < int(many.min()) else np.flatnonzero(j < many)
             out[some] |= ids[first[some] + j] << np.uint64(4 + j * bits)
         words[spot[mine]] = out
-    return words, spot[np.searchsorted(starts, np.arange(blocks) * BLOCK)]
+    return words, spot[np.searchsorted(starts, np.arange(0, ids.size, BLOCK))]
 
 
 def unpack_ids(words: np.ndarray, blocks: np.ndarray, n: int) -> np.ndarray:
@@ -159,46 +160,50 @@ class Encoder:
         #: How byte-level vocabularies write bytes: printable ones as themselves, the others from U+0100 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = iter(range(256, 512))
-        self.letters = [chr(b) if b in plain else chr(next(others)) for b in range(256)]
-        self.direct = self.apart and self.lower and self._same("the") and self._same("éàß") and self._same("straße") and self._same("я")
+        self.letters = {b: b if b in plain else next(others) for b in range(256)}
+        trial = [w.encode() for w in ("the", "éàß", "straße", "я")]
+        self.direct = self.apart and self.lower and all(np.array(self._ids(w.decode()), "<u4").tobytes() == x for w, x in zip(trial, self._words(trial), strict=True))
 
     def _ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
-    def _model(self, word: bytes) -> list[int]:
-        return [t.id for t in self.library.model.tokenize("".join([self.letters[b] for b in word]))]
-
-    def _same(self, word: str) -> bool:
-        return self._ids(word) == self._model(word.encode())
-
-    def _is_word(self, text: str) -> bool:
-        """Letters only, already in the form that the library's normalizer leaves: the model can take it as it is."""
-        if text.isascii():
-            return text.isalpha() and text.islower()
-        return text.isalpha() and unicodedata.is_normalized("NFC", text) and all(c.lower() == c for c in text)
-
-    def learn(self, parts: list[bytes]) -> dict[bytes, bytes]:
-        out: dict[bytes, bytes] = {}
-        rest: list[bytes] = []
+    def _is_word(self, word: bytes) -> bool:
+        """Letters only, already in the form that the library's normalizer leaves: one word to its pre-tokenizer."""
+        if word.isalpha():  # of ASCII
+            return word.islower()
+        text = word.decode()
+        return text.isalpha() and unicodedata.is_normalized("NFC", text) and text.lower() == text
+
+    def _words(self, words: list[bytes]) -> Iterator[bytes]:
+        """Ids of words that the pre-tokenizer leaves whole, from the library's model."""
+        tokenize = self.library.model.tokenize
+        for w in words:
+            found = tokenize(w.decode() if w.isascii() else w.decode("latin-1").translate(self.letters))
+            yield array.array("I", [t.id for t in found]).tobytes()
+
+    def learn(self, parts: list[bytes]) -> None:
+        """Put new parts into the table."""
+        known, rest, tailed = self.known, [], []
+        words: set[bytes] = set()
         for part in parts:
-            # A full stop or comma after an ASCII letter is a part of its own in a word-level pre-tokenizer.
-            word, tail = (part[:-1], part[-1:]) if self.direct and part[-1:] in b".," and part[-2:-1].isalpha() else (part, b"")
-            have = self.known.get(word) if tail else None
-            if have is None and self.direct and self._is_word(word.decode()):
-                have = np.array(self._model(word), "<u4").tobytes()
-            if have is not None and tail:
-                if tail not in self.known:
-                    self.known[tail] = np.array(self._ids(tail.decode()), "<u4").tobytes()
-                have += self.known[tail]
-            if have is None:
-                rest.append(part)
+            # A full stop or comma after a letter of ASCII is a part of its own in a word-level pre-tokenizer.
+            tail = part[-1:] in (b".", b",") and part[-2:-1].isalpha()
+            word = part[:-1] if tail else part
+            if self.direct and self._is_word(word):
+                if word not in known:
+                    words.add(word)
+                if tail:
+                    tailed.append(part)
             else:
-                out[part] = have
+                rest.append(part)
+        new = list(words)
+        known.update(zip(new, self._words(new), strict=True))
+        if tailed:
+            marks = {t: np.array(self._ids(t.decode()), "<u4").tobytes() for t in (b".", b",")}
+            for part in tailed:
+                known[part] = known[part[:-1]] + marks[part[-1:]]
         for part, e in zip(rest, self.library.encode_batch_fast([p.decode() for p in rest], add_special_tokens=False), strict=True):
-            out[part] = np.array(e.ids, "<u4").tobytes()
-        if (room := REMEMBERED - len(self.known)) > 0:
-            self.known.update(out if len(out) <= room else dict(list(out.items())[:room]))
-        return out
+            known[part] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.apart:
@@ -208,10 +213,15 @@ class Encoder:
             data = t.encode()
             # Special tokens are found in the text as it is, so a text that may hold one keeps its capitals.
             split.append((data.lower() if self.lower and b"<|" not in data else data).split())
-        new = [p for p in set().union(*split) if p not in self.known]
-        learnt = self.learn(new) if new else {}
-        have, none = self.known.get, b""
-        return [b"".join([have(p) or learnt.get(p, none) for p in parts]) for parts in split]
+        known, before = self.known, len(self.known)
+        new = [p for p in set().union(*split) if p not in known]
+        if new:
+            self.learn(new)
+        out = [b"".join(map(known.__getitem__, parts)) for parts in split]
+        if len(known) > REMEMBERED:  # what came last goes
+            for part in list(itertools.islice(known, max(before, REMEMBERED), None)):
+                del known[part]
+        return out
 
 
 _loaded: dict[str, Encoder] = {}
