@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Parts that a worker remembers (about 300 bytes each), and characters of text that are encoded together.
-REMEMBERED, TOGETHER = 500_000, 4_000_000
+REMEMBERED, TOGETHER = 250_000, 2_000_000
 #: Parts of more symbols than this work off their agenda from a heap.
 LONG = 48
 
@@ -236,9 +236,12 @@ def numbers(joined: bytes) -> np.ndarray:
     return np.fromstring(joined.decode(), np.int32, sep=",")
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """docs with ids (array<int>) of each text; a column of that name is replaced."""
-    docs = docs.drop("ids")
+def encode(docs: DataFrame, path: str, text_col: str = "text", checked: bool = False) -> DataFrame:
+    """docs with ids (array<int>) of each text; checked: and decoded_again, whether ids decode to the text (null: "").
+
+    Columns of these names are replaced.
+    """
+    docs = docs.drop("ids", "decoded_again") if checked else docs.drop("ids")
     names, place = docs.columns, docs.columns.index(text_col)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
@@ -249,9 +252,13 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
             for a, b in _grouped(texts):
                 found = [numbers(x) for x in model.encode(texts[a:b])]
                 ids = pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)]).astype(np.int32), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, ids], [*names, "ids"])
+                columns, more = [*batch.slice(a, b - a).columns, ids], [*names, "ids"]
+                if checked:
+                    columns.append(pa.array([model.library.decode(x.tolist()) == t if x.size else not t for x, t in zip(found, texts[a:b], strict=True)], pa.bool_()))
+                    more.append("decoded_again")
+                yield pa.RecordBatch.from_arrays(columns, more)
 
-    return docs.mapInArrow(encoded, f"{schema}, ids array<int>")
+    return docs.mapInArrow(encoded, f"{schema}, ids array<int>" + (", decoded_again boolean" if checked else ""))
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:

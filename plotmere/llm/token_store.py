@@ -38,8 +38,9 @@ MAGIC = b"S8BLOCK1"
 BLOCK = 1024
 #: Fixed values of the format: ids in a word and bits of each, for selectors 1 to 15 (0 is the escape).
 PACKINGS = [(120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
-#: Ids that a file holds at least before the next one begins, and parts that a worker remembers.
-FILE_IDS, REMEMBERED = 2_000_000, 400_000
+#: Ids that a file holds at least before the next one begins, parts that a worker remembers (about 150 bytes each), and
+#: documents that it encodes together.
+FILE_IDS, REMEMBERED, TOGETHER = 2_000_000, 1_000_000, 2000
 
 
 def _chosen(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,8 +128,9 @@ def unpack_ids(words: np.ndarray, blocks: np.ndarray, n: int) -> np.ndarray:
             ids[where] = words[at[mine] + 1]
             continue
         count, bits = PACKINGS[s - 1]
+        full = int(many.min(initial=count))
         for j in range(count if bits else 0):
-            some = j < many
+            some = slice(None) if j < full else np.flatnonzero(j < many)
             ids[where[some] + j] = word[some] >> np.uint64(4 + j * bits) & np.uint64((1 << bits) - 1)
     return ids
 
@@ -259,8 +261,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id",
 
         size = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, TOGETHER):
+                some = batch.slice(at, TOGETHER)
                 found = model.encode(some.column(1).to_pylist())
                 ids += [x + end for x in found]
                 doc_ids += some.column(0).to_pylist()
