@@ -53,7 +53,8 @@ def _chosen(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     bits = np.zeros(n + 1, np.uint8)  # the place after the last stands for none
     bits[:n] = np.frexp(ids.astype(np.float64))[1]
     at = np.arange(0, n, BLOCK)
-    ends, found = np.minimum(at + BLOCK, n), []
+    block, ends, found = np.arange(at.size), np.minimum(at + BLOCK, n), []
+    counts = np.zeros(at.size, np.int64)
     while at.size:
         select, take = np.zeros(at.size, np.uint8), np.ones(at.size, np.int64)
         open_, most, seen = np.arange(at.size), bits[at], 1
@@ -70,13 +71,20 @@ def _chosen(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 break
             select[open_] = selector
             take[open_] = np.minimum(count, ends[open_] - at[open_])
-        found.append((at, select, take))
+        found.append((block, at, select, take))
+        counts[block] += 1
         at = at + take
         more = at < ends
-        at, ends = at[more], ends[more]
-    at, select, take = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.argsort(at, kind="stable")
-    return at[order], select[order], take[order]
+        block, at, ends = block[more], at[more], ends[more]
+    # The words of a block follow each other, step by step.
+    first = np.cumsum(counts) - counts
+    place = np.concatenate([first[f[0]] + step for step, f in enumerate(found)])
+    out = []
+    for column in list(zip(*found, strict=True))[1:]:
+        joined = np.concatenate(column)
+        out.append(np.empty_like(joined))
+        out[-1][place] = joined
+    return out[0], out[1], out[2]
 
 
 def pack_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +191,7 @@ class Encoder:
             found = tokenize(w.decode() if w.isascii() else w.decode("latin-1").translate(self.letters))
             yield array.array("I", [t.id for t in found]).tobytes()
 
-    def learn(self, parts: list[bytes]) -> None:
+    def learn(self, parts: set[bytes]) -> None:
         """Put new parts into the table."""
         known, rest, tailed = self.known, [], []
         words: set[bytes] = set()
@@ -207,17 +215,16 @@ class Encoder:
         for part, e in zip(rest, self.library.encode_batch_fast([p.decode() for p in rest], add_special_tokens=False), strict=True):
             known[part] = np.array(e.ids, "<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of texts in UTF-8."""
         if not self.apart:
-            return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+            return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
         split = []
-        for t in texts:
-            data = t.encode()
+        for data in texts:
             # Special tokens are found in the text as it is, so a text that may hold one keeps its capitals.
             split.append((data.lower() if self.lower and b"<|" not in data else data).split())
         known, before = self.known, len(self.known)
-        new = [p for p in set().union(*split) if p not in known]
-        if new:
+        if new := set().union(*split).difference(known):
             self.learn(new)
         out = [b"".join(map(known.__getitem__, parts)) for parts in split]
         if len(known) > REMEMBERED:  # what came last goes
@@ -263,7 +270,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id",
         for batch in batches:
             for at in range(0, batch.num_rows, TOGETHER):
                 some = batch.slice(at, TOGETHER)
-                found = model.encode(some.column(1).to_pylist())
+                found = model.encode(some.column(1).cast(pa.binary()).to_pylist())
                 ids += [x + end for x in found]
                 doc_ids += some.column(0).to_pylist()
                 size += sum(map(len, found)) // 4
