@@ -38,7 +38,7 @@ def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
 
 
 def compass_word(degrees: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, COMPASS)), (F.bround(degrees / 45) % 8 + 1).cast("int"))
+    return F.try_element_at(F.array(*map(F.lit, COMPASS)), (F.bround(degrees / 45) % 8 + 1).cast("int"))
 
 
 def lon_degrees(miles: Column, lat: Column) -> Column:

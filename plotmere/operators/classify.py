@@ -148,14 +148,14 @@ def _matches() -> Column:
 
 def _heaviest(options: Column) -> Column:
     """The match of most weight, the first of them on ties."""
-    return F.reduce(options, F.element_at(options, 1), lambda best, m: F.when(m["weight"] > best["weight"], m).otherwise(best))
+    return F.reduce(options, F.try_element_at(options, F.lit(1)), lambda best, m: F.when(m["weight"] > best["weight"], m).otherwise(best))
 
 
 def _one(key: str | Column, how: str | Column, like: Column) -> Column:
     """A match made up by a rule."""
     key = F.lit(key) if isinstance(key, str) else key
-    weight = F.element_at(F.create_map(*(F.lit(x) for c in K.CATEGORIES for x in (c.key, c.weight))), key)
-    order = F.element_at(F.create_map(*(F.lit(x) for i, c in enumerate(K.CATEGORIES) for x in (c.key, i))), key)
+    weight = F.try_element_at(F.create_map(*(F.lit(x) for c in K.CATEGORIES for x in (c.key, c.weight))), key)
+    order = F.try_element_at(F.create_map(*(F.lit(x) for i, c in enumerate(K.CATEGORIES) for x in (c.key, i))), key)
     how = F.lit(how) if isinstance(how, str) else how
     return F.struct(key.alias("key"), weight.alias("weight"), order.alias("ord"), how.alias("how"), F.lit(False).alias("telling"), F.lit(False).alias("named"))
 
@@ -201,7 +201,7 @@ def classify(listings: DataFrame) -> DataFrame:
     brand = _one(chain, CHAIN, every)
     both = F.concat("_tagged", "_by_name")
     rules: list[tuple[str, Column, Column, Column]] = [
-        ("equipment name", some(equipment), F.element_at(equipment, 1), every),
+        ("equipment name", some(equipment), F.try_element_at(equipment, F.lit(1)), every),
         ("not-a-prospect name", non_prospect_name(), no_one, every),
         ("utility structure", utility_structure(), no_one, every),
         ("utility plant", service_plant(), no_one, nothing),
@@ -209,7 +209,7 @@ def classify(listings: DataFrame) -> DataFrame:
         ("clinic", clinic() & F.array_contains(_keys(every), "healthcare"), no_one, F.filter(kept, lambda m: m["key"] != "healthcare")),
         ("self-storage", self_storage(), no_one, every),
         ("retail chain", chain.isNotNull() & ~some("_specific"), brand, F.concat(kept, F.array(brand))),
-        ("production listing", some("_specific") & (_heaviest(F.col("_specific"))["key"] == "food_service") & production & some(made), F.element_at(made, 1), kept),
+        ("production listing", some("_specific") & (_heaviest(F.col("_specific"))["key"] == "food_service") & production & some(made), F.try_element_at(made, F.lit(1)), kept),
         ("resort or mall name", only_tags & (as_resort | as_mall), named_as, F.concat(kept, F.array(named_as))),
         ("own category", some("_specific"), _heaviest(F.col("_specific")), kept),
         ("name beats type", non_prospect_type() & some(rescue) & ~other_block, _heaviest(rescue), kept),

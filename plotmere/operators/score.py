@@ -30,7 +30,7 @@ def building_name(name: Column) -> Column:
 
 def generic_name(column: Column | str) -> Column:
     """Only a generic word, alone or with its street or town."""
-    base = F.element_at(F.split(F.trim(blank(column)), r"\s+(?:at|near)\s+|,"), 1)
+    base = F.try_element_at(F.split(F.trim(blank(column)), r"\s+(?:at|near)\s+|,"), F.lit(1))
     return normalize(base).isin(sorted({plain(g) for g in K.GENERIC_NAMES}))
 
 
@@ -94,7 +94,7 @@ def score(listings: DataFrame, keywords: Iterable[str] = ()) -> DataFrame:
     found = C.with_facts(found)
     blocked = F.col("category_key").isNull() & (C.non_prospect_type() | C.non_prospect_name() | C.utility_structure() | C.self_storage() | C.service_plant() | C.vehicle_wash() | C.clinic())
     table = lambda field: F.create_map(*(F.lit(x) for c in K.CATEGORIES for x in (c.key, getattr(c, field))))
-    of = lambda field: F.element_at(table(field), F.col("category_key"))
+    of = lambda field: F.try_element_at(table(field), F.col("category_key"))
     found = found.withColumns({
         "brand": F.when(~blocked, brand()),
         "matched_keywords": keyword_hits(keywords),
@@ -116,7 +116,7 @@ def score(listings: DataFrame, keywords: Iterable[str] = ()) -> DataFrame:
     whole = F.greatest(F.lit(0), F.least(F.lit(100), points))
     found = found.withColumn("_whole", whole)
     text = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
-    labels = F.array_compact(F.transform(F.array_except("also_matched", F.array(blank("category_key"))), lambda k: F.element_at(table("label"), k)))
+    labels = F.array_compact(F.transform(F.array_except("also_matched", F.array(blank("category_key"))), lambda k: F.try_element_at(table("label"), k)))
     reasons = F.array_compact(F.array(
         F.coalesce(text("+", F.col("_weight").cast("string"), " ", F.col("_label"), " (by ", F.col("category_how"), ")"), F.lit("+0 category not on the high-volume list")),
         F.when(F.col("rule") != "nothing matched", text("category rule: ", F.col("rule"))),
@@ -145,7 +145,7 @@ def flag_types(listings: DataFrame, known: DataFrame) -> DataFrame:
     text = F.concat_ws(" ", normalize("name"), split_hyphens("name"), normalize(C.values_of(F.coalesce(F.col("raw_categories"), literals([])), "operator", "brand")))
     words = listings.select("_key", text.alias("_text"), F.explode(F.array_distinct(F.split(F.concat_ws(" ", text, site_label("website")), " "))).alias("_word"), site_label("website").alias("_site"))
     aliases = known.select(normalize("alias").alias("_alias"), compact("alias").alias("_compact"), "kind", "ord").filter("_alias <> ''")
-    aliases = aliases.select("*", F.explode(F.array_distinct(F.array(F.element_at(F.split("_alias", " "), 1), F.col("_compact")))).alias("_word"))
+    aliases = aliases.select("*", F.explode(F.array_distinct(F.array(F.try_element_at(F.split("_alias", " "), F.lit(1)), F.col("_compact")))).alias("_word"))
     few = aliases.limit(10_001).count() <= 10_000
     met = words.join(F.broadcast(aliases) if few else aliases, "_word")
     met = met.filter(F.contains(F.concat(F.lit(" "), "_text", F.lit(" ")), F.concat(F.lit(" "), "_alias", F.lit(" "))) | (F.col("_site") == F.col("_compact")))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from plotmere.operators import activity, listing
 from plotmere.operators.resolve import resolve
 from plotmere.operators.score import score
+from plotmere.operators.shared import shared_folder, written
 from plotmere.sources.listings import together, within
 
 #: Miles around the circle in which listings are still merged, least score, and the circle of a search.
@@ -35,9 +36,12 @@ def search(found: list[DataFrame], asked: Search, towns: list[str] | None = None
     if not 0 < asked.miles <= 100:
         raise ValueError("a search has a radius of up to 100 miles")
     near = within(together(*found).filter("lat is not null and lon is not null"), asked.lat, asked.lon, asked.miles, MARGIN).drop("distance_miles")
-    near = near.withColumn("rid", F.xxhash64("source", "source_id"))
-    merged = resolve(near, towns).withColumn("search_terms", F.array().cast("array<string>")).withColumn("primary_category", F.lit(""))
-    scored = listing.dispositions(score(within(merged, asked.lat, asked.lon, asked.miles), asked.keywords), asked.least_score, asked.only_hits)
+    # Each step is written: a filter on a score would be pushed through all rules, and the plan would be too large to optimize.
+    folder = shared_folder(near.sparkSession, "search")
+    near = written(near.withColumn("rid", F.xxhash64("source", "source_id")), f"{folder}/near")
+    merged = written(resolve(near, towns), f"{folder}/merged").withColumn("search_terms", F.array().cast("array<string>")).withColumn("primary_category", F.lit(""))
+    scored = written(score(within(merged, asked.lat, asked.lon, asked.miles), asked.keywords), f"{folder}/scored")
+    scored = listing.dispositions(scored, asked.least_score, asked.only_hits)
     kept = scored.filter("disposition = 'kept'")
     kept = listing.top_prospects(kept, asked.limit, "grp") if asked.limit is not None else kept
     return listing.best_first(kept, "grp")

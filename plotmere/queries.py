@@ -163,7 +163,7 @@ def _as_entities(spark, sf_dir):
     df = listings(spark, sf_dir)
     number = F.regexp_extract("uid", r"(\d+)", 1).cast("long")
     return df.select(
-        (number * 2 + F.col("uid").startswith("s").cast("long")).alias("rid"), F.concat(F.lit("Shop "), F.element_at(F.array(*map(F.lit, ["alder", "birch", "cedar", "dogwood", "elm"])), (number % 5 + 1).cast("int"))).alias("name"),
+        (number * 2 + F.col("uid").startswith("s").cast("long")).alias("rid"), F.concat(F.lit("Shop "), F.try_element_at(F.array(*map(F.lit, ["alder", "birch", "cedar", "dogwood", "elm"])), (number % 5 + 1).cast("int"))).alias("name"),
         F.lit("").alias("phone"), "lat", "lon", F.when(F.col("uid").startswith("s"), "google").otherwise("osm").alias("source"), "uid", F.col("uid").alias("source_id"), F.array().cast("array<string>").alias("raw_categories"),
         F.lit("").alias("website"), F.lit("").alias("address"), F.lit("").alias("city"), F.lit("").alias("state"), F.lit("").alias("zip"), F.col("reviews").cast("int").alias("rating_count"), F.lit(None).cast("int").alias("yelp_reviews"),
         F.col("sqft").alias("footprint_sqft"), F.lit("").alias("business_status"), F.lit(None).cast("struct<s:double,w:double,n:double,e:double>").alias("outline"))
@@ -397,7 +397,7 @@ def score_listings(spark, sf_dir):
     """The whole rule table over the names of parts; tested on examples."""
     p = _table(spark, sf_dir, "part")
     rows = p.select(
-        "p_partkey", F.concat_ws(" ", "p_name", F.element_at(F.array(*map(F.lit, ["warehouse", "foods", "hospital", "self storage", "recycling", "mall"])), (F.col("p_partkey") % 6 + 1).cast("int"))).alias("name"), F.lit("osm").alias("source"),
+        "p_partkey", F.concat_ws(" ", "p_name", F.try_element_at(F.array(*map(F.lit, ["warehouse", "foods", "hospital", "self storage", "recycling", "mall"])), (F.col("p_partkey") % 6 + 1).cast("int"))).alias("name"), F.lit("osm").alias("source"),
         F.array(F.when(F.col("p_size") > 25, "building=industrial").otherwise("shop=hardware")).alias("raw_categories"), F.array().cast("array<string>").alias("search_terms"), F.lit("").alias("primary_category"),
         F.col("p_size").alias("rating_count"), F.lit(None).cast("int").alias("yelp_reviews"), (F.col("p_retailprice") * 40).cast("int").alias("footprint_sqft"), F.lit("").alias("website"), F.lit("1 Main").alias("address"), F.lit("").alias("phone"), F.lit("").alias("business_status"))
     return score(rows).select("p_partkey", "category_key", "rule", "score", "tier")
