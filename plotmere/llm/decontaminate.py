@@ -155,16 +155,17 @@ def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
 def _mark_by_join(docs: DataFrame, items: DataFrame, schema: str, text_col: str, window: int, gram: int) -> DataFrame:
     """For benchmarks too large to broadcast: kept grams meet in a shuffle, then each document meets its items' texts."""
 
-    def kept(batches, place=1):
+    def kept(batches: Iterator[pa.RecordBatch], of_items: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, hashes in enumerate(_hashes(batch.column(place))):
+            for i, hashes in enumerate(_hashes(batch.column(1))):
                 found = set(winnow(hashes, window, gram)[1].tolist())
-                if place == 1:  # of an item: a short one is known by all its words
-                    found |= {int(grams(hashes, hashes.size)[0])} if 0 < hashes.size < window else set()
-                else:
+                if not of_items:
                     found |= {x for n in lengths for x in grams(hashes, n).tolist()}
+                elif 0 < hashes.size < window:  # a short item is known by all its words
+                    found.add(int(grams(hashes, hashes.size)[0]))
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(found, np.uint64, len(found)).view(np.int64)), pa.array([batch.column(0)[i].as_py()] * len(found))], ["gram", "id"])
+                    ids = batch.column(0).take(pa.array([i] * len(found)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(found, np.uint64, len(found)).view(np.int64)), ids], ["gram", "id"])
 
     def sizes(batches):
         for batch in batches:
@@ -173,8 +174,8 @@ def _mark_by_join(docs: DataFrame, items: DataFrame, schema: str, text_col: str,
     lengths = [r.n for r in items.mapInArrow(sizes, "n int").filter(f"n between 1 and {window - 1}").distinct().collect()]
     names = docs.columns
     docs = docs.withColumn("_row", F.xxhash64(*names))
-    of_items = items.mapInArrow(kept, "gram long, id string")
-    of_docs = docs.select("_row", F.col(text_col).alias("text")).mapInArrow(lambda batches: kept(batches, 1.0), "gram long, id long")
+    of_items = items.mapInArrow(lambda batches: kept(batches, True), "gram long, id string")
+    of_docs = docs.select("_row", F.col(text_col).alias("text")).mapInArrow(lambda batches: kept(batches, False), "gram long, id long")
     pairs = of_docs.withColumnRenamed("id", "_row").join(of_items, "gram").select("_row", F.col("id").alias("item")).distinct()
     met = pairs.join(items, "item").groupBy("_row").agg(F.collect_set(F.struct("item", "text")).alias("_items"))
 
