@@ -148,7 +148,7 @@ def _runs(flags: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def _matched(batches: Iterator[pa.RecordBatch], window: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, salt, id, first, content, hot) come ordered by anchor and salt.
+    """Rows (anchor, salt, ids, firsts, content, hot) come ordered by anchor and salt; a row has the places of equal regions.
 
     Gives runs of repeated windows (id, first, n, print null) and, of hot anchors, the windows that are alone in the
     shard (id, first, 1, print) or stand for several in it (null id, print).
@@ -156,16 +156,18 @@ def _matched(batches: Iterator[pa.RecordBatch], window: int, id_type: pa.DataTyp
     rest: pa.Table | None = None
 
     def shard(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, salt, first, hot = (t[c].to_numpy() for c in ("anchor", "salt", "first", "hot"))
-        content, ids = t["content"].to_pylist(), t["id"].combine_chunks()
-        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+        t = t.combine_chunks()
+        key, salt, hot = (t[c].to_numpy() for c in ("anchor", "salt", "hot"))
+        content, lists = t["content"].to_pylist(), [t[c].chunk(0) for c in ("ids", "firsts")]
+        ids, first = lists[0].flatten(), lists[1].flatten().to_numpy()
+        cuts = np.r_[0, np.cumsum(np.diff(lists[0].offsets.to_numpy()))].tolist()
         starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])
         out_row, out_first, out_n, out_print = [], [], [], []
         for s, e in zip(starts.tolist(), np.r_[starts[1:], key.size].tolist(), strict=True):
             places: dict[bytes, list[int]] = {}
             for i in range(s, e):
-                places.setdefault(content[i], []).append(i)
-            if len(places) == 1 and e - s == 1 and not hot[s]:
+                places.setdefault(content[i], []).extend(range(cuts[i], cuts[i + 1]))
+            if len(places) == 1 and cuts[e] - cuts[s] == 1 and not hot[s]:
                 continue
             sequences = [c.split(b" ") for c in places]
             for sequence, rows, flags in zip(sequences, places.values(), repeats(sequences, [len(p) for p in places.values()], window), strict=True):
@@ -208,17 +210,26 @@ def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HO
     def cut(batches):
         """The words of each region, joined by spaces, and the shard it goes to."""
         for batch in batches:
+            # Equal regions of a batch are one row with all their places, so copies weigh little in the shuffle.
+            held: dict[tuple[int, bytes], tuple[int, bool, list[int], list[int]]] = {}
             for i, (text, own) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
                 found = unzipped(text.as_py()).split()
-                rows = []
                 for r in own.as_py():
                     content = b" ".join(found[r["first"] : r["first"] + r["n"] + window - 1])
-                    shards = -(-r["places"] // hot)
-                    rows.append((r["anchor"], xxhash.xxh64_intdigest(content) % shards if shards > 1 else 0, r["first"], content, shards > 1))
-                anchor, salt, first, content, is_hot = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(salt, pa.int32()), batch.column(0).take(pa.array([i] * len(rows))), pa.array(first, pa.int32()), pa.array(content, pa.binary()), pa.array(is_hot)], ["anchor", "salt", "id", "first", "content", "hot"])
-
-    pieces = zipped(docs, "id", "text").join(chosen, "id").mapInArrow(cut, f"anchor long, salt int, id {id_kind}, first int, content binary, hot boolean")
+                    key = r["anchor"], content
+                    if (have := held.get(key)) is None:
+                        shards = -(-r["places"] // hot)
+                        have = held[key] = (xxhash.xxh64_intdigest(content) % shards if shards > 1 else 0, shards > 1, [], [])
+                    have[2].append(i)
+                    have[3].append(r["first"])
+            if held:
+                salt, is_hot, row, first = zip(*held.values(), strict=True)
+                at = pa.array(np.cumsum([0, *map(len, row)]), pa.int32())
+                ids = pa.ListArray.from_arrays(at, batch.column(0).take(pa.array(np.fromiter((x for r in row for x in r), np.int64))))
+                firsts = pa.ListArray.from_arrays(at, pa.array(np.fromiter((x for f in first for x in f), np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.int64()), pa.array(salt, pa.int32()), ids, firsts, pa.array([k[1] for k in held], pa.binary()), pa.array(is_hot)], ["anchor", "salt", "ids", "firsts", "content", "hot"])
+
+    pieces = zipped(docs, "id", "text").join(chosen, "id").mapInArrow(cut, f"anchor long, salt int, ids array<{id_kind}>, firsts array<int>, content binary, hot boolean")
     dealt = pieces.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
     matched = saved(dealt.mapInArrow(lambda b: _matched(b, window, None), f"id {id_kind}, first int, n int, print binary"), f"{folder}/runs")
     prints = matched.filter("print is not null").groupBy("print").agg(F.count(F.lit(1)).alias("shards")).filter("shards > 1")
