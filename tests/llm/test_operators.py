@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from plotmere.llm import decontaminate, language_id, license_scan, ngram_lm, phrase_fingerprint, piece_bpe, simhash_dedup, substring_dedup, token_store, toxicity
+from plotmere.llm import decontaminate, language_id, license_scan, ngram_lm, phrase_fingerprint, piece_bpe, shingle_dedup, simhash_dedup, substring_dedup, token_store, toxicity
 from plotmere.llm.queries import QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, id string, fp string"
@@ -120,6 +120,36 @@ def test_anchors_cover_three_bits(spark):
     assert {frozenset((int(a), int(b))) for a, b in zip(base.view(np.int64), near.view(np.int64), strict=True) if a != b} <= {frozenset((r.a, r.b)) for r in links}
 
 
+@pytest.mark.parametrize("hot", [2000, 3])
+def test_near_duplicate_stage_against_brute_force(spark, docs, empty, hot):
+    rng = random.Random(8)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    for base in (f"{rng.random()} " + " ".join(rng.choice(WORDS) + str(rng.randrange(99)) for _ in range(150)) for _ in range(12)):
+        for k in range(6):  # each edit replaces up to five of the 147 shingles
+            w = base.split()
+            for at in rng.sample(range(len(w)), k):
+                w[at] = "changed"
+            rows.append((len(rows), " ".join(w)))
+    words = {i: split(ascii_lower(t or "")) for i, t in rows}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set() for i, w in words.items()}
+    near = [(i, j) for i in sets for j in sets if i < j and (sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))]
+    least = {i: i for i in sets}
+    for _ in sets:
+        for i, j in near:
+            least[i] = least[j] = min(least[i], least[j])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in shingle_dedup.cluster(df, hot=hot).collect()} == least
+    kept = corpus_pipeline.STAGES[1][1](spark, df, "")
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(least.values()) and sum(least[i] == least[j] for i, j in near) == len(near) > 60
+    assert shingle_dedup.one_of_each(empty).count() == 0
+
+
+def test_near_duplicate_stage_keeps_one_of_each_group(spark):
+    a, b = " ".join(WORDS), " ".join(reversed(WORDS))
+    df = spark.createDataFrame([(3, a), (5, a), (5, b), (9, b), (None, b), (7, None), (8, "")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text or "") for r in shingle_dedup.one_of_each(df).collect()) == [(0, b), (3, a), (5, b), (7, "")]
+
+
 def test_licenses(spark, empty):
     apache, mit = license_scan.TEMPLATES[1][1], license_scan.TEMPLATES[12][1]
     rows = [(1, "Words.\nReleased under the MIT License."), (2, mit.replace("Software", "Program")), (3, "para\n\n" + apache.replace(" ", "\n") + "\n\nmore text"), (4, None), (5, ""), (6, "mit"), (7, "released under the sea license"), (8, mit + " " + "word " * 900)]
