@@ -9,7 +9,8 @@ The benchmark's kept grams and words are broadcast while they are below ``most``
 joined by a shuffle, and each document is extended against only the items it meets.
 
 Edge cases: a null text, or one without a word, has no words, is no item and is never hit. Repeated items count once
-for each item_id; repeated documents get a row each. An empty benchmark hits nothing. Other columns are carried through
+for each item_id; repeated documents get a row each. An item with a null item_id is hit like any other, but has no name
+in ``items``; all such items count as one in the n_items of ``report``. An empty benchmark hits nothing. Other columns are carried through
 (``mark``) or not read (``report``); the columns that ``mark`` adds replace columns of the same names.
 """
 
@@ -101,7 +102,8 @@ def _result(size: int, found: dict[tuple[int, int], set[int]], items) -> tuple:
     for a, b in found:
         hit[a:b] = True
     edges = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))
-    names = sorted({items[n][0] for some in found.values() for n in some})
+    names = {items[n][0] for some in found.values() for n in some}
+    names = sorted(names - {None}) + [None] * (None in names)
     return size, int(hit.sum()), names, [{"first": int(a), "words": int(b - a)} for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
@@ -112,7 +114,7 @@ def _named(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _read_items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    return benchmark.filter(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
+    return benchmark.filter(F.col(text_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
 
 
 def _as_benchmark(rows, window: int, gram: int) -> Benchmark:
@@ -122,6 +124,12 @@ def _as_benchmark(rows, window: int, gram: int) -> Benchmark:
 
 def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM, most: int = MOST) -> DataFrame:
     """docs with n_words, n_hit, items (sorted ids of the items with windows in the text) and spans (of hit words)."""
+    found = _mark(docs, benchmark, text_col, item_col, item_text, window, gram, most)
+    return found.withColumn("items", F.array_compact("items"))
+
+
+def _mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM, most: int = MOST) -> DataFrame:
+    """``mark``, where a null at the end of items stands for items without an id."""
     items = _read_items(benchmark, item_col, item_text)
     docs = docs.drop("n_words", "n_hit", "items", "spans")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", " + _ADDED
@@ -174,10 +182,11 @@ def _mark_by_join(docs: DataFrame, items: DataFrame, schema: str, text_col: str,
     lengths = [r.n for r in items.mapInArrow(sizes, "n int").filter(f"n between 1 and {window - 1}").distinct().collect()]
     names = docs.columns
     docs = docs.withColumn("_row", F.xxhash64(*names))
-    of_items = items.mapInArrow(lambda batches: kept(batches, True), "gram long, id string")
+    items = items.withColumn("_item", F.xxhash64("item", "text"))  # ids may be null, or stand on several texts
+    of_items = items.select("_item", "text").mapInArrow(lambda batches: kept(batches, True), "gram long, id long")
     of_docs = docs.select("_row", F.col(text_col).alias("text")).mapInArrow(lambda batches: kept(batches, False), "gram long, id long")
-    pairs = of_docs.withColumnRenamed("id", "_row").join(of_items, "gram").select("_row", F.col("id").alias("item")).distinct()
-    met = pairs.join(items, "item").groupBy("_row").agg(F.collect_set(F.struct("item", "text")).alias("_items"))
+    pairs = of_docs.withColumnRenamed("id", "_row").join(of_items, "gram").select("_row", F.col("id").alias("_item")).distinct()
+    met = pairs.join(items, "_item").groupBy("_row").agg(F.collect_set(F.struct("item", "text")).alias("_items"))
 
     def marked(batches):
         for batch in batches:
@@ -195,7 +204,7 @@ def _mark_by_join(docs: DataFrame, items: DataFrame, schema: str, text_col: str,
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(id, n_words, n_hit, n_items, items_sha256 of the sorted, comma-joined ids, contaminated) for every row."""
-    found = mark(docs.select(id_col, text_col), benchmark, text_col, **options)
+    found = _mark(docs.select(id_col, text_col), benchmark, text_col, **options)
     joined = F.array_join("items", ",")
     return found.select(id_col, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 

@@ -262,6 +262,25 @@ def test_decontamination_against_brute_force(spark, docs, empty, most):
     assert decontaminate.report(empty, bench).count() == 0 and not any(r.contaminated for r in decontaminate.report(docs, bench.limit(0)).collect())
 
 
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_benchmark_items_without_id(spark, most):
+    import duckdb
+    import pandas as pd
+
+    from plotmere.llm.queries import ORACLE_SQL
+
+    prose = lambda k: " ".join(f"{w}{k}" for w in WORDS)
+    rows = [(1, prose(1)), (2, prose(2)), (3, prose(1) + " " + prose(3)), (4, prose(4)), (5, "so oak pine it is"), (6, None)]
+    items = [(None, prose(1)), (None, prose(4)), (7, prose(3)), (None, "oak pine"), (8, None), (None, None)]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    con.register("benchmark", pd.DataFrame(items, columns=["item_id", "text"]).astype({"item_id": "Int64"}))
+    found = decontaminate.report(df, bench, most=most).orderBy("doc_id")
+    assert [tuple(r) for r in found.collect()] == con.sql(f"SELECT {', '.join(found.columns)} FROM ({ORACLE_SQL['op8_benchmark_decontamination']}) ORDER BY doc_id").fetchall()
+    assert {r.doc_id: (r.n_hit, r.items) for r in decontaminate.mark(df, bench, most=most).collect()} == {1: (20, []), 2: (0, []), 3: (40, ["7"]), 4: (20, []), 5: (2, []), 6: (0, [])}
+
+
 @pytest.mark.parametrize("hot", [4000, 2])
 def test_substrings_against_brute_force(docs, empty, hot):
     rows = {r.doc_id: split(r.text) for r in docs.collect()}
