@@ -48,6 +48,39 @@ TEMPLATES: list[tuple[str, str]] = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
+_FSF = "This {} is free software{} you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation{} either version {}, or (at your option) any later version."
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+_CC_VERSIONS = [("1.0", "Generic"), ("2.0", "Generic"), ("2.5", "Generic"), ("3.0", "Unported"), ("4.0", "International"), *((v, "International") for v in ("1.0", "2.0", "2.5", "3.0"))]
+#: A paragraph that both licences open with.
+BSD = "BSD-2-Clause OR BSD-3-Clause"
+
+#: TEMPLATES and their neighbours, for scans where the best match of a unit names it (``best``).
+NEIGHBOURS: list[tuple[str, str]] = [
+    *((BSD if name == "BSD-2-Clause" else name, text) for name, text in TEMPLATES),
+    *((f"CC-{kind}-{v}", f"This work is licensed under a Creative Commons {name} {v} {form} License.") for kind, name in _CC.items() for v, form in _CC_VERSIONS),
+    *((f"CC-{kind}-{v}", f"Licensed under CC {kind} {v}.") for kind in _CC for v, _ in _CC_VERSIONS[:5]),
+    *((f"{short}-{v}", f"This work is licensed under the GNU {name} Public License, version {v.removesuffix('.0')}.") for short, name, v in (("GPL", "General", "1.0"), ("GPL", "General", "2.0"), ("LGPL", "Library General", "2.0"), ("LGPL", "Lesser General", "2.1"), ("LGPL", "Lesser General", "3.0"), ("AGPL", "Affero General", "3.0"))),
+    ("GPL-1.0", _FSF.format("program", ";", "General Public License", ";", "1")),
+    ("GPL-2.0", _FSF.format("program", ";", "General Public License", ";", "2 of the License")),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("LGPL-2.0", _FSF.format("library", ";", "Library General Public License", ";", "2 of the License")),
+    ("LGPL-2.1", _FSF.format("library", ";", "Lesser General Public License", ";", "2.1 of the License")),
+    ("LGPL-3.0", _FSF.format("program", ":", "Lesser General Public License", ",", "3 of the License")),
+    ("AGPL-3.0", _FSF.format("program", ":", "Affero General Public License", ",", "3 of the License")),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU Lesser General Public License Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("EPL-1.0", "Eclipse Public License - v 1.0"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("MIT-0", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so."),
+]
+
 #: What becomes a space: ASCII other than letters, digits and line feeds.
 OTHER = r"[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -80,19 +113,27 @@ def _array(values) -> Column:
     return F.array(*map(F.lit, values))
 
 
-def _units(text: Column) -> Column:
-    """Lines, blocks and the whole of a text, each different one once."""
+def _units(text: Column, sentences: bool = False) -> Column:
+    """Lines, blocks and the whole of a text (and its sentences), each different one once."""
     plain = F.regexp_replace(text, OTHER, " ")
     blocks = F.transform(F.split(plain, r"\n *\n"), lambda b: F.replace(b, F.lit("\n"), F.lit(" ")))
-    return F.array_distinct(F.concat(F.split(plain, "\n"), blocks, F.array(F.replace(plain, F.lit("\n"), F.lit(" ")))))
+    parts = [F.split(plain, "\n"), blocks, F.array(F.replace(plain, F.lit("\n"), F.lit(" ")))]
+    if sentences:
+        parts.append(F.transform(F.split(text, r"(?<=[.!?])\s+|\n\s*\n"), lambda t: F.replace(F.regexp_replace(t, OTHER, " "), F.lit("\n"), F.lit(" "))))
+        return F.array_distinct(F.transform(F.concat(*parts), lambda u: F.trim(F.regexp_replace(u, " +", " "))))
+    return F.array_distinct(F.concat(*parts))
 
 
 def _bigrams(words: Column) -> Column:
     return F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))
 
 
-def scan(docs: DataFrame, text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with n_units (units that match a template), licenses (names found, sorted, joined by commas), license and score (of the best match)."""
+def scan(docs: DataFrame, text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, best: bool = False, sentences: bool = False) -> DataFrame:
+    """docs with n_units (units that match a template), licenses (names found, sorted, joined by commas), license and score (of the best match).
+
+    With best (for NEIGHBOURS) a unit counts only under the names of its own best match, and the clause of BSD-3-Clause
+    anywhere in a text decides what its BSD opening is. With sentences, a text's sentences are units too.
+    """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold lies above 0, up to 1")
     own = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_units", "licenses", "license", "score")]
@@ -102,7 +143,7 @@ def scan(docs: DataFrame, text_col: str = "text", templates: list[tuple[str, str
     table = F.array(*(F.struct(F.lit(name).alias("name"), _array(grams).alias("grams"), _array(grams.values()).alias("times"), F.lit(grams.total()).alias("m"), F.lit(low).alias("low"), F.lit(high).alias("high")) for name, grams, low, high in known))
     # Two neighbouring words have at least one space between them, and at most two where blocks were joined.
     spaces = lambda u: F.octet_length(u) - F.octet_length(F.replace(u, F.lit(" "), F.lit("")))
-    fitting = F.filter(_units(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), lambda u: (spaces(u) >= fewest) & (spaces(u) <= 2 * most + 2))
+    fitting = F.filter(_units(F.coalesce(F.col(text_col).cast("string"), F.lit("")), sentences), lambda u: (spaces(u) >= fewest) & (spaces(u) <= 2 * most + 2))
     split = F.transform(fitting, lambda u: F.split(F.lower(F.trim(F.regexp_replace(u, " +", " "))), " "))
     sized = F.filter(split, lambda w: (F.size(w) > fewest) & (F.size(w) <= most + 1) & F.arrays_overlap(w, _array(keys)))
     near = F.array_distinct(F.transform(sized, _bigrams))
@@ -117,13 +158,22 @@ def scan(docs: DataFrame, text_col: str = "text", templates: list[tuple[str, str
         rated = F.transform(in_bounds, lambda t: F.struct(dice(t).alias("dice"), t["name"].alias("name")))
         return F.filter(rated, lambda r: r["dice"] >= threshold)
 
+    def own_best(m: Column) -> Column:
+        return F.filter(m, lambda r: r["dice"] == F.array_max(F.transform(m, lambda x: x["dice"])))
+
     hits = F.filter(F.transform(near, matches), lambda m: F.size(m) > 0)
-    found = docs.select(*own, hits.alias("_hits")).withColumn("_all", F.flatten("_hits"))
-    best = F.array_max(F.transform("_all", lambda r: r["dice"]))
+    found = docs.select(*own, hits.alias("_hits"))
+    if best:
+        found = found.withColumn("_hits", F.transform("_hits", own_best))
+    found = found.withColumn("_all", F.flatten("_hits"))
+    if best:
+        told = F.exists("_all", lambda r: r["name"] == "BSD-3-Clause")
+        found = found.withColumn("_all", F.transform("_all", lambda r: F.struct(r["dice"].alias("dice"), F.when(told & (r["name"] == BSD), "BSD-3-Clause").otherwise(r["name"]).alias("name"))))
+    top = F.array_max(F.transform("_all", lambda r: r["dice"]))
     return found.select(
         *own,
         F.size("_hits").cast("long").alias("n_units"),
         F.array_join(F.array_sort(F.array_distinct(F.transform("_all", lambda r: r["name"]))), ",").alias("licenses"),
-        F.array_min(F.transform(F.filter("_all", lambda r: r["dice"] == best), lambda r: r["name"])).alias("license"),
-        best.alias("score"),
+        F.array_min(F.transform(F.filter("_all", lambda r: r["dice"] == top), lambda r: r["name"])).alias("license"),
+        top.alias("score"),
     )

@@ -159,6 +159,29 @@ def test_licenses(spark, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_licence_neighbours(spark):
+    fsf = "This {} is free software{} you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+    opening, clause = license_scan.TEMPLATES[2][1], license_scan.TEMPLATES[3][1]
+    rows = {
+        fsf.format("program", ";", "General Public License", ";", "2"): "GPL-2.0",
+        fsf.format("program", ":", "General Public License", ",", "3"): "GPL-3.0",
+        fsf.format("program", ":", "Lesser General Public License", ",", "3"): "LGPL-3.0",
+        fsf.format("program", ":", "Affero General Public License", ",", "3"): "AGPL-3.0",
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 International License.": "CC-BY-SA-3.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": "CC-BY-NC-SA-4.0",
+        "  GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991\n\nbody of many words": "GPL-2.0",
+        "Eclipse Public License - v 2.0\n\nbody of many words": "EPL-2.0",
+        "CC0 1.0 Universal\n\nbody of many words": "CC0-1.0",
+        opening: "BSD-2-Clause OR BSD-3-Clause",
+        opening + "\n\nsource, binary\n\n" + clause: "BSD-3-Clause",
+        "Thanks for reading our long line. Released under the MIT License. Send us mail about it.": "MIT",
+    }
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = license_scan.scan(df, templates=license_scan.NEIGHBOURS, best=True, sentences=True).orderBy("doc_id").collect()
+    assert [(r.licenses, r.license) for r in found] == [(name, name) for name in rows.values()]
+
+
 def test_toxicity_learns(spark, empty):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choices(WORDS, k=40)) + (" scum idiot" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(1500)] + [(5000, None, None), (5001, "", None)]
