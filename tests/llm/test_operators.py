@@ -109,6 +109,12 @@ def test_simhash_against_brute_force(docs, empty):
     assert {r.doc_id for r in simhash_dedup.one_of_each(docs).collect()} == set(least.values())
 
 
+def test_simhash_keeps_one_of_each_group_where_ids_repeat(spark):
+    a, b = " ".join(WORDS), " ".join(reversed(WORDS))
+    df = spark.createDataFrame([(3, a), (5, a), (5, b), (9, b), (None, b)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in simhash_dedup.one_of_each(df).collect()) == [(0, b), (3, a), (5, b)]
+
+
 def test_anchors_cover_three_bits(spark):
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**63, 200, dtype=np.uint64)
