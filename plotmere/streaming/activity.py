@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +23,34 @@ def once_by_id(events: DataFrame, key: str = "id", at: str = "at", late: str = "
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
 
 
-def rolling_budget(calls: DataFrame, key: str = "name", at: str = "at", window: str = "24 hours", step: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """(name, window, used): calls in sliding windows."""
-    return calls.withWatermark(at, late).groupBy(key, F.window(at, window, step)).agg(F.count(F.lit(1)).alias("used"))
+def rolling_budget(calls: DataFrame, key: str = "name", at: str = "at", seconds: int = 86_490, late: str = "10 minutes") -> DataFrame:
+    """(name, at, used): for each call, the name's calls in the seconds up to it, less than that ago.
+
+    Counts by second are kept for each name, and dropped when the watermark leaves them behind. A call that arrives
+    late counts for itself and for what arrives after it; rows without a name or time are no calls.
+    """
+
+    def counted(name, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        have = dict(zip(*state.get, strict=True)) if state.exists else {}
+        new = pd.concat(list(frames))
+        for s, n in new["_s"].value_counts().items():
+            have[int(s)] = have.get(int(s), 0) + int(n)
+        times = np.array(sorted(have), np.int64)
+        total = np.r_[0, np.cumsum([have[s] for s in times.tolist()])]
+        own = new["_s"].to_numpy(np.int64)
+        new["used"] = total[np.searchsorted(times, own, "right")] - total[np.searchsorted(times, own - seconds, "right")]
+        passed = state.getCurrentWatermarkMs() // 1000
+        times = times[times > min(passed, int(times[-1])) - seconds]
+        state.update((times.tolist(), [have[s] for s in times.tolist()]))
+        state.setTimeoutTimestamp(max(int(times[-1]) + seconds, passed + 1) * 1000)
+        yield new[[key, at, "used"]]
+
+    calls = calls.select(key, at).filter(F.col(key).isNotNull() & F.col(at).isNotNull()).withWatermark(at, late).withColumn("_s", F.unix_seconds(F.col(at).cast("timestamp")))
+    kinds = ", ".join(f"`{c}` {calls.schema[c].dataType.simpleString()}" for c in (key, at))
+    return calls.groupBy(key).applyInPandasWithState(counted, f"{kinds}, used long", "seconds array<long>, calls array<long>", "append", "EventTimeTimeout")
 
 
 def hourly_alerts(alerts: DataFrame, at: str = "at", late: str = "10 minutes") -> DataFrame:

@@ -1,5 +1,6 @@
 """Sources, classification, resolution and the list, on small examples."""
 
+import datetime as dt
 import io
 import json
 import random
@@ -285,3 +286,17 @@ def test_streams_end(spark, tmp_path):
     list_(batch, 0)
     list_(batch.withColumn("v", F.lit(9)), 1)
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "list/v1")).collect()] == [("a", 9, 1, 6)]
+
+
+def test_rolling_budget_counts_whole_windows(spark, tmp_path):
+    start = dt.datetime(2024, 5, 1, 10, 30)
+    minutes = [0, 1, 1, 700, 1439, 1441, 1442, 1443, 3000]
+    rows = [(n, start + dt.timedelta(minutes=m)) for n in ("a", "b") for m in minutes[: None if n == "a" else 5]] + [(None, start)]
+    for k, part in enumerate((rows[:4], rows[4:])):
+        spark.createDataFrame(part, "name string, at timestamp").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    source = spark.readStream.schema("name string, at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    got = spark.read.parquet(streams.run_available(streams.rolling_budget(source)))
+    calls = spark.createDataFrame(rows, "name string, at timestamp")
+    want = activity.rolling_count(calls, "name", "at").select("name", "at", "in_window")
+    assert sorted(map(tuple, got.collect())) == sorted(tuple(r) for r in want.collect() if r.name)
+    assert max(r.used for r in got.collect() if r.name == "b") == 5
