@@ -205,7 +205,8 @@ def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HO
     found = anchored(docs, window, gram)
     # Written, so that the join shuffles both sides and Spark can split the rows of a frequent anchor.
     counted = saved(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("places")).filter("places > 1"), f"{folder}/anchors")
-    chosen = found.join(counted, "anchor").groupBy("id").agg(F.collect_list(F.struct("anchor", "first", "n", "places")).alias("regions"))
+    # A set: rows that repeat an id have the same regions, and each of the rows is joined with them.
+    chosen = found.join(counted, "anchor").groupBy("id").agg(F.collect_set(F.struct("anchor", "first", "n", "places")).alias("regions"))
 
     def cut(batches):
         """The words of each region, joined by spaces, and the shard it goes to."""

@@ -324,6 +324,17 @@ def test_substrings_against_brute_force(docs, empty, hot):
     assert all(len(split(stripped[i])) == got[i][0] - got[i][1] for i in rows)
 
 
+def test_repeated_rows_cost_their_number(spark, tmp_path, monkeypatch):
+    rng = random.Random(6)
+    text = " ".join(rng.choice(WORDS) + str(rng.randrange(999)) for _ in range(200))
+    monkeypatch.setattr(substring_dedup, "workspace", lambda spark, name: f"{tmp_path}/{name}")
+    n = 40
+    got = substring_dedup.report(spark.createDataFrame([(1, text)] * n + [(2, "short")], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 200)] * n + [(2, 0)]
+    regions = len(substring_dedup.regions(np.array([hash(w) & 0xFFFFFFFF for w in text.split()], np.uint64), 35, substring_dedup.GRAM)[0])
+    assert spark.read.parquet(f"{tmp_path}/substrings/runs").count() <= 4 * n * regions
+
+
 def test_languages_held_out(spark, docs):
     real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     lang = {r.doc_id: r.lang for r in real.collect()}
