@@ -70,9 +70,13 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     below = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, per_language / n) * _SPAN))))
     chosen = rows.select("lang", "text", hashed.alias("h")).filter(F.col("h") < below[F.col("lang")])
     # A long text would weigh on the driver: the piece is cut where the row is.
-    cut = F.udf(lambda text, h: _cut(text, h, piece), "binary")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [_cut(t.as_py(), h, piece) for t, h in zip(batch.column(2), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(data, pa.binary())], ["lang", "h", "data"])
+
     pieces: dict[str, list] = {}
-    for r in chosen.select("lang", "h", cut("text", "h").alias("data")).collect():
+    for r in chosen.select("lang", "h", "text").mapInArrow(cut, "lang string, h long, data binary").collect():
         pieces.setdefault(r.lang, []).append((r.h, bytes(r.data)))
     return {lang: b"\n".join(d for _, d in sorted(found))[-size:] for lang, found in sorted(pieces.items())}
 

@@ -1,7 +1,7 @@
 """Licence scans: normalised text against licence templates, by Dice's coefficient over word bigrams.
 
-Runs of ASCII characters other than letters and digits become one space (line feeds stay), and the rest is put in lower
-case. What is compared are a text's lines, its blocks (between blank lines) and the whole text, each different one once.
+Runs of ASCII characters other than letters and digits become one space (line feeds stay, and join a unit's lines as one
+space, however many there are), and the rest is put in lower case. What is compared are a text's lines, its blocks (between blank lines) and the whole text, each different one once.
 Dice's coefficient of n and m bigrams (with repeats) is at most 2 min(n, m) / (n + m), so a template is looked at only
 where n lies between m t / (2 - t) and m (2 - t) / t for the threshold t; n follows from the number of words, before any
 bigram is made. A unit must also have a key word: of a template's m bigrams, so many are keys that every match shares
@@ -81,6 +81,9 @@ NEIGHBOURS: list[tuple[str, str]] = [
     ("MIT-0", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so."),
 ]
 
+#: Names of columns that exist within the scan only.
+_HITS, _ALL = "__licence_hits", "__licence_all"
+
 #: What becomes a space: ASCII other than letters, digits and line feeds.
 OTHER = r"[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -116,11 +119,10 @@ def _array(values) -> Column:
 def _units(text: Column, sentences: bool = False) -> Column:
     """Lines, blocks and the whole of a text (and its sentences), each different one once."""
     plain = F.regexp_replace(text, OTHER, " ")
-    blocks = F.transform(F.split(plain, r"\n *\n"), lambda b: F.replace(b, F.lit("\n"), F.lit(" ")))
-    parts = [F.split(plain, "\n"), blocks, F.array(F.replace(plain, F.lit("\n"), F.lit(" ")))]
+    one_line = lambda u: F.trim(F.regexp_replace(u, "[ \n]+", " "))
+    parts = [F.transform(F.split(plain, "\n"), F.trim), F.transform(F.split(plain, r"\n *\n"), one_line), F.array(one_line(plain))]
     if sentences:
-        parts.append(F.transform(F.split(text, r"(?<=[.!?])\s+|\n\s*\n"), lambda t: F.replace(F.regexp_replace(t, OTHER, " "), F.lit("\n"), F.lit(" "))))
-        return F.array_distinct(F.transform(F.concat(*parts), lambda u: F.trim(F.regexp_replace(u, " +", " "))))
+        parts.append(F.transform(F.split(text, r"(?<=[.!?])\s+|\n\s*\n"), lambda t: one_line(F.regexp_replace(t, OTHER, " "))))
     return F.array_distinct(F.concat(*parts))
 
 
@@ -141,11 +143,11 @@ def scan(docs: DataFrame, text_col: str = "text", templates: list[tuple[str, str
     keys = sorted({max(g.split(), key=len) for _, grams, _, _ in known for g in key_bigrams(grams, threshold)})
     fewest, most = min(k[2] for k in known), max(k[3] for k in known)
     table = F.array(*(F.struct(F.lit(name).alias("name"), _array(grams).alias("grams"), _array(grams.values()).alias("times"), F.lit(grams.total()).alias("m"), F.lit(low).alias("low"), F.lit(high).alias("high")) for name, grams, low, high in known))
-    # Two neighbouring words have at least one space between them, and at most two where blocks were joined.
+    # A unit has one space between two words and none at its ends, so it has as many spaces as bigrams.
     spaces = lambda u: F.octet_length(u) - F.octet_length(F.replace(u, F.lit(" "), F.lit("")))
-    fitting = F.filter(_units(F.coalesce(F.col(text_col).cast("string"), F.lit("")), sentences), lambda u: (spaces(u) >= fewest) & (spaces(u) <= 2 * most + 2))
-    split = F.transform(fitting, lambda u: F.split(F.lower(F.trim(F.regexp_replace(u, " +", " "))), " "))
-    sized = F.filter(split, lambda w: (F.size(w) > fewest) & (F.size(w) <= most + 1) & F.arrays_overlap(w, _array(keys)))
+    fitting = F.filter(_units(F.coalesce(F.col(text_col).cast("string"), F.lit("")), sentences), lambda u: (spaces(u) >= fewest) & (spaces(u) <= most))
+    split = F.transform(fitting, lambda u: F.split(F.lower(u), " "))
+    sized = F.filter(split, lambda w: F.arrays_overlap(w, _array(keys)))
     near = F.array_distinct(F.transform(sized, _bigrams))
 
     def matches(g: Column) -> Column:
@@ -162,18 +164,18 @@ def scan(docs: DataFrame, text_col: str = "text", templates: list[tuple[str, str
         return F.filter(m, lambda r: r["dice"] == F.array_max(F.transform(m, lambda x: x["dice"])))
 
     hits = F.filter(F.transform(near, matches), lambda m: F.size(m) > 0)
-    found = docs.select(*own, hits.alias("_hits"))
+    found = docs.select(*own, hits.alias(_HITS))
     if best:
-        found = found.withColumn("_hits", F.transform("_hits", own_best))
-    found = found.withColumn("_all", F.flatten("_hits"))
+        found = found.withColumn(_HITS, F.transform(_HITS, own_best))
+    found = found.withColumn(_ALL, F.flatten(_HITS))
     if best:
-        told = F.exists("_all", lambda r: r["name"] == "BSD-3-Clause")
-        found = found.withColumn("_all", F.transform("_all", lambda r: F.struct(r["dice"].alias("dice"), F.when(told & (r["name"] == BSD), "BSD-3-Clause").otherwise(r["name"]).alias("name"))))
-    top = F.array_max(F.transform("_all", lambda r: r["dice"]))
+        told = F.exists(_ALL, lambda r: r["name"] == "BSD-3-Clause")
+        found = found.withColumn(_ALL, F.transform(_ALL, lambda r: F.struct(r["dice"].alias("dice"), F.when(told & (r["name"] == BSD), "BSD-3-Clause").otherwise(r["name"]).alias("name"))))
+    top = F.array_max(F.transform(_ALL, lambda r: r["dice"]))
     return found.select(
         *own,
-        F.size("_hits").cast("long").alias("n_units"),
-        F.array_join(F.array_sort(F.array_distinct(F.transform("_all", lambda r: r["name"]))), ",").alias("licenses"),
-        F.array_min(F.transform(F.filter("_all", lambda r: r["dice"] == top), lambda r: r["name"])).alias("license"),
+        F.size(_HITS).cast("long").alias("n_units"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(_ALL, lambda r: r["name"]))), ",").alias("licenses"),
+        F.array_min(F.transform(F.filter(_ALL, lambda r: r["dice"] == top), lambda r: r["name"])).alias("license"),
         top.alias("score"),
     )

@@ -6,6 +6,7 @@ words of a slice are found and hashed with numpy over its bytes, so that no Pyth
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,11 +29,13 @@ SLICE_BYTES = 1 << 20
 def workspace(spark: SparkSession, name: str) -> str:
     """A new folder (as a URI) below spark.checkpoint.dir, which all executors share.
 
-    Where the setting is absent (tests on one machine) a temporary folder becomes the checkpoint folder.
-    The files stay, as lazily evaluated results read them; the cluster clears its checkpoint folder.
+    Where the setting is absent on one machine (tests) a temporary folder becomes the checkpoint folder; on a cluster
+    that is an error, as executors could not read each other's disks. The files stay, as lazily evaluated results read them; the cluster clears its checkpoint folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -203,31 +206,77 @@ class Words(NamedTuple):
     bounds: np.ndarray
 
 
+#: Bytes that are looked at together, and of one word that are hashed together.
+_CHUNK, _LONG = 1 << 21, 1 << 12
+
+
 def words(piece: Slice, letters: Alphabet) -> Words:
+    """The words of a slice. A long text is cut where no word is, so the arrays per byte stay small."""
     data, offsets = piece.data, piece.offsets
     rows = offsets.size - 1
-    if not data.size:
+    found, a = [], 0
+    while a < data.size:
+        b = min(a + _CHUNK, data.size)
+        while b < data.size:  # on to the next byte outside a word, or the next row's first
+            ahead = np.flatnonzero(~letters.inside[data[b : b + _CHUNK]])
+            row = offsets[np.searchsorted(offsets, b)]
+            b = int(min(row, b + ahead[0] if ahead.size else b + _CHUNK, data.size))
+            if ahead.size or b == row:
+                break
+        first, last = np.searchsorted(offsets, [a, b])
+        found.append([x + y for x, y in zip(_runs_of_words(data[a:b], offsets[first:last] - a, letters), (a, a, np.uint64(0)), strict=True)])
+        a = b
+    if not found:
         none = np.zeros(0, np.int64)
         return Words(none, none, none, none.astype(np.uint64), np.zeros(rows + 1, np.int64))
+    start, end, hashes = (np.concatenate(x) for x in zip(*found, strict=True)) if len(found) > 1 else found[0]
+    bounds = np.searchsorted(start, offsets)
+    return Words(start, end, np.repeat(np.arange(rows), np.diff(bounds)), hashes, bounds)
+
+
+def _runs_of_words(data: np.ndarray, edges: np.ndarray, letters: Alphabet) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the words in data; texts begin at its start and at the edges."""
     inside = letters.inside[data]
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]
-    edge = offsets[:-1][offsets[:-1] < data.size]
+    edge = edges[edges < data.size]
     begins[edge] = inside[edge]
     edge = edge[edge > 0] - 1
     ends[edge] = inside[edge]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    bounds = np.searchsorted(start, offsets)
-    row = np.repeat(np.arange(rows), np.diff(bounds))
     if not start.size:
-        return Words(start, end, row, start.astype(np.uint64), bounds)
+        return start, end, start.astype(np.uint64)
     size = end - start
-    at = np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(int(size.sum()))
-    place = at - np.repeat(start, size)
-    value = (letters.value[data[at]].astype(np.uint64) + np.uint64(1)) * powers(int(size.max()))[place]
-    sums = np.add.reduceat(value, np.r_[0, np.cumsum(size)[:-1]])
-    return Words(start, end, row, mix(sums + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), bounds)
+    if size.max() > _LONG:
+        hashes = np.empty(size.size, np.uint64)
+        short = size <= _LONG
+        if short.any():
+            hashes[short] = _hashed_words(data, start[short], size[short], letters)
+        for i in np.flatnonzero(~short).tolist():
+            hashes[i] = _hashed_long(data[start[i] : end[i]], letters)
+        return start, end, hashes
+    return start, end, _hashed_words(data, start, size, letters)
+
+
+_WORD_END = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _hashed_words(data: np.ndarray, start: np.ndarray, size: np.ndarray, letters: Alphabet) -> np.ndarray:
+    total = np.cumsum(size)
+    place = np.arange(int(total[-1])) - np.repeat(total - size, size)
+    value = (letters.value[data[np.repeat(start, size) + place]].astype(np.uint64) + np.uint64(1)) * powers(int(size.max()))[place]
+    return mix(np.add.reduceat(value, total - size) + size.astype(np.uint64) * _WORD_END)
+
+
+def _hashed_long(data: np.ndarray, letters: Alphabet) -> np.uint64:
+    """The same hash for a word of any length, some bytes at a time."""
+    total, factor, step = 0, 1, pow(int(_BASE), _LONG, 1 << 64)
+    for a in range(0, data.size, _LONG):
+        value = letters.value[data[a : a + _LONG]].astype(np.uint64) + np.uint64(1)
+        total += factor * int((value * powers(value.size)).sum(dtype=np.uint64))
+        factor = factor * step % (1 << 64)
+    return mix(np.array([(total + data.size * int(_WORD_END)) % (1 << 64)], np.uint64))[0]
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -264,7 +313,7 @@ def part_count(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def components(edges: DataFrame, name: str = "components", rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of edges (a long, b long): rows (node, component), component the least node.
 
     Alternates two steps until nothing changes: every node hands its least neighbour to its larger neighbours, then
@@ -275,7 +324,7 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 40) ->
     folder = workspace(spark, name)
     pairs = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
     pairs, last = saved(pairs, f"{folder}/0"), None
-    for step in range(1, rounds + 1):
+    for step in itertools.count(1):  # each pair of steps shrinks every tree that is not a star, so this ends
         both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").distinct()
@@ -287,4 +336,3 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 40) ->
         if tuple(state) == last:
             return pairs.select(F.col("b").alias("node"), F.col("a").alias("component"))
         last = tuple(state)
-    raise RuntimeError(f"components were not complete after {rounds} rounds")
