@@ -1,14 +1,20 @@
-"""Language-model scoring: an interpolated modified Kneser-Ney bigram model, counted and scored in Spark.
+"""Language-model scoring: an interpolated modified Kneser-Ney model of any order, counted and scored in Spark.
 
 The model lies in the shared folder as sorted arrays, cut into shards by the leading bits of a 64-bit hash:
 
-* vocabulary shards: word hashes, ascending, and the word's count. A word's id is its rank over all shards.
-* id shards (ranges of ids): the context's discount mass and the continuation probability, by id.
-* pair shards: hashes of id pairs, ascending, and the pair's count.
+* words: the hash of each word, ascending, and the word's count. A word's id is its rank over all shards.
+* level k, for each length k up to the order: the hash of each sequence of k ids, ascending, and its adjusted count (at
+  the highest level, and for sequences from a text's beginning, how often it occurs, else how many different words stand
+  before it). Below the highest level it also has what is needed where it is a context: the sum of the adjusted counts
+  of its continuations, and how many of those have count 1, 2, and 3 or more.
 
-Workers map the files into memory, so what a worker holds does not grow with the model; a text's lookups are
-sorted first and go shard by shard. Counting shuffles packed arrays (one row for each task and shard), which
-tasks have already summed: a word or pair that a third of the corpus repeats is one number in each.
+A count takes a byte; larger ones lie in a list beside it as 64-bit numbers. Workers map the files into memory, so what
+a worker holds does not grow with the model; a text's look-ups are sorted first and go shard by shard.
+
+Counting shuffles packed arrays (one row for each run of tokens and shard), which tasks have already summed, so a
+sequence that a third of the corpus repeats is one number in each. Sequences are dealt by their own hash, never by their
+context, so a frequent context is spread. A shard of one level writes its file and hands on what the next lower level
+needs. Shards follow the estimated size of the input (``shard_bytes`` each), with one task for each.
 
 Edge cases: a null or empty text has one token, its end. Rows are independent, so repeated rows count as often as they
 occur. With no training rows every probability is 1/(V+1) with V=0, so scores are 0. Extra columns are not read.
@@ -16,6 +22,7 @@ occur. With no training rows every probability is 1/(V+1) with V=0, so scores ar
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -24,12 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotmere.llm.shared import Alphabet, alphabet, get_file, held_out, mix, pack, part_count, put_file, slices, summed, unpack, words, workspace
+from plotmere.llm.shared import Alphabet, alphabet, find_file, held_out, mix, pack, part_count, powers, put_file, slices, unpack, words, workspace
 
+#: Longest sequences that are counted; bytes of input (as Spark estimates them) for each shard; fewest shards; tokens or
+#: so that a task sums before it hands them on.
+ORDER, SHARD_BYTES, FEWEST, FLUSH = 3, 4 << 20, 16, 4_000_000
 #: Fixed hashes of the end of a text (a token) and of its beginning (only ever a context).
 END, BEGIN = np.uint64(0xE4D0E4D0E4D0E4D1), np.uint64(0xBE61BE61BE61BE63)
+#: Columns of a level: the adjusted count, then (below the highest level) the sum and the three numbers of continuations.
+_COUNT, _CONTEXT = 1, 5
 
-_PACKED = "shard int, keys binary, counts binary"
+_ROWS = "shard int, parts array<binary>"
 
 
 def _tokens(piece, letters: Alphabet) -> tuple[np.ndarray, np.ndarray]:
@@ -42,7 +54,13 @@ def _tokens(piece, letters: Alphabet) -> tuple[np.ndarray, np.ndarray]:
     return out, bounds
 
 
-def _shards_of(keys: np.ndarray, shards: int) -> np.ndarray:
+def _hashed(ids: list[np.ndarray]) -> np.ndarray:
+    """A hash for each sequence of ids, given as one array for each place."""
+    factors = powers(len(ids) + 1)
+    return mix(sum((mix(x.astype(np.uint64) + np.uint64(1)) * factors[j + 1] for j, x in enumerate(ids)), np.zeros(ids[0].size, np.uint64)))
+
+
+def _cuts(keys: np.ndarray, shards: int) -> np.ndarray:
     """Where each shard begins in ascending 64-bit keys (shards+1 places); shards is a power of two."""
     if shards == 1:
         return np.array([0, keys.size])
@@ -50,102 +68,147 @@ def _shards_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return np.r_[np.searchsorted(keys, np.arange(shards, dtype=np.uint64) * step), keys.size]
 
 
-def _packed_rows(keys: np.ndarray, counts: np.ndarray, shards: int) -> pa.RecordBatch:
-    cuts = _shards_of(keys, shards)
-    full = np.flatnonzero(np.diff(cuts))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(full, pa.int32()), pa.array([pack(keys[cuts[i] : cuts[i + 1]], True) for i in full], pa.binary()), pa.array([pack(counts[cuts[i] : cuts[i + 1]]) for i in full], pa.binary())],
-        ["shard", "keys", "counts"],
-    )
+class Counts:
+    """Distinct sequences: their hashes (ascending), ids (an array for each place; none for words) and columns of counts."""
+
+    def __init__(self, keys: np.ndarray, ids: list[np.ndarray], columns: list[np.ndarray]):
+        self.keys, self.ids, self.columns = keys, ids, columns
+
+    @staticmethod
+    def summed(parts: list[Counts]) -> Counts:
+        keys = np.concatenate([p.keys for p in parts])
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if keys.size else np.zeros(0, np.int64)
+        ids = [np.concatenate(x)[order[first]] for x in zip(*(p.ids for p in parts), strict=True)]
+        columns = [np.add.reduceat(np.concatenate(x)[order], first) if first.size else np.zeros(0, np.int64) for x in zip(*(p.columns for p in parts), strict=True)]
+        return Counts(keys[first], ids, columns)
+
+    def packed(self, shards: int) -> pa.RecordBatch:
+        """A row for each shard that has any, with the ids (or, for words, the hashes) in ascending order of the first."""
+        cuts = _cuts(self.keys, shards)
+        full, rows = np.flatnonzero(np.diff(cuts)), []
+        lead = self.ids or [self.keys]
+        for i in full.tolist():
+            part = slice(cuts[i], cuts[i + 1])
+            order = np.argsort(lead[0][part], kind="stable")
+            ids = [x[part][order] for x in lead]
+            rows.append([pack(ids[0], True), *map(pack, ids[1:]), *(_small(c[part][order]) for c in self.columns)])
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(rows, pa.list_(pa.binary()))], ["shard", "parts"])
+
+    @staticmethod
+    def unpacked(parts: list[bytes], places: int, kind: str) -> Counts:
+        lead = [unpack(p, kind if places else "u8", not j) for j, p in enumerate(parts[: max(places, 1)])]
+        columns = [unpack(p[2:], p[:2].decode()).astype(np.int64) for p in parts[max(places, 1) :]]
+        return Counts(_hashed(lead), lead, columns) if places else Counts(lead[0], [], columns)
+
+
+def _small(values: np.ndarray) -> bytes:
+    """Counts in the narrowest kind that holds them, named in two bytes before them."""
+    kind = np.min_scalar_type(int(values.max(initial=0))).str[1:]
+    return kind.encode() + pack(values.astype(kind))
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], places: int, kind: str) -> Iterator[tuple[int, Counts]]:
+    """Sums of each shard's rows; the rows come ordered by shard. They are summed whenever enough have come."""
+    shard, parts, size = None, [], 0
+    for batch in batches:
+        for number, row in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if shard is not None and number != shard:
+                yield shard, Counts.summed(parts)
+                parts, size = [], 0
+            shard = number
+            parts.append(Counts.unpacked(row.as_py(), places, kind))
+            size += parts[-1].keys.size
+            if size > FLUSH and len(parts) > 1:
+                parts = [Counts.summed(parts)]
+                size = parts[0].keys.size // 2
+    if shard is not None:
+        yield shard, Counts.summed(parts)
 
 
-def _counted(batches, keys_of, letters: Alphabet, kind, shards: int) -> Iterator[pa.RecordBatch]:
-    """Counts of the keys that keys_of makes of each slice's tokens, packed for every two million tokens or so."""
-    parts: list[np.ndarray] = []
+# ---------------------------------------------------------------- files
 
-    def packed():
-        keys = np.concatenate(parts)
-        parts.clear()
-        return _packed_rows(*summed(keys, np.ones(keys.size, kind)), shards)
+#: Numbers before a file's arrays: how many keys, how many have count 1 to 4, the sum of the counts.
+_HEAD = 6
 
-    for batch in batches:
-        for piece in slices(batch.column(0)):
-            parts.append(keys_of(*_tokens(piece, letters)))
-            if sum(x.size for x in parts) > 2_000_000:
-                yield packed()
-    if parts:
-        yield packed()
 
+def _as_file(keys: np.ndarray, columns: list[np.ndarray]) -> bytes:
+    count = columns[0]
+    out = [np.array([keys.size, *((count == c).sum() for c in (1, 2, 3, 4)), count.sum()], np.int64), keys]
+    for column in columns:
+        at = np.flatnonzero(column > 254)
+        out += [np.minimum(column, 255).astype(np.uint8), np.zeros(-keys.size % 8, np.uint8), np.array([at.size], np.int64), at, column[at]]
+    return b"".join(x.tobytes() for x in out)
 
-def _gathered(batches: Iterator[pa.RecordBatch], columns: tuple[tuple[str, str], ...]) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
-    """Sums of each shard's rows; the rows come ordered by shard. Packed rows are summed whenever enough have come."""
-    shard, parts, size = None, [], 0
 
-    def total():
-        return summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+@functools.lru_cache(maxsize=4096)
+def _file(uri: str, columns: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] | None:
+    """Head, keys and columns of a mapped file (None if there is none); a worker process keeps those it used last."""
+    data = find_file(uri)
+    if data is None:
+        return None
+    head = np.frombuffer(data[: 8 * _HEAD], np.int64)
+    n, at, out = int(head[0]), 8 * _HEAD, []
 
-    for batch in batches:
-        for row in batch.to_pylist():
-            if shard is not None and row["shard"] != shard:
-                yield shard, total()
-                parts, size = [], 0
-            shard = row["shard"]
-            parts.append(tuple(unpack(row[name], kind, i == 0) for i, (name, kind) in enumerate(columns)))
-            size += parts[-1][0].size
-            if size > 4_000_000 and len(parts) > 1:
-                parts = [total()]
-                size = parts[0][0].size // 2
-    if shard is not None:
-        yield shard, total()
+    def take(size: int, kind) -> np.ndarray:
+        nonlocal at
+        found = np.frombuffer(data[at : at + size * np.dtype(kind).itemsize], kind)
+        at += found.nbytes
+        return found
+
+    keys = take(n, np.uint64)
+    for _ in range(columns):
+        small = take(n, np.uint8)
+        at += -n % 8
+        more = int(take(1, np.int64)[0])
+        out.append((small, take(more, np.int64), take(more, np.int64)))
+    return head, keys, out
 
 
 class Keys:
-    """Ascending keys in shard files, mapped into memory; arrays beside them."""
+    """Ascending keys in mapped files, one for each shard, and the columns beside them."""
 
-    def __init__(self, folder: str, name: str, shards: int, kinds: tuple[str, ...], sizes: dict[int, int]):
-        self.shards, self.sizes = shards, sizes
-        self.offset = np.r_[0, np.cumsum([sizes.get(i, 0) for i in range(shards)])]
-        self.where, self.kinds, self.open = (folder, name), kinds, {}
-
-    def shard(self, i: int) -> list[np.ndarray]:
-        if i not in self.open:
-            data, n, at, out = get_file(f"{self.where[0]}/{self.where[1]}-{i}"), self.sizes[i], 0, []
-            for kind in self.kinds:
-                end = at + n * np.dtype(kind).itemsize
-                out.append(np.frombuffer(data[at:end], kind))
-                at = end
-            self.open[i] = out
-        return self.open[i]
+    def __init__(self, folder: str, name: str, shards: int, columns: int):
+        self.path, self.shards, self.columns = f"{folder}/{name}", shards, columns
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """For ascending keys: their rank (-1 if absent) and the values beside them (0 if absent)."""
-        rank = np.full(keys.size, -1, np.int64)
-        values = [np.zeros(keys.size, kind) for kind in self.kinds[1:]]
-        cuts = _shards_of(keys, self.shards)
-        for i in np.flatnonzero(np.diff(cuts)):
-            if self.sizes.get(int(i), 0):
-                have, *beside = self.shard(int(i))
-                part = slice(cuts[i], cuts[i + 1])
-                at = np.minimum(np.searchsorted(have, keys[part]), have.size - 1)
-                hit = have[at] == keys[part]
-                rank[part] = np.where(hit, at + self.offset[i], -1)
-                for out, x in zip(values, beside, strict=True):
-                    out[part] = np.where(hit, x[at], 0)
-        return rank, values
-
-    def take(self, ids: np.ndarray) -> list[np.ndarray]:
-        """Values at ascending ranks."""
-        out = [np.zeros(ids.size, kind) for kind in self.kinds]
-        cuts = np.searchsorted(ids, self.offset)
-        for i in np.flatnonzero(np.diff(cuts)):
-            for x, y in zip(out, self.shard(int(i)), strict=True):
-                x[cuts[i] : cuts[i + 1]] = y[ids[cuts[i] : cuts[i + 1]] - self.offset[i]]
-        return out
-
-
-def _pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Ids below 2**32 as one 64-bit number, spread by a bijection."""
-    return mix((left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64))
+        """For ascending keys: their place in their shard (-1 if absent) and the columns' values (0 if absent)."""
+        place, values = np.full(keys.size, -1, np.int64), [np.zeros(keys.size, np.int64) for _ in range(self.columns)]
+        cuts = _cuts(keys, self.shards)
+        for i in np.flatnonzero(np.diff(cuts)).tolist():
+            found = _file(f"{self.path}-{i}", self.columns)
+            if found is None or not found[1].size:
+                continue
+            part = slice(cuts[i], cuts[i + 1])
+            at = np.minimum(np.searchsorted(found[1], keys[part]), found[1].size - 1)
+            hit = found[1][at] == keys[part]
+            place[part] = np.where(hit, at, -1)
+            for out, (small, where, large) in zip(values, found[2], strict=True):
+                value = small[at].astype(np.int64)
+                big = np.flatnonzero(value == 255)
+                if big.size:
+                    value[big] = large[np.searchsorted(where, at[big])]
+                out[part] = np.where(hit, value, 0)
+        return place, values
+
+
+class Vocabulary:
+    """Ids and counts of words; ids are ranks over all shards."""
+
+    def __init__(self, folder: str, shards: int, sizes: dict[int, int]):
+        self.words = Keys(folder, "words", shards, _COUNT)
+        self.offset = np.r_[0, np.cumsum([sizes.get(i, 0) for i in range(shards)])]
+
+    def find(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and counts of token hashes (-1 and 0 if unknown)."""
+        keys, back = np.unique(tokens, return_inverse=True)
+        place, (count,) = self.words.find(keys)
+        shard = np.repeat(np.arange(self.words.shards), np.diff(_cuts(keys, self.words.shards)))
+        return np.where(place < 0, -1, place + self.offset[shard])[back], count[back]
+
+
+# ---------------------------------------------------------------- training
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -158,170 +221,191 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), c) for d, c in zip(out, (1, 2, 3), strict=True))
 
 
-def train(texts: DataFrame, text_col: str = "text", shards: int | None = None) -> dict:
+def _shard_count(df: DataFrame, shard_bytes: int) -> int:
+    """A power of two that follows Spark's own estimate of the rows' size, from the files' sizes.
+
+    Rows of no file (made by the driver, say) have no estimate: their shards follow the shuffle partitions.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = size // shard_bytes if size < 1 << 60 else part_count(df.sparkSession)
+    return 1 << (max(FEWEST, wanted) - 1).bit_length()
+
+
+def train(texts: DataFrame, text_col: str = "text", order: int = ORDER, shard_bytes: int = SHARD_BYTES) -> dict:
     """Count a model from texts. Returns what scoring needs: the folder, sizes, totals and discounts (small numbers).
 
-    Shards follow the session's shuffle partitions (the next power of two, 64 at least), as the data's size sets those.
+    The tasks before a shard's hand on a row for each of their runs of ``FLUSH`` tokens; where that would be too many
+    rows (beyond some 10 TB at the defaults) ``shard_bytes`` goes up with the executors' memory.
     """
+    if order < 2:
+        raise ValueError("the order is 2 at least")
     spark, folder = texts.sparkSession, workspace(texts.sparkSession, "ngrams")
-    shards = shards or max(64, 1 << (part_count(spark) - 1).bit_length())
     texts = texts.select(F.col(text_col).cast("string").alias("text"))
+    shards = _shard_count(texts, shard_bytes)
     letters = alphabet(lower=True)
 
+    def runs(batches, counts_of) -> Iterator[pa.RecordBatch]:
+        """Summed counts of what counts_of finds in each slice's tokens, packed for every so many tokens."""
+        parts, size = [], 0
+        for batch in batches:
+            for piece in slices(batch.column(0)):
+                parts.append(counts_of(*_tokens(piece, letters)))
+                size += parts[-1].keys.size
+                if size > FLUSH:
+                    yield Counts.summed(parts).packed(shards)
+                    parts, size = [], 0
+        if parts:
+            yield Counts.summed(parts).packed(shards)
+
+    def by_shard(df: DataFrame) -> DataFrame:
+        return df.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
+
     def count_words(batches):
-        yield from _counted(batches, lambda tokens, bounds: np.r_[tokens, np.full(bounds.size - 1, BEGIN)], letters, np.int64, shards)
+        def counts(tokens, bounds):
+            keys = np.r_[tokens, np.full(bounds.size - 1, BEGIN)]
+            return Counts(keys, [], [np.ones(keys.size, np.int64)])
 
-    def write_words(batches):
-        for shard, (keys, counts) in _gathered(batches, (("keys", "u8"), ("counts", "i8"))):
-            put_file(f"{folder}/words-{shard}", keys.tobytes() + counts.tobytes())
-            word = keys != BEGIN
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "size": pa.array([keys.size]), "n": pa.array([int(counts[word].sum())]), "v": pa.array([int(word.sum())])})
+        yield from runs(batches, counts)
 
-    def by_shard(df: DataFrame) -> DataFrame:
-        return df.repartition(min(shards, 4 * spark.sparkContext.defaultParallelism), "shard").sortWithinPartitions("shard")
+    def write_words(batches):
+        for shard, found in _gathered(batches, 0, "u8"):
+            put_file(f"{folder}/words-{shard}", _as_file(found.keys, found.columns))
+            word = found.keys != BEGIN
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "size": [found.keys.size], "n": [int(found.columns[0][word].sum())], "v": [int(word.sum())]})
 
-    rows = by_shard(texts.mapInArrow(count_words, _PACKED)).mapInArrow(write_words, "shard int, size long, n long, v long").collect()
+    rows = by_shard(texts.mapInArrow(count_words, _ROWS)).mapInArrow(write_words, "shard int, size long, n long, v long").collect()
     sizes = {r.shard: r.size for r in rows}
-    model = {"folder": folder, "shards": shards, "words": sizes, "tokens": sum(r.n for r in rows), "vocabulary": sum(r.v for r in rows)}
-    known = (folder, "words", shards, ("u8", "i8"), sizes)
-
-    def count_pairs(batches):
-        vocabulary = Keys(*known)
-
-        def keys(tokens, bounds):
-            ids, begin = _ids(vocabulary, tokens)[0], _ids(vocabulary, np.array([BEGIN]))[0]
-            left = np.r_[begin, ids[:-1]]
-            left[bounds[:-1]] = begin
-            return _pair_keys(left, ids)
-
-        yield from _counted(batches, keys, letters, np.uint32, shards)
-
-    def write_pairs(batches):
-        """Writes pair shards; hands on, by range of ids, the pairs' kinds for the context and the word."""
-        offset = np.r_[0, np.cumsum([sizes.get(i, 0) for i in range(shards)])]
-        for shard, (keys, counts) in _gathered(batches, (("keys", "u8"), ("counts", "u4"))):
-            put_file(f"{folder}/pairs-{shard}", keys.tobytes() + counts.astype(np.uint32).tobytes())
-            plain = _unmix(keys)
-            left, right = (plain >> np.uint64(32)).astype(np.int64), (plain & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            ctx, *kinds = summed(left, *(x.astype(np.uint32) for x in (counts == 1, counts == 2, counts >= 3)))
-            word, before = summed(right, np.ones(right.size, np.uint32))
-            for i in range(shards):
-                if sizes.get(i):
-                    a, b = np.searchsorted(ctx, offset[i : i + 2]), np.searchsorted(word, offset[i : i + 2])
-                    yield pa.RecordBatch.from_pydict({
-                        "shard": pa.array([i], pa.int32()), "pairs": pa.array([shard], pa.int32()), "size": pa.array([int(keys.size) if i == first else 0]),
-                        "seen": pa.array([[int((counts == c).sum()) for c in (1, 2, 3, 4)] if i == first else [0] * 4], pa.list_(pa.int64())),
-                        "ctx": pa.array([pack(ctx[a[0] : a[1]], True)], pa.binary()), "kinds": pa.array([pack(np.concatenate([k[a[0] : a[1]] for k in kinds]))], pa.binary()),
-                        "word": pa.array([pack(word[b[0] : b[1]], True)], pa.binary()), "before": pa.array([pack(before[b[0] : b[1]])], pa.binary()),
-                    })
-
-    first = min(sizes, default=0)
-    made = by_shard(texts.mapInArrow(count_pairs, _PACKED)).mapInArrow(write_pairs, "shard int, pairs int, size long, seen array<long>, ctx binary, kinds binary, word binary, before binary")
-    made.write.parquet(f"{folder}/kinds")
-    made = spark.read.schema(made.schema).parquet(f"{folder}/kinds")
-    model["pairs"], seen = {}, [0] * 4
-    for r in made.filter("size > 0").select("pairs", "size", "seen").collect():  # one row for each pair shard
-        model["pairs"][r.pairs] = r.size
-        seen = [x + y for x, y in zip(seen, r.seen, strict=True)]
-    model["discounts"] = discounts(seen)
-
-    def continuations(batches):
-        """For each range of ids: in how many pairs each is the context (by count) and the word."""
-        offset = np.r_[0, np.cumsum([sizes.get(i, 0) for i in range(shards)])]
-        current, n1 = None, None
+    model = {"folder": folder, "order": order, "shards": shards, "words": sizes, "tokens": sum(r.n for r in rows), "vocabulary": sum(r.v for r in rows)}
+    pad = sum(sizes.values())  # the id that fills the places before a text's beginning
+    kind = "u4" if pad < 1 << 32 else "u8"
+
+    def count_sequences(batches):
+        """Sequences of ``order`` ids that end at each token."""
+        vocabulary = Vocabulary(folder, shards, sizes)
+        begin = int(vocabulary.find(np.array([BEGIN]))[0][0])
+
+        def counts(tokens, bounds):
+            found = vocabulary.find(tokens)[0]
+            place = np.arange(tokens.size) - np.repeat(bounds[:-1], np.diff(bounds))
+            ids = []
+            for back in range(order - 1, 0, -1):
+                before = np.full(tokens.size, pad, np.int64)
+                before[back:] = found[:-back] if back < tokens.size else found[:0]
+                before[place < back] = pad
+                before[place == back - 1] = begin
+                ids.append(before.astype(kind))
+            ids.append(found.astype(kind))
+            return Counts(_hashed(ids), ids, [np.ones(tokens.size, np.int64)])
+
+        yield from runs(batches, counts)
+
+    def write_level(level: int):
+        def of(batches):
+            for shard, found in _gathered(batches, level, kind):
+                filled = found.ids[0] == pad  # no sequence of this length: it only hands on its end
+                real = ~filled
+                put_file(f"{folder}/level{level}-{shard}", _as_file(found.keys[real], [c[real] for c in found.columns]))
+                if level == 1:
+                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([[]], pa.list_(pa.binary()))], ["shard", "parts"])
+                    continue
+                count, none = found.columns[0], np.zeros(found.keys.size, np.int64)
+                ends = Counts(_hashed(found.ids[1:]), found.ids[1:], [np.where(filled, count, 1), none, none, none, none])
+                count, ids = count[real], [x[real] for x in found.ids[:-1]]
+                contexts = Counts(_hashed(ids), ids, [none[real], count, *(x.astype(np.int64) for x in (count == 1, count == 2, count > 2))])
+                yield Counts.summed([ends, contexts]).packed(shards)
+
+        return of
+
+    found = texts.mapInArrow(count_sequences, _ROWS)
+    for level in range(order, 0, -1):
+        found = by_shard(found).mapInArrow(write_level(level), _ROWS)
+    found.count()
+
+    def heads(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                if current is not None and r["shard"] != current:
-                    yield _continued(folder, current, n1)
-                    current = None
-                if current is None:
-                    current, n1 = r["shard"], np.zeros((4, int(offset[r["shard"] + 1] - offset[r["shard"]])), np.int64)
-                ctx, word = (unpack(r[k], "i8", True) - offset[current] for k in ("ctx", "word"))
-                n1[:3, ctx] += unpack(r["kinds"], "u4").reshape(3, -1)
-                n1[3, word] += unpack(r["before"], "u4")
-        if current is not None:
-            yield _continued(folder, current, n1)
-
-    rows = by_shard(made.select("shard", "ctx", "kinds", "word", "before")).mapInArrow(continuations, "seen array<long>, types long, total long").collect()
-    seen = [sum(r.seen[i] for r in rows) for i in range(4)]
-    model["word_discounts"] = discounts(seen)
-    model["types"] = sum(r.types for r in rows)  # distinct pairs
-    # Distinct words by how often they continue something, for the mass that goes to unknown words.
-    more = model["vocabulary"] - seen[0] - seen[1]
-    model["word_gamma"] = sum(d * n for d, n in zip(model["word_discounts"], (seen[0], seen[1], more), strict=True)) / model["types"] if model["types"] else 1.0
+            for shard in batch.column(0).to_pylist():
+                for level in range(1, order + 1):
+                    file = _file(f"{folder}/level{level}-{shard}", _COUNT if level == order else _CONTEXT)
+                    if file is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([level]), *(pa.array([int(x)]) for x in file[0][1:])], ["level", "n1", "n2", "n3", "n4", "total"])
+
+    every = spark.range(0, shards, 1, max(1, shards // 16)).mapInArrow(heads, "level long, n1 long, n2 long, n3 long, n4 long, total long")
+    seen = {r.level: r for r in every.groupBy("level").agg(*(F.sum(c).alias(c) for c in ("n1", "n2", "n3", "n4", "total"))).collect()}
+    model["discounts"] = {k: discounts([seen[k].n1, seen[k].n2, seen[k].n3, seen[k].n4]) if k in seen else (0.5, 0.5, 0.5) for k in range(1, order + 1)}
+    model["types"] = types = seen[1].total if seen else 0  # distinct pairs of neighbours
+    # The mass that goes to unknown words: distinct words by how often they continue something.
+    more = model["vocabulary"] - seen[1].n1 - seen[1].n2 if seen else 0
+    model["gamma"] = sum(d * n for d, n in zip(model["discounts"][1], (seen[1].n1, seen[1].n2, more), strict=True)) / types if types else 1.0
     return model
 
 
-def _continued(folder: str, shard: int, n: np.ndarray) -> pa.RecordBatch:
-    put_file(f"{folder}/ids-{shard}", n.astype(np.uint32).tobytes())
-    return pa.RecordBatch.from_pydict({"seen": pa.array([[int((n[3] == c).sum()) for c in (1, 2, 3, 4)]], pa.list_(pa.int64())), "types": pa.array([int(n[3].sum())]), "total": pa.array([int(n.shape[1])])})
-
-
-def _unmix(x: np.ndarray) -> np.ndarray:
-    """The inverse of mix."""
-    x = (x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))) * np.uint64(0x319642B2D24D8EC3)
-    x = (x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))) * np.uint64(0x96DE1B173F119089)
-    return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
-
-
-def _ids(vocabulary: Keys, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and counts of tokens (-1 and 0 if unknown)."""
-    keys, back = np.unique(tokens, return_inverse=True)
-    rank, (count,) = vocabulary.find(keys)
-    return rank[back], count[back]
+# ---------------------------------------------------------------- scoring
+
+
+def _probabilities(ids: np.ndarray, start: np.ndarray, tables: dict[int, Keys], model: dict) -> np.ndarray:
+    """For each place of the texts' ids (-1 unknown; start: the place of each one's text's beginning) its probability."""
+    place, order = np.arange(ids.size), model["order"]
+    # Known ids in a row, up to each place, within its text.
+    run = place - np.maximum.accumulate(np.where(ids < 0, place, start - 1))
+    mixed, factors = mix(ids.astype(np.uint64) + np.uint64(1)), powers(order + 1)
+    p, context = np.full(ids.size, model["gamma"] / (model["vocabulary"] + 1)), None
+    for level in range(1, order + 1):
+        at = np.flatnonzero(run >= level)
+        keys = np.zeros(at.size, np.uint64)
+        for j in range(level):
+            keys += mixed[at - level + 1 + j] * factors[j + 1]
+        keys, back = np.unique(mix(keys), return_inverse=True)
+        columns = []
+        for x in tables[level].find(keys)[1]:
+            columns.append(np.zeros(ids.size, np.int64))
+            columns[-1][at] = x[back]
+        d = np.array((0.0, *model["discounts"][level]))
+        left = np.maximum(columns[0] - d[np.minimum(columns[0], 3)], 0)
+        if level == 1:
+            p += left / max(model["types"], 1)
+        else:  # the context is the sequence before, in its own text
+            total, *kinds = (np.r_[0, x[:-1]] for x in context)
+            seen = (total > 0) & (place > start)
+            total = np.where(seen, total, 1)
+            d = model["discounts"][level]
+            p = np.where(seen, (left + sum(a * n for a, n in zip(d, kinds, strict=True)) * p) / total, p)
+        context = columns[1:]
+    return p
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
     """Score every text: (id, carried..., n_tokens, n_known, base_score, score), scores as log10 probabilities."""
     letters = alphabet(lower=True)
     docs = docs.select(F.col(text_col).cast("string").alias("text"), id_col, *carried)
-    schema = "struct<" + ",".join(f"{n}:{k}" for n, k in docs.dtypes[1:]) + ",n_tokens:bigint,n_known:bigint,base_score:double,score:double>"
-    shards, sizes, n, v = model["shards"], model["words"], model["tokens"], model["vocabulary"]
+    schema = ", ".join(f"`{n}` {k}" for n, k in docs.dtypes[1:]) + ", n_tokens long, n_known long, base_score double, score double"
+    folder, shards, order, n, v = (model[k] for k in ("folder", "shards", "order", "tokens", "vocabulary"))
 
     def scored(batches):
-        vocabulary = Keys(model["folder"], "words", shards, ("u8", "i8"), sizes)
-        by_id = Keys(model["folder"], "ids", shards, ("u4",) * 4, sizes)
-        pairs = Keys(model["folder"], "pairs", shards, ("u8", "u4"), model["pairs"])
-        d, e = np.array((0.0, *model["discounts"])), np.array((0.0, *model["word_discounts"]))
-        begin, begin_count = (int(x[0]) for x in _ids(vocabulary, np.array([BEGIN])))
+        vocabulary = Vocabulary(folder, shards, model["words"])
+        tables = {k: Keys(folder, f"level{k}", shards, _COUNT if k == order else _CONTEXT) for k in range(1, order + 1)}
+        begin = int(vocabulary.find(np.array([BEGIN]))[0][0])
         for batch in batches:
             out = [[], [], [], []]
             for piece in slices(batch.column(0)):
                 tokens, bounds = _tokens(piece, letters)
-                ids, count = _ids(vocabulary, tokens)
+                found, count = vocabulary.find(tokens)
+                rows = np.repeat(np.arange(bounds.size - 1), np.diff(bounds))
+                at = np.arange(tokens.size) + rows + 1  # each text has its beginning before it
+                ids, first = np.full(tokens.size + bounds.size - 1, begin, np.int64), bounds[:-1] + np.arange(bounds.size - 1)
+                ids[at] = found
+                p = _probabilities(ids, np.repeat(first, np.diff(bounds) + 1), tables, model)[at]
                 base = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))
-                uniform = model["word_gamma"] / (v + 1)
-                known = np.unique(np.r_[ids[ids >= 0], begin if begin >= 0 else np.zeros(0, np.int64)])
-                one, two, more, cont = by_id.take(known)
-                p_word = np.full(known.size + 1, uniform)
-                gamma = np.ones(known.size + 1)
-                if known.size:
-                    p_word[:-1] += np.maximum(cont - e[np.minimum(cont, 3)], 0) / max(model["types"], 1)
-                    gamma[:-1] = d[1] * one + d[2] * two + d[3] * more
-                place = np.where(ids >= 0, np.searchsorted(known, ids), known.size)
-                left, left_count, left_place = np.r_[begin, ids[:-1]], np.r_[begin_count, count[:-1]], np.r_[0, place[:-1]]
-                firsts = bounds[:-1]
-                left[firsts], left_count[firsts] = begin, begin_count
-                left_place[firsts] = np.searchsorted(known, begin) if begin >= 0 else known.size
-                both = (left >= 0) & (ids >= 0)
-                keys, back = np.unique(_pair_keys(left[both], ids[both]), return_inverse=True)
-                _, (found,) = pairs.find(keys)
-                together = np.zeros(tokens.size)
-                together[both] = found[back]
-                seen = left_count > 0
-                total = np.where(seen, left_count, 1)
-                p = np.maximum(together - d[np.minimum(together, 3).astype(np.int64)], 0) / total + np.where(seen, gamma[left_place] / total, 1.0) * p_word[place]
-                for to, x in zip(out, (np.diff(bounds), np.add.reduceat((count > 0).astype(np.int64), firsts), np.add.reduceat(base, firsts), np.add.reduceat(np.log10(p), firsts)), strict=True):
+                for to, x in zip(out, (np.diff(bounds), *(np.add.reduceat(x, bounds[:-1]) for x in ((count > 0).astype(np.int64), base, np.log10(p)))), strict=True):
                     to.append(x)
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(np.concatenate(x)) for x in out)], [*batch.schema.names[1:], "n_tokens", "n_known", "base_score", "score"])
 
-    return docs.mapInArrow(scored, schema.removeprefix("struct<").removesuffix(">").replace(":", " "))
+    return docs.mapInArrow(scored, schema)
 
 
-def score_held_out(docs: DataFrame) -> DataFrame:
+def score_held_out(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """Train on the rows whose crc32(doc_id) mod 5 is not 1 and score every row of documents."""
     docs = docs.select("doc_id", "text", F.coalesce(held_out("doc_id", 1), F.lit(False)).alias("held_out"))
-    model = train(docs.filter(~F.col("held_out")))
+    model = train(docs.filter(~F.col("held_out")), order=order)
     out = score(docs, model, carried=("held_out",))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model["tokens"]).cast("long").alias("train_tokens"), "base_score", "score", (-F.col("score") * math.log2(10) / F.col("n_tokens")).alias("bits_per_token"))

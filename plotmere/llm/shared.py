@@ -66,6 +66,12 @@ def get_file(uri: str) -> memoryview:
         return memoryview(np.memmap(copy, np.uint8, "r")) if copy.tell() else memoryview(b"")
 
 
+def find_file(uri: str) -> memoryview | None:
+    """get_file, or None where there is no such file."""
+    fs, path = _opened(uri)
+    return None if fs.get_file_info(path).type == pafs.FileType.NotFound else get_file(uri)
+
+
 def saved(df: DataFrame, uri: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there and a lost executor costs nothing."""
     df.write.mode("overwrite").parquet(uri)
@@ -109,16 +115,6 @@ def unpack(data: bytes, dtype, ascending: bool = False) -> np.ndarray:
     return np.cumsum(values, dtype=dtype) if ascending else values
 
 
-def summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys, ascending, and the sum of each count for each of them."""
-    if not keys.size:
-        return (keys, *counts)
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    return (keys[first], *(np.add.reduceat(c[order], first, dtype=c.dtype) for c in counts))
-
-
 # ---------------------------------------------------------------- words
 
 

@@ -51,40 +51,58 @@ def split(t):
     return [w for w in __import__("re").split("[\x20\x09-\x0d]+", t or "") if w]
 
 
-def test_kneser_ney_against_brute_force(docs, empty):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_kneser_ney_against_brute_force(docs, empty, order, monkeypatch):
+    """Adjusted counts by their definition, level by level, and the interpolation written out."""
+    monkeypatch.setattr(ngram_lm, "FLUSH", 500)
     rows = [(r.doc_id, r.text or "") for r in docs.collect()]
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows}
     sequences = {i: [*split(ascii_lower(t)), "</s>"] for i, t in rows}
-    one, pairs = Counter(), Counter()
+    one = Counter(w for i, s in sequences.items() if not held[i] for w in s)
+    total, v = sum(one.values()), len(one)
+    raw, counts = Counter(), {}
     for i, s in sequences.items():
         if not held[i]:
-            one.update(s)
-            pairs.update(zip(["<s>", *s], s, strict=False))
-    total, v = sum(one.values()), len(one)
-    ctx = Counter()
-    for (a, _), c in pairs.items():
-        ctx[a] += c
-    d = ngram_lm.discounts([sum(c == k for c in pairs.values()) for k in (1, 2, 3, 4)])
-    before = Counter(b for _, b in pairs)
-    kinds = defaultdict(lambda: [0, 0, 0])
-    for (a, _), c in pairs.items():
-        kinds[a][min(c, 3) - 1] += 1
-    e = ngram_lm.discounts([sum(c == k for c in before.values()) for k in (1, 2, 3, 4)])
-    gamma = sum(e[min(c, 3) - 1] for c in before.values()) / len(pairs)
-
-    def p(a, b):
-        low = max(before[b] - (e[min(before[b], 3) - 1] if before[b] else 0), 0) / len(pairs) + gamma / (v + 1)
-        if not ctx[a]:
-            return low
-        c = pairs[a, b]
-        return max(c - (d[min(c, 3) - 1] if c else 0), 0) / ctx[a] + sum(x * n for x, n in zip(d, kinds[a], strict=True)) / ctx[a] * low
-
-    for r in ngram_lm.score_held_out(docs).collect():
+            full = ["<s>", *s]
+            raw.update(tuple(full[a:b]) for b in range(2, len(full) + 1) for a in range(max(0, b - order), b))
+    for k in range(1, order + 1):
+        before = defaultdict(set)
+        for g in raw:
+            if len(g) == k + 1:
+                before[g[1:]].add(g[0])
+        counts[k] = {g: c if k == order or g[0] == "<s>" else len(before[g]) for g, c in raw.items() if len(g) == k}
+    d = {k: ngram_lm.discounts([sum(c == n for c in counts[k].values()) for n in (1, 2, 3, 4)]) for k in counts}
+    after = defaultdict(list)
+    for k in range(2, order + 1):
+        for g, c in counts[k].items():
+            after[g[:-1]].append(c)
+    types = sum(counts[1].values())
+    gamma = sum(d[1][min(c, 3) - 1] for c in counts[1].values()) / types
+
+    def p(g):
+        k, c = len(g), counts[len(g)].get(g, 0)
+        left = max(c - (d[k][min(c, 3) - 1] if c else 0), 0)
+        if k == 1:
+            return left / types + gamma / (v + 1)
+        if not (others := after.get(g[:-1])):
+            return p(g[1:])
+        return left / sum(others) + sum(d[k][min(x, 3) - 1] for x in others) / sum(others) * p(g[1:])
+
+    for r in ngram_lm.score_held_out(docs, order).collect():
         s = sequences[r.doc_id]
         assert r.held_out == held[r.doc_id] and r.n_tokens == len(s) and r.train_tokens == total and r.n_known == sum(one[w] > 0 for w in s)
         assert math.isclose(r.base_score, sum(math.log10((one[w] + 0.5) / (total + 0.5 * (v + 1))) for w in s), rel_tol=1e-9)
-        assert math.isclose(r.score, sum(math.log10(p(a, b)) for a, b in zip(["<s>", *s], s, strict=False)), rel_tol=1e-6)
-    assert ngram_lm.score_held_out(empty).count() == 0
+        full = ["<s>", *s]
+        assert math.isclose(r.score, sum(math.log10(p(tuple(full[max(0, j - order + 1) : j + 1]))) for j in range(1, len(full))), rel_tol=1e-6)
+    assert ngram_lm.score_held_out(empty, order).count() == 0
+
+
+def test_model_without_training_rows_and_with_large_counts(spark, docs, empty):
+    assert {r.score for r in ngram_lm.score(docs, ngram_lm.train(empty)).collect()} == {0.0}
+    model = ngram_lm.train(spark.createDataFrame([("a b a b c " * 300,), ("a b",), (None,), ("",)], "text string"))
+    table = ngram_lm.Keys(model["folder"], "words", model["shards"], 1)
+    found = [f for i in range(model["shards"]) if (f := ngram_lm._file(f"{table.path}-{i}", 1)) is not None]
+    assert sorted(c for f in found for c in table.find(f[1])[1][0].tolist()) == [4, 4, 300, 601, 601]
 
 
 def test_simhash_against_brute_force(docs, empty):
