@@ -8,7 +8,8 @@ The model lies in the shared folder as sorted arrays, cut into shards by the lea
   before it). Below the highest level it also has what is needed where it is a context: the sum of the adjusted counts
   of its continuations, and how many of those have count 1, 2, and 3 or more.
 
-A count takes a byte; larger ones lie in a list beside it as 64-bit numbers. Workers map the files into memory, so what
+Keys are stored without the bits that their place in the file tells. A count takes a byte; larger ones lie in a list
+beside it as 64-bit numbers. Workers map the files into memory, so what
 a worker holds does not grow with the model; a text's look-ups are sorted first and go shard by shard.
 
 Counting shuffles packed arrays (one row for each run of tokens and shard), which tasks have already summed, so a
@@ -25,6 +26,7 @@ from __future__ import annotations
 import functools
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -93,13 +95,14 @@ class Counts:
             part = slice(cuts[i], cuts[i + 1])
             order = np.argsort(lead[0][part], kind="stable")
             ids = [x[part][order] for x in lead]
-            rows.append([pack(ids[0], True), *map(pack, ids[1:]), *(_small(c[part][order]) for c in self.columns)])
+            rows.append([pack(ids[0], True), *(y for x in ids[1:] for y in _coded(x)), *(_small(c[part][order]) for c in self.columns)])
         return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(rows, pa.list_(pa.binary()))], ["shard", "parts"])
 
     @staticmethod
     def unpacked(parts: list[bytes], places: int, kind: str) -> Counts:
-        lead = [unpack(p, kind if places else "u8", not j) for j, p in enumerate(parts[: max(places, 1)])]
-        columns = [unpack(p[2:], p[:2].decode()).astype(np.int64) for p in parts[max(places, 1) :]]
+        rest = 1 + 3 * max(places - 1, 0)
+        lead = [unpack(parts[0], kind if places else "u8", True), *(_decoded(parts[i : i + 3], kind) for i in range(1, rest, 3))]
+        columns = [_large(p) for p in parts[rest:]]
         return Counts(_hashed(lead), lead, columns) if places else Counts(lead[0], [], columns)
 
 
@@ -109,6 +112,23 @@ def _small(values: np.ndarray) -> bytes:
     return kind.encode() + pack(values.astype(kind))
 
 
+def _large(data: bytes) -> np.ndarray:
+    return unpack(data[2:], data[:2].decode()).astype(np.int64)
+
+
+def _coded(values: np.ndarray) -> list[bytes]:
+    """The different values, how often each occurs, and for each place its value's rank by that: most ranks are small."""
+    every, code, n = np.unique(values, return_inverse=True, return_counts=True)
+    rank = np.empty(every.size, np.int64)
+    rank[np.argsort(-n, kind="stable")] = np.arange(every.size)
+    return [pack(every, True), _small(n), _small(rank[code])]
+
+
+def _decoded(parts: list[bytes], kind: str) -> np.ndarray:
+    every, n, rank = unpack(parts[0], kind, True), _large(parts[1]), _large(parts[2])
+    return every[np.argsort(-n, kind="stable")][rank]
+
+
 def _gathered(batches: Iterator[pa.RecordBatch], places: int, kind: str) -> Iterator[tuple[int, Counts]]:
     """Sums of each shard's rows; the rows come ordered by shard. They are summed whenever enough have come."""
     shard, parts, size = None, [], 0
@@ -133,18 +153,53 @@ def _gathered(batches: Iterator[pa.RecordBatch], places: int, kind: str) -> Iter
 _HEAD = 6
 
 
-def _as_file(keys: np.ndarray, columns: list[np.ndarray]) -> bytes:
-    count = columns[0]
-    out = [np.array([keys.size, *((count == c).sum() for c in (1, 2, 3, 4)), count.sum()], np.int64), keys]
+def _cells(keys: np.ndarray, shard: int, shards: int) -> np.ndarray:
+    """The cell of a shard's directory that each key lies in: its first 16 bits, less those that the shard has in common."""
+    common = shards.bit_length() - 1
+    return (keys >> np.uint64(48)).astype(np.int64) - (shard << (16 - common)) if common < 16 else np.zeros(keys.size, np.int64)
+
+
+def _as_file(keys: np.ndarray, columns: list[np.ndarray], shard: int, shards: int) -> bytes:
+    """A shard's file. Of a key the last 48 bits are stored, as 32 and 16; the directory says where each cell begins."""
+    count, cells = columns[0], max(1, (1 << 16) // shards)
+    filled = lambda n: np.zeros(-n % 8, np.uint8)  # noqa: E731  (arrays begin at multiples of 8)
+    out = [
+        np.array([keys.size, *((count == c).sum() for c in (1, 2, 3, 4)), count.sum()], np.int64), np.searchsorted(_cells(keys, shard, shards), np.arange(cells + 1)),
+        (keys >> np.uint64(16)).astype(np.uint32), filled(4 * keys.size), keys.astype(np.uint16), filled(2 * keys.size),
+    ]
     for column in columns:
         at = np.flatnonzero(column > 254)
-        out += [np.minimum(column, 255).astype(np.uint8), np.zeros(-keys.size % 8, np.uint8), np.array([at.size], np.int64), at, column[at]]
+        out += [np.minimum(column, 255).astype(np.uint8), filled(keys.size), np.array([at.size], np.int64), at, column[at]]
     return b"".join(x.tobytes() for x in out)
 
 
+class Mapped(NamedTuple):
+    head: np.ndarray
+    starts: np.ndarray
+    high: np.ndarray
+    low: np.ndarray
+    columns: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+    def places(self, keys: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 if absent: a binary search in its cell, for all keys side by side."""
+        last, wanted = self.high.size - 1, keys & np.uint64((1 << 48) - 1)
+        at, end = self.starts[cells], self.starts[cells + 1]
+
+        def key(i: np.ndarray) -> np.ndarray:
+            i = np.minimum(i, last)
+            return self.high[i].astype(np.uint64) << np.uint64(16) | self.low[i]
+
+        until = end.copy()
+        while (open_ := at < end).any():
+            middle = (at + end) >> 1
+            less = key(middle) < wanted
+            at, end = np.where(open_ & less, middle + 1, at), np.where(open_ & ~less, middle, end)
+        return np.where((at < until) & (key(at) == wanted), at, -1)
+
+
 @functools.lru_cache(maxsize=4096)
-def _file(uri: str, columns: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] | None:
-    """Head, keys and columns of a mapped file (None if there is none); a worker process keeps those it used last."""
+def _file(uri: str, columns: int, cells: int) -> Mapped | None:
+    """A mapped file (None if there is none); a worker process keeps those it used last."""
     data = find_file(uri)
     if data is None:
         return None
@@ -154,16 +209,14 @@ def _file(uri: str, columns: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np
     def take(size: int, kind) -> np.ndarray:
         nonlocal at
         found = np.frombuffer(data[at : at + size * np.dtype(kind).itemsize], kind)
-        at += found.nbytes
+        at += found.nbytes + -found.nbytes % 8
         return found
 
-    keys = take(n, np.uint64)
+    starts, high, low = take(cells + 1, np.int64), take(n, np.uint32), take(n, np.uint16)
     for _ in range(columns):
-        small = take(n, np.uint8)
-        at += -n % 8
-        more = int(take(1, np.int64)[0])
+        small, more = take(n, np.uint8), int(take(1, np.int64)[0])
         out.append((small, take(more, np.int64), take(more, np.int64)))
-    return head, keys, out
+    return Mapped(head, starts, high, low, out)
 
 
 class Keys:
@@ -172,19 +225,22 @@ class Keys:
     def __init__(self, folder: str, name: str, shards: int, columns: int):
         self.path, self.shards, self.columns = f"{folder}/{name}", shards, columns
 
+    def file(self, shard: int) -> Mapped | None:
+        return _file(f"{self.path}-{shard}", self.columns, max(1, (1 << 16) // self.shards))
+
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """For ascending keys: their place in their shard (-1 if absent) and the columns' values (0 if absent)."""
         place, values = np.full(keys.size, -1, np.int64), [np.zeros(keys.size, np.int64) for _ in range(self.columns)]
         cuts = _cuts(keys, self.shards)
         for i in np.flatnonzero(np.diff(cuts)).tolist():
-            found = _file(f"{self.path}-{i}", self.columns)
-            if found is None or not found[1].size:
+            found = self.file(i)
+            if found is None or not found.high.size:
                 continue
             part = slice(cuts[i], cuts[i + 1])
-            at = np.minimum(np.searchsorted(found[1], keys[part]), found[1].size - 1)
-            hit = found[1][at] == keys[part]
-            place[part] = np.where(hit, at, -1)
-            for out, (small, where, large) in zip(values, found[2], strict=True):
+            at = found.places(keys[part], _cells(keys[part], i, self.shards))
+            hit, place[part] = at >= 0, at
+            at = np.maximum(at, 0)
+            for out, (small, where, large) in zip(values, found.columns, strict=True):
                 value = small[at].astype(np.int64)
                 big = np.flatnonzero(value == 255)
                 if big.size:
@@ -208,6 +264,10 @@ class Vocabulary:
         return np.where(place < 0, -1, place + self.offset[shard])[back], count[back]
 
 
+def _levels(model: dict) -> dict[int, Keys]:
+    return {k: Keys(model["folder"], f"level{k}", model["shards"], _COUNT if k == model["order"] else _CONTEXT) for k in range(1, model["order"] + 1)}
+
+
 # ---------------------------------------------------------------- training
 
 
@@ -269,7 +329,7 @@ def train(texts: DataFrame, text_col: str = "text", order: int = ORDER, shard_by
 
     def write_words(batches):
         for shard, found in _gathered(batches, 0, "u8"):
-            put_file(f"{folder}/words-{shard}", _as_file(found.keys, found.columns))
+            put_file(f"{folder}/words-{shard}", _as_file(found.keys, found.columns, shard, shards))
             word = found.keys != BEGIN
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "size": [found.keys.size], "n": [int(found.columns[0][word].sum())], "v": [int(word.sum())]})
 
@@ -304,15 +364,15 @@ def train(texts: DataFrame, text_col: str = "text", order: int = ORDER, shard_by
             for shard, found in _gathered(batches, level, kind):
                 filled = found.ids[0] == pad  # no sequence of this length: it only hands on its end
                 real = ~filled
-                put_file(f"{folder}/level{level}-{shard}", _as_file(found.keys[real], [c[real] for c in found.columns]))
+                put_file(f"{folder}/level{level}-{shard}", _as_file(found.keys[real], [c[real] for c in found.columns], shard, shards))
                 if level == 1:
                     yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([[]], pa.list_(pa.binary()))], ["shard", "parts"])
                     continue
                 count, none = found.columns[0], np.zeros(found.keys.size, np.int64)
-                ends = Counts(_hashed(found.ids[1:]), found.ids[1:], [np.where(filled, count, 1), none, none, none, none])
+                # Two rows for each shard to come: counts of either kind are nearly all alike, and pack better apart.
+                yield Counts.summed([Counts(_hashed(found.ids[1:]), found.ids[1:], [np.where(filled, count, 1), none, none, none, none])]).packed(shards)
                 count, ids = count[real], [x[real] for x in found.ids[:-1]]
-                contexts = Counts(_hashed(ids), ids, [none[real], count, *(x.astype(np.int64) for x in (count == 1, count == 2, count > 2))])
-                yield Counts.summed([ends, contexts]).packed(shards)
+                yield Counts.summed([Counts(_hashed(ids), ids, [none[real], count, *(x.astype(np.int64) for x in (count == 1, count == 2, count > 2))])]).packed(shards)
 
         return of
 
@@ -324,10 +384,9 @@ def train(texts: DataFrame, text_col: str = "text", order: int = ORDER, shard_by
     def heads(batches):
         for batch in batches:
             for shard in batch.column(0).to_pylist():
-                for level in range(1, order + 1):
-                    file = _file(f"{folder}/level{level}-{shard}", _COUNT if level == order else _CONTEXT)
-                    if file is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array([level]), *(pa.array([int(x)]) for x in file[0][1:])], ["level", "n1", "n2", "n3", "n4", "total"])
+                for level, table in _levels(model).items():
+                    if (file := table.file(shard)) is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([level]), *(pa.array([int(x)]) for x in file.head[1:])], ["level", "n1", "n2", "n3", "n4", "total"])
 
     every = spark.range(0, shards, 1, max(1, shards // 16)).mapInArrow(heads, "level long, n1 long, n2 long, n3 long, n4 long, total long")
     seen = {r.level: r for r in every.groupBy("level").agg(*(F.sum(c).alias(c) for c in ("n1", "n2", "n3", "n4", "total"))).collect()}
@@ -378,11 +437,11 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     letters = alphabet(lower=True)
     docs = docs.select(F.col(text_col).cast("string").alias("text"), id_col, *carried)
     schema = ", ".join(f"`{n}` {k}" for n, k in docs.dtypes[1:]) + ", n_tokens long, n_known long, base_score double, score double"
-    folder, shards, order, n, v = (model[k] for k in ("folder", "shards", "order", "tokens", "vocabulary"))
+    folder, shards, n, v = (model[k] for k in ("folder", "shards", "tokens", "vocabulary"))
 
     def scored(batches):
         vocabulary = Vocabulary(folder, shards, model["words"])
-        tables = {k: Keys(folder, f"level{k}", shards, _COUNT if k == order else _CONTEXT) for k in range(1, order + 1)}
+        tables = _levels(model)
         begin = int(vocabulary.find(np.array([BEGIN]))[0][0])
         for batch in batches:
             out = [[], [], [], []]

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -101,8 +102,23 @@ def test_model_without_training_rows_and_with_large_counts(spark, docs, empty):
     assert {r.score for r in ngram_lm.score(docs, ngram_lm.train(empty)).collect()} == {0.0}
     model = ngram_lm.train(spark.createDataFrame([("a b a b c " * 300,), ("a b",), (None,), ("",)], "text string"))
     table = ngram_lm.Keys(model["folder"], "words", model["shards"], 1)
-    found = [f for i in range(model["shards"]) if (f := ngram_lm._file(f"{table.path}-{i}", 1)) is not None]
-    assert sorted(c for f in found for c in table.find(f[1])[1][0].tolist()) == [4, 4, 300, 601, 601]
+    keys = np.sort(ngram_lm.words(next(ngram_lm.slices(pa.array(["a b c d"]))), ngram_lm.alphabet()).hash)
+    assert sorted(table.find(np.sort(np.r_[keys, ngram_lm.END, ngram_lm.BEGIN]))[1][0].tolist()) == [0, 4, 4, 300, 601, 601]
+
+
+@pytest.mark.parametrize("shards", [1, 16, 1 << 16, 1 << 18])
+def test_keys_in_files(shards, tmp_path):
+    """Keys of one shard are found, others are not, whatever part of a key the shard and the directory leave out."""
+    rng, shard = np.random.default_rng(shards), shards // 3
+    low = rng.integers(0, (1 << 64) // shards, 3000, np.uint64, endpoint=False) + np.uint64(shard) * np.uint64((1 << 64) // shards % (1 << 64)) if shards > 1 else rng.integers(0, 1 << 64, 3000, np.uint64)
+    keys = np.unique(low)
+    count = rng.integers(1, 600, keys.size)
+    (tmp_path / f"t-{shard}").write_bytes(ngram_lm._as_file(keys, [count], shard, shards))
+    table = ngram_lm.Keys(str(tmp_path), "t", shards, 1)
+    place, (found,) = table.find(keys)
+    assert (place == np.arange(keys.size)).all() and (found == count).all()
+    others = np.setdiff1d(np.unique(np.r_[keys ^ np.uint64(1), keys + np.uint64(1 << 20)]), keys)
+    assert (table.find(others)[0] == -1).all()
 
 
 def test_simhash_against_brute_force(docs, empty):
