@@ -45,13 +45,30 @@ def _opened(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
 
 
+class NewFile:
+    """A file that is written under another name and moved when whole: a task that is run twice leaves one whole file."""
+
+    def __init__(self, uri: str):
+        self.uri, self.size = uri, 0
+        self._fs, self._path = _opened(uri)
+        self._fs.create_dir(self._path.rpartition("/")[0], recursive=True)
+        self._part = f"{self._path}.{uuid.uuid4().hex}"
+        self._out = self._fs.open_output_stream(self._part)
+
+    def write(self, data: bytes) -> None:
+        self._out.write(data)
+        self.size += len(data)
+
+    def close(self) -> str:
+        self._out.close()
+        self._fs.move(self._part, self._path)
+        return self.uri
+
+
 def put_file(uri: str, data: bytes) -> None:
-    """Write a file under another name, then move it: a task that is run twice leaves one whole file."""
-    fs, path = _opened(uri)
-    fs.create_dir(path.rpartition("/")[0], recursive=True)
-    with fs.open_output_stream(part := f"{path}.{uuid.uuid4().hex}") as out:
-        out.write(data)
-    fs.move(part, path)
+    file = NewFile(uri)
+    file.write(data)
+    file.close()
 
 
 def get_file(uri: str) -> memoryview:
@@ -163,6 +180,19 @@ def powers(n: int) -> np.ndarray:
     return _powers[:n]
 
 
+_inverse_powers = np.ones(1, np.uint64)
+
+
+def inverse_powers(n: int) -> np.ndarray:
+    """What takes powers 0 to n-1 back to 1."""
+    global _inverse_powers
+    if _inverse_powers.size < n:
+        more = np.full(max(n, 2 * _inverse_powers.size, 4096), pow(int(_BASE), -1, 1 << 64), np.uint64)
+        more[0] = 1
+        _inverse_powers = np.multiply.accumulate(more)
+    return _inverse_powers[:n]
+
+
 class Slice(NamedTuple):
     """Rows first to first+n-1 of a batch: their bytes, and where each row's bytes begin (n+1 numbers)."""
 

@@ -3,16 +3,20 @@
 1. Every document is winnowed: of the word grams in each window the one with the least hash is its anchor. Equal
    windows have equal anchors at equal offsets, so a window can only repeat where its anchor does. Anchors are counted
    (combined before the shuffle) and those that occur once are dropped.
-2. For each other anchor the windows that chose it form a region of consecutive words. Regions are dealt by anchor, so
-   equal windows meet; each shard of anchors is the reference for exactly the documents that can match it.
-3. A shard builds a suffix automaton over its distinct regions and streams the regions through it for matching
-   statistics: at each word, the longest suffix that the shard holds at two places or more. Where that reaches the
-   threshold, the window that ends there repeats. Maximal spans of such windows are removed from the documents.
-
-An automaton over a whole corpus could not be broadcast (its size follows the corpus), so the automata stay where the
-shuffle put their regions, and only regions with the shard's anchors are streamed there. An anchor with more than
-``hot`` places is dealt over several shards by the region's content; windows that are alone in such a shard are then
-matched between shards by fingerprint, so no shard grows with an anchor. Equal regions are put in the automaton once.
+2. For each other anchor the windows that chose it form a region of consecutive words, known by a hash of its words.
+   Places (document, region) are grouped by region, so a passage of any number of copies is one region with a count.
+   Where an anchor has one region only, all its windows repeat, and no text is looked at.
+3. The words of each other region are cut out of one document that has it. Regions are dealt by anchor, so equal windows
+   meet; each shard of anchors is the reference for exactly the regions that can match it. A shard builds a suffix
+   automaton over its regions and streams the regions through it for matching statistics: at each word, the longest
+   suffix that the shard holds at two places or more. Where that reaches the threshold, the window that ends there
+   repeats. The runs of such windows go back to all places of their region by a join, which Spark can split where a
+   region is frequent. Maximal spans of such windows are removed from the documents.
+
+An automaton over a whole corpus could not be broadcast (its size follows the corpus; the README has figures), so the
+automata stay where the shuffle put their regions, and only regions with the shard's anchors are streamed there. An
+anchor with more than ``hot`` regions is dealt over several shards by region; windows that are alone in such a shard
+are then matched between shards by fingerprint, so no shard grows with an anchor.
 
 Edge cases: null, empty and short texts have no window and stay as they are. Rows that repeat a document (id and text)
 are places of their own, so each makes the other's windows repeat. Other columns are carried through by ``strip``.
@@ -30,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotmere.llm.shared import alphabet, grams, saved, slices, unzipped, window_least, words, workspace, zipped
+from plotmere.llm.shared import alphabet, grams, inverse_powers, mix, powers, saved, slices, unzipped, window_least, words, workspace, zipped
 
 WINDOW, GRAM, HOT = 35, 12, 4000
 
@@ -38,6 +42,8 @@ PLAIN = alphabet()
 #: Places in a slice are kept in so many low bits of a packed hash.
 _LOW = np.uint64(22)
 _PLACE = np.uint64((1 << 22) - 1)
+#: Names of columns that exist within ``strip`` only.
+_KEY, _SPANS = "__substring_key", "__substring_spans"
 _WORD = regex.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -54,20 +60,29 @@ def regions(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.
     return values[at], first, np.diff(np.r_[first, least.size])
 
 
+def _range_hashes(hashes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash for each run of so many word hashes from each start, by sums up to each word."""
+    sums = np.zeros(hashes.size + 1, np.uint64)
+    np.cumsum(hashes * powers(hashes.size), out=sums[1:])
+    return mix((sums[start + size] - sums[start]) * inverse_powers(hashes.size)[start] + size.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+
+
 def anchored(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(id, anchor, first, n) for each region of docs (id struct, text)."""
+    """(id, anchor, region: a hash of its words, first, n) for each region of docs (id struct, text)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch.column(1)):
                 found = words(piece, PLAIN)
                 parts = [regions(found.hash[a:b], window, gram) for a, b in zip(found.bounds[:-1], found.bounds[1:], strict=True)]
-                row = np.repeat(np.arange(len(parts)) + piece.first, [p[1].size for p in parts])
+                row = np.repeat(np.arange(len(parts)), [p[1].size for p in parts])
                 if row.size:
                     anchor, first, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(anchor.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], ["id", "anchor", "first", "n"])
+                    region = _range_hashes(found.hash, found.bounds[row] + first, n + window - 1)
+                    ids = batch.column(0).take(pa.array(row + piece.first))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(anchor.view(np.int64)), pa.array(region.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], ["id", "anchor", "region", "first", "n"])
 
-    return docs.select("id", "text").mapInArrow(of, f"id {docs.schema['id'].dataType.simpleString()}, anchor long, first int, n int")
+    return docs.select("id", "text").mapInArrow(of, f"id {docs.schema['id'].dataType.simpleString()}, anchor long, region long, first int, n int")
 
 
 class Automaton:
@@ -147,96 +162,88 @@ def _runs(flags: np.ndarray) -> tuple[list[int], list[int]]:
     return edges[::2].tolist(), (edges[1::2] - edges[::2]).tolist()
 
 
-def _matched(batches: Iterator[pa.RecordBatch], window: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, salt, ids, firsts, content, hot) come ordered by anchor and salt; a row has the places of equal regions.
+def _matched(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Rows (anchor, salt, region, times, hot, content) come ordered by anchor and salt.
 
-    Gives runs of repeated windows (id, first, n, print null) and, of hot anchors, the windows that are alone in the
-    shard (id, first, 1, print) or stand for several in it (null id, print).
+    Gives runs of repeated windows (anchor, region, at, n, print null) and, of hot anchors, the windows that are alone in
+    the shard (anchor, region, at, 1, print) or stand for several in it (null region, print).
     """
-    rest: pa.Table | None = None
-
-    def shard(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        t = t.combine_chunks()
-        key, salt, hot = (t[c].to_numpy() for c in ("anchor", "salt", "hot"))
-        content, lists = t["content"].to_pylist(), [t[c].chunk(0) for c in ("ids", "firsts")]
-        ids, first = lists[0].flatten(), lists[1].flatten().to_numpy()
-        cuts = np.r_[0, np.cumsum(np.diff(lists[0].offsets.to_numpy()))].tolist()
-        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])
-        out_row, out_first, out_n, out_print = [], [], [], []
-        for s, e in zip(starts.tolist(), np.r_[starts[1:], key.size].tolist(), strict=True):
-            places: dict[bytes, list[int]] = {}
-            for i in range(s, e):
-                places.setdefault(content[i], []).extend(range(cuts[i], cuts[i + 1]))
-            if len(places) == 1 and cuts[e] - cuts[s] == 1 and not hot[s]:
-                continue
-            sequences = [c.split(b" ") for c in places]
-            for sequence, rows, flags in zip(sequences, places.values(), repeats(sequences, [len(p) for p in places.values()], window), strict=True):
-                at, n = _runs(flags)
-                for i in rows:
-                    out_row += [i] * len(at)
-                    out_first += [int(first[i]) + a for a in at]
-                    out_n += n
-                    out_print += [None] * len(at)
-                if hot[s]:
-                    for a, repeated in enumerate(flags.tolist()):
-                        out_row.append(None if repeated else rows[0])
-                        out_first.append(int(first[rows[0]]) + a)
-                        out_n.append(1)
-                        out_print.append(xxhash.xxh3_128_digest(b" ".join(sequence[a : a + window])))
-        if out_row:
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(out_row, pa.int64())), pa.array(out_first, pa.int32()), pa.array(out_n, pa.int32()), pa.array(out_print, pa.binary())], ["id", "first", "n", "print"])
+    names = ["anchor", "region", "at", "n", "print"]
+    key, group, hot, out = None, {}, False, []
+
+    def shard() -> None:
+        """A row that comes twice (from a document that is repeated) is one region."""
+        sequences = [content.split(b" ") for content, _ in group.values()]
+        for region, sequence, flags in zip(group, sequences, repeats(sequences, [times for _, times in group.values()], window), strict=True):
+            out.extend((key[0], region, at, n, None) for at, n in zip(*_runs(flags), strict=True))
+            if hot:
+                for a, repeated in enumerate(flags.tolist()):
+                    out.append((key[0], None if repeated else region, a, 1, xxhash.xxh3_128_digest(b" ".join(sequence[a : a + window]))))
+
+    def told() -> pa.RecordBatch:
+        columns = zip(*out, strict=True)
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+        out.clear()
+        return batch
 
     for batch in batches:
-        if batch.num_rows:
-            rest = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            key, salt = rest["anchor"].to_numpy(), rest["salt"].to_numpy()
-            other = np.flatnonzero((key != key[-1]) | (salt != salt[-1]))
-            if other.size:
-                yield from shard(rest.slice(0, int(other[-1]) + 1))
-                rest = rest.slice(int(other[-1]) + 1).combine_chunks()
-    if rest is not None and rest.num_rows:
-        yield from shard(rest)
+        for anchor, salt, region, times, is_hot, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key is not None and key != (anchor, salt):
+                shard()
+                group = {}
+                if len(out) > 10_000:
+                    yield told()
+            key, hot = (anchor, salt), is_hot
+            group[region] = content, times
+    if group:
+        shard()
+    if out:
+        yield told()
 
 
 def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(id, spans array<struct<first, n>>): runs of windows of docs (id struct, text) that stand at two places or more."""
     folder = workspace(docs.sparkSession, "substrings")
-    id_kind = docs.schema["id"].dataType.simpleString()
     found = anchored(docs, window, gram)
-    # Written, so that the join shuffles both sides and Spark can split the rows of a frequent anchor.
-    counted = saved(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("places")).filter("places > 1"), f"{folder}/anchors")
-    # A set: rows that repeat an id have the same regions, and each of the rows is joined with them.
-    chosen = found.join(counted, "anchor").groupBy("id").agg(F.collect_set(F.struct("anchor", "first", "n", "places")).alias("regions"))
+    # Written, so that the joins shuffle both sides and Spark can split the rows of a frequent anchor or region.
+    counted = saved(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("places")).filter("places > 1").select("anchor"), f"{folder}/anchors")
+    placed = saved(found.join(counted, "anchor", "left_semi"), f"{folder}/places")
+    distinct = placed.groupBy("anchor", "region").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "first")).alias("place"), F.min("n").alias("n"))
+    distinct = saved(distinct, f"{folder}/distinct")
+    several = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("several"))
+    distinct = distinct.join(several, "anchor")
+    alone = distinct.filter("several = 1").select("anchor", "region", F.lit(0).alias("at"), "n")
+    shards = F.ceil(F.col("several") / hot).cast("long")
+    asked = distinct.filter("several > 1").select(
+        F.col("place.id").alias("id"), F.struct("anchor", F.pmod("region", shards).cast("int").alias("salt"), "region", "times", (shards > 1).alias("hot"), F.col("place.first").alias("first"), "n").alias("r")
+    )
+    asked = asked.groupBy("id").agg(F.collect_list("r").alias("regions"))
 
     def cut(batches):
-        """The words of each region, joined by spaces, and the shard it goes to."""
+        """The words of each region, joined by spaces. Rows that repeat a document come together and are cut once a batch."""
         for batch in batches:
-            # Equal regions of a batch are one row with all their places, so copies weigh little in the shuffle.
-            held: dict[tuple[int, bytes], tuple[int, bool, list[int], list[int]]] = {}
-            for i, (text, own) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
-                found = unzipped(text.as_py()).split()
-                for r in own.as_py():
-                    content = b" ".join(found[r["first"] : r["first"] + r["n"] + window - 1])
-                    key = r["anchor"], content
-                    if (have := held.get(key)) is None:
-                        shards = -(-r["places"] // hot)
-                        have = held[key] = (xxhash.xxh64_intdigest(content) % shards if shards > 1 else 0, shards > 1, [], [])
-                    have[2].append(i)
-                    have[3].append(r["first"])
-            if held:
-                salt, is_hot, row, first = zip(*held.values(), strict=True)
-                at = pa.array(np.cumsum([0, *map(len, row)]), pa.int32())
-                ids = pa.ListArray.from_arrays(at, batch.column(0).take(pa.array(np.fromiter((x for r in row for x in r), np.int64))))
-                firsts = pa.ListArray.from_arrays(at, pa.array(np.fromiter((x for f in first for x in f), np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.int64()), pa.array(salt, pa.int32()), ids, firsts, pa.array([k[1] for k in held], pa.binary()), pa.array(is_hot)], ["anchor", "salt", "ids", "firsts", "content", "hot"])
-
-    pieces = zipped(docs, "id", "text").join(chosen, "id").mapInArrow(cut, f"anchor long, salt int, ids array<{id_kind}>, firsts array<int>, content binary, hot boolean")
+            rows, done = [], set()
+            for text, own in zip(batch.column(1), batch.column(2), strict=True):
+                own = own.as_py()
+                if own[0]["region"] in done:
+                    continue
+                every = unzipped(text.as_py()).split()
+                for r in own:
+                    done.add(r["region"])
+                    rows.append((r["anchor"], r["salt"], r["region"], r["times"], r["hot"], b" ".join(every[r["first"] : r["first"] + r["n"] + window - 1])))
+            if rows:
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["anchor", "salt", "region", "times", "hot", "content"])
+
+    pieces = zipped(docs, "id", "text").join(asked, "id").mapInArrow(cut, "anchor long, salt int, region long, times long, hot boolean, content binary")
     dealt = pieces.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
-    matched = saved(dealt.mapInArrow(lambda b: _matched(b, window, None), f"id {id_kind}, first int, n int, print binary"), f"{folder}/runs")
+    matched = saved(dealt.mapInArrow(lambda b: _matched(b, window), "anchor long, region long, at int, n int, print binary"), f"{folder}/runs")
     prints = matched.filter("print is not null").groupBy("print").agg(F.count(F.lit(1)).alias("shards")).filter("shards > 1")
-    between = matched.filter("print is not null and id is not null").join(prints, "print", "left_semi")
-    runs = matched.filter("print is null").select("id", "first", "n").union(between.select("id", "first", "n"))
-    return runs.groupBy("id").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
+    between = matched.filter("print is not null and region is not null").join(prints, "print", "left_semi").drop("print")
+    runs = alone.union(matched.filter("print is null").drop("print")).union(between).groupBy("anchor", "region").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
+    every = placed.drop("n").join(runs, ["anchor", "region"]).select("id", F.explode(F.transform("runs", lambda r: F.struct((F.col("first") + r["at"]).alias("first"), r["n"].alias("n")))).alias("s"))
+    return every.groupBy("id").agg(F.collect_set("s").alias("spans"))
 
 
 def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -278,9 +285,9 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
 def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """docs with the repeated spans cut out of the text: with each removed word goes the white space after it."""
     own = _identified(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col).select("id", "text")
-    found = spans(own.filter("text is not null"), window, gram, hot).withColumnRenamed("id", "_id").withColumnRenamed("spans", "_spans")
-    keyed = docs.withColumn("_id", F.struct(F.col(id_col).cast("string").alias("doc"), F.xxhash64(F.col(text_col).cast("string")).alias("hash")))
-    together = keyed.join(found, "_id", "left").select(*docs.columns, "_spans")
+    found = spans(own.filter("text is not null"), window, gram, hot).withColumnRenamed("id", _KEY).withColumnRenamed("spans", _SPANS)
+    keyed = docs.withColumn(_KEY, F.struct(F.col(id_col).cast("string").alias("doc"), F.xxhash64(F.col(text_col).cast("string")).alias("hash")))
+    together = keyed.join(found, _KEY, "left").select(*(F.col(f"`{c}`") for c in docs.columns), _SPANS)
     names, place = docs.columns, docs.columns.index(text_col)
 
     def cut(batches):
