@@ -5,16 +5,18 @@ block into 64-bit words: the low four bits select how many ids of how many bits
 next word is one id as it is (for ids of more than 60 bits). Blocks start at words that the file lists, so blocks are
 packed and unpacked side by side in numpy, one step for each word of the longest block.
 
-File layout, little-endian: "S8BLOCK1", then as int64 the numbers of documents, ids, blocks and words, then arrays:
-document ids and their numbers of ids (int64), the blocks' first words (int64), the words (uint64).
+File layout, little-endian: one segment after the other, so a file of any size is written and read in bounded memory. A
+segment is "S8BLOCK1", then as int64 the numbers of documents, ids, blocks and words, then arrays: document ids and their
+numbers of ids (int64; the complement of the number where the document's id is null), the blocks' first words (int64), the
+words (uint64).
 
 Texts are encoded by the tokenizers library. It never looks across ASCII white space, so a text is cut there and the
 parts (with A-Z in lower case, if the tokenizer lower-cases) are looked up in a bounded table; the library encodes those
-not in it. Documents are range-partitioned by id and sorted, so files follow each other in order of id, and a document's
-place is the sum of the files before it (one number for each file on the driver) plus its place in its file.
+not in it. Documents are range-partitioned by id and sorted, so files follow each other in order of id. A table beside the
+files has their numbers of ids; a document's place is the sum of the files before it plus its place in its file.
 
 Edge cases: a null or empty text has the end id only. Equal document ids keep a place each, in order of their texts; null
-ids come first. An empty table writes no file. Rows' other columns are not read.
+ids come first. Ids are integers, or texts of integers. An empty table writes no file. Rows' other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,19 +30,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from plotmere.llm.shared import get_file, part_count, put_file, workspace
+from plotmere.llm.shared import NewFile, get_file, part_count, saved, workspace
 
 MAGIC = b"S8BLOCK1"
 BLOCK = 1024
 #: Fixed values of the format: ids in a word and bits of each, for selectors 1 to 15 (0 is the escape).
 PACKINGS = [(120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
-#: Ids that a file holds at least before the next one begins, parts that a worker remembers (about 150 bytes each), and
-#: documents that it encodes together.
-FILE_IDS, REMEMBERED, TOGETHER = 2_000_000, 1_000_000, 2000
+#: Ids of a segment and bytes of a file, at least, before the next one begins; parts that a worker remembers (about 150
+#: bytes each); documents that it encodes together.
+SEGMENT_IDS, FILE_BYTES, REMEMBERED, TOGETHER = 2_000_000, 256 << 20, 1_000_000, 2000
 
 
 def _chosen(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,20 +145,25 @@ def unpack_ids(words: np.ndarray, blocks: np.ndarray, n: int) -> np.ndarray:
     return ids
 
 
-def file_bytes(doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> bytes:
+def segment_bytes(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> bytes:
     words, blocks = pack_ids(ids)
-    head = np.array([doc_ids.size, ids.size, blocks.size, words.size], np.int64)
-    return MAGIC + b"".join(x.tobytes() for x in (head, doc_ids.astype(np.int64), sizes.astype(np.int64), blocks.astype(np.int64), words))
+    head = np.array([len(doc_ids), ids.size, blocks.size, words.size], np.int64)
+    named = np.array([x is not None for x in doc_ids], bool)
+    names, numbers = np.array([x or 0 for x in doc_ids], np.int64), np.where(named, sizes, ~sizes)
+    return MAGIC + b"".join(x.tobytes() for x in (head, names, numbers.astype(np.int64), blocks.astype(np.int64), words))
 
 
-def read_file(data: memoryview) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document ids, their numbers of ids, and all ids of a file."""
-    if bytes(data[:8]) != MAGIC:
-        raise ValueError("not a file of token ids")
-    docs, n, blocks, words = np.frombuffer(data[8:40], np.int64).tolist()
-    at = 40 + 8 * np.cumsum([0, docs, docs, blocks, words])
-    doc_ids, sizes, first, packed = (np.frombuffer(data[a:b], kind) for a, b, kind in zip(at[:-1], at[1:], (np.int64, np.int64, np.int64, np.uint64), strict=True))
-    return doc_ids, sizes, unpack_ids(packed, first, n)
+def read_segments(data: memoryview) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Document ids, their numbers of ids, and all ids of each segment of a file."""
+    start = 0
+    while start < len(data):
+        if bytes(data[start : start + 8]) != MAGIC:
+            raise ValueError("not a file of token ids")
+        docs, n, blocks, words = np.frombuffer(data[start + 8 : start + 40], np.int64).tolist()
+        at = start + 40 + 8 * np.cumsum([0, docs, docs, blocks, words])
+        names, sizes, first, packed = (np.frombuffer(data[a:b], kind) for a, b, kind in zip(at[:-1], at[1:], (np.int64, np.int64, np.int64, np.uint64), strict=True))
+        yield pa.array(names, mask=sizes < 0), np.where(sizes < 0, ~sizes, sizes), unpack_ids(packed, first, n)
+        start = int(at[-1])
 
 
 class Encoder:
@@ -242,31 +249,35 @@ def encoder(path: str) -> Encoder:
     return _loaded[path]
 
 
-def write(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2) -> DataFrame:
-    """Write the ids of all texts below folder; returns (path, start, docs, ids) of each file, in order."""
+def write(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, segment_ids: int = SEGMENT_IDS, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Write the ids of all texts below folder, with a table of its files; returns (path, start, docs, ids) of each file."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     end = np.array([end_id], "<u4").tobytes()
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, part, number = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        file: NewFile | None = None
         ids: list[bytes] = []
-        doc_ids: list[int] = []
+        doc_ids: list[int | None] = []
+        docs_of_file = ids_of_file = size = 0
 
-        def flush() -> pa.RecordBatch:
-            nonlocal number
-            path = f"{folder}/ids-{part:06d}-{number:04d}.s8b"
+        def segment() -> None:
+            nonlocal file, docs_of_file, ids_of_file, size
+            if file is None:
+                file = NewFile(f"{folder}/ids-{part:06d}-{number:04d}.s8b")
             every = np.frombuffer(b"".join(ids), "<u4")
-            sizes = np.array([len(x) // 4 for x in ids])
-            names = np.array([-(1 << 63) if x is None else x for x in doc_ids], np.int64)
-            put_file(path, file_bytes(names, sizes, every))
-            row = pa.RecordBatch.from_pydict({"part": [part], "number": [number], "path": [path], "docs": [len(ids)], "ids": [int(every.size)]})
-            number += 1
+            file.write(segment_bytes(doc_ids, np.array([len(x) // 4 for x in ids]), every))
+            docs_of_file, ids_of_file, size = docs_of_file + len(ids), ids_of_file + int(every.size), 0
             ids.clear()
             doc_ids.clear()
+
+        def closed() -> pa.RecordBatch:
+            nonlocal file, number, docs_of_file, ids_of_file
+            row = pa.RecordBatch.from_pydict({"part": [part], "number": [number], "path": [file.close()], "docs": [docs_of_file], "ids": [ids_of_file]})
+            file, number, docs_of_file, ids_of_file = None, number + 1, 0, 0
             return row
 
-        size = 0
         for batch in batches:
             for at in range(0, batch.num_rows, TOGETHER):
                 some = batch.slice(at, TOGETHER)
@@ -274,17 +285,21 @@ def write(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id",
                 ids += [x + end for x in found]
                 doc_ids += some.column(0).to_pylist()
                 size += sum(map(len, found)) // 4
-                if size >= FILE_IDS:
-                    yield flush()
-                    size = 0
+                if size >= segment_ids:
+                    segment()
+                    if file.size >= file_bytes:
+                        yield closed()
         if ids:
-            yield flush()
+            segment()
+        if file is not None:
+            yield closed()
 
     ordered = docs.repartitionByRange(part_count(spark), "id").sortWithinPartitions("id", "text")
-    files = sorted(tuple(r) for r in ordered.mapInArrow(written, "part long, number long, path string, docs long, ids long").collect())
-    starts = np.cumsum([0, *(f[4] for f in files)]).tolist()
-    rows = [(path, start, n, size) for (_, _, path, n, size), start in zip(files, starts, strict=False)]
-    return spark.createDataFrame(rows, "path string, start long, docs long, ids long")
+    files = saved(ordered.mapInArrow(written, "part long, number long, path string, docs long, ids long"), f"{folder}/files")
+    # One row for each part goes through the window over all.
+    before = files.groupBy("part").agg(F.sum("ids").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    inside = F.sum("ids").over(Window.partitionBy("part").orderBy("number")) - F.col("ids")
+    return files.withColumn("inside", inside).join(before, "part").select("path", (F.col("before") + F.col("inside")).alias("start"), "docs", "ids")
 
 
 def read(files: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -293,16 +308,16 @@ def read(files: DataFrame, with_ids: bool = False) -> DataFrame:
     def unpacked(batches):
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                doc_ids, sizes, ids = read_file(get_file(path))
-                ends = np.cumsum(sizes)
-                data = memoryview(ids.astype("<u4").tobytes())
-                sums = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
-                none = doc_ids == -(1 << 63)
-                columns = [pa.array(doc_ids, mask=none), pa.array(start + ends - sizes), pa.array(sizes), pa.array(sums, pa.int64())]
-                if with_ids:
-                    columns.append(pa.ListArray.from_arrays(np.r_[0, ends].astype(np.int32), pa.array(ids.astype(np.int64))))
-                for at in range(0, doc_ids.size, 10_000):
-                    yield pa.RecordBatch.from_arrays([c.slice(at, 10_000) for c in columns], names)
+                for doc_ids, sizes, ids in read_segments(get_file(path)):
+                    ends = np.cumsum(sizes)
+                    data = memoryview(ids.astype("<u4").tobytes())
+                    sums = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+                    columns = [doc_ids, pa.array(start + ends - sizes), pa.array(sizes), pa.array(sums, pa.int64())]
+                    if with_ids:
+                        columns.append(pa.ListArray.from_arrays(np.r_[0, ends].astype(np.int32), pa.array(ids.astype(np.int64))))
+                    for at in range(0, len(doc_ids), 10_000):
+                        yield pa.RecordBatch.from_arrays([c.slice(at, 10_000) for c in columns], names)
+                    start += int(ids.size)
 
     names = ["doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])]
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
@@ -310,6 +325,6 @@ def read(files: DataFrame, with_ids: bool = False) -> DataFrame:
     return files.select("path", "start").repartition(parts).mapInArrow(unpacked, schema)
 
 
-def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
     """Encode documents to files and read every document's place, number of ids and checksum back from them."""
-    return read(write(docs, tokenizer, workspace(docs.sparkSession, "token-ids")))
+    return read(write(docs, tokenizer, workspace(docs.sparkSession, "token-ids"), **options))
