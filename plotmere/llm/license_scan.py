@@ -120,7 +120,7 @@ def _units(text: Column, sentences: bool = False) -> Column:
     """Lines, blocks and the whole of a text (and its sentences), each different one once."""
     plain = F.regexp_replace(text, OTHER, " ")
     one_line = lambda u: F.trim(F.regexp_replace(u, "[ \n]+", " "))
-    parts = [F.transform(F.split(plain, "\n"), F.trim), F.transform(F.split(plain, r"\n *\n"), one_line), F.array(one_line(plain))]
+    parts = [F.transform(F.split(plain, "\n"), lambda u: F.trim(u)), F.transform(F.split(plain, r"\n *\n"), one_line), F.array(one_line(plain))]
     if sentences:
         parts.append(F.transform(F.split(text, r"(?<=[.!?])\s+|\n\s*\n"), lambda t: one_line(F.regexp_replace(t, OTHER, " "))))
     return F.array_distinct(F.concat(*parts))

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -190,6 +191,15 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark):
     assert sorted((r.doc_id or 0, r.text or "") for r in shingle_dedup.one_of_each(df).collect()) == [(0, b), (3, a), (5, b), (7, "")]
 
 
+def test_license_notices_with_many_line_ends(spark):
+    """Neither blank lines within a notice nor line feeds after it cut it off."""
+    mit = license_scan.TEMPLATES[12][1]
+    half = len(mit) // 2 + mit[len(mit) // 2 :].index(" ")
+    rows = [mit[:half] + "\n\n" + mit[half:], mit[:half] + "\n\n" + mit[half:] + "\n" * 2000, mit.replace(" ", "\r\n    "), mit.replace(" ", " \n \n ")]
+    found = license_scan.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert [(r.licenses, r.score) for r in found] == [("MIT", 1.0)] * 4
+
+
 def test_licenses(spark, empty):
     apache, mit = license_scan.TEMPLATES[1][1], license_scan.TEMPLATES[12][1]
     rows = [(1, "Words.\nReleased under the MIT License."), (2, mit.replace("Software", "Program")), (3, "para\n\n" + apache.replace(" ", "\n") + "\n\nmore text"), (4, None), (5, ""), (6, "mit"), (7, "released under the sea license"), (8, mit + " " + "word " * 900)]
@@ -258,10 +268,11 @@ def test_phrases_are_consistent():
             assert names.size == row.size
 
 
-def test_token_files_round_trip(docs, empty):
+@pytest.mark.parametrize("options", [{}, {"segment_ids": 50, "file_bytes": 400}])
+def test_token_files_round_trip(docs, empty, options):
     path = public_tokenizers.path("word_bpe_49k.json")
     library, start = Tokenizer.from_file(path), 0
-    got = {r.doc_id: r for r in token_store.round_trip(docs, path).collect()}
+    got = {r.doc_id: r for r in token_store.round_trip(docs, path, **options).collect()}
     for r in docs.orderBy("doc_id").collect():
         ids = [*library.encode(r.text or "", add_special_tokens=False).ids, 2]
         assert (got[r.doc_id].start, got[r.doc_id].n_tokens, got[r.doc_id].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
@@ -269,6 +280,13 @@ def test_token_files_round_trip(docs, empty):
     assert token_store.round_trip(empty, path).count() == 0
 
 
+def test_token_files_tell_null_ids_from_the_least_long(spark, tmp_path):
+    rows = [(None, "b c"), (None, "a"), (-(1 << 63), "d"), (0, None), (0, "e")]
+    files = token_store.write(spark.createDataFrame(rows, "doc_id long, text string"), public_tokenizers.path("word_bpe_49k.json"), str(tmp_path))
+    got = sorted(((r.doc_id, r.start, r.n_tokens, r.ids[-1]) for r in token_store.read(files, with_ids=True).collect()), key=lambda r: r[1])
+    assert got == [(None, 0, 2, 2), (None, 2, 3, 2), (-(1 << 63), 5, 2, 2), (0, 7, 1, 2), (0, 8, 2, 2)]
+
+
 @pytest.mark.parametrize("most", [0, 1, 200, 50_000, 2**31, 2**60 - 1, 2**63])
 def test_simple8b(most):
     rng = np.random.default_rng(most % 97)
@@ -365,8 +383,26 @@ def test_repeated_rows_cost_their_number(spark, tmp_path, monkeypatch):
     n = 40
     got = substring_dedup.report(spark.createDataFrame([(1, text)] * n + [(2, "short")], "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 200)] * n + [(2, 0)]
-    regions = len(substring_dedup.regions(np.array([hash(w) & 0xFFFFFFFF for w in text.split()], np.uint64), 35, substring_dedup.GRAM)[0])
-    assert spark.read.parquet(f"{tmp_path}/substrings/runs").count() <= 4 * n * regions
+    distinct = spark.read.parquet(f"{tmp_path}/substrings/distinct")
+    assert spark.read.parquet(f"{tmp_path}/substrings/places").count() == n * distinct.count() and {r.times for r in distinct.collect()} == {n}
+    # All regions are whole repeats, so no text is looked at.
+    assert spark.read.parquet(f"{tmp_path}/substrings/runs").count() == 0
+
+
+def test_many_equal_rows_take_little_time(spark):
+    rng = random.Random(7)
+    text = " ".join(rng.choice(WORDS) + str(rng.randrange(999)) for _ in range(400))
+    rows = [(1, text)] * 5000 + [(2, text[: len(text) // 2] + " other words"), (2, text[len(text) // 3 :] + " and others")]
+    began = time.time()
+    got = Counter((r.doc_id, r.n_removed > 0) for r in substring_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {(1, True): 5000, (2, True): 2} and time.time() - began < 60
+
+
+def test_strip_leaves_other_columns_alone(spark):
+    passage = " ".join(f"{w}{i}" for i in range(3) for w in WORDS)
+    df = spark.createDataFrame([(1, passage + " one", "a", 2), (2, passage + " two", None, None), (None, None, "b", 1), (3, "", "c", 0)], "doc_id long, text string, `_id` string, spans int")
+    got = substring_dedup.strip(df)
+    assert got.columns == df.columns and sorted(map(str, got.collect())) == sorted(map(str, df.withColumn("text", F.when(F.length("text") > 9, F.substring_index("text", " ", -1)).otherwise(F.col("text"))).collect()))
 
 
 def test_languages_held_out(spark, docs):
