@@ -10,8 +10,8 @@
    meet; each shard of anchors is the reference for exactly the regions that can match it. A shard builds a suffix
    automaton over its regions and streams the regions through it for matching statistics: at each word, the longest
    suffix that the shard holds at two places or more. Where that reaches the threshold, the window that ends there
-   repeats. The runs of such windows go back to all places of their region by a join, which Spark can split where a
-   region is frequent. Maximal spans of such windows are removed from the documents.
+   repeats. The runs of such windows go back to all places of their region by a join, where the places of a frequent
+   region are dealt over several tasks. Maximal spans of such windows are removed from the documents.
 
 An automaton over a whole corpus could not be broadcast (its size follows the corpus; the README has figures), so the
 automata stay where the shuffle put their regions, and only regions with the shard's anchors are streamed there. An
@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from plotmere.llm.shared import alphabet, grams, inverse_powers, mix, powers, saved, slices, unzipped, window_least, words, workspace, zipped
 
 WINDOW, GRAM, HOT = 35, 12, 4000
+#: A region with more than one in so many of all places (and more than ``hot``) is spread when its places are joined.
+FREQUENT = 100_000
 
 PLAIN = alphabet()
 #: Places in a slice are kept in so many low bits of a packed hash.
@@ -242,7 +244,12 @@ def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HO
     prints = matched.filter("print is not null").groupBy("print").agg(F.count(F.lit(1)).alias("shards")).filter("shards > 1")
     between = matched.filter("print is not null and region is not null").join(prints, "print", "left_semi").drop("print")
     runs = alone.union(matched.filter("print is null").drop("print")).union(between).groupBy("anchor", "region").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
-    every = placed.drop("n").join(runs, ["anchor", "region"]).select("id", F.explode(F.transform("runs", lambda r: F.struct((F.col("first") + r["at"]).alias("first"), r["n"].alias("n")))).alias("s"))
+    # At most so many regions can each have more than this share of all places, so their list may be broadcast.
+    most = max(hot, placed.count() // FREQUENT)
+    frequent = F.broadcast(distinct.filter(F.col("times") > most).select("anchor", "region", F.ceil(F.col("times") / most).cast("int").alias("shards")))
+    spread = placed.drop("n").join(frequent, ["anchor", "region"], "left").withColumn("shard", F.pmod(F.xxhash64("id", "first"), F.coalesce("shards", F.lit(1))).cast("int")).drop("shards")
+    runs = runs.join(frequent, ["anchor", "region"], "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.coalesce("shards", F.lit(1)) - 1))).drop("shards")
+    every = spread.join(runs, ["anchor", "region", "shard"]).select("id", F.explode(F.transform("runs", lambda r: F.struct((F.col("first") + r["at"]).alias("first"), r["n"].alias("n")))).alias("s"))
     return every.groupBy("id").agg(F.collect_set("s").alias("spans"))
 
 
