@@ -49,22 +49,28 @@ def _is_business(brand: str, names: list[Column], own: Column) -> Column:
     return ((own == "") | has_term(normalize(own), [brand])) & found
 
 
-def brand() -> Column:
-    """The first high-volume brand in list order that the listing is, else null; needs the facts and category_key."""
-    raw = F.col("_raw")
-    names = [F.col("_name"), split_hyphens("name")]
-    tags, own = C.values_of(raw, "brand", "operator"), C.values_of(raw, "brand")
-    tag_text = F.trim(F.concat_ws(" ", normalize(tags), split_hyphens(tags)))
-    both = F.concat_ws(" ", *names)
-    every = F.trim(F.concat_ws(" ", both, tag_text))
+def with_brand(listings: DataFrame) -> DataFrame:
+    """listings with brand: the first high-volume brand in list order that each is, else null; needs the facts and category_key.
+
+    The texts that brands are looked for in are columns of their own, made once for all brands, and a listing that has no
+    brand's words anywhere is not looked at further.
+    """
+    tags = C.values_of(F.col("_raw"), "brand", "operator")
+    found = listings.withColumns({
+        "_apart": split_hyphens("name"), "_own": C.values_of(F.col("_raw"), "brand"), "_tag_text": F.trim(F.concat_ws(" ", normalize(tags), split_hyphens(tags))), "_site": site_label("website"),
+    }).withColumn("_both", F.concat_ws(" ", "_name", "_apart"))
+    found = found.withColumn("_every", F.trim(F.concat_ws(" ", "_both", "_tag_text")))
+    found = found.withColumn("_some", has_term(F.col("_every"), [*K.BRANDS, *K.AMBIGUOUS_BRANDS]) & ~has_term(F.col("_name"), K.BRAND_EXCLUDE))
+    both, every, tag_text, own = (F.col(c) for c in ("_both", "_every", "_tag_text", "_own"))
+    names = [F.col("_name"), F.col("_apart")]
     sure = [F.when(has_term(tag_text, [b]) | (has_term(both, [b]) & _is_business(b, names, own)), F.lit(b)) for b in K.BRANDS]
-    label, key = site_label("website"), F.coalesce(F.col("category_key"), F.lit(""))
+    label, key = F.col("_site"), F.coalesce(F.col("category_key"), F.lit(""))
     unsure = []
     for b, cats in K.AMBIGUOUS_BRANDS.items():
         rest = F.trim(F.regexp_replace(F.regexp_replace(F.col("_name"), "^(.*?)" + re.escape(plain(b)), "$1"), r"\b(store|stores|home improvement|\d+)\b", ""))
         fits = key.isin(cats) & ((rest == "") | ~key.isin("retail", "specialty_retail"))
         unsure.append(F.when(has_term(every, [b]) & (has_term(tag_text, [b]) | ((label != "") & (label == plain(b).replace(" ", ""))) | fits), F.lit(b)))
-    return F.when(~has_term(F.col("_name"), K.BRAND_EXCLUDE), F.coalesce(*sure, *unsure))
+    return found.withColumn("brand", F.when(F.col("_some"), F.coalesce(*sure, *unsure)))
 
 
 def keyword_hits(keywords: Iterable[str]) -> Column:
@@ -95,8 +101,8 @@ def score(listings: DataFrame, keywords: Iterable[str] = ()) -> DataFrame:
     blocked = F.col("category_key").isNull() & (C.non_prospect_type() | C.non_prospect_name() | C.utility_structure() | C.self_storage() | C.service_plant() | C.vehicle_wash() | C.clinic())
     table = lambda field: F.create_map(*(F.lit(x) for c in K.CATEGORIES for x in (c.key, getattr(c, field))))
     of = lambda field: F.try_element_at(table(field), F.col("category_key"))
+    found = with_brand(found).withColumn("brand", F.when(~blocked, F.col("brand")))
     found = found.withColumns({
-        "brand": F.when(~blocked, brand()),
         "matched_keywords": keyword_hits(keywords),
         "_busy": busy(),
         "_foot": footprint_points(),
