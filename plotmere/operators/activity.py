@@ -6,6 +6,9 @@ only operators whose result is a row for each event sort a key's events.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -68,14 +71,31 @@ def change_feed(logs: list[tuple[DataFrame, str, str]], since: Column, overlap_s
     return out.distinct()
 
 
-def throttled(log: DataFrame, keys: list[str], at: str, seconds: int, changed: str | None = None) -> DataFrame:
-    """Rows that pass a throttle by gap: the first of a key, after so many seconds of silence, or where changed differs."""
-    w = W.partitionBy(*keys).orderBy(at)
-    gap = F.unix_seconds(F.col(at).cast("timestamp")) - F.unix_seconds(F.lag(at).over(w).cast("timestamp"))
-    passes = F.lag(at).over(w).isNull() | (gap >= seconds)
-    if changed:
-        passes = passes | (~F.col(changed).eqNullSafe(F.lag(changed).over(w)))
-    return log.withColumn("_passes", passes).filter("_passes").drop("_passes")
+def throttled(log: DataFrame, key: str, at: str, seconds: float, changed: str | None = None, tie: str | None = None) -> DataFrame:
+    """Rows that pass a throttle: a key's first, those so many seconds or more after the last that passed, and those
+    where changed differs from it.
+
+    Whether a row passes depends on the last that did, so a key's rows are read in order, a batch at a time: a task keeps
+    the last passed row of one key, however many rows the key has. Rows without a key or a time do not pass.
+    """
+    names = log.columns
+    order = [c for c in (at, tie) if c]
+    rows = log.filter(F.col(key).isNotNull() & F.col(at).isNotNull())
+    rows = rows.withColumns({"__micros": F.unix_micros(F.col(at).cast("timestamp")), "__key": F.col(key).cast("string"), "__state": F.col(changed).cast("string") if changed else F.lit("")})
+    span = int(seconds * 1_000_000)
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = (None, None, None)
+        for batch in batches:
+            keep = []
+            for who, micros, state in zip(*(batch.column(batch.schema.names.index(c)).to_pylist() for c in ("__key", "__micros", "__state")), strict=True):
+                passes = who != last[0] or state != last[2] or micros - last[1] >= span
+                keep.append(passes)
+                if passes:
+                    last = who, micros, state
+            yield batch.select(names).filter(pa.array(keep, pa.bool_()))
+
+    return rows.repartition("__key").sortWithinPartitions("__key", *order).mapInArrow(passing, log.schema)
 
 
 def first_of_day(log: DataFrame, day: Column, at: str, tie: str) -> DataFrame:

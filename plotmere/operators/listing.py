@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from plotmere.functions.geo import has_position
 from plotmere.functions.text import blank
 
 #: The tabs, and the types of listing that are never prospects.
@@ -80,3 +81,82 @@ def fingerprint(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
         one = df.agg(F.count(F.lit(1)).alias(f"{name}_n"), F.max(at).alias(f"{name}_max"), F.sum(number).alias(f"{name}_sum"))
         out = one if out is None else out.join(one)  # rows of one
     return out
+
+
+#: The columns that a user may sort by, and whether the largest come first.
+SORTS = {"score": True, "distance": False, "name": False, "city": False, "tier": False, "status": False}
+
+
+def sorted_by(listings: DataFrame, sort: str = "score", descending: bool | None = None, place: str = "place", phones_first: bool = False) -> DataFrame:
+    """By one of the user's sorts (its own direction unless told); equal values keep the saved order.
+
+    Texts are compared in lower case and blank ones come last either way. With phones_first (the unchecked tab) rows
+    with a phone come before the others in the default order.
+    """
+    if sort not in SORTS:
+        raise ValueError(f"no such sort: {sort}")
+    descending = SORTS[sort] if descending is None else descending
+    column = {"score": F.col("score"), "distance": F.col("distance_miles"), "tier": F.col("tier"), "status": blank("mark")}.get(sort, F.lower(blank(sort)))
+    value = F.when(column.cast("string") != "", column)
+    order = [value.desc_nulls_last() if descending else value.asc_nulls_last(), F.asc(place)]
+    return listings.orderBy(*([F.desc(blank("phone") != "")] if phones_first and sort == "score" else []), *order)
+
+
+def filtered(listings: DataFrame, tier: str = "", has_phone: bool | None = None, uid: str = "", outcome: str = "") -> DataFrame:
+    """Rows of a tier, with or without a phone, of one uid, or whose latest call had an outcome; empty values ask nothing."""
+    tests = [F.col("tier") == tier] if tier else []
+    tests += [(blank("phone") != "") == has_phone] if has_phone is not None else []
+    tests += [F.col("uid") == uid] if uid else []
+    tests += [blank("call_outcome") == outcome] if outcome else []
+    for test in tests:
+        listings = listings.filter(test)
+    return listings
+
+
+def page_with_pins(ordered_rows: DataFrame, pinned: list[str], offset: int, limit: int, key: str = "uid", most: int = 5000) -> DataFrame:
+    """A page, and the pinned rows (a few keys that a person has open) wherever they stand, each once."""
+    shown = page(ordered_rows, offset, limit, most)
+    return shown.union(ordered_rows.filter(F.col(key).isin(pinned)).join(shown.select(key), key, "left_anti").select(*shown.columns)) if pinned else shown
+
+
+def outcome_counts(listings: DataFrame, outcomes: list[str], column: str = "call_outcome") -> DataFrame:
+    """(outcome, n) for every outcome, empty ones too."""
+    every = listings.sparkSession.createDataFrame([(o,) for o in outcomes], "outcome string")
+    found = listings.filter(F.col(column).isin(outcomes)).groupBy(F.col(column).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    return every.join(F.broadcast(found), "outcome", "left").fillna({"n": 0})  # at most a row for each outcome
+
+
+def removed_rows(changed: DataFrame, present: DataFrame, key: str = "uid") -> DataFrame:
+    """Keys that changed and are not on the list any more."""
+    return changed.select(key).distinct().join(present.select(key), key, "left_anti")
+
+
+def orphans(logs: dict[str, tuple[DataFrame, str]], listings: DataFrame, key: str = "uid") -> DataFrame:
+    """(log, n): how many rows of each log (name: frame, its key column) no listing accounts for."""
+    out = None
+    for name, (log, column) in logs.items():
+        lost = log.filter(F.col(column).isNotNull()).join(listings.select(F.col(key).alias(column)), column, "left_anti")
+        one = lost.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("log"), "n")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def pins(listings: DataFrame) -> DataFrame:
+    """(uid, grp, kind, address, lat, lon) of listings with a position: what a map shows.
+
+    The group is the mark, else competitors, closed or unchecked; the kind is the first tab of it that is no prospect's.
+    """
+    exempt = F.coalesce(F.col("lead_type"), F.lit("")).isin(EXEMPT)
+    closed = blank("business_status") == "CLOSED_PERMANENTLY"
+    group = F.when(exempt, "competitors").when(blank("mark").isin("yes", "no"), F.col("mark")).when(closed, "closed").otherwise("unchecked")
+    town = F.concat_ws(" ", F.nullif(blank("state"), F.lit("")), F.nullif(blank("zip"), F.lit("")))
+    address = F.concat_ws(", ", *(F.nullif(c, F.lit("")) for c in (blank("address"), blank("city"), town)))
+    rows = listings.filter(has_position(F.col("lat"), F.col("lon")))
+    return rows.select("uid", group.alias("grp"), F.coalesce("lead_type", F.lit("Prospect")).alias("kind"), F.when(address == "", "No address listed").otherwise(address).alias("address"), "lat", "lon")
+
+
+def pin_counts(listings: DataFrame) -> DataFrame:
+    """(grp, n) over pins, and a row "no position" for the listings that have none."""
+    found = pins(listings).groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    lost = listings.agg(F.count_if(~has_position(F.col("lat"), F.col("lon"))).alias("n")).select(F.lit("no position").alias("grp"), "n")
+    return found.union(lost)

@@ -384,12 +384,14 @@ def json_props(spark, sf_dir):
     return e.select(F.explode(F.json_object_keys("props")).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query("""SELECT event_id FROM (SELECT *, lag(ts) OVER w AS before, lag(event_type) OVER w AS was FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE before IS NULL OR was <> event_type OR epoch_us(ts) // 1000000 - epoch_us(before) // 1000000 >= 3600""")
+@_query("""WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL), steps AS (
+SELECT user_id, r, event_id, us AS last_us, event_type AS last_type, true AS passes FROM e WHERE r = 1
+UNION ALL SELECT e.user_id, e.r, e.event_id, CASE WHEN ok THEN e.us ELSE last_us END, CASE WHEN ok THEN e.event_type ELSE last_type END, ok FROM (SELECT s.*, e.event_id AS next_id, (e.event_type <> s.last_type OR e.us - s.last_us >= 36000000000) AS ok FROM steps s JOIN e ON e.user_id = s.user_id AND e.r = s.r + 1) s JOIN e ON e.event_id = s.next_id)
+SELECT event_id FROM steps WHERE passes""")
 def throttled_changes(spark, sf_dir):
-    e = _table(spark, sf_dir, "events").withColumn("o", F.struct("ts", "event_id"))
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.unix_seconds(F.col("ts").cast("timestamp")) - F.unix_seconds(F.lag("ts").over(w).cast("timestamp"))
-    return e.withColumn("_p", F.lag("ts").over(w).isNull() | (F.lag("event_type").over(w) != F.col("event_type")) | (gap >= 3600)).filter("_p").select("event_id")
+    """Ten hours between equal outcomes; a changed outcome always passes."""
+    e = _table(spark, sf_dir, "events")
+    return activity.throttled(e, "user_id", "ts", 36000, "event_type", "event_id").select("event_id")
 
 
 @_query()
