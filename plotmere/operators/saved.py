@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotmere.functions.geo import cell, haversine, lon_degrees
-from plotmere.functions.text import blank, clean_name, numbers_of, site_name
+from plotmere.functions.text import blank, clean_name
 from plotmere.operators.activity import latest
 from plotmere.operators.resolve import merge_parts
 
@@ -88,18 +88,3 @@ def added_all(current: DataFrame, batch: DataFrame, key: str = "uid") -> DataFra
     if not bad.isEmpty():
         raise ValueError("the batch has rows that can't be added; none is")
     return current.unionByName(batch.select(*current.columns))
-
-
-def site_title(name: Column | str, names: Column) -> Column:
-    """A merged row's name without the building's number, where its parts' names differ in their numbers only.
-
-    ("Ridge 825" and "Ridge 826" are "Ridge".) Names are an array of the parts' names.
-    """
-    name = F.col(name) if isinstance(name, str) else name
-    several = (F.size(F.array_distinct(names)) > 1) & (F.size(F.array_distinct(F.transform(names, lambda n: F.array_join(numbers_of(n), ",")))) > 1)
-    one_site = (F.size(F.array_distinct(F.transform(names, lambda n: site_name(n)))) == 1) & (site_name(name) != "")
-    bare = F.regexp_replace(name, r"(?:^|\s)#?\s*[0-9]+[A-Za-z]?(?=[\s,)]|$)", "")
-    bare = F.regexp_replace(F.regexp_replace(bare, r"\s+", " "), "^[ ,#-]+|[ ,#-]+$", "")
-    return F.when(several & one_site & bare.rlike("[A-Za-z]"), bare).otherwise(name)
-
-

@@ -148,7 +148,8 @@ def flag_types(listings: DataFrame, known: DataFrame) -> DataFrame:
     """
     names = [c for c in listings.columns if c not in ("matched_alias", "matched_kind")]
     listings = listings.withColumn("_key", F.xxhash64(*names))
-    text = F.concat_ws(" ", normalize("name"), split_hyphens("name"), normalize(C.values_of(F.coalesce(F.col("raw_categories"), literals([])), "operator", "brand")))
+    others = F.transform("alt_names", lambda n: F.concat_ws(" ", normalize(n), split_hyphens(n))) if "alt_names" in names else literals([])
+    text = F.concat_ws(" ", normalize("name"), split_hyphens("name"), F.array_join(others, " . "), normalize(C.values_of(F.coalesce(F.col("raw_categories"), literals([])), "operator", "brand")))
     words = listings.select("_key", text.alias("_text"), F.explode(F.array_distinct(F.split(F.concat_ws(" ", text, site_label("website")), " "))).alias("_word"), site_label("website").alias("_site"))
     aliases = known.select(normalize("alias").alias("_alias"), compact("alias").alias("_compact"), "kind", "ord").filter("_alias <> ''")
     aliases = aliases.select("*", F.explode(F.array_distinct(F.array(F.try_element_at(F.split("_alias", " "), F.lit(1)), F.col("_compact")))).alias("_word"))
@@ -157,3 +158,22 @@ def flag_types(listings: DataFrame, known: DataFrame) -> DataFrame:
     met = met.filter(F.contains(F.concat(F.lit(" "), "_text", F.lit(" ")), F.concat(F.lit(" "), "_alias", F.lit(" "))) | (F.col("_site") == F.col("_compact")))
     first = met.groupBy("_key").agg(F.min(F.struct("ord", F.col("_alias").alias("alias"), "kind")).alias("_first"))
     return listings.join(first, "_key", "left").select(*names, F.col("_first.alias").alias("matched_alias"), F.col("_first.kind").alias("matched_kind"))
+
+
+#: Kinds of company that are no prospects, the most telling first, and how a flag begins.
+KINDS = {"Competitor": "COMPETITOR: ", "Own": "OWN COMPANY: ", "Parent": "OWN COMPANY: parent company "}
+
+
+def flagged(listings: DataFrame, known: DataFrame) -> DataFrame:
+    """Scored listings with lead_type and flags by the companies known (alias, company, kind, ord): a competitor comes
+    before one's own company, that before its parent; then the dictionary's order decides. Flags of before are read anew.
+    """
+    rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    ranked = known.filter(rank > 0).select("alias", F.concat_ws("|", "kind", "company").alias("kind"), F.struct(rank.alias("rank"), "ord").alias("ord"))
+    kept = F.filter(F.coalesce(F.col("flags"), literals([])), lambda f: ~f.startswith(KINDS["Competitor"]) & ~f.startswith(KINDS["Own"]))
+    found = flag_types(listings.withColumn("flags", kept), ranked)
+    kind, company = F.substring_index("matched_kind", "|", 1), F.substring_index("matched_kind", "|", -1)
+    start = F.coalesce(*(F.when(kind == k, F.lit(v)) for k, v in KINDS.items()))
+    flags = F.when(start.isNotNull(), F.concat(F.array(F.concat(start, company)), "flags")).otherwise(F.col("flags"))
+    lead_type = F.when(kind == "Competitor", "Competitor").when(kind.isin("Own", "Parent"), "Own").otherwise(F.col("lead_type"))
+    return found.withColumns({"flags": flags, "lead_type": lead_type}).drop("matched_alias", "matched_kind")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plotmere.operators import activity, listing
 from plotmere.operators.resolve import resolve
-from plotmere.operators.score import score
+from plotmere.operators.score import flagged, score
 from plotmere.operators.shared import shared_folder, written
 from plotmere.sources.listings import together, within
 
@@ -28,10 +28,10 @@ class Search(NamedTuple):
     limit: int | None = None
 
 
-def search(found: list[DataFrame], asked: Search, towns: list[str] | None = None) -> DataFrame:
+def search(found: list[DataFrame], asked: Search, towns: list[str] | None = None, known: DataFrame | None = None) -> DataFrame:
     """Listings of all sources in the circle: merged, scored, the kept ones, the best first.
 
-    The margin lets a listing outside merge with one inside; closed listings are merged before they are left out.
+    Companies that are known (alias, company, kind, ord) are no prospects: competitors, and one's own. The margin lets a listing outside merge with one inside; closed listings are merged before they are left out.
     """
     if not 0 < asked.miles <= 100:
         raise ValueError("a search has a radius of up to 100 miles")
@@ -39,8 +39,9 @@ def search(found: list[DataFrame], asked: Search, towns: list[str] | None = None
     # Each step is written: a filter on a score would be pushed through all rules, and the plan would be too large to optimize.
     folder = shared_folder(near.sparkSession, "search")
     near = written(near.withColumn("rid", F.xxhash64("source", "source_id")), f"{folder}/near")
-    merged = written(resolve(near, towns), f"{folder}/merged").withColumn("search_terms", F.array().cast("array<string>")).withColumn("primary_category", F.lit(""))
+    merged = written(resolve(near, towns), f"{folder}/merged")
     scored = written(score(within(merged, asked.lat, asked.lon, asked.miles), asked.keywords), f"{folder}/scored")
+    scored = flagged(scored, known) if known is not None else scored
     scored = listing.dispositions(scored, asked.least_score, asked.only_hits)
     kept = scored.filter("disposition = 'kept'")
     kept = listing.top_prospects(kept, asked.limit, "grp") if asked.limit is not None else kept

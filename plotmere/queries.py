@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from plotmere.functions import geo, text, time
 from plotmere.operators import activity, listing, places, resolve, stats, suppress
-from plotmere.operators.score import footprint_points, score, tier_of
+from plotmere.operators.score import busy, flag_types, flagged, footprint_points, score, tier_of
+from plotmere.sources.listings import together
 
 LAT, LON = 40.5, -111.5
 NOW = "2024-01-20 12:00:00"
@@ -66,9 +66,8 @@ _TIER = "CASE WHEN score >= 60 THEN 'A' WHEN score >= 40 THEN 'B' WHEN score >=
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """listings with score (footprint, reviews, and the nation's number for a category's weight) and tier."""
-    reviews = F.col("reviews")
-    busy = F.when(reviews >= 2000, 15).when(reviews >= 500, 10).when(reviews >= 100, 5).otherwise(0)
-    out = listings(spark, sf_dir).withColumn("score", (footprint_points("sqft") + busy + F.col("nation")).cast("long"))
+    out = listings(spark, sf_dir).withColumn("rating_count", F.col("reviews")).withColumn("yelp_reviews", F.lit(None).cast("int"))
+    out = out.withColumn("score", (footprint_points("sqft") + F.coalesce(busy()["points"], F.lit(0)) + F.col("nation")).cast("long")).drop("rating_count", "yelp_reviews")
     return out.withColumn("tier", tier_of(F.col("score")))
 
 
@@ -120,14 +119,29 @@ def rule_first_match(spark, sf_dir):
     return _table(spark, sf_dir, "part").select("p_partkey", F.coalesce(*(F.when(test, name) for name, test in rules), F.lit("other")).alias("rule"))
 
 
-_TERMS = [(1, "mall", "venue"), (2, "steel", "metal"), (3, "brass", "metal"), (4, "small", "size"), (5, "large", "size"), (6, "economy", "price"), (7, "promo", "price")]
+_TERMS = [(1, "small plated brass", "metal"), (2, "polished", "finish"), (3, "economy", "price"), (4, "promo", "price"), (5, "large brushed", "size"), (6, "standard", "price")]
 
 
-@_query(f"""SELECT p_partkey, arg_min(kind, ord) AS kind, min(ord) AS ord FROM (SELECT p_partkey, unnest(string_split(lower(p_type || ' ' || p_name), ' ')) AS term FROM part) JOIN (VALUES {", ".join(str(t) for t in _TERMS)}) t(ord, term, kind) USING (term) GROUP BY p_partkey""")
+@_query(f"""SELECT p_partkey, arg_min(alias, ord) AS alias, arg_min(kind, ord) AS kind FROM (SELECT p_partkey, ' ' || lower(p_type || ' ' || p_name) || ' ' AS t FROM part) JOIN (VALUES {", ".join(str(t) for t in _TERMS)}) d(ord, alias, kind) ON contains(t, ' ' || alias || ' ') GROUP BY p_partkey""")
 def dictionary_match(spark, sf_dir):
-    terms = spark.createDataFrame(_TERMS, "ord int, term string, kind string")
-    words = _table(spark, sf_dir, "part").select("p_partkey", F.explode(F.split(F.lower(F.concat_ws(" ", "p_type", "p_name")), " ")).alias("term"))
-    return words.join(F.broadcast(terms), "term").groupBy("p_partkey").agg(F.min_by("kind", "ord").alias("kind"), F.min("ord").alias("ord"))  # seven terms
+    """The first alias in order that a name holds as whole words."""
+    rows = _table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_type", "p_name").alias("name"), F.array().cast("array<string>").alias("raw_categories"), F.lit("").alias("website"))
+    found = flag_types(rows, spark.createDataFrame(_TERMS, "ord int, alias string, kind string"))
+    return found.filter("matched_alias is not null").select("p_partkey", F.col("matched_alias").alias("alias"), F.col("matched_kind").alias("kind"))
+
+
+_COMPANIES = [("economy", "Econ", "Own", 1), ("promo", "Promo Inc", "Competitor", 2), ("standard", "Std", "Parent", 3), ("brass", "Brass & Co", "Competitor", 4)]
+
+
+@_query("""SELECT p_partkey, CASE WHEN contains(t, ' promo ') OR contains(t, ' brass ') THEN 'Competitor' WHEN contains(t, ' economy ') OR contains(t, ' standard ') THEN 'Own' ELSE 'Prospect' END AS lead_type,
+concat_ws('; ', CASE WHEN contains(t, ' promo ') THEN 'COMPETITOR: Promo Inc' WHEN contains(t, ' brass ') THEN 'COMPETITOR: Brass & Co' WHEN contains(t, ' economy ') THEN 'OWN COMPANY: Econ' WHEN contains(t, ' standard ') THEN 'OWN COMPANY: parent company Std' END, CASE WHEN p_partkey % 2 = 0 THEN 'Temporarily closed' END) AS flags
+FROM (SELECT p_partkey, ' ' || lower(p_type || ' ' || p_name) || ' ' AS t FROM part)""")
+def company_flags(spark, sf_dir):
+    """Competitors before one's own company before its parent; old flags are read anew."""
+    old = F.array_compact(F.array(F.lit("COMPETITOR: Old Name"), F.when(F.col("p_partkey") % 2 == 0, "Temporarily closed")))
+    rows = _table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_type", "p_name").alias("name"), F.array().cast("array<string>").alias("raw_categories"), F.lit("").alias("website"), old.alias("flags"), F.lit("Prospect").alias("lead_type"))
+    found = flagged(rows, spark.createDataFrame(_COMPANIES, "alias string, company string, kind string, ord int"))
+    return found.select("p_partkey", "lead_type", F.array_join("flags", "; ").alias("flags"))
 
 
 _NORM = "trim(regexp_replace(regexp_replace(replace(lower({}), '&', ' and '), '[^a-z0-9 ]+', '', 'g'), ' +', ' ', 'g'))"
@@ -196,19 +210,30 @@ def fuzzy_name_ratio(spark, sf_dir):
     return s.join(other, "s_suppkey").select("s_suppkey", resolve.name_ratio("s_name", "next_name").alias("ratio"))
 
 
-@_query("""SELECT l_orderkey AS grp, arg_min(l_returnflag, (l_linenumber, l_returnflag)) AS base, max(l_quantity) AS most, coalesce(arg_min(nullif(l_linestatus, 'O'), l_linenumber) FILTER (l_linestatus <> 'O'), '') AS status,
-array_to_string(list_distinct_in_order, ',') AS parts FROM (SELECT *, list_transform(list_sort(list(DISTINCT {'at': f, 'p': l_returnflag}) OVER (PARTITION BY l_orderkey)), lambda x: x.p) AS list_distinct_in_order FROM (SELECT *, min(l_linenumber) OVER (PARTITION BY l_orderkey, l_returnflag) AS f FROM lineitem)) GROUP BY l_orderkey, list_distinct_in_order""")
-def merge_reduce(spark, sf_dir):
-    """First values, first non-blank values, maxima and ordered unions of each group."""
-    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", F.when(F.col("l_linestatus") != "O", F.col("l_linestatus")).alias("status"))
-    flags = rows.groupBy("l_orderkey", "l_returnflag").agg(F.min("l_linenumber").alias("f"), F.min_by("status", F.when(F.col("status").isNotNull(), F.col("l_linenumber"))).alias("status"), F.min(F.when(F.col("status").isNotNull(), F.col("l_linenumber"))).alias("sf"), F.max("l_quantity").alias("most"))
-    union = F.transform(F.array_sort(F.collect_list(F.struct("f", "l_returnflag"))), lambda x: x["l_returnflag"])
-    return flags.groupBy(F.col("l_orderkey").alias("grp")).agg(F.min_by("l_returnflag", F.struct("f", "l_returnflag")).alias("base"), F.max("most").alias("most"), F.coalesce(F.min_by("status", "sf"), F.lit("")).alias("status"), F.array_join(union, ",").alias("parts"))
+_MERGED = """SELECT o_custkey AS grp, o_orderkey AS rid, 'Shop ' || translate(CAST(o_orderkey % 37 AS VARCHAR), '0123456789', 'abcdefghij') AS name, o_totalprice AS lat, CASE o_orderstatus WHEN 'F' THEN 'google' WHEN 'P' THEN 'yelp' ELSE 'osm' END AS source,
+CASE WHEN o_orderkey % 5 = 0 THEN 'CLOSED_PERMANENTLY' ELSE '' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN '801555' || o_orderkey ELSE '' END AS phone, CASE WHEN o_orderkey % 4 = 1 THEN 'shop=' || (o_orderkey % 7) ELSE 'building=yes' END AS tag, o_orderkey % 1000 AS rating FROM orders"""
 
 
-@_query("SELECT l_partkey, l_suppkey, min(l_orderkey) AS first_order, count(*) AS n FROM lineitem GROUP BY l_partkey, l_suppkey")
+@_query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY status <> '', CASE source WHEN 'google' THEN 0 WHEN 'yelp' THEN 1 ELSE 2 END, source = 'osm' AND phone = '' AND NOT starts_with(tag, 'shop='), -CAST(phone <> '' AS INTEGER), rid) AS o FROM ({_MERGED}))
+SELECT grp, arg_min(name, o) AS name, arg_min(lat, o) AS lat, coalesce(arg_min(phone, o) FILTER (phone <> ''), '') AS phone, max(rating) AS rating_count, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources, count(*) AS n_parts,
+(SELECT string_agg(tag, ',' ORDER BY f) FROM (SELECT tag, min(o) AS f FROM r t WHERE t.grp = r.grp GROUP BY tag)) AS tags, (SELECT coalesce(string_agg(name, ',' ORDER BY f), '') FROM (SELECT name, min(o) AS f FROM r t WHERE t.grp = r.grp GROUP BY name HAVING min(o) > 1)) AS others FROM r GROUP BY grp""")
+def merge_reduce(spark, sf_dir):
+    """Merged listings of given groups: a customer's orders as listings of one business."""
+    k, none = F.col("o_orderkey"), {c: F.lit("").alias(c) for c in ("website", "address", "city", "state", "zip", "source_id")}
+    rows = _table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("grp"), k.alias("rid"), F.concat(F.lit("Shop "), F.translate((k % 37).cast("string"), "0123456789", "abcdefghij")).alias("name"), F.col("o_totalprice").alias("lat"), F.lit(0.0).alias("lon"),
+        F.when(F.col("o_orderstatus") == "F", "google").when(F.col("o_orderstatus") == "P", "yelp").otherwise("osm").alias("source"), F.when(k % 5 == 0, "CLOSED_PERMANENTLY").otherwise("").alias("business_status"),
+        F.when(k % 3 == 0, F.concat(F.lit("801555"), k.cast("string"))).otherwise("").alias("phone"), F.array(F.when(k % 4 == 1, F.concat(F.lit("shop="), (k % 7).cast("string"))).otherwise("building=yes")).alias("raw_categories"),
+        (k % 1000).alias("rating_count"), F.lit(None).cast("int").alias("yelp_reviews"), F.lit(None).cast("long").alias("footprint_sqft"), F.lit(None).cast("struct<s:double,w:double,n:double,e:double>").alias("outline"), *none.values())
+    found = resolve.merge_groups(rows.drop("grp"), rows.select("rid", "grp"))
+    return found.select("grp", "name", "lat", "phone", "rating_count", F.array_join("sources", ",").alias("sources"), "n_parts", F.array_join("raw_categories", ",").alias("tags"), F.array_join("alt_names", ",").alias("others"))
+
+
+@_query("SELECT l_partkey, CAST(l_suppkey AS VARCHAR) AS l_suppkey FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)")
 def exact_key_dedupe(spark, sf_dir):
-    return _table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.min("l_orderkey").alias("first_order"), F.count(F.lit(1)).alias("n"))
+    """Records that several requests found, once each."""
+    found = _table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("source"), F.col("l_suppkey").cast("string").alias("source_id"))
+    return together(found, found.filter("source % 2 = 0")).select(F.col("source").alias("l_partkey"), F.col("source_id").alias("l_suppkey"))
 
 
 @_query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts, count(*) AS n, arg_max(value, (ts, event_id)) FILTER (event_type = 'purchase') AS last_purchase FROM events WHERE user_id IS NOT NULL GROUP BY user_id")
@@ -374,8 +399,9 @@ def budget_schedule(spark, sf_dir):
 
 @_query("SELECT max(coalesce(lang, '') <> '') AS lang, max(coalesce(text, '') <> '') AS text, max(coalesce(source, '') <> '') AS source FROM documents")
 def optional_columns(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents")
-    return d.agg(*(F.max(F.coalesce(F.col(c), F.lit("")) != "").alias(c) for c in ("lang", "text", "source")))
+    asked = ["lang", "text", "source"]
+    found = stats.filled_columns(_table(spark, sf_dir, "documents"), asked)
+    return spark.createDataFrame([tuple(c in found for c in asked)], ", ".join(f"{c} boolean" for c in asked))
 
 
 @_query("SELECT k, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS k FROM events) GROUP BY k")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plotmere.functions import geo
+from plotmere.functions import geo, text
 from plotmere.operators import activity, listing, places, resolve, saved, searches, stats, suppress
 from plotmere.queries import _AREAS, _LISTINGS, _TABBED, LAT, LON, NOW, _areas, _miles, _query, _table, listings, tabbed
 from plotmere.queries_columns import _list, _pick, _pick_sql
@@ -155,7 +155,7 @@ def circle_parts(spark, sf_dir):
     return places.parts_of(spark, 40.5, -111.9, 25.0).select(*(F.round(c, 6).alias(c) for c in "swne"), F.round("near_miles", 6).alias("near"))
 
 
-@_query(f"SELECT name, radius_miles FROM ({_AREAS}) WHERE {_miles('40.5', '-111.5', 'lat', 'lon')} <= 25 ORDER BY radius_miles DESC, name LIMIT 5")
+@_query(f"SELECT name, CAST(radius_miles AS DOUBLE) AS radius_miles FROM ({_AREAS}) WHERE {_miles('40.5', '-111.5', 'lat', 'lon')} <= 25 ORDER BY radius_miles DESC, name LIMIT 5")
 def towns_in_circle(spark, sf_dir):
     return places.towns_in(_areas(spark, sf_dir), LAT, LON, 25.0, 5).select("name", "radius_miles")
 
@@ -189,7 +189,7 @@ def earlier_searches(spark, sf_dir):
     return searches.earlier(_searches(spark, sf_dir), _now(), 14_400, "place", "source").select("place_key", "source", F.col("at").alias("seen_at"), "id")
 
 
-@_query(f"SELECT id, seen_at, miles FROM ({_SEARCHES}) WHERE source = 'view' AND {_miles('40.5', '-111.5', 'lat', 'lon')} + 10 <= miles + 1 ORDER BY seen_at DESC, id DESC LIMIT 1")
+@_query(f"SELECT id, seen_at, CAST(miles AS DOUBLE) AS miles FROM ({_SEARCHES}) WHERE source = 'view' AND {_miles('40.5', '-111.5', 'lat', 'lon')} + 10 <= miles + 1 ORDER BY seen_at DESC, id DESC LIMIT 1")
 def covering_search(spark, sf_dir):
     return searches.latest_covering(_searches(spark, sf_dir), LAT, LON, 10.0, "view").select("id", F.col("at").alias("seen_at"), "miles")
 
@@ -375,7 +375,7 @@ def site_titles(spark, sf_dir):
     name = F.concat(_pick(_TITLES, F.col("l_orderkey") % 4), F.lit(" "), F.col("l_linenumber").cast("string"))
     rows = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set(name).alias("names"), F.min("l_linenumber").alias("ln"))
     shown = F.concat(_pick(_TITLES, F.col("l_orderkey") % 4), F.lit(" #"), F.col("ln").cast("string"), F.lit("B"))
-    return rows.select("l_orderkey", saved.site_title(shown, F.col("names")).alias("title"))
+    return rows.select("l_orderkey", text.site_title(shown, F.col("names")).alias("title"))
 
 
 # ---------------------------------------------------------------- sources and sinks
