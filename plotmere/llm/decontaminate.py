@@ -181,16 +181,16 @@ def _mark_by_join(docs: DataFrame, items: DataFrame, schema: str, text_col: str,
 
     lengths = [r.n for r in items.mapInArrow(sizes, "n int").filter(f"n between 1 and {window - 1}").distinct().collect()]
     names = docs.columns
-    docs = docs.withColumn("_row", F.xxhash64(*names))
-    items = items.withColumn("_item", F.xxhash64("item", "text"))  # ids may be null, or stand on several texts
-    of_items = items.select("_item", "text").mapInArrow(lambda batches: kept(batches, True), "gram long, id long")
-    of_docs = docs.select("_row", F.col(text_col).alias("text")).mapInArrow(lambda batches: kept(batches, False), "gram long, id long")
-    pairs = of_docs.withColumnRenamed("id", "_row").join(of_items, "gram").select("_row", F.col("id").alias("_item")).distinct()
-    met = pairs.join(items, "_item").groupBy("_row").agg(F.collect_set(F.struct("item", "text")).alias("_items"))
+    docs = docs.withColumn("__bench_row", F.xxhash64(*names))
+    items = items.withColumn("__bench_item", F.xxhash64("item", "text"))  # ids may be null, or stand on several texts
+    of_items = items.select("__bench_item", "text").mapInArrow(lambda batches: kept(batches, True), "gram long, id long")
+    of_docs = docs.select("__bench_row", F.col(text_col).alias("text")).mapInArrow(lambda batches: kept(batches, False), "gram long, id long")
+    pairs = of_docs.withColumnRenamed("id", "__bench_row").join(of_items, "gram").select("__bench_row", F.col("id").alias("__bench_item")).distinct()
+    met = pairs.join(items, "__bench_item").groupBy("__bench_row").agg(F.collect_set(F.struct("item", "text")).alias("__bench_items"))
 
     def marked(batches):
         for batch in batches:
-            met_items = batch.column(batch.schema.names.index("_items")).to_pylist()
+            met_items = batch.column(batch.schema.names.index("__bench_items")).to_pylist()
             own = batch.select(names)
             rows = []
             for hashes, some in zip(_hashes(own.column(names.index(text_col))), met_items, strict=True):
@@ -199,7 +199,7 @@ def _mark_by_join(docs: DataFrame, items: DataFrame, schema: str, text_col: str,
             if batch.num_rows:
                 yield _named(own, rows)
 
-    return docs.join(met, "_row", "left").drop("_row").mapInArrow(marked, schema)
+    return docs.join(met, "__bench_row", "left").drop("__bench_row").mapInArrow(marked, schema)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

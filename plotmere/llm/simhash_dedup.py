@@ -177,14 +177,14 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows of the component that repeat the kept id stay with it, and rows with a null id are kept.
     """
     gone = cluster(docs, id_col, text_col, shingle, bits).filter(F.col(id_col) != F.col("component_id"))
-    gone = gone.select(F.col(id_col).alias("_id"), F.conv("fingerprint", 16, -10).cast("long").alias("_of")).distinct()
+    gone = gone.select(F.col(id_col).alias("__near_id"), F.conv("fingerprint", 16, -10).cast("long").alias("__near_of")).distinct()
     names = docs.columns
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(len(names))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64))], [*names, "_fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64))], [*names, "__near_fp"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", _fp long"
-    marked = docs.withColumn("_text", F.col(text_col).cast("string")).mapInArrow(of, schema)
-    return marked.join(gone, (F.col(id_col).cast("long") == F.col("_id")) & (F.col("_fp") == F.col("_of")), "left_anti").drop("_fp")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", __near_fp long"
+    marked = docs.withColumn("__near_text", F.col(text_col).cast("string")).mapInArrow(of, schema)
+    return marked.join(gone, (F.col(id_col).cast("long") == F.col("__near_id")) & (F.col("__near_fp") == F.col("__near_of")), "left_anti").drop("__near_fp")

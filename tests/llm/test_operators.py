@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, an exact round trip or held-out accuracy, and its edge cases."""
 
 import hashlib
+import itertools
 import math
 import random
 import time
@@ -245,17 +246,164 @@ def test_toxicity_learns(spark, empty):
     assert toxicity.score_held_out(empty, df.select("doc_id", "toxic")).count() == 0
 
 
+M64 = (1 << 64) - 1
+
+
+def plain_mix(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & M64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & M64
+    return x ^ x >> 31
+
+
+def plain_levels(text):
+    """The parsing written out for one text: runs, tosses, cuts, names. Yields the names of each level, and whether one is whole."""
+    symbols = list(text.encode())
+    run, length_of, base = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x9E3779B97F4A7C15
+    while symbols:
+        runs = [(s, len(list(g))) for s, g in itertools.groupby(symbols)]
+        if len(runs) < len(symbols):
+            symbols = [plain_mix((s * run + n) & M64) if n > 1 else s for s, n in runs]
+        bit = lambda a, b: ((a ^ b) & -(a ^ b)).bit_length() - 1
+        label = [symbols[0] & 1] + [2 * bit(a, b) + (b >> bit(a, b) & 1) for a, b in itertools.pairwise(symbols)]
+        for _ in range(3):
+            label = [label[0] & 1] + [2 * bit(a, b) + (b >> bit(a, b) & 1) for a, b in itertools.pairwise(label)]
+        for value in (3, 4, 5):
+            around = [None, *label, None]
+            label = [min({0, 1, 2} - {around[i], around[i + 2]}) if x == value else x for i, x in enumerate(label)]
+        n = len(label)
+        inner = lambda i, d: label[i + d] if 0 <= i + d < n else -1
+        top = [label[i] > inner(i, -1) and label[i] > inner(i, 1) for i in range(n)]
+        low = [label[i] < inner(i, -1) and label[i] < inner(i, 1) and not any(0 <= i + d < n and top[i + d] for d in (-1, 1)) for i in range(n)]
+        cut = [i == 0 or ((top[i] or low[i]) and i not in (1, n - 1)) for i in range(n)]
+        starts = [i for i in range(n) if cut[i]] + [n]
+        symbols = [plain_mix((sum(s * pow(base, k + 1, 1 << 64) for k, s in enumerate(symbols[a:b])) + (b - a) * length_of) & M64) for a, b in itertools.pairwise(starts)]
+        yield symbols, len(symbols) == 1
+        if len(symbols) == 1:
+            return
+
+
+def plain_sketch(text):
+    kept = set()
+    for depth, (names, whole) in enumerate(plain_levels(text), 1):
+        if depth >= phrase_fingerprint.LEVEL or whole:
+            kept |= {plain_mix(x) >> 32 for x in names}
+    return sorted(kept)[: phrase_fingerprint.KEPT]
+
+
+def plain_likeness(a, b):
+    if not a or not b:
+        return float(len(a) == len(b))
+    least = sorted({*a, *b})[: phrase_fingerprint.KEPT]
+    return sum(x in a and x in b for x in least) / len(least)
+
+
 def test_phrases_against_plain_walk(docs, empty):
     rows = [(r.doc_id, r.text or "") for r in docs.orderBy("doc_id").collect()]
     got = {r.doc_id: r for r in phrase_fingerprint.compare_edits(docs).collect()}
-    prints = {r.doc_id: r.fingerprint for r in phrase_fingerprint.fingerprints(docs.select("doc_id", "text")).collect()}
+    shown = lambda s: "".join(f"{x:08x}" for x in s)
     for k, (i, t) in enumerate(rows):
-        after = rows[(k + 1) % len(rows)][1]
-        new = phrase_fingerprint.edited(t, after)
-        assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(new.encode()).hexdigest() and got[i].fingerprint == prints[i]
-        a, b, c = phrase_fingerprint.sketches([t, new, after])
-        assert got[i].edited_fingerprint == phrase_fingerprint.as_text(b) and got[i].near_edited == phrase_fingerprint.likeness(a, b) and got[i].near_next == phrase_fingerprint.likeness(a, c)
-    assert prints[0] == prints[60] and phrase_fingerprint.compare_edits(empty).count() == 0
+        after, half = rows[(k + 1) % len(rows)][1], len(t) // 2
+        new = t[: len(t) - half] + after[:half]
+        a, b, c = plain_sketch(t), plain_sketch(new), plain_sketch(after)
+        assert (got[i].n_chars, got[i].edited_sha256, got[i].fingerprint, got[i].edited_fingerprint) == (len(t), hashlib.sha256(new.encode()).hexdigest(), shown(a), shown(b))
+        assert (got[i].near_edited, got[i].near_next) == (plain_likeness(a, b), plain_likeness(a, c))
+    assert phrase_fingerprint.compare_edits(empty).count() == 0
+
+
+def test_toxicity_against_plain_ftrl(spark):
+    """One group, one round: FTRL-proximal written out cell by cell, over features hashed one at a time."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices(WORDS, k=rng.randrange(0, 12))) + (" rotten" if i % 3 == 0 else ""), i % 3 == 0) for i in range(60)]
+    df = spark.createDataFrame([(i, t, int(y)) for i, t, y in rows], "id long, text string, label int")
+    model = toxicity.train(df, shards=1, rounds=1)
+    kinds = [int(k) for k in toxicity._KINDS]
+
+    def cells(text):
+        h = [int(x) for x in toxicity.words(next(toxicity.slices(pa.array([text]))), toxicity.LETTERS).hash] if text else []
+        every = {plain_mix(x * kinds[0] & M64) for x in h} | {plain_mix((a * kinds[gap] + b) & M64) for gap in (1, 2) for a, b in zip(h, h[gap:], strict=False)}
+        return sorted({max(x >> 64 - toxicity.BITS, 1) for x in every})
+
+    z, n = Counter(), Counter()
+
+    def weight(c, plain=False):
+        if not plain and abs(z[c]) <= toxicity.L1:
+            return 0.0
+        return -(z[c] - (0 if plain else math.copysign(toxicity.L1, z[c]))) / ((toxicity.BETA + math.sqrt(n[c])) / toxicity.ALPHA + toxicity.L2)
+
+    for k in np.random.default_rng(0).permutation(len(rows)).tolist():
+        own = cells(rows[k][1])
+        w = {0: weight(0, True), **{c: weight(c) for c in own}}
+        g = 1 / (1 + math.exp(-sum(w.values()))) - rows[k][2]
+        for c, x in w.items():
+            z[c] += g - (math.sqrt(n[c] + g * g) - math.sqrt(n[c])) / toxicity.ALPHA * x
+            n[c] += g * g
+    want = {c: weight(c) for c in z if c and weight(c)}
+    assert dict(zip(model["cells"].tolist(), model["weights"].tolist(), strict=True)) == pytest.approx(want, rel=1e-4, abs=1e-5) and model["bias"] == pytest.approx(weight(0, True), rel=1e-4)
+    for r in toxicity.score(df, model).collect():
+        assert r.score == pytest.approx(1 / (1 + math.exp(-weight(0, True) - sum(want.get(c, 0) for c in cells(r.text)))), abs=1e-4)
+
+
+def test_toxicity_of_odd_labels(spark):
+    """Null labels teach nothing; the largest of an id's labels holds; repeated rows and clashing columns stay."""
+    rows = [(1, "fine words"), (1, "fine words"), (2, None), (None, "no id"), (3, "rotten"), (8, "rotten words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash")).withColumn("predicted", F.lit("clash"))
+    labels = spark.createDataFrame([(1, 0), (3, 0), (3, 1), (8, 1), (2, None), (None, 1)], "doc_id long, toxic int")
+    learnt = {(r.id, r.label) for r in toxicity.sampled(df, labels).collect()}
+    assert learnt == {(1, 0), (3, 1), (8, 1)}
+    assert len(toxicity.score(df, toxicity.train(toxicity.sampled(df, labels))).collect()) == 6
+
+
+def test_languages_against_plain_zstandard(spark):
+    """The dictionary of fewest bytes, each block compressed on its own; ties, one language, and clashing columns."""
+    import zstandard
+
+    model = {"aa": b"alder birch cedar dogwood elm fir ginkgo " * 20, "bb": b"hazel iris juniper kelp laurel maple nettle " * 20}
+    rows = [(1, "Alder, birch and cedar! " * 30), (2, "kelp maple iris hazel nettle " * 400), (3, None), (4, "12 34"), (5, "é"), (6, " ".join(WORDS))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash"))
+    got = {r.doc_id: (r.lang_pred, r.score, r.rejected) for r in language_id.classify(df, model).collect()}
+    for i, text in rows:
+        if not text or not any(c.isalpha() for c in text):
+            assert got[i] == ("und", 0.0, True)
+            continue
+        plain = b" ".join("".join(c if ord(c) > 127 or c.isalpha() else " " for c in text.lower()).encode().split())
+        plain = plain if len(plain) >= language_id.SHORT else b" " * 64 + b" ".join([plain] * 4)
+        sizes = {}
+        for lang, content in model.items():
+            one = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=language_id._SETTINGS)
+            sizes[lang] = sum(len(one.compress(plain[k : k + language_id.BLOCK])) for k in range(0, len(plain), language_id.BLOCK))
+        best, second = sorted(sizes.values())
+        assert got[i][0] == min(sizes, key=lambda k: (sizes[k], k)) and got[i][1] == pytest.approx(min(1, (second - best) / best)) and got[i][2] == (got[i][1] < language_id.MARGIN)
+    assert {r.lang_pred for r in language_id.classify(df, {"aa": model["aa"]}).collect()} == {"aa", "und"}
+    assert {r.lang_pred for r in language_id.classify(df, {}).collect()} == {"und"}
+
+
+@pytest.mark.parametrize("name", ["op3_license_scan", "op8_benchmark_decontamination", "op9_substring_dedup"])
+def test_queries_match_sql(spark, name):
+    import duckdb
+
+    from plotmere.llm.queries import ORACLE_SQL
+
+    con, sf = duckdb.connect(), "/root/testdata/sf0.001"
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    found = QUERIES[name](spark, sf)
+    ours = sorted(found.collect(), key=lambda r: r.doc_id)
+    theirs = con.sql(f"SELECT {', '.join(found.columns)} FROM ({ORACLE_SQL[name]}) ORDER BY doc_id").fetchall()
+    for a, b in zip(ours, theirs, strict=True):
+        assert all(x == pytest.approx(y) if isinstance(x, float) else x == y for x, y in zip(a, b, strict=True))
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    """Words of a text are the same, however it is cut, and a word of any length has one hash."""
+    from plotmere.llm import shared
+
+    text = " ".join("x" * k + "é" for k in range(60)) + "\n" + "y" * 3000
+    whole = [shared.words(next(shared.slices(pa.array([text, None, "", "a b"]))), shared.alphabet(lower=True))]
+    monkeypatch.setattr(shared, "_CHUNK", 50)
+    monkeypatch.setattr(shared, "_LONG", 16)
+    parts = shared.words(next(shared.slices(pa.array([text, None, "", "a b"]))), shared.alphabet(lower=True))
+    for a, b in zip(whole[0], parts, strict=True):
+        assert (a == b).all()
 
 
 def test_phrases_are_consistent():
@@ -415,14 +563,51 @@ def test_languages_held_out(spark, docs):
     assert language_id.predict_held_out(docs.limit(0)).count() == 0
 
 
+def brute_chain(rows, items):
+    """What the stages after language ID keep of (id, text): one of each near copy, no repeated windows, no benchmark."""
+    words = {i: split(ascii_lower(t or "")) for i, t in rows}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set() for i, w in words.items()}
+    least = {i: i for i in sets}
+    near = [(i, j) for i in sets for j in sets if i < j and (sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))]
+    for _ in sets:
+        for i, j in near:
+            least[i] = least[j] = min(least[i], least[j])
+    kept = {i: split(t) for i, t in rows if least[i] == i}
+    windows = Counter(tuple(w[k : k + 35]) for w in kept.values() for k in range(len(w) - 34))
+    for i, w in kept.items():
+        gone = {p for k in range(len(w) - 34) if windows[tuple(w[k : k + 35])] > 1 for p in range(k, k + 35)}
+        kept[i] = [x for k, x in enumerate(w) if k not in gone]
+    return {i: w for i, w in kept.items() if not brute_hits(" ".join(w), items)[1]}
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """The whole chain on planted copies, passages and benchmark items, with nulls and extra columns; language ID by itself."""
+    rng = random.Random(11)
+    prose = lambda k: " ".join(rng.choice(WORDS) + str(rng.randrange(40)) for _ in range(k))
+    passage, item = prose(60), prose(30)
+    rows = [(i, prose(rng.randrange(40, 200))) for i in range(80)]
+    rows += [(100, rows[3][1]), (101, rows[3][1].upper()), (102, rows[5][1] + " more words here"), (103, prose(50) + " " + passage + " " + prose(50)), (104, passage + " " + prose(70)), (105, prose(40) + " " + item), (106, None), (107, ""), (108, "12 !"), (109, rows[9][1] + "\n" + item[:40])]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _id string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    want = brute_chain([(i, t) for i, t in rows if i not in (106, 107, 108)], [(1, item)])
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    assert set(got) == set(want)
+    assert all(split(library.decode(got[i].ids)) == w for i, w in want.items())
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = docs.union(docs.limit(5)).union(spark.createDataFrame([(None, None, None, None, None), (7, None, "", "", 0), (None, "words", None, "s", 5)], docs.schema)).withColumn("_hits", F.lit(1)).withColumn("id", F.lit("clash"))
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        kept = stage(spark, docs, "/root/testdata/sf0.001")
-        assert kept.columns == docs.columns and 0 < kept.count() <= docs.count(), name
+        for rows in (docs, odd):
+            kept = stage(spark, rows, "/root/testdata/sf0.001")
+            assert kept.columns == rows.columns and 0 < kept.count() <= rows.count(), name
+        assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), "").count() == 0
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert out and all(r.n_tokens == len(r.ids) for r in out)
-    assert corpus_pipeline.STAGES[1][1](spark, docs.limit(0), "").count() == 0
 
 
 def test_queries_are_registered(spark):
