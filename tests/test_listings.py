@@ -46,7 +46,7 @@ EXAMPLES = [
     ("Willow Urgent Care", ["hospital"], "", None, "clinic"),
     ("Green Door Storage Units", ["building=warehouse"], "", None, "self-storage"),
     ("Mattress Warehouse", ["building=yes"], "", "specialty_retail", "retail chain"),
-    ("Fern Foods", ["winery", "yelp:wineries", "restaurant"], "", "food_production", "production listing"),
+    ("Fern Foods", ["winery", "yelp:wineries"], "", "food_production", "production listing"),
     ("Pine Peak Ski Resort", ["shop=hardware"], "", "hospitality", "resort or mall name"),
     ("Plum", ["tourism=hotel"], "", "hospitality", "own category"),
     ("Maple Lofts", ["real_estate_agency"], "", "multifamily", "name beats type"),
@@ -77,7 +77,7 @@ def test_resolved_listings_keep_what_was_merged(spark):
         lead(5, "Plum Ridge 826", source="osm", source_id="e", lat=40.503, lon=-111.8),
         lead(6, "Alone", source="osm", source_id="f", lat=40.2, lon=-111.8),
     ]
-    got = {r.name: r for r in resolve(frame(spark, rows)).collect()}
+    got = {r.name: r for r in resolve.resolve(frame(spark, rows)).collect()}
     assert set(got) == {"Fern Foods", "Plum Ridge", "Alone"}
     fern = got["Fern Foods"]
     assert (fern.sources, fern.n_parts, fern.search_terms, fern.primary_category) == (["google", "osm", "yelp"], 3, ["foods", "meats"], "Maker") and "Fern Foods Inc" in fern.alt_names
@@ -85,7 +85,7 @@ def test_resolved_listings_keep_what_was_merged(spark):
 
 
 def test_names_of_tags_and_places(spark):
-    row = spark.range(1).select(T.pretty_tag(F.lit("fast_food;drive-in")).alias("t"), *(F.lit(n).rlike(S.PART_LABEL).alias(f"p{i}") for i, n in enumerate(["Building B", "bldg. 12", "Suite #4", "B Tower", "Unit", "Building Supplies", "3M"]))).first()
+    row = spark.range(1).select(text.pretty_tag(F.lit("fast_food;drive-in")).alias("t"), *(F.lit(n).rlike(listings.PART_LABEL).alias(f"p{i}") for i, n in enumerate(["Building B", "bldg. 12", "Suite #4", "B Tower", "Unit", "Building Supplies", "3M"]))).first()
     assert tuple(row) == ("Fast Food, Drive-In", True, True, True, True, False, False, False)
 
 
