@@ -8,9 +8,10 @@ The model lies in the shared folder as sorted arrays, cut into shards by the lea
   before it). Below the highest level it also has what is needed where it is a context: the sum of the adjusted counts
   of its continuations, and how many of those have count 1, 2, and 3 or more.
 
-Keys are stored without the bits that their place in the file tells. A count takes a byte; larger ones lie in a list
-beside it as 64-bit numbers. Workers map the files into memory, so what
-a worker holds does not grow with the model; a text's look-ups are sorted first and go shard by shard.
+Keys are stored without the bits that their place in the file tells. All counts of a sequence take one byte together,
+the number of their row in a table of the shard's most frequent rows; other rows lie in a list beside it, in full.
+Workers map the files into memory, so what a worker holds does not grow with the model; a text's look-ups are sorted
+first and go shard by shard.
 
 Counting shuffles packed arrays (one row for each run of tokens and shard), which tasks have already summed, so a
 sequence that a third of the corpus repeats is one number in each. Sequences are dealt by their own hash, never by their
@@ -151,6 +152,8 @@ def _gathered(batches: Iterator[pa.RecordBatch], places: int, kind: str) -> Iter
 
 #: Numbers before a file's arrays: how many keys, how many have count 1 to 4, the sum of the counts.
 _HEAD = 6
+#: Rows in a file's table of frequent rows; also the code of all others.
+_OTHER = 255
 
 
 def _cells(keys: np.ndarray, shard: int, shards: int) -> np.ndarray:
@@ -163,13 +166,26 @@ def _as_file(keys: np.ndarray, columns: list[np.ndarray], shard: int, shards: in
     """A shard's file. Of a key the last 48 bits are stored, as 32 and 16; the directory says where each cell begins."""
     count, cells = columns[0], max(1, (1 << 16) // shards)
     filled = lambda n: np.zeros(-n % 8, np.uint8)  # noqa: E731  (arrays begin at multiples of 8)
+    rows = np.stack(columns, axis=1)
+    # Rows of small numbers are one 64-bit number each, so that the most frequent ones are found by one sort.
+    short = np.flatnonzero((rows < 256).all(axis=1))
+    every, which, n = np.unique(rows[short] @ (1 << 8 * np.arange(len(columns))), return_inverse=True, return_counts=True)
+    often = np.argsort(-n, kind="stable")[:_OTHER]
+    number = np.full(every.size, _OTHER, np.uint8)
+    number[often] = np.arange(often.size)
+    codes = np.full(keys.size, _OTHER, np.uint8)
+    codes[short] = number[which]
+    table = np.zeros((_OTHER, len(columns)), np.uint8)
+    table[: often.size] = every[often, None] >> 8 * np.arange(len(columns))
+    other = np.flatnonzero(codes == _OTHER)
     out = [
         np.array([keys.size, *((count == c).sum() for c in (1, 2, 3, 4)), count.sum()], np.int64), np.searchsorted(_cells(keys, shard, shards), np.arange(cells + 1)),
         (keys >> np.uint64(16)).astype(np.uint32), filled(4 * keys.size), keys.astype(np.uint16), filled(2 * keys.size),
+        codes, filled(keys.size), table, filled(table.size), np.array([other.size], np.int64),
     ]
-    for column in columns:
-        at = np.flatnonzero(column > 254)
-        out += [np.minimum(column, 255).astype(np.uint8), filled(keys.size), np.array([at.size], np.int64), at, column[at]]
+    for column in (other, *rows[other].T):
+        column = column.astype(np.min_scalar_type(int(column.max(initial=0))))
+        out += [np.array([column.itemsize], np.int64), column, filled(column.nbytes)]
     return b"".join(x.tobytes() for x in out)
 
 
@@ -178,7 +194,21 @@ class Mapped(NamedTuple):
     starts: np.ndarray
     high: np.ndarray
     low: np.ndarray
-    columns: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+    codes: np.ndarray
+    table: np.ndarray
+    other: list[np.ndarray]
+
+    def rows(self, at: np.ndarray) -> np.ndarray:
+        """The counts at places, a column for each."""
+        code = self.codes[at]
+        out = self.table[np.minimum(code, _OTHER - 1)].astype(np.int64)
+        rare = np.flatnonzero(code == _OTHER)
+        if rare.size:
+            where, *columns = self.other
+            i = np.searchsorted(where, at[rare].astype(where.dtype))
+            for j, column in enumerate(columns):
+                out[rare, j] = column[i]
+        return out
 
     def places(self, keys: np.ndarray, cells: np.ndarray) -> np.ndarray:
         """The place of each key, -1 if absent: a binary search in its cell, for all keys side by side."""
@@ -204,7 +234,7 @@ def _file(uri: str, columns: int, cells: int) -> Mapped | None:
     if data is None:
         return None
     head = np.frombuffer(data[: 8 * _HEAD], np.int64)
-    n, at, out = int(head[0]), 8 * _HEAD, []
+    n, at = int(head[0]), 8 * _HEAD
 
     def take(size: int, kind) -> np.ndarray:
         nonlocal at
@@ -213,10 +243,9 @@ def _file(uri: str, columns: int, cells: int) -> Mapped | None:
         return found
 
     starts, high, low = take(cells + 1, np.int64), take(n, np.uint32), take(n, np.uint16)
-    for _ in range(columns):
-        small, more = take(n, np.uint8), int(take(1, np.int64)[0])
-        out.append((small, take(more, np.int64), take(more, np.int64)))
-    return Mapped(head, starts, high, low, out)
+    codes, table, more = take(n, np.uint8), take(_OTHER * columns, np.uint8).reshape(_OTHER, columns), int(take(1, np.int64)[0])
+    other = [take(more, f"u{int(take(1, np.int64)[0])}") for _ in range(columns + 1)]
+    return Mapped(head, starts, high, low, codes, table, other)
 
 
 class Keys:
@@ -239,12 +268,8 @@ class Keys:
             part = slice(cuts[i], cuts[i + 1])
             at = found.places(keys[part], _cells(keys[part], i, self.shards))
             hit, place[part] = at >= 0, at
-            at = np.maximum(at, 0)
-            for out, (small, where, large) in zip(values, found.columns, strict=True):
-                value = small[at].astype(np.int64)
-                big = np.flatnonzero(value == 255)
-                if big.size:
-                    value[big] = large[np.searchsorted(where, at[big])]
+            rows = found.rows(np.maximum(at, 0))
+            for out, value in zip(values, rows.T, strict=True):
                 out[part] = np.where(hit, value, 0)
         return place, values
 

@@ -121,6 +121,11 @@ def test_keys_in_files(shards, tmp_path):
     assert (place == np.arange(keys.size)).all() and (found == count).all()
     others = np.setdiff1d(np.unique(np.r_[keys ^ np.uint64(1), keys + np.uint64(1 << 20)]), keys)
     assert (table.find(others)[0] == -1).all()
+    # Several counts: frequent rows, rows of small numbers beyond the table's, and numbers of every width.
+    columns = [np.where(rng.random(keys.size) < 0.5, 1, rng.integers(0, 1 << bits, keys.size)) for bits in (1, 6, 8, 20, 40)]
+    (tmp_path / f"s-{shard}").write_bytes(ngram_lm._as_file(keys, columns, shard, shards))
+    for found, column in zip(ngram_lm.Keys(str(tmp_path), "s", shards, 5).find(keys)[1], columns, strict=True):
+        assert (found == column).all()
 
 
 def test_simhash_against_brute_force(docs, empty):
