@@ -96,14 +96,14 @@ class Counts:
             part = slice(cuts[i], cuts[i + 1])
             order = np.argsort(lead[0][part], kind="stable")
             ids = [x[part][order] for x in lead]
-            rows.append([pack(ids[0], True), *(y for x in ids[1:] for y in _coded(x)), *(_small(c[part][order]) for c in self.columns)])
+            rows.append([pack(ids[0], True), *(y for x in ids[1:] for y in _coded(x)), *_packed_rows([c[part][order] for c in self.columns])])
         return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(rows, pa.list_(pa.binary()))], ["shard", "parts"])
 
     @staticmethod
     def unpacked(parts: list[bytes], places: int, kind: str) -> Counts:
         rest = 1 + 3 * max(places - 1, 0)
         lead = [unpack(parts[0], kind if places else "u8", True), *(_decoded(parts[i : i + 3], kind) for i in range(1, rest, 3))]
-        columns = [_large(p) for p in parts[rest:]]
+        columns = _unpacked_rows(parts[rest:])
         return Counts(_hashed(lead), lead, columns) if places else Counts(lead[0], [], columns)
 
 
@@ -117,6 +117,46 @@ def _large(data: bytes) -> np.ndarray:
     return unpack(data[2:], data[:2].decode()).astype(np.int64)
 
 
+#: Rows in a table of frequent rows; also the code of all others.
+_OTHER = 255
+
+
+def _row_codes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's number in a table of the most frequent rows of small numbers; that table; and the places of all others."""
+    shift = 8 * np.arange(rows.shape[1])
+    # Rows of small numbers are one 64-bit number each, so that the most frequent ones are found by one sort.
+    short = np.flatnonzero((rows < 256).all(axis=1))
+    every, which, n = np.unique(rows[short] @ (1 << shift), return_inverse=True, return_counts=True)
+    often = np.argsort(-n, kind="stable")[:_OTHER]
+    number = np.full(every.size, _OTHER, np.uint8)
+    number[often] = np.arange(often.size)
+    codes = np.full(rows.shape[0], _OTHER, np.uint8)
+    codes[short] = number[which]
+    return codes, (every[often, None] >> shift).astype(np.uint8), np.flatnonzero(codes == _OTHER)
+
+
+def _packed_rows(columns: list[np.ndarray]) -> list[bytes]:
+    """Columns of counts; several ones as codes of their rows, as the columns mostly tell one another."""
+    if len(columns) == 1:
+        return [_small(columns[0])]
+    rows = np.stack(columns, axis=1)
+    codes, table, other = _row_codes(rows)
+    return [pack(codes), pack(table.ravel()), _small(other), *(_small(c) for c in rows[other].T)]
+
+
+def _unpacked_rows(parts: list[bytes]) -> list[np.ndarray]:
+    if len(parts) == 1:
+        return [_large(parts[0])]
+    width = len(parts) - 3
+    codes, table = unpack(parts[0], "u1"), np.zeros((_OTHER + 1, width), np.int64)
+    often = unpack(parts[1], "u1").reshape(-1, width)
+    table[: often.shape[0]] = often
+    rows, other = table[codes], _large(parts[2])
+    for j in range(width):
+        rows[other, j] = _large(parts[3 + j])
+    return [np.ascontiguousarray(c) for c in rows.T]
+
+
 def _coded(values: np.ndarray) -> list[bytes]:
     """The different values, how often each occurs, and for each place its value's rank by that: most ranks are small."""
     every, code, n = np.unique(values, return_inverse=True, return_counts=True)
@@ -152,8 +192,6 @@ def _gathered(batches: Iterator[pa.RecordBatch], places: int, kind: str) -> Iter
 
 #: Numbers before a file's arrays: how many keys, how many have count 1 to 4, the sum of the counts.
 _HEAD = 6
-#: Rows in a file's table of frequent rows; also the code of all others.
-_OTHER = 255
 
 
 def _cells(keys: np.ndarray, shard: int, shards: int) -> np.ndarray:
@@ -167,17 +205,9 @@ def _as_file(keys: np.ndarray, columns: list[np.ndarray], shard: int, shards: in
     count, cells = columns[0], max(1, (1 << 16) // shards)
     filled = lambda n: np.zeros(-n % 8, np.uint8)  # noqa: E731  (arrays begin at multiples of 8)
     rows = np.stack(columns, axis=1)
-    # Rows of small numbers are one 64-bit number each, so that the most frequent ones are found by one sort.
-    short = np.flatnonzero((rows < 256).all(axis=1))
-    every, which, n = np.unique(rows[short] @ (1 << 8 * np.arange(len(columns))), return_inverse=True, return_counts=True)
-    often = np.argsort(-n, kind="stable")[:_OTHER]
-    number = np.full(every.size, _OTHER, np.uint8)
-    number[often] = np.arange(often.size)
-    codes = np.full(keys.size, _OTHER, np.uint8)
-    codes[short] = number[which]
+    codes, often, other = _row_codes(rows)
     table = np.zeros((_OTHER, len(columns)), np.uint8)
-    table[: often.size] = every[often, None] >> 8 * np.arange(len(columns))
-    other = np.flatnonzero(codes == _OTHER)
+    table[: often.shape[0]] = often
     out = [
         np.array([keys.size, *((count == c).sum() for c in (1, 2, 3, 4)), count.sum()], np.int64), np.searchsorted(_cells(keys, shard, shards), np.arange(cells + 1)),
         (keys >> np.uint64(16)).astype(np.uint32), filled(4 * keys.size), keys.astype(np.uint16), filled(2 * keys.size),
