@@ -8,8 +8,9 @@ The model lies in the shared folder as sorted arrays, cut into shards by the lea
   before it). Below the highest level it also has what is needed where it is a context: the sum of the adjusted counts
   of its continuations, and how many of those have count 1, 2, and 3 or more.
 
-Keys are stored without the bits that their place in the file tells. All counts of a sequence take one byte together,
-the number of their row in a table of the shard's most frequent rows; other rows lie in a list beside it, in full.
+Keys are stored without the bits that their place in the file tells. All counts of a sequence take one byte together (or
+half a byte, where that is smaller), the number of their row in a table of the shard's most frequent rows; other rows lie
+in a list beside it, in full.
 Workers map the files into memory, so what a worker holds does not grow with the model; a text's look-ups are sorted
 first and go shard by shard.
 
@@ -190,8 +191,10 @@ def _gathered(batches: Iterator[pa.RecordBatch], places: int, kind: str) -> Iter
 
 # ---------------------------------------------------------------- files
 
-#: Numbers before a file's arrays: how many keys, how many have count 1 to 4, the sum of the counts.
-_HEAD = 6
+#: Numbers before a file's arrays: how many keys, how many have count 1 to 4, the sum of the counts, the code of other rows.
+_HEAD = 7
+#: The code of other rows where codes take half a byte.
+_HALF = 15
 
 
 def _cells(keys: np.ndarray, shard: int, shards: int) -> np.ndarray:
@@ -208,10 +211,16 @@ def _as_file(keys: np.ndarray, columns: list[np.ndarray], shard: int, shards: in
     codes, often, other = _row_codes(rows)
     table = np.zeros((_OTHER, len(columns)), np.uint8)
     table[: often.shape[0]] = often
+    # Codes go by frequency, so those that fit half a byte are the table's first; the rest would join the others.
+    rare, each, code = np.flatnonzero(codes >= _HALF), 4 * (1 + len(columns)), _OTHER
+    if rare.size * each < codes.size // 2 + other.size * each:
+        codes, other, code = np.minimum(codes, _HALF), rare, _HALF
+        codes = np.r_[codes, np.zeros(codes.size % 2, np.uint8)]
+        codes = codes[::2] | codes[1::2] << 4
     out = [
-        np.array([keys.size, *((count == c).sum() for c in (1, 2, 3, 4)), count.sum()], np.int64), np.searchsorted(_cells(keys, shard, shards), np.arange(cells + 1)),
+        np.array([keys.size, *((count == c).sum() for c in (1, 2, 3, 4)), count.sum(), code], np.int64), np.searchsorted(_cells(keys, shard, shards), np.arange(cells + 1)),
         (keys >> np.uint64(16)).astype(np.uint32), filled(4 * keys.size), keys.astype(np.uint16), filled(2 * keys.size),
-        codes, filled(keys.size), table, filled(table.size), np.array([other.size], np.int64),
+        codes, filled(codes.size), table, filled(table.size), np.array([other.size], np.int64),
     ]
     for column in (other, *rows[other].T):
         column = column.astype(np.min_scalar_type(int(column.max(initial=0))))
@@ -230,9 +239,10 @@ class Mapped(NamedTuple):
 
     def rows(self, at: np.ndarray) -> np.ndarray:
         """The counts at places, a column for each."""
-        code = self.codes[at]
+        last = self.head[-1]
+        code = self.codes[at] if last == _OTHER else self.codes[at >> 1] >> (4 * (at & 1)).astype(np.uint8) & _HALF
         out = self.table[np.minimum(code, _OTHER - 1)].astype(np.int64)
-        rare = np.flatnonzero(code == _OTHER)
+        rare = np.flatnonzero(code == last)
         if rare.size:
             where, *columns = self.other
             i = np.searchsorted(where, at[rare].astype(where.dtype))
@@ -273,7 +283,8 @@ def _file(uri: str, columns: int, cells: int) -> Mapped | None:
         return found
 
     starts, high, low = take(cells + 1, np.int64), take(n, np.uint32), take(n, np.uint16)
-    codes, table, more = take(n, np.uint8), take(_OTHER * columns, np.uint8).reshape(_OTHER, columns), int(take(1, np.int64)[0])
+    codes = take(n if head[-1] == _OTHER else (n + 1) // 2, np.uint8)
+    table, more = take(_OTHER * columns, np.uint8).reshape(_OTHER, columns), int(take(1, np.int64)[0])
     other = [take(more, f"u{int(take(1, np.int64)[0])}") for _ in range(columns + 1)]
     return Mapped(head, starts, high, low, codes, table, other)
 
@@ -441,7 +452,7 @@ def train(texts: DataFrame, text_col: str = "text", order: int = ORDER, shard_by
             for shard in batch.column(0).to_pylist():
                 for level, table in _levels(model).items():
                     if (file := table.file(shard)) is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array([level]), *(pa.array([int(x)]) for x in file.head[1:])], ["level", "n1", "n2", "n3", "n4", "total"])
+                        yield pa.RecordBatch.from_arrays([pa.array([level]), *(pa.array([int(x)]) for x in file.head[1:6])], ["level", "n1", "n2", "n3", "n4", "total"])
 
     every = spark.range(0, shards, 1, max(1, shards // 16)).mapInArrow(heads, "level long, n1 long, n2 long, n3 long, n4 long, total long")
     seen = {r.level: r for r in every.groupBy("level").agg(*(F.sum(c).alias(c) for c in ("n1", "n2", "n3", "n4", "total"))).collect()}

@@ -126,6 +126,11 @@ def test_keys_in_files(shards, tmp_path):
     (tmp_path / f"s-{shard}").write_bytes(ngram_lm._as_file(keys, columns, shard, shards))
     for found, column in zip(ngram_lm.Keys(str(tmp_path), "s", shards, 5).find(keys)[1], columns, strict=True):
         assert (found == column).all()
+    for size in (0, 1, 2, 2999):  # codes of half a byte, of an odd number of keys too
+        few = np.where(rng.random(size) < 0.9, 1, rng.integers(1, 40, size))
+        (tmp_path / f"h{size}-{shard}").write_bytes(ngram_lm._as_file(keys[:size], [few], shard, shards))
+        assert (ngram_lm.Keys(str(tmp_path), f"h{size}", shards, 1).find(keys[:size])[1][0] == few).all()
+    assert len((tmp_path / f"h2999-{shard}").read_bytes()) < len((tmp_path / f"t-{shard}").read_bytes())
 
 
 def test_simhash_against_brute_force(docs, empty):
