@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plotmere.llm import decontaminate, language_id, license_scan, ngram_lm, phrase_fingerprint, piece_bpe, simhash_dedup, substring_dedup, token_store, toxicity
+from plotmere.llm import decontaminate, language_id, license_scan, ngram_lm, phrase_fingerprint, piece_bpe, simhash_dedup, source_divergence, substring_dedup, token_store, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,9 +52,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict_held_out(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_lm_scoring, op2_simhash_dedup, op3_license_scan, op4_toxicity, op5_document_fingerprints, op6_token_ids, op7_sentencepiece, op8_benchmark_decontamination, op9_substring_dedup, op10_language_id)
+    for f in (op1_lm_scoring, op2_simhash_dedup, op3_license_scan, op4_toxicity, op5_document_fingerprints, op6_token_ids, op7_sentencepiece, op8_benchmark_decontamination, op9_substring_dedup, op10_language_id, op11_source_divergence)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -143,4 +147,41 @@ FROM d LEFT JOIN lists USING (r) LEFT JOIN names USING (r) LEFT JOIN best USING
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op3_license_scan": _op3(), "op8_benchmark_decontamination": _OP8, "op9_substring_dedup": _OP9}
+_OP11 = f"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+    regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents
+), o AS (
+  SELECT lang, source, r, unnest(w) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS all_c FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 3
+), c AS (
+  SELECT lang, source, term, count(*) AS c FROM o SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), groups AS (
+  SELECT DISTINCT lang, source FROM d
+), v AS (
+  SELECT lang, count(*) AS v, sum(all_c) AS all_n FROM kept GROUP BY lang
+), n AS (
+  SELECT lang, source, coalesce(sum(c), 0) AS n FROM groups LEFT JOIN c USING (lang, source) GROUP BY ALL
+), p AS (
+  SELECT lang, source, term, coalesce(c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c, 0) + 1)) // (n + v) AS p,
+    1 + (1000000000::HUGEINT * (all_c + 1)) // (all_n + v) AS q
+  FROM n JOIN v USING (lang) JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)
+), pairs AS (
+  SELECT lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL
+), found AS (
+  SELECT lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM groups a JOIN groups b USING (lang) LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  WHERE a.source <> b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE c > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op11_source_divergence": _OP11, "op3_license_scan": _op3(), "op8_benchmark_decontamination": _OP8, "op9_substring_dedup": _OP9}
