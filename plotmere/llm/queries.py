@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plotmere.llm import decontaminate, language_id, license_scan, ngram_lm, phrase_fingerprint, piece_bpe, simhash_dedup, source_divergence, substring_dedup, token_store, toxicity
+from plotmere.llm import collocations, decontaminate, language_id, license_scan, ngram_lm, phrase_fingerprint, piece_bpe, simhash_dedup, source_divergence, substring_dedup, token_store, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,9 +56,13 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_lm_scoring, op2_simhash_dedup, op3_license_scan, op4_toxicity, op5_document_fingerprints, op6_token_ids, op7_sentencepiece, op8_benchmark_decontamination, op9_substring_dedup, op10_language_id, op11_source_divergence)
+    for f in (op1_lm_scoring, op2_simhash_dedup, op3_license_scan, op4_toxicity, op5_document_fingerprints, op6_token_ids, op7_sentencepiece, op8_benchmark_decontamination, op9_substring_dedup, op10_language_id, op11_source_divergence, op12_collocations)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -183,5 +187,34 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS IN
 FROM ranked WHERE part = 'pair' OR rank <= 200
 """
 
+_OP12 = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM pieces
+), n AS (
+  SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang
+), f AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 6) t(k) WHERE len(w) >= k) GROUP BY ALL HAVING count(*) >= 100
+), c AS (
+  SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1
+), cuts AS (
+  SELECT lang, phrase, k, a, j, array_to_string(w[1:j], ' ') AS x, array_to_string(w[j + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS j FROM c)
+), scored AS (
+  SELECT cuts.lang, cuts.phrase, cuts.a, j, l.a AS l, r.a AS r, n, (1000::HUGEINT * cuts.a * n) // (l.a::HUGEINT * r.a) AS score
+  FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = x JOIN f r ON r.lang = cuts.lang AND r.phrase = y JOIN n ON n.lang = cuts.lang
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), inside AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM c, range(2, 5) t(m) WHERE m < k) GROUP BY ALL
+), ranked AS (
+  SELECT best.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM best LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a
+)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""
+
 
-ORACLE_SQL: dict[str, str] = {"op11_source_divergence": _OP11, "op3_license_scan": _op3(), "op8_benchmark_decontamination": _OP8, "op9_substring_dedup": _OP9}
+ORACLE_SQL: dict[str, str] = {"op12_collocations": _OP12, "op11_source_divergence": _OP11, "op3_license_scan": _op3(), "op8_benchmark_decontamination": _OP8, "op9_substring_dedup": _OP9}
