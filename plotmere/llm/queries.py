@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plotmere.llm import collocations, decontaminate, language_id, license_scan, ngram_lm, phrase_fingerprint, piece_bpe, simhash_dedup, source_divergence, substring_dedup, token_store, toxicity
+from plotmere.llm import chat_format, collocations, decontaminate, language_id, license_scan, ngram_lm, phrase_fingerprint, piece_bpe, simhash_dedup, source_divergence, substring_dedup, token_store, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,9 +60,13 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents"))
 
 
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.round_trip(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_lm_scoring, op2_simhash_dedup, op3_license_scan, op4_toxicity, op5_document_fingerprints, op6_token_ids, op7_sentencepiece, op8_benchmark_decontamination, op9_substring_dedup, op10_language_id, op11_source_divergence, op12_collocations)
+    for f in (op1_lm_scoring, op2_simhash_dedup, op3_license_scan, op4_toxicity, op5_document_fingerprints, op6_token_ids, op7_sentencepiece, op8_benchmark_decontamination, op9_substring_dedup, op10_language_id, op11_source_divergence, op12_collocations, op13_chat_format)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -216,5 +220,20 @@ WITH pieces AS (
 SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
 """
 
+_OP13 = """
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), t AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, sha256(text)) AS i,
+    length(text) + len(regexp_extract_all(text, '<<SYS>>|<</SYS>>|\\[INST\\]|\\[/INST\\]|<s>|</s>|<role>|</role>')) AS size FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(size + CASE role WHEN 'system' THEN 7 + 8 WHEN 'user' THEN 6 + 7 WHEN 'assistant' THEN 3 + 4 ELSE 6 + 7 + length(role) + 1 END + 3) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
 
-ORACLE_SQL: dict[str, str] = {"op12_collocations": _OP12, "op11_source_divergence": _OP11, "op3_license_scan": _op3(), "op8_benchmark_decontamination": _OP8, "op9_substring_dedup": _OP9}
+ORACLE_SQL: dict[str, str] = {"op13_chat_format": _OP13, "op12_collocations": _OP12, "op11_source_divergence": _OP11, "op3_license_scan": _op3(), "op8_benchmark_decontamination": _OP8, "op9_substring_dedup": _OP9}
