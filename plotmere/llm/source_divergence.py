@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotmere.llm.shared import Alphabet, mix, part_count, saved, slices, words, workspace
@@ -42,8 +42,9 @@ LEAVES, ROW, FOLD = 400_000, 8192, 2_000_000
 TEXT, CELLS = 8 << 20, 1 << 20
 #: Rows that stand for a language's totals, so that the tries of a large language meet them in as many tasks.
 SALTS = 64
-#: What a walk returns.
-FOUND = [("lang", pa.string()), ("source", pa.string()), ("part", pa.string()), ("item", pa.string()), ("value", pa.int64())]
+#: What a walk returns, and the audit.
+PARTIAL = [("lang", pa.string()), ("source", pa.string()), ("sources", pa.list_(pa.string())), ("sums", pa.list_(pa.int64())), ("terms", pa.list_(pa.string())), ("values", pa.list_(pa.int64()))]
+FOUND = [("lang", pa.string()), ("source", pa.string()), ("part", pa.string()), ("item", pa.string()), ("value", pa.int64()), ("rank", pa.int32())]
 
 
 def _letters() -> Alphabet:
@@ -336,13 +337,38 @@ def walked(top: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                         best.setdefault((lang, sources[i]), _Best(top)).offer((p[i, at] - q[at]) ** 2 // q[at], terms, at)
         for lang, (sources, held) in sums.items():
             for i, s in enumerate(sources):
-                yield _out([(lang, s, "pair", t, int(held[i, j])) for j, t in enumerate(sources) if i != j], FOUND)
-        for (lang, s), b in best.items():
-            yield _out([(lang, s, "term", t.decode(), int(v)) for t, v in zip(b.terms, b.values, strict=True)], FOUND)
+                top_ = best[lang, s]
+                yield _out([(lang, s, sources, held[i].tolist(), [t.decode() for t in top_.terms], top_.values.tolist())], PARTIAL)
 
     return walk
 
 
+def ranked(top: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From partial rows of groups (equal ones together): sums added up, the best terms of all, both in order."""
+
+    def merge_rows(batches):
+        at, sources, sums, best = None, [], None, _Best(top)
+        for batch in batches:
+            for lang, source, others, partial, terms, values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (lang, source) != at:
+                    if at is not None:
+                        yield from rows(at, sources, sums, best)
+                    at, sources, sums, best = (lang, source), others, np.zeros(len(others), np.int64), _Best(top)
+                sums += np.array(partial, np.int64)
+                best.offer(np.array(values, np.int64), [t.encode() for t in terms], np.arange(len(terms)))
+        if at is not None:
+            yield from rows(at, sources, sums, best)
+
+    def rows(at, sources, sums, best):
+        pairs = sorted(((-int(v), t.encode(), t) for t, v in zip(sources, sums, strict=True) if t != at[1]))
+        found = [(*at, "pair", t, -v, i + 1) for i, (v, _, t) in enumerate(pairs)]
+        found += [(*at, "term", t.decode(), int(v), i + 1) for i, (t, v) in enumerate(zip(best.terms, best.values, strict=True))]
+        if found:
+            yield _out(found, FOUND)
+
+    return merge_rows
+
+
 def audit(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, top: int = TOP) -> DataFrame:
     """(lang, source, part, item, value long, rank int): each source against the others ("pair"), and what marks it ("term").
 
@@ -356,15 +382,12 @@ def audit(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, top: int = TO
     groups = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source"))).distinct()
     n = tries.select("lang", F.explode("totals").alias("t")).groupBy("lang", "t.source").agg(F.sum("t.n").alias("n"))
     groups = saved(groups.join(n, ["lang", "source"], "left").withColumn("n", F.coalesce("n", F.lit(0))), f"{folder}/groups")
-    kept = tries.groupBy("lang").agg(F.sum("terms").alias("kept"))
     totals = groups.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("g")).select("lang", F.col("g.source").alias("sources"), F.col("g.n").alias("totals"))
-    totals = totals.join(kept, "lang").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    beside = totals.join(tries.groupBy("lang").agg(F.sum("terms").alias("kept")), "lang").withColumn("salt", spread)
     salted = tries.select("lang", "trie", F.pmod(F.crc32("trie"), F.lit(SALTS)).cast("int").alias("salt"))
-    found = salted.join(totals, ["lang", "salt"]).select("lang", "trie", "kept", "sources", "totals").mapInArrow(walked(top), "lang string, source string, part string, item string, value long")
-    found = saved(found, f"{folder}/walked")
-    other = groups.select("lang", F.col("source").alias("item"))
-    pairs = groups.join(other, "lang").filter("source <> item").select("lang", "source", F.lit("pair").alias("part"), "item", F.lit(0).cast("long").alias("value"))  # languages without kept terms have pairs too
-    summed = found.filter("part = 'pair'").union(pairs).groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
-    order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
-    ranked = [summed.withColumn("rank", F.row_number().over(order)), found.filter("part = 'term'").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)]
-    return ranked[0].union(ranked[1])
+    kind = "lang string, source string, sources array<string>, sums array<long>, terms array<string>, values array<long>"
+    found = salted.join(beside, ["lang", "salt"]).select("lang", "trie", "kept", "sources", "totals").mapInArrow(walked(top), kind)
+    none = totals.select("lang", F.explode("sources").alias("source"), "sources", F.transform("sources", lambda s: F.lit(0).cast("long")).alias("sums"), F.array().cast("array<string>").alias("terms"), F.array().cast("array<long>").alias("values"))
+    dealt = found.union(none).repartition("lang", "source").sortWithinPartitions("lang", "source")  # a row for each task that met a group
+    return dealt.mapInArrow(ranked(top), "lang string, source string, part string, item string, value long, rank int")
