@@ -23,10 +23,10 @@ def clock_text(ts: Column, zone: str = ZONE) -> Column:
 
 
 def day_clock_text(ts: Column, now: Column, zone: str = ZONE) -> Column:
-    """ "today 10:14 AM", "tomorrow 8:00 AM", else the date and the time."""
+    """ "today at 10:14 AM", "tomorrow at 8:00 AM", else "Oct 2 at 9:05 AM"."""
     days = F.datediff(civil_day(ts, zone), civil_day(now, zone))
-    clock = F.date_format(civil(ts, zone), "h:mm a")
-    return F.when(days == 0, F.concat(F.lit("today "), clock)).when(days == 1, F.concat(F.lit("tomorrow "), clock)).otherwise(F.concat(F.date_format(civil(ts, zone), "MMM d"), F.lit(" "), clock))
+    day = F.when(days == 0, "today").when(days == 1, "tomorrow").otherwise(F.date_format(civil(ts, zone), "MMM d"))
+    return F.concat(day, F.lit(" at "), F.date_format(civil(ts, zone), "h:mm a"))
 
 
 def month_start(ts: Column, zone: str = ZONE) -> Column:

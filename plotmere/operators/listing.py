@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from plotmere.functions.geo import has_position
-from plotmere.functions.text import blank
+from plotmere.functions.text import blank, format_phone
+from plotmere.functions.time import clock_text
 
 #: The tabs, and the types of listing that are never prospects.
 TABS = ["unchecked", "yes", "no", "competitors", "closed", "all", "called"]
@@ -83,23 +84,38 @@ def fingerprint(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
     return out
 
 
-#: The columns that a user may sort by, and whether the largest come first.
-SORTS = {"score": True, "distance": False, "name": False, "city": False, "tier": False, "status": False}
+#: What a user may sort by, and whether the largest come first.
+SORTS = {"score": True, "name": False, "city": False, "contact": False, "miles": False, "called": True}
+#: Rows that a page keeps in place, at most.
+PINNED = 50
 
 
-def sorted_by(listings: DataFrame, sort: str = "score", descending: bool | None = None, place: str = "place", phones_first: bool = False) -> DataFrame:
-    """By one of the user's sorts (its own direction unless told); equal values keep the saved order.
+def has_phone(phone: Column | str = "phone", verified: Column | str = "verified_phone") -> Column:
+    return (F.trim(blank(phone)) != "") | (F.trim(blank(verified)) != "")
 
-    Texts are compared in lower case and blank ones come last either way. With phones_first (the unchecked tab) rows
-    with a phone come before the others in the default order.
+
+def order_by(sort: str = "score", descending: bool | None = None, place: str = "place", tab: str = "all", town: str = "city") -> list[Column]:
+    """The order of one of the user's sorts (its own direction unless told); equal values keep the saved order, place.
+
+    Names and towns are compared in lower case, a missing town as "~". Contact: a verified phone, the listing's own, none.
+    Missing miles are far, and no call is the earliest. Among equal scores of the unchecked tab, best first, those that can be
+    phoned come before the others.
     """
     if sort not in SORTS:
         raise ValueError(f"no such sort: {sort}")
     descending = SORTS[sort] if descending is None else descending
-    column = {"score": F.col("score"), "distance": F.col("distance_miles"), "tier": F.col("tier"), "status": blank("mark")}.get(sort, F.lower(blank(sort)))
-    value = F.when(column.cast("string") != "", column)
-    order = [value.desc_nulls_last() if descending else value.asc_nulls_last(), F.asc(place)]
-    return listings.orderBy(*([F.desc(blank("phone") != "")] if phones_first and sort == "score" else []), *order)
+    value = {
+        "score": lambda: F.col("score"), "name": lambda: F.lower(blank("name")), "city": lambda: F.lower(F.coalesce(F.nullif(blank(town), F.lit("")), F.lit("~"))),
+        "contact": lambda: F.when(F.trim(blank("verified_phone")) != "", 0).when(F.trim(blank("phone")) != "", 1).otherwise(2),
+        "miles": lambda: F.coalesce(F.col("distance_miles"), F.lit(1e9)), "called": lambda: F.coalesce(F.unix_micros(F.col("last_call_at").cast("timestamp")), F.lit(0)),
+    }[sort]()
+    phones = [F.desc(has_phone())] if sort == "score" and descending and tab == "unchecked" else []
+    return [value.desc() if descending else value.asc(), *phones, F.asc(place)]
+
+
+def sorted_by(listings: DataFrame, sort: str = "score", descending: bool | None = None, place: str = "place", tab: str = "all") -> DataFrame:
+    """Rows of a tab in one of the user's orders (order_by)."""
+    return listings.orderBy(*order_by(sort, descending, place, tab))
 
 
 def filtered(listings: DataFrame, tier: str = "", has_phone: bool | None = None, uid: str = "", outcome: str = "") -> DataFrame:
@@ -113,10 +129,11 @@ def filtered(listings: DataFrame, tier: str = "", has_phone: bool | None = None,
     return listings
 
 
-def page_with_pins(ordered_rows: DataFrame, pinned: list[str], offset: int, limit: int, key: str = "uid", most: int = 5000) -> DataFrame:
-    """A page, and the pinned rows (a few keys that a person has open) wherever they stand, each once."""
-    shown = page(ordered_rows, offset, limit, most)
-    return shown.union(ordered_rows.filter(F.col(key).isin(pinned)).join(shown.select(key), key, "left_anti").select(*shown.columns)) if pinned else shown
+def page_with_pins(listings: DataFrame, tab: str, pinned: list[str], offset: int, limit: int, sort: str = "score", descending: bool | None = None, place: str = "place", key: str = "uid", most: int = 5000) -> DataFrame:
+    """A page of a tab. On the first page, rows with the first PINNED keys of pinned that left the tab stay in their place in the order."""
+    stay = F.col(key).isin(pinned[:PINNED]) if pinned and offset == 0 else F.lit(False)
+    rows = listings.filter(F.array_contains("tabs", tab) | stay)
+    return page(sorted_by(rows, sort, descending, place, tab), offset, max(1, limit), most)
 
 
 def outcome_counts(listings: DataFrame, outcomes: list[str], column: str = "call_outcome") -> DataFrame:
@@ -141,22 +158,50 @@ def orphans(logs: dict[str, tuple[DataFrame, str]], listings: DataFrame, key: st
     return out
 
 
+#: Groups of pins; fields of a pin, in order; how the flag of a parent's listing begins.
+GROUPS = ["unchecked", "yes", "no", "competitor"]
+PIN = ["uid", "lat", "lon", "grp", "name", "tier", "score", "phone", "verified_phone", "address", "outcome", "called", "closed", "kind"]
+PARENT_START = "OWN COMPANY: parent company "
+
+
 def pins(listings: DataFrame) -> DataFrame:
-    """(uid, grp, kind, address, lat, lon) of listings with a position: what a map shows.
+    """Fields PIN of listings with a position: what a map shows.
 
-    The group is the mark, else competitors, closed or unchecked; the kind is the first tab of it that is no prospect's.
+    The group is competitor (one's own listings too), else the mark, else unchecked; a closed listing keeps its group. The
+    kind is blank for a prospect, Parent company where a flag says so, else the type. The address has the town and ZIP that are
+    listed, and for a listing without a town the one it is near (near_text); called is the latest call's time, where it has an outcome.
     """
+    text = lambda c: blank(c) if c in listings.columns else F.lit("")
     exempt = F.coalesce(F.col("lead_type"), F.lit("")).isin(EXEMPT)
-    closed = blank("business_status") == "CLOSED_PERMANENTLY"
-    group = F.when(exempt, "competitors").when(blank("mark").isin("yes", "no"), F.col("mark")).when(closed, "closed").otherwise("unchecked")
-    town = F.concat_ws(" ", F.nullif(blank("state"), F.lit("")), F.nullif(blank("zip"), F.lit("")))
-    address = F.concat_ws(", ", *(F.nullif(c, F.lit("")) for c in (blank("address"), blank("city"), town)))
+    group = F.when(exempt, "competitor").when(blank("mark").isin("yes", "no"), F.col("mark")).otherwise("unchecked")
+    flags = F.coalesce(F.col("flags"), F.array().cast("array<string>")) if "flags" in listings.columns else F.array().cast("array<string>")
+    kind = F.when(~exempt, "").when(F.exists(flags, lambda f: f.startswith(PARENT_START)), "Parent company").otherwise(F.col("lead_type"))
+    listed = F.concat_ws(", ", *(F.nullif(text(c), F.lit("")) for c in ("address", "city", "zip")))
+    near = F.when(text("city") == "", F.nullif(text("near_text"), F.lit("")))
+    address = F.concat_ws(" · ", F.when(text("address") == "", "No street address"), F.nullif(listed, F.lit("")), near)
+    at = F.col("last_call_at") if "last_call_at" in listings.columns else F.lit(None).cast("timestamp")
     rows = listings.filter(has_position(F.col("lat"), F.col("lon")))
-    return rows.select("uid", group.alias("grp"), F.coalesce("lead_type", F.lit("Prospect")).alias("kind"), F.when(address == "", "No address listed").otherwise(address).alias("address"), "lat", "lon")
+    return rows.select(
+        "uid", F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"), group.alias("grp"), text("name").alias("name"), text("tier").alias("tier"), "score",
+        format_phone(text("phone")).alias("phone"), format_phone(text("verified_phone")).alias("verified_phone"), address.alias("address"), text("call_outcome").alias("outcome"),
+        F.when(text("call_outcome") != "", F.coalesce(clock_text(at), F.lit(""))).otherwise("").alias("called"), (text("business_status") == "CLOSED_PERMANENTLY").alias("closed"), kind.alias("kind"),
+    )
+
+
+def pin_rows(listings: DataFrame) -> DataFrame:
+    """(uid, pin): each pin as a JSON list of its fields in order."""
+    return pins(listings).select("uid", F.concat(F.lit("["), F.concat_ws(",", *(_json(F.col(c)) for c in PIN)), F.lit("]")).alias("pin"))
+
+
+def _json(value: Column) -> Column:
+    """One value in JSON: an object's, without its braces and name."""
+    whole = F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"})
+    return F.substring(whole, F.lit(6), F.length(whole) - 6)
 
 
 def pin_counts(listings: DataFrame) -> DataFrame:
-    """(grp, n) over pins, and a row "no position" for the listings that have none."""
+    """(grp, n) of pins for all GROUPS, empty ones too, and a row "no position" for the listings that have none."""
+    every = listings.sparkSession.createDataFrame([(g,) for g in GROUPS], "grp string")
     found = pins(listings).groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
     lost = listings.agg(F.count_if(~has_position(F.col("lat"), F.col("lon"))).alias("n")).select(F.lit("no position").alias("grp"), "n")
-    return found.union(lost)
+    return every.join(F.broadcast(found), "grp", "left").fillna({"n": 0}).union(lost)  # four rows

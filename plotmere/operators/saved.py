@@ -10,44 +10,74 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotmere.functions.geo import cell, haversine, lon_degrees
-from plotmere.functions.text import blank, clean_name
-from plotmere.operators.activity import latest
-from plotmere.operators.resolve import merge_parts
+from plotmere.functions.text import blank
+from plotmere.operators.resolve import duplicates, likely_pairs, merge_groups, merge_parts, prepared, site_pairs
+from plotmere.operators.score import score
+from plotmere.operators.shared import shared_folder, written
+from plotmere.plans import categories as K
 
-#: Miles within which a lead may take the saved row of an equal name.
-NEAR = 0.12
 
 
-def part_id(source: Column | str = "source", source_id: Column | str = "source_id", name: Column | str = "name") -> Column:
-    """What tells parts apart: the source's own id, else its name."""
-    return F.concat_ws(":", blank(source), F.when(blank(source_id) != "", blank(source_id)).otherwise(blank(name)))
+def part_id(source: Column | str = "source", source_id: Column | str = "source_id") -> Column:
+    """What tells parts apart: the source and its id."""
+    return F.concat(blank(source), F.lit(":"), blank(source_id))
 
 
-def offers(leads: DataFrame, saved: DataFrame) -> DataFrame:
-    """(rid, uid, priority, miles, first_seen): saved rows that a lead may take: of its listing (0), or of its name near it (1)."""
-    by_id = leads.filter(blank("source_id") != "").select("rid", "source", "source_id", "lat", "lon").join(saved.select("uid", "source", "source_id", "first_seen", F.col("lat").alias("_lat"), F.col("lon").alias("_lon")), ["source", "source_id"])
-    spot = lambda df, *more: df.filter((clean_name("name") != "") & F.col("lat").isNotNull()).select(clean_name("name").alias("clean"), "lat", "lon", *more)
-    size = NEAR / 69.0 * 1.0001
-    rows, cols = F.sequence(F.lit(-1), F.lit(1)), F.sequence(-F.ceil(lon_degrees(F.lit(NEAR), F.col("lat")) / size).cast("int"), F.ceil(lon_degrees(F.lit(NEAR), F.col("lat")) / size).cast("int"))
-    around = F.flatten(F.transform(rows, lambda dx: F.transform(cols, lambda dy: F.struct((cell(F.col("lat"), size) + dx).alias("x"), (cell(F.col("lon"), size) + dy).alias("y")))))
-    left = spot(leads, "rid", F.explode(around).alias("at"))
-    right = spot(saved, "uid", "first_seen", F.struct(cell(F.col("lat"), size).alias("x"), cell(F.col("lon"), size).alias("y")).alias("at")).withColumnsRenamed({"lat": "_lat", "lon": "_lon"})
-    by_name = left.join(right, ["clean", "at"])
-    miles = haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")).alias("miles")
-    found = by_id.select("rid", "uid", F.lit(0).alias("priority"), miles, "first_seen").union(by_name.select("rid", "uid", F.lit(1).alias("priority"), miles, "first_seen").filter(F.col("miles") <= NEAR))
-    return found.groupBy("rid", "uid").agg(F.min(F.struct("priority", "miles", "first_seen")).alias("o")).select("rid", "uid", "o.*")
+def offers(leads: DataFrame, saved: DataFrame, lead_parts: DataFrame | None = None, saved_parts: DataFrame | None = None, towns: list[str] | None = None) -> DataFrame:
+    """(rid, uid, priority, miles, first_seen): the saved rows that a lead may join.
 
+    Those that have one of its listings come first (0; the row saved first before others, so they have no miles), then its
+    duplicates by all the rules of a search (1, the nearest first), then rows of its site (2, the nearest first). leads are
+    listings with rid, saved has uid and first_seen too; lead_parts (rid, source, source_id) and saved_parts (uid, source,
+    source_id) are the listings that they are made of, by default one each.
+    """
+    folder = shared_folder(leads.sparkSession, "offers")
+    one = lambda df, key: df.select(key, part_id().alias("part"))
+    seen = saved.select("uid", "first_seen")
+    by_id = one(leads if lead_parts is None else lead_parts, "rid").join(one(saved if saved_parts is None else saved_parts, "uid"), "part").join(seen, "uid")
+    by_id = by_id.select("rid", "uid", F.lit(0).alias("priority"), F.lit(0.0).alias("miles"))
+    columns = [c for c in leads.columns if c in saved.columns and c not in ("rid", "uid", "first_seen")]
+    both = leads.select(F.col("rid").alias("_lead"), F.lit(None).cast("string").alias("_uid"), *columns).union(saved.select(F.lit(None).cast("long"), "uid", *columns))
+    both = written(prepared(both.withColumn("rid", F.monotonically_increasing_id())), f"{folder}/both")
 
-def saved_again(old_parts: DataFrame, new_parts: DataFrame) -> DataFrame:
-    """(uid, n_parts, sources, first_seen, last_seen, is_new) of every saved row after a search's parts were put in."""
+    def across(pairs: DataFrame, priority: int) -> DataFrame:
+        pairs = pairs.select(F.col("a.rid").alias("x"), F.col("b.rid").alias("y"), "miles")
+        who = lambda name: both.select(F.col("rid").alias(name), F.col("_lead").alias(f"{name}_lead"), F.col("_uid").alias(f"{name}_uid"))
+        found = pairs.join(who("x"), "x").join(who("y"), "y").filter(F.col("x_lead").isNull() != F.col("y_lead").isNull())
+        return found.select(F.coalesce("x_lead", "y_lead").alias("rid"), F.coalesce("x_uid", "y_uid").alias("uid"), F.lit(priority).alias("priority"), "miles")
+
+    found = by_id.union(across(duplicates(likely_pairs(both), towns), 1)).union(across(site_pairs(both, towns), 2))
+    return found.groupBy("rid", "uid").agg(F.min(F.struct("priority", "miles")).alias("o")).join(seen, "uid").select("rid", "uid", "o.priority", "o.miles", "first_seen")
+
+
+def saved_again(old_parts: DataFrame, new_parts: DataFrame, closed: DataFrame | None = None) -> DataFrame:
+    """(uid, n_parts, sources, first_seen, last_seen, is_new) of every saved row after a search's parts were put in.
+
+    closed has the uids of leads that the search found closed for good: of those, one that isn't saved yet is not added.
+    """
     known = old_parts.select("uid").distinct().withColumn("_known", F.lit(True))
+    if closed is not None:
+        new_parts = new_parts.join(closed.select("uid").distinct().join(known, "uid", "left_anti"), "uid", "left_anti")
     every = merge_parts(old_parts, new_parts)
     first = old_parts.union(new_parts.select(*old_parts.columns)).groupBy("uid").agg(F.min("at").alias("first_seen"))
     rows = every.groupBy("uid").agg(F.count(F.lit(1)).alias("n_parts"), F.array_sort(F.collect_set("source")).alias("sources"), F.max("at").alias("last_seen"))
     return rows.join(first, "uid").join(known, "uid", "left").select("uid", "n_parts", "sources", "first_seen", "last_seen", F.col("_known").isNull().alias("is_new"))
 
 
+def rebuilt(parts: DataFrame, closed: DataFrame | None = None, keywords: tuple[str, ...] = K.DEFAULT_KEYWORDS) -> DataFrame:
+    """Saved rows made anew from their parts (listings with uid and at) by the rules of a merge, scored with the fixed words.
+
+    Of parts that a merge doesn't tell apart the newer comes first. Rows of closed (uid) are closed for good, whatever older parts say.
+    """
+    folder = shared_folder(parts.sparkSession, "rebuilt")
+    dealt = parts.repartition("uid").sortWithinPartitions("uid", F.desc("at"), part_id())
+    numbered = written(dealt.withColumn("rid", F.monotonically_increasing_id()), f"{folder}/parts")
+    merged = merge_groups(numbered.drop("uid", "at"), numbered.select("rid", F.col("uid").alias("grp"))).withColumnRenamed("grp", "uid")
+    if closed is not None:
+        merged = merged.join(closed.select("uid").distinct().withColumn("_shut", F.lit(True)), "uid", "left").withColumn("business_status", F.when(F.col("_shut"), "CLOSED_PERMANENTLY").otherwise(F.col("business_status"))).drop("_shut")
+    return score(written(merged, f"{folder}/merged"), keywords)
+
+
 def save_counts(rows: DataFrame, new_parts: DataFrame) -> DataFrame:
     """One row: how many saved rows a search brought new, and how many it found again."""
     touched = rows.join(new_parts.select("uid").distinct(), "uid", "left_semi")
@@ -60,25 +90,41 @@ def kept_rows(groups: DataFrame) -> DataFrame:
     return groups.join(keep, "grp").filter("uid <> keep_uid").select(F.col("uid").alias("other_uid"), "keep_uid")
 
 
-def marks_agree(groups: DataFrame, marks: DataFrame) -> DataFrame:
-    """Groups (grp, uid, ...) of rows that may be merged: those whose rows are not marked both yes and no."""
-    last = latest(marks, "uid", "at", "value", tie="id").filter("value <> ''").select("uid", "value")
-    apart = groups.join(last, "uid").groupBy("grp").agg(F.count_distinct("value").alias("_n")).filter("_n > 1")
-    return groups.join(apart, "grp", "left_anti")
+def merged_marks(groups: DataFrame, marks: DataFrame) -> DataFrame:
+    """(grp, keep_uid, value, at, given_to, disagreed) of groups (grp, uid, first_seen) of saved rows that become one.
 
+    The row saved first takes the group's latest mark of marks (uid, value, at), or, where some rows are marked yes and some no,
+    the latest yes, and is known to be in disagreement. Groups without a mark are left out.
+    """
+    keep = groups.groupBy("grp").agg(F.min(F.struct("first_seen", "uid")).alias("_k")).select("grp", F.col("_k.uid").alias("keep_uid"))
+    own = groups.select("grp", "uid").join(marks.select("uid", "value", "at"), "uid")
+    last = lambda test: F.max(F.when(test, F.struct("at", "value", "uid")))
+    value = F.col("value")
+    told = own.groupBy("grp").agg((F.bool_or(value == "yes") & F.bool_or(value == "no")).alias("disagreed"), last(value == "yes").alias("yes"), last(F.lit(True)).alias("any"))
+    told = told.withColumn("m", F.when(F.col("disagreed"), F.col("yes")).otherwise(F.col("any")))
+    return told.join(keep, "grp").select("grp", "keep_uid", "m.value", "m.at", F.col("m.uid").alias("given_to"), "disagreed")
 
-def with_lineage(rows: DataFrame, plan: DataFrame, at: Column, key: str = "uid") -> tuple[DataFrame, DataFrame]:
-    """rows without those that the plan (other_uid, keep_uid) merges away, and what they were: (uid, into_uid, at, row)."""
-    gone = plan.select(F.col("other_uid").alias(key), F.col("keep_uid").alias("into_uid"))
-    lineage = rows.join(gone, key).select(key, "into_uid", at.alias("at"), F.to_json(F.struct(*(F.col(f"`{c}`") for c in rows.columns))).alias("row"))
-    return rows.join(gone, key, "left_anti"), lineage
 
+def with_lineage(rows: DataFrame, plan: DataFrame, at: Column, key: str = "uid", marks: DataFrame | None = None, disagreed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """rows without those that the plan (other_uid, keep_uid) merges away, and what they were: (uid, into_uid, at, row, mark, disagreed).
 
-def disagreements(lineage: DataFrame, marks: DataFrame) -> DataFrame:
-    """uids that were marked after the last merge into them, or merged after their last mark: (uid, merged_at, marked_at, later)."""
-    merged = lineage.groupBy(F.col("into_uid").alias("uid")).agg(F.max("at").alias("merged_at"))
-    marked = marks.groupBy("uid").agg(F.max("at").alias("marked_at"))
-    return merged.join(marked, "uid").withColumn("later", F.when(F.col("marked_at") > F.col("merged_at"), "mark").otherwise("merge"))
+    marks (uid, value) are the marks they had; disagreed (keep_uid) the kept rows whose group was marked both yes and no.
+    """
+    gone = plan.select(F.col("other_uid").alias(key), F.col("keep_uid").alias("into_uid"))
+    lineage = rows.join(gone, key).select(key, "into_uid", at.alias("at"), F.to_json(F.struct(*(F.col(f"`{c}`") for c in rows.columns))).alias("row"))
+    mark = marks.select(key, F.col("value").alias("mark")) if marks is not None else lineage.select(key).limit(0).withColumn("mark", F.lit(""))
+    apart = disagreed.select(F.col("keep_uid").alias("into_uid")).distinct().withColumn("disagreed", F.lit(True)) if disagreed is not None else lineage.select("into_uid").limit(0).withColumn("disagreed", F.lit(True))
+    lineage = lineage.join(mark, key, "left").join(apart, "into_uid", "left").fillna({"mark": "", "disagreed": False})
+    return rows.join(gone, key, "left_anti"), lineage.select(key, "into_uid", "at", "row", "mark", "disagreed")
+
+
+def disagreements(lineage: DataFrame, clicks: DataFrame) -> DataFrame:
+    """(uid, since): rows joined from rows marked yes and no (lineage with disagreed), the last time at since, that nobody
+    has marked from then on by a click (uid, at, undone_at) that wasn't undone. They wait for someone to confirm their mark.
+    """
+    merged = lineage.filter("disagreed").groupBy(F.col("into_uid").alias("uid")).agg(F.max("at").alias("since"))
+    clicked = clicks.filter("undone_at is null").groupBy("uid").agg(F.max("at").alias("_last"))
+    return merged.join(clicked, "uid", "left").filter("_last is null or _last < since").select("uid", "since")
 
 
 def added_all(current: DataFrame, batch: DataFrame, key: str = "uid") -> DataFrame:

@@ -1,13 +1,18 @@
 """The record of searches: what ran, earlier searches of a place, budgets, settings, and who may search.
 
-A search has at (timestamp), place, lat, lon, miles, source, leads, partial (a part is missing) and fill (a struct with
-until, or null). Records are appended; readers take the latest of each key, combined before the shuffle.
+A search has day, at (timestamp), place, lat, lon, radius, miles, source, leads (null until it has found some), partial (a
+part is missing) and fill (a struct with until, or null). Records are appended; readers take the latest of each key, combined before the shuffle.
 """
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 from plotmere.functions.geo import haversine
@@ -19,19 +24,34 @@ def place_key(place: Column | str) -> Column:
     return normalize(place)
 
 
-def earlier(searches: DataFrame, now: Column, seconds: int, place: str, *same: str) -> DataFrame:
-    """The latest whole search of each place (and of each value of the other columns) that is not older than so many seconds."""
-    fresh = (F.col("at") <= now) & (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("at").cast("timestamp")) <= seconds * 1_000_000)
-    rows = searches.filter(fresh & ~F.col("partial")).withColumn("place_key", place_key(place))
-    last = rows.groupBy("place_key", *same).agg(F.max_by(F.struct(*rows.columns), F.struct("at", "id")).alias("_r"))
-    return last.select("_r.*")
+#: Miles within which two centres are one; sources whose searches ask the map; searches that are looked back through.
+SAME_CENTRE, MAP_SOURCES, LOOK_BACK = 0.1, ["auto", "osm", "both"], 60
+
+
+def renamed_place(place: Column, old_names: list[str], name: str) -> Column:
+    """A label that begins with one of a company's old names and a comma, with the name that it has now."""
+    found = F.coalesce(*(F.when(place.startswith(o + ","), F.concat(F.lit(name), F.substring(place, len(o) + 1, 1_000_000))) for o in old_names), F.lit(None).cast("string"))
+    return F.coalesce(found, place)
+
+
+def earlier(searches: DataFrame, day: Column, since: Column, place: str = "place", *same: str) -> DataFrame:
+    """For each place (label, as written, and each value of the other columns) the latest search of an earlier day that found leads.
+
+    Searches have day (a date), at, and leads (how many were found; null until they are known). Those at since or before, and
+    those without a place, don't count.
+    """
+    rows = searches.filter((F.col("day") < day) & (F.col("at") > since) & F.col("leads").isNotNull() & (F.coalesce(F.col(place), F.lit("")) != ""))
+    return rows.groupBy(place, *same).agg(F.max_by(F.struct(*rows.columns), F.struct("at", "id")).alias("_r")).select("_r.*")
 
 
-def latest_covering(searches: DataFrame, lat: float, lon: float, miles: float, source: str, slack: float = 1.0) -> DataFrame:
-    """The latest search of a source whose circle holds the asked one, up to so many miles; one row or none."""
-    away = haversine(F.lit(lat), F.lit(lon), F.col("lat"), F.col("lon"))
-    rows = searches.filter((F.col("source") == source) & (away + miles <= F.col("miles") + slack))
-    return rows.orderBy(F.desc("at"), F.desc("id")).limit(1)
+def latest_of_area(searches: DataFrame, lat: float, lon: float, miles: float, limit: int = LOOK_BACK) -> DataFrame:
+    """The latest search of a company's own area, of the last so many: it found leads, asked the map, had the area's radius,
+    and its centre (lat, lon; where they are null, miles from the company's place) is the area's. One row or none.
+    """
+    recent = searches.orderBy(F.desc("at"), F.desc("id")).limit(limit)
+    away = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), haversine(F.lit(lat), F.lit(lon), F.col("lat"), F.col("lon"))).otherwise(F.col("miles"))
+    own = F.col("leads").isNotNull() & F.coalesce(F.col("source"), F.lit("auto")).isin(MAP_SOURCES) & (F.coalesce(F.col("radius"), F.lit(0.0)) == miles) & (away <= SAME_CENTRE)
+    return recent.filter(own).orderBy(F.desc("at"), F.desc("id")).limit(1)
 
 
 def history(*logs: DataFrame, limit: int = 50) -> DataFrame:
@@ -54,20 +74,41 @@ def within_budget(requests: DataFrame, budget: int, order: list[str], key: str |
     return requests.withColumn("turn", turn.cast("long")).filter(F.col("turn") <= budget) if key else requests.orderBy(*order).limit(budget)
 
 
-def rate_limited(tries: DataFrame, keys: list[str], at: str, most: int, seconds: int, tie: str) -> DataFrame:
-    """tries with allowed: fewer than ``most`` earlier tries of the same keys lie within so many seconds before each.
+def rate_limited(tries: DataFrame, keys: list[str], at: str, most: int, seconds: int, tie: str, noted: str | None = None, clears: str | None = None) -> DataFrame:
+    """tries with allowed: fewer than most tries that were noted before it lie less than so many seconds before each.
 
-    Every try counts, refused ones too. Only the ``most`` tries before each are looked at.
+    A refused try is not noted, nor is one where noted is false; one that is allowed and has clears (a right password)
+    makes those before it count no more. So a key's tries are read in order, a batch at a time, with the last most noted
+    times of one key kept. Tries without a time are not allowed and not noted.
     """
-    w = W.partitionBy(*keys).orderBy(at, tie)
-    nth = F.lag(F.unix_micros(F.col(at).cast("timestamp")), most).over(w)
-    return tries.withColumn("allowed", nth.isNull() | (F.unix_micros(F.col(at).cast("timestamp")) - nth > seconds * 1_000_000))
+    names = tries.columns
+    micros = F.unix_micros(F.col(at).cast("timestamp")).alias("__us")
+    rows = tries.select("*", micros, F.to_json(F.struct(*keys)).alias("__key"), (F.col(noted) if noted else F.lit(True)).alias("__noted"), (F.col(clears) if clears else F.lit(False)).alias("__clears"))
+    span = seconds * 1_000_000
+
+    def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, times = None, deque(maxlen=most)
+        for batch in batches:
+            allowed = []
+            for who, us, note, clear in zip(*(batch.column(batch.schema.names.index(c)).to_pylist() for c in ("__key", "__us", "__noted", "__clears")), strict=True):
+                if who != key:
+                    key, times = who, deque(maxlen=most)
+                ok = us is not None and not (len(times) == most and us - times[0] < span)
+                allowed.append(ok)
+                if ok and clear:
+                    times.clear()
+                elif ok and note:
+                    times.append(us)
+            yield pa.RecordBatch.from_arrays([*batch.select(names).columns, pa.array(allowed, pa.bool_())], [*names, "allowed"])
+
+    kind = StructType([*tries.schema.fields, StructField("allowed", BooleanType())])
+    return rows.repartition("__key").sortWithinPartitions("__key", "__us", tie).mapInArrow(decided, kind)
 
 
 def next_reset(log: DataFrame, key: str, at: str, now: Column, seconds: int = 86_490) -> DataFrame:
-    """(key, used, resets_at): uses in the last so many seconds, and when the oldest of them leaves the window."""
+    """(key, used, resets_at): uses in the last so many seconds, and when all of them are back: so long after the newest."""
     recent = log.filter((F.col(at) <= now) & (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col(at).cast("timestamp")) < seconds * 1_000_000))
-    return recent.groupBy(key).agg(F.count(F.lit(1)).alias("used"), (F.min(at) + F.expr(f"interval {seconds} seconds")).alias("resets_at"))
+    return recent.groupBy(key).agg(F.count(F.lit(1)).alias("used"), (F.max(at) + F.expr(f"interval {seconds} seconds")).alias("resets_at"))
 
 
 def unexpired(entries: DataFrame, at: str, now: Column, seconds: int) -> DataFrame:
@@ -75,22 +116,26 @@ def unexpired(entries: DataFrame, at: str, now: Column, seconds: int) -> DataFra
     return entries.filter(F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col(at).cast("timestamp")) < seconds * 1_000_000)
 
 
-def claims(tries: DataFrame, day: Column, at: str, done: str, tie: str, seconds: int = 10_800) -> DataFrame:
-    """(day, claims: the tries that hold a day's claim in turn).
+def claims(tries: DataFrame, day: Column, at: str, found: str, tie: str, seconds: int = 1800) -> DataFrame:
+    """Tries that hold their day's claim, with day: the first, and each later one that takes over from a holder that has
+    found nothing that is recorded (found is false) and is more than so many seconds old.
 
-    The first try of a day claims it; a later one takes over where the claim before was not done and so many seconds old.
+    A day's tries are read in order, a batch at a time; a task keeps the holder of one day. Tries without a time hold none.
     """
-    rows = tries.withColumn("_day", day).withColumn("_us", F.unix_micros(F.col(at).cast("timestamp")))
-    own = F.array_sort(F.collect_list(F.struct("_us", F.col(tie).alias("id"), F.col(done).alias("done"))))
-    start = F.struct(F.lit(None).cast("long").alias("us"), F.lit(False).alias("done"), F.array().cast("array<bigint>").alias("ids"))
+    names, span = tries.columns, seconds * 1_000_000
+    rows = tries.select("*", day.alias("day"), F.unix_micros(F.col(at).cast("timestamp")).alias("__us")).filter("day is not null and __us is not null")
 
-    def step(held: Column, one: Column) -> Column:
-        takes = held["us"].isNull() | (~held["done"] & (one["_us"] - held["us"] >= seconds * 1_000_000))
-        after = F.struct(one["_us"].alias("us"), one["done"].alias("done"), F.concat(held["ids"], F.array(one["id"].cast("long"))).alias("ids"))
-        return F.when(takes, after).otherwise(held)
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holder = (None, 0, False)
+        for batch in batches:
+            keep = []
+            for when, us, done in zip(*(batch.column(batch.schema.names.index(c)).to_pylist() for c in ("day", "__us", found)), strict=True):
+                keep.append(when != holder[0] or (not holder[2] and us - holder[1] > span))
+                if keep[-1]:
+                    holder = when, us, bool(done)
+            yield batch.select([*names, "day"]).filter(pa.array(keep, pa.bool_()))
 
-    # A day has as many tries as workers that start on it.
-    return rows.groupBy(F.col("_day").alias("day")).agg(F.aggregate(own, start, step, lambda h: h["ids"]).alias("claims"))
+    return rows.repartition("day").sortWithinPartitions("day", "__us", tie).mapInArrow(held, StructType([*tries.schema.fields, rows.schema["day"]]))
 
 
 def failures(answers: DataFrame, source: str = "source", found: str = "found", failed: str = "failed") -> DataFrame:
@@ -106,10 +151,23 @@ def resolved_settings(defaults: DataFrame, own: DataFrame, companies: DataFrame,
     return rows.select(company, name, F.coalesce("_own", "_default").alias(value))
 
 
+#: Seconds after a trial's end in which a subscriber's first payment may still be on its way.
+TRIAL_GRACE = 24 * 3600
+
+
 def eligible(company: DataFrame, now: Column) -> DataFrame:
-    """company with allowed and why, by the first rule that applies: demo, canceled, past due, trial ended, else allowed."""
-    why = F.when(F.col("demo"), "demo").when(F.col("canceled_at") <= now, "canceled").when(F.col("past_due"), "past due").when(F.col("trial_ends") <= now, "trial ended").otherwise("")
-    return company.withColumn("why", why).withColumn("allowed", why.isin("demo", ""))
+    """company with why (blank: it may search) and allowed, by the first rule that applies.
+
+    A company has demo, status, trial_ends_at, subscription (blank: none), used and searches (a month's, used and
+    allowed; null: no plan, so none). Rules: the demo; a canceled plan; a payment past due; a trial that ended, with a
+    day's grace for subscribers; the month's searches used up.
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    ends = F.unix_micros(F.col("trial_ends_at").cast("timestamp")) + F.when(text("subscription") != "", TRIAL_GRACE * 1_000_000).otherwise(0)
+    over = (text("status") == "trialing") & (F.unix_micros(now.cast("timestamp")) > ends)
+    spent = F.coalesce(F.col("searches"), F.lit(0)) - F.coalesce(F.col("used"), F.lit(0)) <= 0
+    why = F.when(F.col("demo"), "demo").when(text("status") == "canceled", "canceled").when(text("status") == "past_due", "past due").when(over, "trial ended").when(spent, "used up").otherwise("")
+    return company.withColumn("why", why).withColumn("allowed", F.col("why") == "")
 
 
 def recent_problems(log: DataFrame, now: Column, days: int = 7, shown: int = 5) -> DataFrame:

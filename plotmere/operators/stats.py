@@ -46,8 +46,12 @@ def clusters(points: DataFrame, zoom: int, pixels: int = 60) -> DataFrame:
     return points.groupBy(F.floor(x * size / pixels).alias("cx"), F.floor(y * size / pixels).alias("cy")).agg(F.count(F.lit(1)).alias("n"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
 
 
-def town_counts(listings: DataFrame, most: int = 10) -> DataFrame:
-    return listings.groupBy("city").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "city").limit(most)
+def town_counts(listings: DataFrame, most: int = 10, place: str = "place") -> DataFrame:
+    """(town, n): the towns ("city, state", as far as they are listed) with the most listings; of equal ones the first in the order of place."""
+    parts = F.concat_ws(", ", *(F.nullif(F.coalesce(F.col(c), F.lit("")), F.lit("")) for c in ("city", "state")))
+    named = listings.select(F.when(parts == "", "(no town listed)").otherwise(parts).alias("town"), place)
+    found = named.groupBy("town").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("_first"))
+    return found.orderBy(F.desc("n"), "_first").limit(most).select("town", "n")
 
 
 def separation(listings: DataFrame) -> DataFrame:

@@ -311,3 +311,6 @@ FOOTPRINT_BONUS = [(100_000, 15), (40_000, 10), (15_000, 5)]
 TIERS = [(60, "A"), (40, "B"), (20, "C"), (0, "D")]
 BRAND_POINTS, KEYWORD_POINTS, KEYWORD_MOST, GENERIC_PENALTY, CLOSED_PENALTY, NEEDS_NAME_MOST = 20, 10, 20, 15, 10, 19
 NEEDS_NAME_FLAG = "Needs a name: only a building on the map, with no business name, address or phone"
+
+# Fixed value: the words that saved rows are scored with, whatever a search asks for.
+DEFAULT_KEYWORDS = ("compactor", "baler", "waste", "recycling")

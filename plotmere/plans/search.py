@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from plotmere.operators import activity, listing
 from plotmere.operators.resolve import resolve
-from plotmere.operators.score import flagged, score
+from plotmere.operators.score import flagged, keyword_hits, score
 from plotmere.operators.shared import shared_folder, written
+from plotmere.plans import categories as K
 from plotmere.sources.listings import together, within
 
 #: Miles around the circle in which listings are still merged, least score, and the circle of a search.
@@ -31,6 +32,7 @@ class Search(NamedTuple):
 def search(found: list[DataFrame], asked: Search, towns: list[str] | None = None, known: DataFrame | None = None) -> DataFrame:
     """Listings of all sources in the circle: merged, scored, the kept ones, the best first.
 
+    Scores count the fixed words; the words that were typed only tell which listings match (matched_keywords, only_hits).
     Companies that are known (alias, company, kind, ord) are no prospects: competitors, and one's own. The margin lets a listing outside merge with one inside; closed listings are merged before they are left out.
     """
     if not 0 < asked.miles <= 100:
@@ -38,9 +40,12 @@ def search(found: list[DataFrame], asked: Search, towns: list[str] | None = None
     near = within(together(*found).filter("lat is not null and lon is not null"), asked.lat, asked.lon, asked.miles, MARGIN).drop("distance_miles")
     # Each step is written: a filter on a score would be pushed through all rules, and the plan would be too large to optimize.
     folder = shared_folder(near.sparkSession, "search")
-    near = written(near.withColumn("rid", F.xxhash64("source", "source_id")), f"{folder}/near")
+    own = F.xxhash64("source", "source_id", F.when(F.coalesce(F.col("source_id"), F.lit("")) == "", F.to_json(F.struct(*(F.col(f"`{c}`") for c in near.columns)))))
+    near = written(near.withColumn("rid", own), f"{folder}/near")
     merged = written(resolve(near, towns), f"{folder}/merged")
-    scored = written(score(within(merged, asked.lat, asked.lon, asked.miles), asked.keywords), f"{folder}/scored")
+    scored = written(score(within(merged, asked.lat, asked.lon, asked.miles), K.DEFAULT_KEYWORDS), f"{folder}/scored")
+    typed = keyword_hits(asked.keywords) if asked.keywords else F.array().cast("array<string>")
+    scored = scored.withColumn("_raw", F.coalesce("raw_categories", F.array().cast("array<string>"))).withColumn("matched_keywords", typed).drop("_raw")
     scored = flagged(scored, known) if known is not None else scored
     scored = listing.dispositions(scored, asked.least_score, asked.only_hits)
     kept = scored.filter("disposition = 'kept'")

@@ -25,10 +25,10 @@ def _pick_sql(values: list[str], index: str) -> str:
 
 # ---------------------------------------------------------------- text
 
-_PHONES = ["(801) 555-", "+1 801.555.", "1801555", "801-55-", "call ", "801555"]
+_PHONES = [" ext 5: ", "(801) 555-", "+1 801.555.", "1801555", "801-55-", "call ", "801555"]
 
 
-@_query(f"""SELECT c_custkey, CASE WHEN length(d) = 10 THEN '(' || d[1:3] || ') ' || d[4:6] || '-' || d[7:10] ELSE p END AS phone
+@_query(f"""SELECT c_custkey, CASE WHEN length(d) = 10 THEN '(' || d[1:3] || ') ' || d[4:6] || '-' || d[7:10] ELSE trim(p) END AS phone
 FROM (SELECT c_custkey, p, regexp_replace(regexp_replace(p, '[^0-9]', '', 'g'), '^1([0-9]{{10}})$', '\\1') AS d FROM (SELECT c_custkey, {_pick_sql(_PHONES, 'c_custkey')} || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS p FROM customer))""")
 def format_phones(spark, sf_dir):
     k = F.col("c_custkey")
@@ -71,7 +71,7 @@ def site_names(spark, sf_dir):
     return listings(spark, sf_dir).select("uid", text.site_name(name).alias("site"))
 
 
-@_query("""SELECT o_custkey, CASE WHEN len(l) = 1 THEN l[1] WHEN len(l) <= 4 THEN array_to_string(l[1:len(l) - 1], ', ') || ' and ' || l[len(l)] ELSE array_to_string(l[1:3], ', ') || ' and ' || (len(l) - 3) || ' more' END AS names
+@_query("""SELECT o_custkey, CASE WHEN len(l) = 1 THEN l[1] WHEN len(l) <= 4 THEN array_to_string(l[1:len(l) - 1], ', ') || ' and ' || l[len(l)] ELSE array_to_string(l[1:4], ', ') || ' and more' END AS names
 FROM (SELECT o_custkey, list_sort(list(DISTINCT o_orderpriority)) AS l FROM orders GROUP BY o_custkey)""")
 def names_joined(spark, sf_dir):
     """At most five different priorities for each customer."""
@@ -83,11 +83,33 @@ def control_characters(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", F.md5(text.clean_controls(F.concat(F.char(F.lit(1)), F.replace(F.coalesce("text", F.lit("")), F.lit(" "), F.char(F.lit(11)))))).alias("clean"))
 
 
-@_query(r"""SELECT page_id, regexp_replace(regexp_replace(u, '(?i)\b(key|token|secret|password|api_key)=[^&\s]+', '\1=***', 'g'), '(?i)\bBearer\s+\S+', 'Bearer ***', 'g') AS safe
-FROM (SELECT page_id, coalesce(url, '') || '?a=1&KEY=s' || page_id || '&token=t bearer x' || page_id AS u FROM pages)""")
+@_query(r"""SELECT page_id, regexp_replace(u, '(?i)([?&](?:key|api_key)=)[^&\s)''"]+', '\1REDACTED', 'g') AS safe
+FROM (SELECT page_id, coalesce(url, '') || '?a=1&KEY=s' || page_id || '&token=t&api_key=y' || page_id || ') key=z' AS u FROM pages)""")
 def redacted_urls(spark, sf_dir):
     k = F.col("page_id").cast("string")
-    return _table(spark, sf_dir, "pages").select("page_id", text.redact(F.concat(F.coalesce("url", F.lit("")), F.lit("?a=1&KEY=s"), k, F.lit("&token=t bearer x"), k)).alias("safe"))
+    return _table(spark, sf_dir, "pages").select("page_id", text.redact(F.concat(F.coalesce("url", F.lit("")), F.lit("?a=1&KEY=s"), k, F.lit("&token=t&api_key=y"), k, F.lit(") key=z"))).alias("safe"))
+
+
+_ENTITIES = ["&lt;", "&gt;", "&quot;", "&#39;", "&#x27;", "&apos;", "&nbsp;", "&amp;"]
+
+
+def _unescaped_sql(inner: str) -> str:
+    for name in _ENTITIES:
+        inner = f"replace({inner}, {_q(name)}, {_q(text.ENTITIES[name])})"
+    return inner
+
+
+_PLAIN = r"""regexp_replace(regexp_replace(CASE WHEN trim(ti) <> '' THEN ti ELSE t END, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<[!/?a-z][^>]*>', ' ', 'g'), '(?i)([?&](?:key|api_key)=)[^&\s)''"]+', '\1REDACTED', 'g')"""
+
+
+@_query(rf"""SELECT page_id, CASE WHEN length(l) <= 300 THEN l ELSE rtrim(l[1:297]) || '...' END AS reason FROM (SELECT page_id, trim(regexp_replace({_unescaped_sql(_PLAIN)}, '[\s\x{{00A0}}]+', ' ', 'g')) AS l
+FROM (SELECT page_id, t, regexp_extract(t, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1) AS ti FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN replace(replace(coalesce(html, ''), 'title>', 'b>'), 'h1>', 'b>') ELSE '<TITLE lang="en">504 &amp; page ' || page_id || '?key=abc</title>' || coalesce(html, '') END AS t FROM pages)))""")
+def failure_reasons(spark, sf_dir):
+    """Answers of servers as one line each."""
+    html = F.coalesce("html", F.lit(""))
+    bare = F.replace(F.replace(html, F.lit("title>"), F.lit("b>")), F.lit("h1>"), F.lit("b>"))
+    page = F.concat(F.lit('<TITLE lang="en">504 &amp; page '), F.col("page_id").cast("string"), F.lit("?key=abc</title>"), html)
+    return _table(spark, sf_dir, "pages").select("page_id", text.reason(F.when(F.col("page_id") % 3 == 0, bare).otherwise(page)).alias("reason"))
 
 
 @_query("""SELECT p_partkey, array_to_string(list_transform(string_split(replace(replace(t, '_', ' '), ';', ', '), ' '), lambda w: array_to_string(list_transform(string_split(w, '-'), lambda v: upper(v[1]) || lower(v[2:])), '-')), ' ') AS shown
@@ -208,7 +230,7 @@ def clock_texts(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", time.clock_text(F.col("ts")).alias("shown"))
 
 
-@_query(f"""SELECT event_id, CASE d WHEN 0 THEN 'today ' WHEN 1 THEN 'tomorrow ' ELSE strftime(l, '%b %-d ') END || strftime(l, '%-I:%M %p') AS shown FROM (SELECT event_id, {_LOCAL} AS l, date_diff('day', DATE '2024-01-15', CAST({_LOCAL} AS DATE)) AS d FROM events)""")
+@_query(f"""SELECT event_id, CASE d WHEN 0 THEN 'today' WHEN 1 THEN 'tomorrow' ELSE strftime(l, '%b %-d') END || ' at ' || strftime(l, '%-I:%M %p') AS shown FROM (SELECT event_id, {_LOCAL} AS l, date_diff('day', DATE '2024-01-15', CAST({_LOCAL} AS DATE)) AS d FROM events)""")
 def day_texts(spark, sf_dir):
     now = F.lit("2024-01-15 20:00:00").cast("timestamp_ntz")
     return _table(spark, sf_dir, "events").select("event_id", time.day_clock_text(F.col("ts"), now).alias("shown"))

@@ -20,28 +20,40 @@ _uid = lambda column: F.concat(F.lit("c"), F.col(column).cast("string"))  # noqa
 
 _PHONE = "CASE WHEN sqft % 3 = 0 THEN '' ELSE '801555' || (sqft % 10000) END"
 _CITIES = ["Provo", "orem", "Magna", "", "Sandy"]
-_ROWS = f"SELECT *, {_miles('40.5', '-111.5', 'lat', 'lon')} AS distance_miles, {_PHONE} AS phone, {_pick_sql(_CITIES, 'sqft')} AS city FROM ({_TABBED})"
+_VERIFIED = "CASE WHEN sqft % 5 = 0 THEN '801777' || (sqft % 10000) ELSE ' ' END"
+_CALLED = f"CASE WHEN sqft % 4 > 0 THEN {_AT} - to_minutes(CAST(sqft % 997 AS BIGINT)) END"
+_ROWS = f"SELECT *, {_miles('40.5', '-111.5', 'lat', 'lon')} AS distance_miles, {_PHONE} AS phone, {_VERIFIED} AS verified_phone, {_CALLED} AS last_call_at, {_pick_sql(_CITIES, 'sqft')} AS city FROM ({_TABBED})"
 
 
 def _rows(spark, sf_dir):
     away = geo.haversine(F.lit(LAT), F.lit(LON), F.col("lat"), F.col("lon"))
     phone = F.when(F.col("sqft") % 3 == 0, "").otherwise(F.concat(F.lit("801555"), (F.col("sqft") % 10000).cast("string")))
-    return tabbed(spark, sf_dir).withColumns({"distance_miles": away, "phone": phone, "city": _pick(_CITIES, F.col("sqft")), "place": F.col("uid")})
+    verified = F.when(F.col("sqft") % 5 == 0, F.concat(F.lit("801777"), (F.col("sqft") % 10000).cast("string"))).otherwise(" ")
+    called = F.when(F.col("sqft") % 4 > 0, F.expr(f"timestamp_ntz'{NOW}' - make_dt_interval(0, 0, cast(sqft % 997 as int))"))
+    return tabbed(spark, sf_dir).withColumns({"distance_miles": away, "phone": phone, "verified_phone": verified, "last_call_at": called, "city": _pick(_CITIES, F.col("sqft")), "place": F.col("uid")})
 
 
 def _page_of(sort: str, order: str):
     @_query(f"SELECT uid FROM ({_ROWS}) WHERE list_contains(tabs, 'unchecked') ORDER BY {order}, uid LIMIT 150 OFFSET 20")
     def page(spark, sf_dir):
         rows = _rows(spark, sf_dir).filter(F.array_contains("tabs", "unchecked"))
-        return listing.page(listing.sorted_by(rows, sort, phones_first=True), 20, 150).select("uid")
+        return listing.page(listing.sorted_by(rows, sort, tab="unchecked"), 20, 150).select("uid")
 
     return page
 
 
 from plotmere.queries import ORACLE_SQL, QUERIES  # noqa: E402
 
+
+@_query(f"SELECT uid FROM ({_ROWS}) WHERE list_contains(tabs, 'yes') ORDER BY coalesce(nullif(lower(city), ''), '~') DESC, uid LIMIT 40")
+def sorted_by_city_descending(spark, sf_dir):
+    rows = _rows(spark, sf_dir).filter(F.array_contains("tabs", "yes"))
+    return listing.page(listing.sorted_by(rows, "city", True, tab="yes"), 0, 40).select("uid")
+
+
 for _sort, _order in (
-    ("score", "phone <> '' DESC, score DESC"), ("distance", "distance_miles"), ("name", "lower(name)"), ("city", "nullif(lower(city), '') ASC NULLS LAST"), ("tier", "tier"), ("status", "nullif(coalesce(mark, ''), '') ASC NULLS LAST"),
+    ("score", "score DESC, (phone <> '' OR trim(verified_phone) <> '') DESC"), ("miles", "distance_miles"), ("name", "lower(name)"), ("city", "coalesce(nullif(lower(city), ''), '~')"),
+    ("contact", "CASE WHEN trim(verified_phone) <> '' THEN 0 WHEN phone <> '' THEN 1 ELSE 2 END"), ("called", "coalesce(epoch_us(last_call_at), 0) DESC"),
 ):
     _f = _page_of(_sort, _order)
     QUERIES[f"sorted_by_{_sort}"], ORACLE_SQL[f"sorted_by_{_sort}"] = QUERIES.pop("page"), ORACLE_SQL.pop("page")
@@ -53,9 +65,17 @@ def filtered_list(spark, sf_dir):
     return listing.filtered(_rows(spark, sf_dir), tier="C", has_phone=True).select("uid", "tier", "phone")
 
 
-@_query(f"SELECT DISTINCT uid FROM (SELECT * FROM (SELECT uid FROM ({_ROWS}) ORDER BY score DESC, uid LIMIT 50 OFFSET 10) UNION ALL SELECT uid FROM ({_ROWS}) WHERE uid IN ('c1', 'c2', 's1', 's999999'))")
+_STAYING = ["c1", "c2", "s1", "s999999"]
+
+
+@_query(f"SELECT uid FROM ({_ROWS}) WHERE list_contains(tabs, 'unchecked') OR uid IN ('c1', 'c2', 's1', 's999999') ORDER BY score DESC, (phone <> '' OR trim(verified_phone) <> '') DESC, uid LIMIT 5000")
 def page_with_pinned_rows(spark, sf_dir):
-    return listing.page_with_pins(listing.ordered(_rows(spark, sf_dir), "score", True, "uid").select("uid"), ["c1", "c2", "s1", "s999999"], 10, 50)
+    return listing.page_with_pins(_rows(spark, sf_dir), "unchecked", _STAYING, 0, 9000).select("uid")
+
+
+@_query(f"SELECT uid FROM ({_ROWS}) WHERE list_contains(tabs, 'closed') ORDER BY lower(name), uid LIMIT 30 OFFSET 10")
+def second_page_without_pinned_rows(spark, sf_dir):
+    return listing.page_with_pins(_rows(spark, sf_dir), "closed", _STAYING, 10, 30, "name").select("uid")
 
 
 _OUTCOMES = ["click", "view", "signup", "none yet"]
@@ -83,23 +103,33 @@ def orphan_tallies(spark, sf_dir):
     return listing.orphans({"orders": (_table(spark, sf_dir, "orders"), "o_custkey"), "events": (_table(spark, sf_dir, "events"), "user_id")}, rows)
 
 
-_PINNED = f"SELECT uid, CASE WHEN nation = 24 THEN 'competitors' WHEN mark IN ('yes', 'no') THEN mark WHEN reviews < 0 THEN 'closed' ELSE 'unchecked' END AS grp, CASE WHEN nation = 24 THEN 'Competitor' ELSE 'Prospect' END AS kind, CASE WHEN city = '' AND sqft % 4 = 0 THEN 'No address listed' ELSE concat_ws(', ', CASE WHEN sqft % 4 > 0 THEN sqft || ' Main' END, nullif(city, ''), CASE WHEN sqft % 4 > 1 THEN 'UT 84101' WHEN sqft % 4 = 1 THEN 'UT' END) END AS address, lat, lon FROM ({_ROWS}) WHERE nation <> 3"
+_PINNED = f"""SELECT uid, round(lat, 5) AS lat, round(lon, 5) AS lon, CASE WHEN nation = 24 THEN 'competitor' WHEN mark IN ('yes', 'no') THEN mark ELSE 'unchecked' END AS grp, CASE WHEN phone = '' THEN '' WHEN length(phone) = 10 THEN '(' || phone[1:3] || ') ' || phone[4:6] || '-' || phone[7:10] ELSE phone END AS phone,
+concat_ws(' · ', CASE WHEN sqft % 4 = 0 THEN 'No street address' END, nullif(concat_ws(', ', CASE WHEN sqft % 4 > 0 THEN sqft || ' Main' END, nullif(city, ''), CASE WHEN sqft % 4 > 1 THEN '84101' END), ''), CASE WHEN city = '' THEN 'near Provo, UT' END) AS address,
+strftime(last_call_at - INTERVAL 7 HOUR, '%b %-d, %Y, %-I:%M %p') AS called, reviews < 0 AS closed, CASE WHEN nation <> 24 THEN '' WHEN sqft % 2 = 0 THEN 'Parent company' ELSE 'Competitor' END AS kind FROM ({_ROWS}) WHERE nation <> 3"""
 
 
 def _addressed(spark, sf_dir):
     k = F.col("sqft") % 4
     return _rows(spark, sf_dir).withColumns({
-        "address": F.when(k > 0, F.concat(F.col("sqft").cast("string"), F.lit(" Main"))).otherwise(""), "state": F.when(k > 0, "UT").otherwise(""), "zip": F.when(k > 1, "84101").otherwise(""),
-        "business_status": F.when(F.col("reviews") < 0, "CLOSED_PERMANENTLY").otherwise(""), "lat": F.when(F.col("nation") == 3, None).otherwise(F.col("lat")),
+        "address": F.when(k > 0, F.concat(F.col("sqft").cast("string"), F.lit(" Main"))).otherwise(""), "zip": F.when(k > 1, "84101").otherwise(""), "near_text": F.lit("near Provo, UT"), "call_outcome": F.lit("talked"),
+        "flags": F.when(F.col("sqft") % 2 == 0, F.array(F.lit("OWN COMPANY: parent company Alder"))), "business_status": F.when(F.col("reviews") < 0, "CLOSED_PERMANENTLY").otherwise(""), "lat": F.when(F.col("nation") == 3, None).otherwise(F.col("lat")),
     })
 
 
-@_query(f"SELECT uid, grp, kind, address, lat, lon FROM ({_PINNED})")
+@_query(f"SELECT uid, lat, lon, grp, phone, address, coalesce(called, '') AS called, closed, kind FROM ({_PINNED})")
 def map_pins(spark, sf_dir):
-    return listing.pins(_addressed(spark, sf_dir))
+    return listing.pins(_addressed(spark, sf_dir)).select("uid", "lat", "lon", "grp", "phone", "address", "called", "closed", "kind")
+
+
+@_query(f"SELECT uid, CAST(grp AS VARCHAR) AS grp, address, len(grp) + len(address) > 0 AS whole FROM ({_PINNED})")
+def map_pin_lists(spark, sf_dir):
+    """Pins as lists, read by place again."""
+    at = lambda n: F.get_json_object("pin", f"$[{listing.PIN.index(n)}]")
+    rows = listing.pin_rows(_addressed(spark, sf_dir))
+    return rows.select("uid", at("grp").alias("grp"), at("address").alias("address"), (F.size(F.from_json("pin", "array<string>")) == len(listing.PIN)).alias("whole"))
 
 
-@_query(f"SELECT grp, count(*) AS n FROM ({_PINNED}) GROUP BY grp UNION ALL SELECT 'no position', count(*) FROM ({_LISTINGS}) WHERE nation = 3")
+@_query(f"SELECT g AS grp, coalesce(n, 0) AS n FROM (VALUES ('unchecked'), ('yes'), ('no'), ('competitor')) t(g) LEFT JOIN (SELECT grp AS g, count(*) AS n FROM ({_PINNED}) GROUP BY 1) USING (g) UNION ALL SELECT 'no position', count(*) FROM ({_LISTINGS}) WHERE nation = 3")
 def map_pin_counts(spark, sf_dir):
     return listing.pin_counts(_addressed(spark, sf_dir))
 
@@ -112,9 +142,9 @@ def search_funnel(spark, sf_dir):
     return stats.funnel(listing.dispositions(rows, 20, only_hits=True))
 
 
-@_query(f"SELECT city, count(*) AS n FROM ({_ROWS}) GROUP BY city ORDER BY n DESC, city LIMIT 3")
+@_query(f"SELECT coalesce(nullif(concat_ws(', ', nullif(city, ''), CASE WHEN sqft % 2 = 0 THEN 'UT' END), ''), '(no town listed)') AS town, count(*) AS n FROM ({_ROWS}) GROUP BY 1 ORDER BY n DESC, min(uid) LIMIT 6")
 def largest_towns(spark, sf_dir):
-    return stats.town_counts(_rows(spark, sf_dir), 3)
+    return stats.town_counts(_rows(spark, sf_dir).withColumn("state", F.when(F.col("sqft") % 2 == 0, "UT")), 6)
 
 
 @_query(f"SELECT tier, count(*) FILTER (sqft % 2 = 0) AS n_with, count(*) FILTER (sqft % 2 = 1) AS n_without, min(score) FILTER (sqft % 2 = 0) AS lowest_with, max(score) FILTER (sqft % 2 = 1) AS highest_without FROM ({_TABBED}) GROUP BY tier")
@@ -174,24 +204,28 @@ def parts_to_fill(spark, sf_dir):
 
 # ---------------------------------------------------------------- search records
 
-_SEARCHES = f"SELECT event_id AS id, ts AS seen_at, {_pick_sql(['Salt Lake', 'salt lake!', 'Provo', 'Orem'], 'event_id')} AS place, 40.0 + (event_id % 97) / 97.0 AS lat, -112.0 + (event_id % 89) / 89.0 AS lon, 5.0 + event_id % 40 AS miles, event_type AS source, event_id % 5 = 0 AS partial FROM events"
+_LABELS_OF = ["Alder Shop, 5 Main St", "Alder Co, 5 Main St", "Provo", "provo", ""]
+_SEARCHES = f"""SELECT event_id AS id, ts AS seen_at, CAST(ts AS DATE) AS day, {_pick_sql(_LABELS_OF, 'event_id')} AS place, CASE WHEN event_id % 6 > 0 THEN 40.5 + (event_id % 5) / 1000.0 END AS lat, -111.5 AS lon, 5.0 + event_id % 2 * 25 AS radius, (event_id % 8) / 20.0::DOUBLE AS miles,
+CASE event_type WHEN 'view' THEN 'osm' WHEN 'click' THEN 'google' WHEN 'purchase' THEN 'both' END AS source, CASE WHEN event_id % 4 > 0 THEN event_id % 100 END AS leads FROM events"""
 
 
 def _searches(spark, sf_dir):
-    k = F.col("event_id")
+    k, kind = F.col("event_id"), F.col("event_type")
     return _table(spark, sf_dir, "events").select(
-        k.alias("id"), F.col("ts").alias("at"), _pick(["Salt Lake", "salt lake!", "Provo", "Orem"], k).alias("place"), (F.lit(40.0) + (k % 97) / F.lit(97.0)).alias("lat"), (F.lit(-112.0) + (k % 89) / F.lit(89.0)).alias("lon"),
-        (F.lit(5.0) + k % 40).alias("miles"), F.col("event_type").alias("source"), (k % 5 == 0).alias("partial"))
+        k.alias("id"), F.col("ts").alias("at"), F.to_date("ts").alias("day"), _pick(_LABELS_OF, k).alias("place"), F.when(k % 6 > 0, F.lit(40.5) + (k % 5) / F.lit(1000.0)).alias("lat"), F.lit(-111.5).alias("lon"), (F.lit(5.0) + k % 2 * 25).alias("radius"),
+        ((k % 8) / F.lit(20.0)).alias("miles"), F.when(kind == "view", "osm").when(kind == "click", "google").when(kind == "purchase", "both").alias("source"), F.when(k % 4 > 0, k % 100).alias("leads"))
 
 
-@_query(f"""SELECT key AS place_key, source, max(seen_at) AS seen_at, arg_max(id, (seen_at, id)) AS id FROM (SELECT *, CASE WHEN place LIKE '%alt%' THEN 'salt lake' ELSE lower(place) END AS key FROM ({_SEARCHES})) WHERE NOT partial AND seen_at <= {_AT} AND epoch_us({_AT}) - epoch_us(seen_at) <= 14400000000 GROUP BY ALL""")
+@_query(f"""SELECT replace(place, 'Alder Co,', 'Alder Shop,') AS place, max(seen_at) AS seen_at, arg_max(id, (seen_at, id)) AS id FROM ({_SEARCHES}) WHERE leads IS NOT NULL AND place <> '' AND day < DATE '2024-01-20' AND seen_at > {_AT} - INTERVAL 3 DAY GROUP BY 1""")
 def earlier_searches(spark, sf_dir):
-    return searches.earlier(_searches(spark, sf_dir), _now(), 14_400, "place", "source").select("place_key", "source", F.col("at").alias("seen_at"), "id")
+    rows = _searches(spark, sf_dir).withColumn("place", searches.renamed_place(F.col("place"), ["Alder Co"], "Alder Shop"))
+    return searches.earlier(rows, F.lit("2024-01-20").cast("date"), _now() - F.expr("interval 3 days")).select("place", F.col("at").alias("seen_at"), "id")
 
 
-@_query(f"SELECT id, seen_at, CAST(miles AS DOUBLE) AS miles FROM ({_SEARCHES}) WHERE source = 'view' AND {_miles('40.5', '-111.5', 'lat', 'lon')} + 10 <= miles + 1 ORDER BY seen_at DESC, id DESC LIMIT 1")
-def covering_search(spark, sf_dir):
-    return searches.latest_covering(_searches(spark, sf_dir), LAT, LON, 10.0, "view").select("id", F.col("at").alias("seen_at"), "miles")
+@_query(f"""SELECT id, seen_at FROM (SELECT * FROM ({_SEARCHES}) ORDER BY seen_at DESC, id DESC LIMIT 60) WHERE leads IS NOT NULL AND coalesce(source, 'auto') IN ('auto', 'osm', 'both') AND radius = 30
+AND CASE WHEN lat IS NULL THEN miles ELSE {_miles('40.5', '-111.5', 'lat', 'lon')} END <= 0.1 ORDER BY seen_at DESC, id DESC LIMIT 1""")
+def latest_area_search(spark, sf_dir):
+    return searches.latest_of_area(_searches(spark, sf_dir), LAT, LON, 30.0).select("id", F.col("at").alias("seen_at"))
 
 
 @_query("SELECT kind, seen_at, id FROM (SELECT 'order' AS kind, o_orderdate AS seen_at, o_orderkey AS id FROM orders UNION ALL SELECT 'event', ts, event_id FROM events) ORDER BY seen_at DESC, kind, id DESC LIMIT 80")
@@ -208,12 +242,16 @@ def labels_in_order(spark, sf_dir):
     return searches.in_label_order(_table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("label")).agg(F.count(F.lit(1)).alias("n")), _LABELS)
 
 
-@_query("SELECT event_id, coalesce(epoch_us(ts) - epoch_us(lag(ts, 3) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id)) > 86400000000, true) AS allowed FROM events")
+@_query("""WITH RECURSIVE e AS (SELECT event_id AS id, user_id AS u, epoch_us(ts) AS us, event_type = 'signup' AS clears, event_type <> 'view' AS notes, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+s AS (SELECT u, r, id, true AS ok, CASE WHEN notes AND NOT clears THEN [us] ELSE CAST([] AS BIGINT[]) END AS kept FROM e WHERE r = 1
+UNION ALL SELECT u, r, id, ok, CASE WHEN ok AND clears THEN [] WHEN ok AND notes THEN list_append(kept, us) ELSE kept END FROM (SELECT e.*, len(list_filter(s.kept, lambda t: e.us - t < 172800000000)) < 3 AS ok, s.kept FROM s JOIN e ON e.u = s.u AND e.r = s.r + 1))
+SELECT id AS event_id, ok AS allowed FROM s""")
 def rate_limits(spark, sf_dir):
-    return searches.rate_limited(_table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", 3, 86_400, "event_id").select("event_id", "allowed")
+    e = _table(spark, sf_dir, "events").filter("user_id is not null and ts is not null").withColumns({"notes": F.col("event_type") != "view", "clears": F.col("event_type") == "signup"})
+    return searches.rate_limited(e, ["user_id"], "ts", 3, 172_800, "event_id", "notes", "clears").select("event_id", "allowed")
 
 
-@_query(f"SELECT user_id, count(*) AS used, min(ts) + INTERVAL 86490 SECOND AS resets_at FROM events WHERE ts <= {_AT} AND epoch_us({_AT}) - epoch_us(ts) < 86490000000 GROUP BY user_id")
+@_query(f"SELECT user_id, count(*) AS used, max(ts) + INTERVAL 86490 SECOND AS resets_at FROM events WHERE ts <= {_AT} AND epoch_us({_AT}) - epoch_us(ts) < 86490000000 GROUP BY user_id")
 def budget_resets(spark, sf_dir):
     return searches.next_reset(_table(spark, sf_dir, "events"), "user_id", "ts", _now())
 
@@ -224,12 +262,12 @@ def cache_entries(spark, sf_dir):
 
 
 @_query("""WITH RECURSIVE e AS (SELECT event_id AS id, epoch_us(ts) AS us, event_type = 'purchase' AS done, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS r FROM events),
-c AS (SELECT day, r, us, done, [id] AS ids FROM e WHERE r = 1 UNION ALL SELECT e.day, e.r, CASE WHEN takes THEN e.us ELSE c.us END, CASE WHEN takes THEN e.done ELSE c.done END, CASE WHEN takes THEN list_append(c.ids, e.id) ELSE c.ids END
-FROM (SELECT c.day, c.r, c.us, c.done, c.ids, n.id AS nid, NOT c.done AND n.us - c.us >= 10800000000 AS takes FROM c JOIN e n ON n.day = c.day AND n.r = c.r + 1) c JOIN e ON e.id = nid)
-SELECT CAST(day AS VARCHAR) AS day, array_to_string(max_by(ids, r), ',') AS claims FROM c GROUP BY day""")
+c AS (SELECT day, r, id, us AS held, done, true AS takes FROM e WHERE r = 1
+UNION ALL SELECT day, r, id, CASE WHEN t THEN us ELSE held END, CASE WHEN t THEN d ELSE done END, t FROM (SELECT e.day, e.r, e.id, e.us, c.held, c.done, e.done AS d, NOT c.done AND e.us - c.held > 1800000000 AS t FROM c JOIN e ON e.day = c.day AND e.r = c.r + 1))
+SELECT CAST(day AS VARCHAR) AS day, id FROM c WHERE takes""")
 def day_claims(spark, sf_dir):
-    e = _table(spark, sf_dir, "events").withColumn("done", F.col("event_type") == "purchase")
-    return searches.claims(e, F.to_date("ts"), "ts", "done", "event_id").select(F.col("day").cast("string").alias("day"), F.array_join(F.col("claims").cast("array<string>"), ",").alias("claims"))
+    e = _table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "ts", (F.col("event_type") == "purchase").alias("found"))
+    return searches.claims(e, F.to_date("ts"), "ts", "found", "id").select(F.col("day").cast("string").alias("day"), "id")
 
 
 @_query("SELECT user_id AS source, CASE WHEN f > 0 AND n = 0 THEN 'error' WHEN f > 0 THEN 'warning' ELSE 'ok' END AS verdict FROM (SELECT user_id, count(*) FILTER (event_type = 'error' AND event_id % 3 = 0) AS f, count(*) FILTER (event_type = 'purchase' AND event_id % 9 = 0) AS n FROM events GROUP BY 1)")
@@ -246,10 +284,13 @@ def company_settings(spark, sf_dir):
     return searches.resolved_settings(spark.createDataFrame([("radius", "30"), ("zone", "Denver")], "name string, value string"), own, c)
 
 
-@_query("SELECT o_orderkey, why, why IN ('demo', '') AS allowed FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'demo' WHEN o_orderkey % 7 = 0 AND o_orderdate <= TIMESTAMP '1996-01-01' THEN 'canceled' WHEN o_orderstatus = 'P' THEN 'past due' WHEN o_orderdate <= TIMESTAMP '1994-01-01' THEN 'trial ended' ELSE '' END AS why FROM orders)")
+@_query("""SELECT o_orderkey, why, why = '' AS allowed FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'demo' WHEN o_orderkey % 7 = 0 THEN 'canceled' WHEN o_orderstatus = 'P' THEN 'past due'
+WHEN o_orderstatus = 'O' AND TIMESTAMP '1996-01-01' > o_orderdate + CASE WHEN o_orderkey % 2 = 0 THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END THEN 'trial ended' WHEN o_orderkey % 5 >= o_orderkey % 4 THEN 'used up' ELSE '' END AS why FROM orders)""")
 def company_eligibility(spark, sf_dir):
-    k = F.col("o_orderkey")
-    rows = _table(spark, sf_dir, "orders").select(k, (k % 11 == 0).alias("demo"), F.when(k % 7 == 0, F.col("o_orderdate")).alias("canceled_at"), (F.col("o_orderstatus") == "P").alias("past_due"), F.when(F.col("o_orderdate") <= F.lit("1994-01-01").cast("timestamp_ntz"), F.col("o_orderdate")).alias("trial_ends"))
+    k, s = F.col("o_orderkey"), F.col("o_orderstatus")
+    rows = _table(spark, sf_dir, "orders").select(
+        k, (k % 11 == 0).alias("demo"), F.when(k % 7 == 0, "canceled").when(s == "P", "past_due").when(s == "O", "trialing").otherwise("active").alias("status"), F.col("o_orderdate").alias("trial_ends_at"),
+        F.when(k % 2 == 0, "sub").alias("subscription"), (k % 5).alias("used"), F.when(k % 4 > 0, k % 4).alias("searches"))
     return searches.eligible(rows, F.lit("1996-01-01").cast("timestamp_ntz")).select("o_orderkey", "why", "allowed")
 
 
@@ -278,19 +319,22 @@ def search_progress(spark, sf_dir):
 _LEADS = f"SELECT CAST(substr(uid, 2) AS BIGINT) AS rid, name, lat, lon, CASE WHEN nation < 12 THEN 'google' ELSE 'osm' END AS source, CASE WHEN sqft % 2 = 0 THEN uid ELSE '' END AS source_id FROM ({_LISTINGS}) WHERE uid LIKE 'c%'"
 
 
-@_query(f"""WITH l AS ({_LEADS}), s AS (SELECT 'r' || rid AS uid, 'Customer ' || (rid % 5) AS name, lat + (rid % 3) * 0.001 AS lat, lon, source, source_id, rid AS first_seen FROM l), n AS (SELECT rid, 'Customer ' || (rid % 5) AS name, lat, lon, source, source_id FROM l)
-SELECT rid, uid, min(priority) AS priority FROM (SELECT rid, uid, 0 AS priority FROM n JOIN s USING (source, source_id) WHERE source_id <> '' UNION ALL SELECT n.rid, s.uid, 1 FROM n JOIN s ON n.name[10:] = s.name[10:] AND abs(n.lat - s.lat) < 0.0018 AND abs(n.lon - s.lon) < 0.0024 AND {_miles('n.lat', 'n.lon', 's.lat', 's.lon')} <= 0.12) GROUP BY ALL""")
+_TREES = ["alder", "birch", "cedar", "dogwood", "elm"]
+
+
+@_query(f"""WITH l AS (SELECT rid, lat, lon, source, source_id, {_pick_sql(_TREES, 'rid')} AS tree FROM ({_LEADS})), s AS (SELECT 'r' || rid AS uid, tree, lat + (rid % 3) * 0.001 AS lat, lon, source, CASE WHEN source_id = '' THEN 's' || rid ELSE source_id END AS source_id FROM l)
+SELECT rid, uid, min(priority) AS priority FROM (SELECT l.rid, s.uid, 0 AS priority FROM l JOIN s USING (source, source_id) UNION ALL SELECT l.rid, s.uid, 1 FROM l JOIN s ON l.tree = s.tree AND abs(l.lat - s.lat) < 0.0031 AND abs(l.lon - s.lon) < 0.0041 AND {_miles('l.lat', 'l.lon', 's.lat', 's.lon')} <= 0.2) GROUP BY ALL""")
 def saved_row_offers(spark, sf_dir):
-    """Names differ by a number, which a clean name leaves out, so places decide; ids decide first."""
+    """By id first, then the rows of one name within 0.2 miles: names of other trees are no duplicates."""
     k = F.substring("uid", 2, 20).cast("long")
+    none = {c: F.lit("") for c in ("phone", "website", "address", "city", "state", "zip", "business_status", "primary_category")}
     rows = listings(spark, sf_dir).filter("uid like 'c%'").withColumn("rid", k).withColumns({
-        "name": F.concat(F.lit("Customer "), _pick(["alder", "birch", "cedar", "dogwood", "elm"], k)), "source": F.when(F.col("nation") < 12, "google").otherwise("osm"), "source_id": F.when(F.col("sqft") % 2 == 0, F.col("uid")).otherwise("")})
-    kept = rows.withColumns({"uid": F.concat(F.lit("r"), k.cast("string")), "first_seen": k, "lat": F.col("lat") + (k % 3) * 0.001})
+        "name": F.concat(F.lit("Customer "), _pick(_TREES, k)), "source": F.when(F.col("nation") < 12, "google").otherwise("osm"), "source_id": F.when(F.col("sqft") % 2 == 0, F.col("uid")).otherwise(F.concat(F.lit("n"), k)),
+        "raw_categories": F.array().cast("array<string>"), "outline": F.lit(None).cast("struct<s:double,w:double,n:double,e:double>"), "rating_count": F.lit(None).cast("int"), "yelp_reviews": F.lit(None).cast("int"), **none})
+    kept = rows.withColumns({"uid": F.concat(F.lit("r"), k.cast("string")), "first_seen": k, "lat": F.col("lat") + (k % 3) * 0.001, "source_id": F.when(F.col("sqft") % 2 == 0, F.col("source_id")).otherwise(F.concat(F.lit("s"), k))})
     return saved.offers(rows.drop("uid"), kept).select("rid", "uid", "priority")
 
 
-ORACLE_SQL["saved_row_offers"] = ORACLE_SQL["saved_row_offers"].replace("'Customer ' || (rid % 5)", "'Customer ' || ['alder', 'birch', 'cedar', 'dogwood', 'elm'][rid % 5 + 1]")
-
 _OLD = "SELECT 'u' || l_orderkey AS uid, l_linestatus AS source, CAST(l_linenumber AS VARCHAR) AS source_id, l_shipdate AS seen_at FROM lineitem WHERE l_linenumber <= 3"
 _NEW = "SELECT 'u' || CASE WHEN l_orderkey % 10 = 0 THEN l_orderkey + 1 ELSE l_orderkey END AS uid, 'N' AS source, CAST(l_linenumber AS VARCHAR) AS source_id, l_shipdate + INTERVAL 400 DAY AS seen_at FROM lineitem WHERE l_linenumber BETWEEN 2 AND 4 AND l_orderkey % 4 < 2"
 
@@ -304,19 +348,24 @@ def _parts(spark, sf_dir):
     return old, new
 
 
-_AGAIN = f"""WITH o AS ({_OLD}), n AS ({_NEW}), every AS (SELECT * FROM o WHERE (uid, source, source_id) NOT IN (SELECT (uid, source, source_id) FROM n) UNION ALL SELECT * FROM n)
+_SHUT = "SELECT DISTINCT 'u' || l_orderkey AS uid FROM lineitem WHERE l_orderkey % 3 = 0"
+_AGAIN = f"""WITH o AS ({_OLD}), n AS (SELECT * FROM ({_NEW}) WHERE uid NOT IN ({_SHUT}) OR uid IN (SELECT uid FROM ({_OLD}))), every AS (SELECT * FROM o WHERE (uid, source, source_id) NOT IN (SELECT (uid, source, source_id) FROM n) UNION ALL SELECT * FROM n)
 SELECT uid, count(*) AS n_parts, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources, (SELECT min(seen_at) FROM (SELECT * FROM o UNION ALL SELECT * FROM n) b WHERE b.uid = every.uid) AS first_seen, max(seen_at) AS last_seen, uid NOT IN (SELECT uid FROM o) AS is_new FROM every GROUP BY uid"""
 
 
+def _shut(spark, sf_dir):
+    return _table(spark, sf_dir, "lineitem").filter("l_orderkey % 3 = 0").select(F.concat(F.lit("u"), F.col("l_orderkey").cast("string")).alias("uid")).distinct()
+
+
 @_query(_AGAIN)
 def saved_again(spark, sf_dir):
-    return saved.saved_again(*_parts(spark, sf_dir)).withColumn("sources", F.array_join("sources", ","))
+    return saved.saved_again(*_parts(spark, sf_dir), _shut(spark, sf_dir)).withColumn("sources", F.array_join("sources", ","))
 
 
 @_query(f"SELECT count(*) FILTER (is_new) AS new, count(*) FILTER (NOT is_new) AS updated FROM ({_AGAIN}) WHERE uid IN (SELECT uid FROM ({_NEW}))")
 def save_counts(spark, sf_dir):
     old, new = _parts(spark, sf_dir)
-    return saved.save_counts(saved.saved_again(old, new), new)
+    return saved.save_counts(saved.saved_again(old, new, _shut(spark, sf_dir)), new)
 
 
 _GROUPS = "SELECT o_orderkey AS id, o_custkey AS grp, 'u' || o_orderkey AS uid, o_orderdate AS first_seen FROM orders WHERE o_orderstatus = 'P'"
@@ -339,25 +388,39 @@ def _order_marks(spark, sf_dir):
     return _table(spark, sf_dir, "lineitem").select(F.concat(F.lit("u"), F.col("l_orderkey").cast("string")).alias("uid"), F.col("l_shipdate").alias("at"), F.col("l_linenumber").alias("id"), value.alias("value"))
 
 
-@_query(f"""WITH m AS (SELECT uid, arg_max(value, (seen_at, id)) AS value FROM ({_ORDER_MARKS}) GROUP BY uid) SELECT grp, uid FROM ({_GROUPS}) WHERE grp NOT IN (SELECT grp FROM ({_GROUPS}) JOIN m USING (uid) WHERE value <> '' GROUP BY grp HAVING count(DISTINCT value) > 1)""")
-def marks_in_agreement(spark, sf_dir):
-    return saved.marks_agree(_saved_groups(spark, sf_dir), _order_marks(spark, sf_dir)).select("grp", "uid")
+_CURRENT = f"SELECT uid, arg_max(value, (seen_at, id)) AS value, max(seen_at) AS seen_at FROM ({_ORDER_MARKS}) WHERE value <> '' GROUP BY uid"
+_TAKEN = f"""SELECT grp, arg_min(uid, (first_seen, uid)) AS keep_uid, bool_or(value = 'yes') AND bool_or(value = 'no') AS disagreed, arg_max(value, (seen_at, value, uid)) FILTER (value IS NOT NULL) AS last, max(seen_at) AS last_at, max(seen_at) FILTER (value = 'yes') AS yes_at
+FROM ({_GROUPS}) LEFT JOIN ({_CURRENT}) USING (uid) GROUP BY grp HAVING count(value) > 0"""
+
+
+def _current_marks(spark, sf_dir):
+    return activity.latest(_order_marks(spark, sf_dir).filter("value <> ''"), "uid", "at", "value", "at", tie="id").select("uid", "value", "at")
+
+
+@_query(f"SELECT grp, keep_uid, CASE WHEN disagreed THEN 'yes' ELSE last END AS value, CASE WHEN disagreed THEN yes_at ELSE last_at END AS seen_at, disagreed FROM ({_TAKEN})")
+def merged_marks(spark, sf_dir):
+    found = saved.merged_marks(_saved_groups(spark, sf_dir), _current_marks(spark, sf_dir))
+    return found.select("grp", "keep_uid", "value", F.col("at").alias("seen_at"), "disagreed")
 
 
 _PLAN = f"SELECT uid AS other_uid, keep AS keep_uid FROM (SELECT *, first(uid) OVER (PARTITION BY grp ORDER BY first_seen, uid) AS keep FROM ({_GROUPS})) WHERE uid <> keep"
 
 
-@_query(f"SELECT uid, into_uid, json_extract_string(row, '$.grp') AS grp FROM (SELECT g.uid, keep_uid AS into_uid, json_object('grp', grp) AS row FROM ({_GROUPS}) g JOIN ({_PLAN}) p ON g.uid = p.other_uid)")
+def _lineage(spark, sf_dir):
+    groups, marks = _saved_groups(spark, sf_dir), _current_marks(spark, sf_dir)
+    apart = saved.merged_marks(groups, marks).filter("disagreed")
+    return saved.with_lineage(groups, saved.kept_rows(groups), F.lit("1997-01-01").cast("timestamp_ntz"), marks=marks, disagreed=apart)[1]
+
+
+@_query(f"SELECT g.uid, p.keep_uid AS into_uid, grp, coalesce(value, '') AS mark, p.keep_uid IN (SELECT keep_uid FROM ({_TAKEN}) WHERE disagreed) AS disagreed FROM ({_GROUPS}) g JOIN ({_PLAN}) p ON g.uid = p.other_uid LEFT JOIN ({_CURRENT}) m ON m.uid = g.uid")
 def merge_lineage(spark, sf_dir):
-    groups = _saved_groups(spark, sf_dir)
-    return saved.with_lineage(groups, saved.kept_rows(groups), _now())[1].select("uid", "into_uid", F.get_json_object("row", "$.grp").alias("grp"))
+    return _lineage(spark, sf_dir).select("uid", "into_uid", F.get_json_object("row", "$.grp").cast("long").alias("grp"), "mark", "disagreed")
 
 
-@_query(f"""SELECT uid, CASE WHEN marked > merged THEN 'mark' ELSE 'merge' END AS later FROM (SELECT keep_uid AS uid, max(g.first_seen) AS merged FROM ({_PLAN}) p JOIN ({_GROUPS}) g ON g.uid = p.other_uid GROUP BY 1) JOIN (SELECT uid, max(seen_at) AS marked FROM ({_ORDER_MARKS}) GROUP BY uid) USING (uid)""")
-def marks_since_merges(spark, sf_dir):
-    groups = _saved_groups(spark, sf_dir)
-    lineage = saved.kept_rows(groups).withColumnsRenamed({"other_uid": "uid", "keep_uid": "into_uid"}).join(groups.select("uid", F.col("first_seen").alias("at")), "uid")
-    return saved.disagreements(lineage, _order_marks(spark, sf_dir)).select("uid", "later")
+@_query(f"""SELECT keep_uid AS uid FROM ({_TAKEN}) WHERE disagreed AND keep_uid NOT IN (SELECT uid FROM ({_ORDER_MARKS}) WHERE id % 2 = 0 AND seen_at >= TIMESTAMP '1997-01-01')""")
+def unconfirmed_merges(spark, sf_dir):
+    clicks = _order_marks(spark, sf_dir).withColumn("undone_at", F.when(F.col("id") % 2 == 1, F.col("at")))
+    return saved.disagreements(_lineage(spark, sf_dir), clicks).select("uid")
 
 
 @_query(f"SELECT coalesce(keep_uid, uid) AS uid, count(*) AS n FROM ({_ORDER_MARKS}) m LEFT JOIN ({_PLAN}) p ON m.uid = p.other_uid GROUP BY 1")
@@ -381,10 +444,10 @@ def site_titles(spark, sf_dir):
 # ---------------------------------------------------------------- sources and sinks
 
 
-@_query(f"SELECT l_linestatus || ':' || CASE WHEN l_linenumber > 1 THEN CAST(l_linenumber AS VARCHAR) ELSE l_returnflag END AS part, count(*) AS n FROM lineitem GROUP BY 1")
+@_query(f"SELECT l_linestatus || ':' || CASE WHEN l_linenumber > 1 THEN CAST(l_linenumber AS VARCHAR) ELSE '' END AS part, count(*) AS n FROM lineitem GROUP BY 1")
 def part_ids(spark, sf_dir):
     source_id = F.when(F.col("l_linenumber") > 1, F.col("l_linenumber").cast("string")).otherwise("")
-    return _table(spark, sf_dir, "lineitem").select(saved.part_id(F.col("l_linestatus"), source_id, F.col("l_returnflag")).alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    return _table(spark, sf_dir, "lineitem").select(saved.part_id(F.col("l_linestatus"), source_id).alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query("SELECT DISTINCT 'a' AS source, CAST(l_partkey AS VARCHAR) AS source_id FROM lineitem")
