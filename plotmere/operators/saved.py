@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotmere.functions.text import blank
-from plotmere.operators.resolve import duplicates, likely_pairs, merge_groups, merge_parts, prepared, site_pairs
+from plotmere.operators.resolve import duplicates, likely_pairs, linkage, merge_groups, merge_parts, prepared, ranked_duplicates, site_groups, site_pairs
 from plotmere.operators.score import score
-from plotmere.operators.shared import shared_folder, written
+from plotmere.operators.shared import connected, shared_folder, written
 from plotmere.plans import categories as K
 
 
@@ -90,6 +90,44 @@ def kept_rows(groups: DataFrame) -> DataFrame:
     return groups.join(keep, "grp").filter("uid <> keep_uid").select(F.col("uid").alias("other_uid"), "keep_uid")
 
 
+def same_business(rows: DataFrame, parts: DataFrame, ids: DataFrame | None = None, towns: list[str] | None = None) -> DataFrame:
+    """(keep_uid, other_uid): saved rows that are one business by the rules a search merges with; the row saved first is kept.
+
+    rows has uid and first_seen, parts the listings (with uid) that they are made of; rows without parts are left alone. A
+    row's listings are together from the start, and so are those of rows that share a record. Such groups join when every
+    listing of one is a duplicate of every listing of the other, the strongest pair first; then merged rows that are parts
+    of one site; then rows that share an id of ids (uid, source, source_id; the parts' where there is none).
+
+    A pair of groups counts only if it has as many duplicate pairs as pairs, so linkage looks at groups, not listings.
+    """
+    folder = shared_folder(parts.sparkSession, "same")
+    listings = written(prepared(parts.repartition("uid").withColumn("rid", F.monotonically_increasing_id())), f"{folder}/listings")
+    first = listings.groupBy("uid").agg(F.min("rid").alias("a"))
+    by_record = listings.select("uid", part_id().alias("part")).join(first, "uid")
+    meet = lambda df: df.join(df.groupBy("part").agg(F.min("a").alias("b")), "part").select("a", "b")
+    start = connected(meet(by_record))
+    own = written(first.join(start.withColumnRenamed("node", "a"), "a", "left").select("uid", F.coalesce("component", "a").alias("start")), f"{folder}/start")
+    listings = listings.join(own, "uid")
+    of = lambda side, name: listings.select(F.col("rid").alias(side), F.col("start").alias(name))
+    pairs = ranked_duplicates(listings.drop("uid", "start"), towns).join(of("i", "g"), "i").join(of("j", "h"), "j").filter("g <> h")
+    rank = F.struct("strength", "reviews", "miles", "i", "j")
+    size = listings.groupBy("start").agg(F.count(F.lit(1)).alias("n"))
+    met = pairs.groupBy(F.least("g", "h").alias("x"), F.greatest("g", "h").alias("y")).agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("r"))
+    whole = met.join(size.select(F.col("start").alias("x"), F.col("n").alias("nx")), "x").join(size.select(F.col("start").alias("y"), F.col("n").alias("ny")), "y").filter("n = nx * ny")
+    edges = written(whole.select("x", "y", "r.*"), f"{folder}/edges")
+    linked = linkage(edges).filter("grp is not null").select(F.col("x").alias("start"), "grp")
+    groups = written(own.select("start").distinct().join(linked, "start", "left").select("start", F.coalesce("grp", "start").alias("grp")), f"{folder}/groups")
+    merged = merge_groups(listings.drop("uid", "start"), listings.select("rid", "start").join(groups, "start").select("rid", "grp"))
+    sites = site_groups(written(merged.withColumnRenamed("grp", "rid"), f"{folder}/merged"), towns)
+    more = own if ids is None else ids.select("uid", part_id().alias("part")).join(own, "uid").select("part", F.col("start").alias("a"))
+    links = groups.select(F.col("start").alias("a"), F.col("grp").alias("b")).union(sites.select(F.col("rid").alias("a"), F.col("site").alias("b")))
+    links = links if ids is None else links.union(meet(more))
+    found = connected(links)
+    rows = rows.join(own.join(found.withColumnRenamed("node", "start"), "start"), "uid").select("uid", "first_seen", "component")
+    keep = rows.groupBy("component").agg(F.min(F.struct("first_seen", "uid")).alias("k"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return rows.join(keep, "component").filter("uid <> k.uid").select(F.col("k.uid").alias("keep_uid"), F.col("uid").alias("other_uid"))
+
+
 def merged_marks(groups: DataFrame, marks: DataFrame) -> DataFrame:
     """(grp, keep_uid, value, at, given_to, disagreed) of groups (grp, uid, first_seen) of saved rows that become one.
 
