@@ -94,3 +94,58 @@ def search_grid(lat: float, lon: float, miles: float, cells: int) -> list[tuple[
             turn = math.atan2(math.sin(t) * math.sin(d) * math.cos(p), math.cos(d) - math.sin(p) * math.sin(to))
             out.append((math.degrees(to), lon + math.degrees(turn), miles * share))
     return out
+
+
+# ---------------------------------------------------------------- rings
+
+
+def flat_circle(lat: Column, lon: Column, miles: Column, points: int = 180) -> Column:
+    """A circle as an array of structs lat, lon, on a flat reckoning: it touches the edges of its bounding square."""
+    dlat, dlon = miles / DEGREE_MILES, miles / DEGREE_MILES / F.greatest(F.lit(0.01), F.cos(F.radians(lat)))
+    turn = lambda i: i * (2 * math.pi / points)
+    return F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.struct((lat + dlat * F.cos(turn(i))).alias("lat"), (lon + dlon * F.sin(turn(i))).alias("lon")))
+
+
+def _sides(ring: Column) -> Column:
+    """Each point of a ring with the one before it."""
+    before = F.concat(F.slice(ring, -1, 1), F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0))))
+    return F.when(F.size(ring) > 0, F.zip_with(before, ring, lambda a, b: F.struct(a.alias("a"), b.alias("b")))).otherwise(F.array())
+
+
+def _half(ring: Column, axis: str, limit: Column, above: bool) -> Column:
+    """The part of a ring on one side of a line: sides that cross it are cut there."""
+    inside = lambda p: p[axis] >= limit if above else p[axis] <= limit
+
+    def crossing(a: Column, b: Column) -> Column:
+        t = (limit - a[axis]) / (b[axis] - a[axis])
+        return F.struct((a["lat"] + t * (b["lat"] - a["lat"])).alias("lat"), (a["lon"] + t * (b["lon"] - a["lon"])).alias("lon"))
+
+    def kept(side: Column) -> Column:
+        a, b = side["a"], side["b"]
+        cut = F.when(inside(a) != inside(b), F.array(crossing(a, b))).otherwise(F.slice(F.array(a), 1, 0))
+        return F.concat(cut, F.when(inside(b), F.array(b)).otherwise(F.slice(F.array(b), 1, 0)))
+
+    return F.flatten(F.transform(_sides(ring), kept))
+
+
+def clipped(ring: Column, box: Column) -> Column:
+    """The part of a convex ring (array of structs lat, lon) inside a box (struct s, w, n, e): one edge after the other cuts it."""
+    for axis, side, above in (("lat", "s", True), ("lat", "n", False), ("lon", "w", True), ("lon", "e", False)):
+        ring = _half(ring, axis, box[side], above)
+    return ring
+
+
+def ring_centre(ring: Column) -> Column:
+    """A ring's centre of area; the mean of its points where it has no area; null for no points."""
+    zero = F.struct(F.lit(0.0).alias("area"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"))
+
+    def add(so_far: Column, side: Column) -> Column:
+        a, b = side["a"], side["b"]
+        step = a["lon"] * b["lat"] - b["lon"] * a["lat"]
+        return F.struct((so_far["area"] + step).alias("area"), (so_far["lat"] + (a["lat"] + b["lat"]) * step).alias("lat"), (so_far["lon"] + (a["lon"] + b["lon"]) * step).alias("lon"))
+
+    found = F.aggregate(_sides(ring), zero, add)
+    mean = lambda c: F.aggregate(ring, F.lit(0.0), lambda s, p: s + p[c]) / F.size(ring)
+    flat = F.abs(found["area"]) < 1e-12
+    of = lambda c: F.when(flat, mean(c)).otherwise(found[c] / (3 * found["area"])).alias(c)
+    return F.when(F.size(ring) > 0, F.struct(of("lat"), of("lon")))

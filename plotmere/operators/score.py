@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from plotmere.functions.text import blank, compact, has_term, literals, normalize, plain, site_label, split_hyphens, term_pattern
 from plotmere.operators import classify as C
+from plotmere.operators.towns import at_facilities
 from plotmere.plans import categories as K
 
 
@@ -164,9 +165,11 @@ def flag_types(listings: DataFrame, known: DataFrame) -> DataFrame:
 KINDS = {"Competitor": "COMPETITOR: ", "Own": "OWN COMPANY: ", "Parent": "OWN COMPANY: parent company "}
 
 
-def flagged(listings: DataFrame, known: DataFrame) -> DataFrame:
+def flagged(listings: DataFrame, known: DataFrame, facilities: DataFrame | None = None, key: str = "uid") -> DataFrame:
     """Scored listings with lead_type and flags by the companies known (alias, company, kind, ord): a competitor comes
     before one's own company, that before its parent; then the dictionary's order decides. Flags of before are read anew.
+
+    A listing that none of them names is the parent's where its address is one of facilities (company, street, town); listings have listed_town then.
     """
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     ranked = known.filter(rank > 0).select("alias", F.concat_ws("|", "kind", "company").alias("kind"), F.struct(rank.alias("rank"), "ord").alias("ord"))
@@ -176,4 +179,13 @@ def flagged(listings: DataFrame, known: DataFrame) -> DataFrame:
     start = F.coalesce(*(F.when(kind == k, F.lit(v)) for k, v in KINDS.items()))
     flags = F.when(start.isNotNull(), F.concat(F.array(F.concat(start, company)), "flags")).otherwise(F.col("flags"))
     lead_type = F.when(kind == "Competitor", "Competitor").when(kind.isin("Own", "Parent"), "Own").otherwise(F.col("lead_type"))
-    return found.withColumns({"flags": flags, "lead_type": lead_type}).drop("matched_alias", "matched_kind")
+    found = found.withColumns({"flags": flags, "lead_type": lead_type, "_named": start.isNotNull()}).drop("matched_alias", "matched_kind")
+    if facilities is not None:
+        there = facilities.groupBy("company").count().select("company").collect()  # parent companies of one company
+        for company in sorted(r.company for r in there):
+            here = at_facilities(found, facilities.filter(F.col("company") == company), key).withColumn("_here", F.lit(True))
+            found = found.join(here, key, "left")
+            mine = F.coalesce(F.col("_here"), F.lit(False)) & ~F.col("_named")
+            flags = F.when(mine, F.concat(F.array(F.lit(KINDS["Parent"] + company)), "flags")).otherwise(F.col("flags"))
+            found = found.withColumns({"flags": flags, "lead_type": F.when(mine, "Own").otherwise(F.col("lead_type")), "_named": F.col("_named") | mine}).drop("_here")
+    return found.drop("_named")
