@@ -40,6 +40,8 @@ from plotmere.llm.shared import Alphabet, alphabet, find_file, held_out, mix, pa
 #: Longest sequences that are counted; bytes of input (as Spark estimates them) for each shard; fewest shards; tokens or
 #: so that a task sums before it hands them on.
 ORDER, SHARD_BYTES, FEWEST, FLUSH = 3, 4 << 20, 16, 4_000_000
+#: Bytes of text whose words and sequences are looked up together, each shard's file once.
+LOOKUP_BYTES = 8 << 20
 #: Fixed hashes of the end of a text (a token) and of its beginning (only ever a context).
 END, BEGIN = np.uint64(0xE4D0E4D0E4D0E4D1), np.uint64(0xBE61BE61BE61BE63)
 #: Columns of a level: the adjusted count, then (below the highest level) the sum and the three numbers of continuations.
@@ -374,7 +376,7 @@ def train(texts: DataFrame, text_col: str = "text", order: int = ORDER, shard_by
         """Summed counts of what counts_of finds in each slice's tokens, packed for every so many tokens."""
         parts, size = [], 0
         for batch in batches:
-            for piece in slices(batch.column(0)):
+            for piece in slices(batch.column(0), LOOKUP_BYTES):
                 parts.append(counts_of(*_tokens(piece, letters)))
                 size += parts[-1].keys.size
                 if size > FLUSH:
@@ -511,7 +513,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
         begin = int(vocabulary.find(np.array([BEGIN]))[0][0])
         for batch in batches:
             out = [[], [], [], []]
-            for piece in slices(batch.column(0)):
+            for piece in slices(batch.column(0), LOOKUP_BYTES):
                 tokens, bounds = _tokens(piece, letters)
                 found, count = vocabulary.find(tokens)
                 rows = np.repeat(np.arange(bounds.size - 1), np.diff(bounds))

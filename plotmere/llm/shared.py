@@ -7,6 +7,9 @@ words of a slice are found and hashed with numpy over its bytes, so that no Pyth
 from __future__ import annotations
 
 import itertools
+import mmap
+import os
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -75,12 +78,21 @@ def get_file(uri: str) -> memoryview:
     """A file's bytes: memory-mapped where the folder is mounted, else from a mapped local copy without a name."""
     fs, path = _opened(uri)
     if isinstance(fs, pafs.LocalFileSystem):
-        return memoryview(np.memmap(path, np.uint8, "r")) if fs.get_file_info(path).size else memoryview(b"")
+        with open(path, "rb") as file:
+            return _mapped(file)
     with fs.open_input_stream(path) as source, tempfile.TemporaryFile() as copy:
         while chunk := source.read(1 << 22):
             copy.write(chunk)
         copy.flush()
-        return memoryview(np.memmap(copy, np.uint8, "r")) if copy.tell() else memoryview(b"")
+        return _mapped(copy)
+
+
+def _mapped(file) -> memoryview:
+    """A file's bytes, mapped. Where Python lets go of the descriptor (from 3.13 on), any number of files can stay mapped."""
+    if not os.fstat(file.fileno()).st_size:
+        return memoryview(b"")
+    loose = {"trackfd": False} if sys.version_info >= (3, 13) else {}
+    return memoryview(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ, **loose))
 
 
 def find_file(uri: str) -> memoryview | None:
