@@ -1,37 +1,40 @@
 """Language identification by compression.
 
 Each language has a dictionary: raw text of training documents, given to zstandard as content to refer back to. A text
-is cut into blocks, every block is compressed with each language's dictionary, and the language of the fewest bytes in
-all is the answer. The score is the margin to the second, as a share of the bytes of the best; a text whose margin is
-narrow is rejected.
+is cut into its first ``HEAD`` bytes, which stand four times over after blanks (zstandard stores tiny inputs as they are;
+so it refers back), and blocks of the rest. All of these are compressed with each language's dictionary, and the language
+of the fewest bytes in all is the answer. The score is the margin to the second, as a share of the bytes of the best; a
+text whose margin is narrow is rejected.
 
 The dictionaries come from a bounded sample of labelled documents (about ``per_language`` for each language, chosen by
-a hash of the id; each gives one piece of at most ``piece`` bytes, at a place that follows from the hash), so they are
-small and broadcast. Every text is compressed whole.
+a hash of the id; each id gives one piece of at most ``piece`` bytes, at a place that follows from the hash), so they are
+small and broadcast. All of the sample is used. Where there are more than ``LANGUAGES`` labels they are learnt and tried in
+tiers of so many, one after the other, so that one tier's dictionaries are held at once. Every text is compressed whole.
 
 Edge cases: a null text, or one without a letter, is "und" with score 0 and is rejected. Ties go to the language that
-sorts first. Without a labelled row every text is "und". With one language it is the answer, with score 1. Labels that
-are null or empty are not learnt. Added columns replace columns of the same names.
+sorts first. Without a labelled row every text is "und". With one language it is the answer, with score 1. Null labels
+are not learnt; an empty one is a label like others. Added columns replace columns of the same names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 import regex
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotmere.llm.shared import held_out
+from plotmere.llm.shared import held_out, saved, workspace
 
-#: Bytes of a dictionary and of a block, training documents for each language, and bytes of a document in a dictionary.
-DICTIONARY, BLOCK, PER_LANGUAGE, PIECE = 48_000, 4096, 200, 1000
-#: Texts of fewer bytes are compressed four times over.
-SHORT = 256
-#: Languages that are told apart at most, so that the sample and the dictionaries stay bounded.
+#: Bytes of a block, training documents for each language, and bytes of a document in a dictionary.
+BLOCK, PER_LANGUAGE, PIECE = 4096, 48, 1000
+#: Bytes of a text's beginning that are compressed four times over.
+HEAD = 256
+#: Languages whose dictionaries are held at once.
 LANGUAGES = 400
 #: Below this score a text is rejected.
 MARGIN = 0.01
@@ -57,28 +60,42 @@ def _cut(text: str, hashed: int, piece: int) -> bytes:
     return data[start : start + piece]
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE, size: int = DICTIONARY, piece: int = PIECE) -> dict[str, bytes]:
-    """Dictionaries by language from a bounded sample of labelled rows."""
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE, piece: int = PIECE) -> dict[str, bytes]:
+    """Dictionaries by language from a bounded sample of labelled rows, of up to LANGUAGES languages (tiers has the form for more)."""
+    found = list(tiers(labelled, text_col, lang_col, id_col, per_language, piece))
+    if len(found) > 1:
+        raise ValueError(f"more than {LANGUAGES} languages: classify takes tiers()")
+    return found[0] if found else {}
+
+
+def tiers(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE, piece: int = PIECE) -> Iterator[dict[str, bytes]]:
+    """Dictionaries by language, LANGUAGES of them at a time, in the order of the languages' names."""
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("string").alias("id"))
-    rows = rows.filter("lang is not null and lang <> '' and text is not null and text <> ''")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(LANGUAGES + 1).collect()}
-    if len(counts) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    if not counts:
-        return {}
+    rows = rows.filter("lang is not null and text is not null and text <> ''")
+    every = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     hashed = F.pmod(F.xxhash64("id"), F.lit(_SPAN))
-    below = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, per_language / n) * _SPAN))))
-    chosen = rows.select("lang", "text", hashed.alias("h")).filter(F.col("h") < below[F.col("lang")])
+
     # A long text would weigh on the driver: the piece is cut where the row is.
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = [_cut(t.as_py(), h, piece) for t, h in zip(batch.column(2), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(data, pa.binary())], ["lang", "h", "data"])
 
-    pieces: dict[str, list] = {}
-    for r in chosen.select("lang", "h", "text").mapInArrow(cut, "lang string, h long, data binary").collect():
-        pieces.setdefault(r.lang, []).append((r.h, bytes(r.data)))
-    return {lang: b"\n".join(d for _, d in sorted(found))[-size:] for lang, found in sorted(pieces.items())}
+    last = None
+    while True:
+        counts = {r.lang: r.n for r in (every if last is None else every.filter(F.col("lang") > last)).orderBy("lang").limit(LANGUAGES).collect()}
+        if not counts:
+            return
+        below = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, per_language / n) * _SPAN))))
+        chosen = rows.select("lang", "text", hashed.alias("h")).filter(F.col("h") < F.try_element_at(below, F.col("lang")))
+        one = chosen.select("lang", "h", "text").mapInArrow(cut, "lang string, h long, data binary").groupBy("lang", "h").agg(F.min("data").alias("data"))
+        pieces: dict[str, list] = {}
+        for r in one.collect():  # about per_language for each of the tier's languages
+            pieces.setdefault(r.lang, []).append((r.h, bytes(r.data)))
+        yield {lang: b"\n".join(d for _, d in sorted(found)) for lang, found in sorted(pieces.items())}
+        if len(counts) < LANGUAGES:
+            return
+        last = max(counts, key=lambda lang: lang.encode())
 
 
 class Compressors:
@@ -91,43 +108,62 @@ class Compressors:
 
     def sizes(self, text: str) -> list[int]:
         data = letters(text)
-        if len(data) < SHORT:  # zstandard stores tiny inputs as they are; four times after blanks it refers back
-            data = b" " * 64 + b" ".join([data] * 4)
-        blocks = [data[i : i + self.block] for i in range(0, len(data), self.block)]
+        head, rest = data[:HEAD], data[HEAD:]
+        blocks = [b" " * 64 + b" ".join([head] * 4), *(rest[i : i + self.block] for i in range(0, len(rest), self.block))]
         return [sum(len(c.compress(b)) for b in blocks) for c in self.by_language]
 
-    def classify(self, text: str | None) -> tuple[str, float]:
-        if not self.names or not text or not _LETTER.search(text):
-            return UNKNOWN, 0.0
-        sizes = self.sizes(text)
-        best = min(range(len(sizes)), key=sizes.__getitem__)
-        if len(sizes) == 1:
-            return self.names[0], 1.0
-        second = min(s for i, s in enumerate(sizes) if i != best)
-        return self.names[best], min(1.0, (second - sizes[best]) / sizes[best])
+    def best(self, text: str | None, before: tuple[str | None, int | None, int | None] = (None, None, None)) -> tuple[str | None, int | None, int | None]:
+        """The language of the fewest bytes, its bytes and the second's, of these languages and those before."""
+        if not text or not _LETTER.search(text):
+            return None, None, None
+        name, least, second = before
+        for other, size in zip(self.names, self.sizes(text) if self.names else [], strict=True):
+            if least is None or size < least:
+                name, least, second = other, size, least
+            elif second is None or size < second:
+                second = size
+        return name, least, second
 
 
-def classify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", margin: float = MARGIN) -> DataFrame:
-    """docs with lang_pred, score (0 to 1) and rejected (no letter, or a score below margin)."""
+def classify(docs: DataFrame, dictionaries: dict[str, bytes] | Iterable[dict[str, bytes]], text_col: str = "text", margin: float = MARGIN) -> DataFrame:
+    """docs with lang_pred, score (0 to 1) and rejected (no letter, or a score below margin).
+
+    dictionaries are those of train, or tiers of them; between tiers the best so far is written with the rows.
+    """
     docs = docs.drop("lang_pred", "score", "rejected")
-    names, place = docs.columns, docs.columns.index(text_col)
+    names, place, spark = docs.columns, docs.columns.index(text_col), docs.sparkSession
+    state = ["__lang", "__least", "__second"]
+    kinds = "__lang string, __least long, __second long"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    spread = docs.sparkSession.sparkContext.broadcast(dictionaries)
-
-    def classified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Compressors(spread.value)
-        for batch in batches:
-            found = [model.classify(t.as_py()) for t in batch.column(place)]
-            scores = np.array([s for _, s in found])
-            langs = [lang for lang, _ in found]
-            rejected = [lang == UNKNOWN or s < margin for lang, s in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], [*names, "lang_pred", "score", "rejected"])
 
-    return docs.mapInArrow(classified, f"{schema}, lang_pred string, score double, rejected boolean")
+    def tried(spread: Broadcast, first: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches):
+            model = Compressors(spread.value)
+            for batch in batches:
+                texts = (t.as_py() for t in batch.column(place))
+                before = itertools.repeat((None, None, None)) if first else zip(*(c.to_pylist() for c in batch.columns[len(names) :]), strict=True)
+                found = [model.best(t, b) for t, b in zip(texts, before, strict=False)]
+                columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *columns], [*names, *state])
+
+        return run
+
+    rows, folder = None, None
+    for number, tier in enumerate([dictionaries] if isinstance(dictionaries, dict) else dictionaries):
+        if rows is not None:
+            folder = folder or workspace(spark, "languages")
+            rows = saved(rows, f"{folder}/{number}")
+        rows = (docs if rows is None else rows).mapInArrow(tried(spark.sparkContext.broadcast(tier), rows is None), f"{schema}, {kinds}")
+    if rows is None:
+        rows = docs.select("*", *(F.lit(None).cast(k).alias(c) for c, k in zip(state, ("string", "long", "long"), strict=True)))
+    least, second = F.col("__least"), F.col("__second")
+    score = F.when(least.isNull(), 0.0).when(second.isNull(), 1.0).otherwise(F.least(F.lit(1.0), (second - least) / least))
+    told = rows.select(*(F.col(f"`{n}`") for n in names), F.coalesce("__lang", F.lit(UNKNOWN)).alias("lang_pred"), score.alias("score"), least.isNull().alias("__none"))
+    return told.select(*(F.col(f"`{n}`") for n in names), "lang_pred", "score", (F.col("__none") | (F.col("score") < margin)).alias("rejected"))
 
 
 def predict_held_out(docs: DataFrame) -> DataFrame:
     """Learn from the rows whose crc32(doc_id) mod 5 is not 0 and predict every row of documents."""
     docs = docs.select("doc_id", "text", "lang", F.coalesce(held_out("doc_id", 0), F.lit(False)).alias("held_out"))
-    model = train(docs.filter(~F.col("held_out")))
-    return classify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+    learnt = tiers(docs.filter(~F.col("held_out")))
+    return classify(docs.select("doc_id", "held_out", "text"), learnt).select("doc_id", "held_out", "lang_pred", "score", "rejected")
