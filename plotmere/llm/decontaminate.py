@@ -2,8 +2,9 @@
 
 Of every run of ``window - gram + 1`` consecutive word grams the one with the least hash is kept, on both sides alike,
 so any shared span of ``window`` words shares a kept gram. Kept grams of the benchmark are joined with kept grams of the
-documents, and every meeting is extended word by word to both sides; spans of at least ``window`` words are hits. An
-item of fewer words is one window and is looked up whole, through runs of its own length.
+documents, and every meeting is extended to the windows that hold the gram; those that are an item's, word by word, are
+hits. A window is looked up once, so the work follows the text, whatever repeats in it or in the items. An item of fewer
+words is one window and is looked up whole, through runs of its own length.
 
 The benchmark's kept grams and words are broadcast while they are below ``most`` grams; beyond it the kept grams are
 joined by a shuffle, and each document is extended against only the items it meets.
@@ -51,43 +52,64 @@ def winnow(hashes: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[
 
 
 class Benchmark:
-    """Items as arrays of word hashes, their kept grams, and the whole hashes of short items."""
+    """Items as word hashes, their kept grams, their windows with the items that have each, and the whole hashes of short items."""
 
     def __init__(self, items: list[tuple[str, np.ndarray]], window: int, gram: int):
-        self.window, self.gram, self.items = window, gram, items
-        keys, places, self.short = [], [], defaultdict(lambda: defaultdict(list))
-        for n, (_, hashes) in enumerate(items):
-            if hashes.size >= window:
-                at, kept = winnow(hashes, window, gram)
-                keys.append(kept)
-                places += [(n, int(p)) for p in at]
-            elif hashes.size:
-                self.short[hashes.size][int(grams(hashes, hashes.size)[0])].append(n)
-        keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.places = keys[order], [places[i] for i in order]
-
-    def hits(self, hashes: np.ndarray, at: np.ndarray, kept: np.ndarray) -> dict[tuple[int, int], set[int]]:
-        """Spans (from, to) of words of a document that are hit, and the items of each."""
-        found: dict[tuple[int, int], set[int]] = defaultdict(set)
-        first, last = np.searchsorted(self.keys, kept), np.searchsorted(self.keys, kept, "right")
-        for i in np.flatnonzero(last > first):
-            for n, q in self.places[first[i] : last[i]]:
-                p, item = int(at[i]), self.items[n][1]
-                before, after = min(p, q), min(hashes.size - p, item.size - q)
-                same = hashes[p - before : p + after] == item[q - before : q + after]
-                if not same[before]:
-                    continue
-                off = np.flatnonzero(~same)
-                left = int(off[off < before][-1]) + 1 if (off < before).any() else 0
-                right = int(off[off > before][0]) if (off > before).any() else same.size
-                if right - left >= self.window:
-                    found[p - before + left, p - before + right].add(n)
+        self.window, self.names = window, [name for name, _ in items]
+        long = [n for n, (_, h) in enumerate(items) if h.size >= window]
+        every = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
+        self.keys = np.unique(every([winnow(items[n][1], window, gram)[1] for n in long], np.uint64))
+        self.text = every([items[n][1] for n in long], np.uint64)
+        starts = np.cumsum([0, *(items[n][1].size for n in long)])
+        at = every([s + np.arange(items[n][1].size - window + 1) for n, s in zip(long, starts[:-1], strict=True)], np.int64).astype(np.int64)
+        hashes = every([grams(items[n][1], window) for n in long], np.uint64)
+        owner = np.repeat(np.array(long, np.int64), [items[n][1].size - window + 1 for n in long])
+        order = np.lexsort((owner, hashes))
+        hashes, owner, at = hashes[order], owner[order], at[order]
+        new = np.r_[True, hashes[1:] != hashes[:-1]] if hashes.size else np.zeros(0, bool)
+        self.windows, self.place = hashes[new], at[new]  # different windows, and where one stands in text
+        kept = new | np.r_[False, owner[1:] != owner[:-1]] if hashes.size else new
+        self.owner, self.bounds = owner[kept], np.searchsorted(hashes[kept], self.windows)
+        self.bounds = np.r_[self.bounds, self.owner.size]
+        self.short = defaultdict(lambda: defaultdict(list))
+        for n, (_, h) in enumerate(items):
+            if 0 < h.size < window:
+                self.short[h.size][int(grams(h, h.size)[0])].append(n)
+
+    def hits(self, hashes: np.ndarray, at: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, set[int]]:
+        """Which words of a document are hit, and the items that hit them.
+
+        A kept gram that an item keeps too is extended to the windows that hold it. Each such window is looked up once,
+        however often its grams stand in the document or the items, and compared with the item's words.
+        """
+        hit, items = np.zeros(hashes.size, bool), set()
+        met = at[np.isin(kept, self.keys)]
+        if met.size and hashes.size >= self.window:
+            near = np.zeros(hashes.size + 1, np.int64)  # windows that hold a gram which meets one of an item
+            np.add.at(near, np.maximum(met - self.window + 1, 0), 1)
+            np.add.at(near, met + 1, -1)
+            starts = np.flatnonzero(np.cumsum(near)[: hashes.size - self.window + 1] > 0)
+            asked = grams(hashes, self.window)[starts]
+            i = np.minimum(np.searchsorted(self.windows, asked), self.windows.size - 1)
+            same = self.windows[i] == asked
+            starts, i = starts[same], i[same]
+            for k in range(self.window):
+                ok = hashes[starts + k] == self.text[self.place[i] + k]
+                starts, i = starts[ok], i[ok]
+            cover = np.zeros(hashes.size + 1, np.int64)
+            np.add.at(cover, starts, 1)
+            np.add.at(cover, starts + self.window, -1)
+            hit |= np.cumsum(cover)[:-1] > 0
+            for j in np.unique(i).tolist():
+                items.update(self.owner[self.bounds[j] : self.bounds[j + 1]].tolist())
         for size, known in self.short.items():
             runs = grams(hashes, size)
-            for i in np.flatnonzero(np.isin(runs, np.fromiter(known, np.uint64, len(known)))):
-                found[int(i), int(i) + size].update(known[int(runs[i])])
-        return found
+            some = np.flatnonzero(np.isin(runs, np.fromiter(known, np.uint64, len(known))))
+            for k in range(size):
+                hit[some + k] = True
+            for run in np.unique(runs[some]).tolist():
+                items.update(known[run])
+        return hit, items
 
 
 def _hashes(column: pa.Array) -> Iterator[np.ndarray]:
@@ -97,14 +119,15 @@ def _hashes(column: pa.Array) -> Iterator[np.ndarray]:
             yield found.hash[a:b]
 
 
-def _result(size: int, found: dict[tuple[int, int], set[int]], items) -> tuple:
-    hit = np.zeros(size, bool)
-    for a, b in found:
-        hit[a:b] = True
+def _result(size: int, found: tuple[np.ndarray, set[int]] | None, names: list[str | None]) -> tuple:
+    """n_words, n_hit, the items' names in order (a null last, where one has none) and the spans of hit words."""
+    if found is None:
+        return size, 0, [], []
+    hit, items = found
     edges = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))
-    names = {items[n][0] for some in found.values() for n in some}
-    names = sorted(names - {None}) + [None] * (None in names)
-    return size, int(hit.sum()), names, [{"first": int(a), "words": int(b - a)} for a, b in zip(edges[::2], edges[1::2], strict=True)]
+    own = {names[n] for n in items}
+    own = sorted(own - {None}) + [None] * (None in own)
+    return size, int(hit.sum()), own, [{"first": int(a), "words": int(b - a)} for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
 def _named(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
@@ -153,7 +176,7 @@ def _mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
                     some.update(found.row[np.flatnonzero(np.isin(grams(found.hash, n), short))].tolist())
                 # The least gram of a window that spans two documents is kept too; windows inside a document keep theirs.
                 for i, (a, b) in enumerate(zip(found.bounds[:-1].tolist(), found.bounds[1:].tolist(), strict=True)):
-                    rows.append(_result(b - a, known.hits(found.hash[a:b], *winnow(found.hash[a:b], window, gram)), known.items) if i in some else (b - a, 0, [], []))
+                    rows.append(_result(b - a, known.hits(found.hash[a:b], *winnow(found.hash[a:b], window, gram)) if i in some else None, known.names))
             if batch.num_rows:
                 yield _named(batch, rows)
 
@@ -195,7 +218,7 @@ def _mark_by_join(docs: DataFrame, items: DataFrame, schema: str, text_col: str,
             rows = []
             for hashes, some in zip(_hashes(own.column(names.index(text_col))), met_items, strict=True):
                 known = _as_benchmark(some or [], window, gram)
-                rows.append(_result(hashes.size, known.hits(hashes, *winnow(hashes, window, gram)) if some else {}, known.items))
+                rows.append(_result(hashes.size, known.hits(hashes, *winnow(hashes, window, gram)) if some else None, known.names))
             if batch.num_rows:
                 yield _named(own, rows)
 
