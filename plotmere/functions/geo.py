@@ -81,19 +81,17 @@ def has_position(lat: Column, lon: Column) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def search_grid(lat: float, lon: float, miles: float, cells: int) -> list[tuple[float, float, float]]:
-    """1, 7 or 19 circles (lat, lon, radius) that cover a circle: one in the middle and rings around it."""
-    # Share of the radius that a circle has, then each ring's distance (as a share) and number of circles.
-    share, rings = {1: (1.0, []), 7: (0.5, [(0.6, 6)]), 19: (0.3, [(0.4, 6), (0.78, 12)])}[1 if cells <= 1 else 7 if cells <= 7 else 19]
-    p, out = math.radians(lat), [(lat, lon, miles * share)]
-    for far, count in rings:
-        d = miles * far / EARTH_MILES
-        for k in range(count):
-            t = math.radians(360 / count * k)
-            to = math.asin(math.sin(p) * math.cos(d) + math.cos(p) * math.sin(d) * math.cos(t))
-            turn = math.atan2(math.sin(t) * math.sin(d) * math.cos(p), math.cos(d) - math.sin(p) * math.sin(to))
-            out.append((math.degrees(to), lon + math.degrees(turn), miles * share))
-    return out
+# For 1, 7 or 19 circles that cover a circle, the share of its radius that each has, then each ring's distance (as a share) and number.
+GRIDS = {1: (1.0, [(0.0, 1)]), 7: (0.5, [(0.0, 1), (0.6, 6)]), 19: (0.3, [(0.0, 1), (0.4, 6), (0.78, 12)])}
+
+
+def search_cells(lat: Column, lon: Column, miles: Column, cells: int) -> Column:
+    """1, 7 or 19 circles that cover a circle, as an array of structs lat, lon, miles: one in the middle and rings around it."""
+    share, rings = GRIDS[1 if cells <= 1 else 7 if cells <= 7 else 19]
+    spots = F.array(*(F.struct(F.lit(far).alias("far"), F.lit(360.0 / count * k).alias("turn")) for far, count in rings for k in range(count)))
+    middle = F.struct(lat.alias("lat"), lon.alias("lon"))
+    at = lambda s: F.when(s["far"] == 0, middle).otherwise(offset_point(lat, lon, miles * s["far"], s["turn"]))
+    return F.transform(spots, lambda s: F.struct(at(s)["lat"].alias("lat"), at(s)["lon"].alias("lon"), (miles * share).alias("miles")))
 
 
 # ---------------------------------------------------------------- rings

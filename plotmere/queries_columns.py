@@ -209,17 +209,6 @@ def valid_positions(spark, sf_dir):
     return listings(spark, sf_dir).select("uid", geo.has_position(lat, F.when(n == 3, 0.0).otherwise(F.col("lon"))).alias("ok"))
 
 
-_RINGS = {1: [(0.0, 1, 1.0)], 7: [(0.0, 1, 0.5), (0.6, 6, 0.5)], 19: [(0.0, 1, 0.3), (0.4, 6, 0.3), (0.78, 12, 0.3)]}
-_CELLS_SQL = ", ".join(f"({cells}, {far}, {count}, {k}, {share})" for cells, rings in _RINGS.items() for far, count, share in rings for k in range(count))
-
-
-@_query(f"""SELECT cells, round(t, 7) AS lat, round(-111.9 + degrees(atan2(sin(b) * sin(d) * cos(radians(40.7)), cos(d) - sin(radians(40.7)) * sin(radians(t)))), 7) AS lon, CAST(r AS DOUBLE) AS miles
-FROM (SELECT *, degrees(asin(sin(radians(40.7)) * cos(d) + cos(radians(40.7)) * sin(d) * cos(b))) AS t FROM (SELECT cells, 30 * far / 3958.8 AS d, radians(360.0 / n * k) AS b, 30 * share AS r FROM (VALUES {_CELLS_SQL}) v(cells, far, n, k, share)))""")
-def search_grids(spark, sf_dir):
-    rows = [(cells, *c) for cells in (1, 7, 19) for c in geo.search_grid(40.7, -111.9, 30.0, cells)]
-    return spark.createDataFrame(rows, "cells int, lat double, lon double, miles double").select("cells", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"), "miles")
-
-
 # ---------------------------------------------------------------- civil time (all events lie in winter: seven hours behind)
 
 _LOCAL = "ts - INTERVAL 7 HOUR"

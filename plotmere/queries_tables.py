@@ -176,15 +176,6 @@ def hidden_customers(spark, sf_dir):
 
 # ---------------------------------------------------------------- places
 
-_PARTS_SQL = f"""SELECT CAST(row_number() OVER (ORDER BY near, mid, s, w) AS INTEGER) AS part, s, w, n, e, near FROM (SELECT *, {_miles('40.5', '-111.9', 'greatest(s, least(n, 40.5))', 'greatest(w, least(e, -111.9))')} AS near, {_miles('40.5', '-111.9', '(s + n) / 2', '(w + e) / 2')} AS mid
-FROM (SELECT 40.5 - dy + 2 * dy / 3 * i AS s, -111.9 - dx + 2 * dx / 3 * j AS w, 40.5 - dy + 2 * dy / 3 * (i + 1) AS n, -111.9 - dx + 2 * dx / 3 * (j + 1) AS e FROM (SELECT 25 / 69.0 AS dy, 25 / 69.0 / greatest(0.2, cos(radians(40.5))) AS dx, i, j FROM range(3) a(i), range(3) b(j)))) WHERE near <= 25"""
-
-
-@_query(f"SELECT round(s, 6) AS s, round(w, 6) AS w, round(n, 6) AS n, round(e, 6) AS e, round(near, 6) AS near FROM ({_PARTS_SQL})")
-def circle_parts(spark, sf_dir):
-    return places.parts_of(spark, 40.5, -111.9, 25.0).select(*(F.round(c, 6).alias(c) for c in "swne"), F.round("near_miles", 6).alias("near"))
-
-
 @_query(f"SELECT name, CAST(radius_miles AS DOUBLE) AS radius_miles FROM ({_AREAS}) WHERE {_miles('40.5', '-111.5', 'lat', 'lon')} <= 25 ORDER BY radius_miles DESC, name LIMIT 5")
 def towns_in_circle(spark, sf_dir):
     return places.towns_in(_areas(spark, sf_dir), LAT, LON, 25.0, 5).select("name", "radius_miles")

@@ -85,7 +85,7 @@ def test_resolved_listings_keep_what_was_merged(spark):
 
 
 def test_names_of_tags_and_places(spark):
-    row = spark.range(1).select(text.pretty_tag(F.lit("fast_food;drive-in")).alias("t"), *(F.lit(n).rlike(listings.PART_LABEL).alias(f"p{i}") for i, n in enumerate(["Building B", "bldg. 12", "Suite #4", "B Tower", "Unit", "Building Supplies", "3M"]))).first()
+    row = spark.range(1).select(text.pretty_tag(F.lit("fast_food;drive-in")).alias("t"), *(listings.part_label(F.lit(n)).alias(f"p{i}") for i, n in enumerate(["Building B", "bldg. 12", "Suite #4", "B Tower", "Unit", "Building Supplies", "3M"]))).first()
     assert tuple(row) == ("Fast Food, Drive-In", True, True, True, True, False, False, False)
 
 
@@ -223,7 +223,8 @@ def test_geometry(spark):
     ring = F.array(*(F.struct(F.lit(y).alias("lat"), F.lit(x).alias("lon")) for y, x in ((0.0, 0.0), (0.0, 4.0), (4.0, 4.0), (4.0, 0.0))))
     r = spark.range(1).select(geo.in_polygon(F.lit(1.0), F.lit(1.0), ring).alias("i"), geo.in_polygon(F.lit(5.0), F.lit(1.0), ring).alias("o"), geo.haversine(F.lit(40.7), F.lit(-111.9), F.lit(40.7), F.lit(-111.9)).alias("z"), geo.offset_point(F.lit(40.0), F.lit(-111.0), F.lit(10.0), F.lit(0.0)).alias("p")).first()
     assert r.i and not r.o and r.z == 0 and abs(r.p.lat - 40.1447) < 1e-3
-    assert [len(geo.search_grid(40, -111, 30, n)) for n in (1, 7, 19)] == [1, 7, 19]
+    grids = spark.range(1).select(*(geo.search_cells(F.lit(40.0), F.lit(-111.0), F.lit(30.0), n).alias(f"g{n}") for n in (1, 7, 19))).first()
+    assert [len(g) for g in grids] == [1, 7, 19] and grids.g1[0].miles == 30.0
 
 
 def test_dispositions_sum_to_the_input(spark):

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from plotmere import queries, queries_columns, queries_tables  # noqa: F401  (they add theirs to queries.QUERIES)
+from plotmere import queries, queries_columns, queries_kept, queries_tables  # noqa: F401  (they add theirs to queries.QUERIES)
 
 SF = "/root/testdata/sf0.001"
 
