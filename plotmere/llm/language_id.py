@@ -2,8 +2,8 @@
 
 Each language has a dictionary: raw text of training documents, given to zstandard as content to refer back to. A text
 is cut into its first ``HEAD`` bytes, which stand four times over after blanks (zstandard stores tiny inputs as they are;
-so it refers back), and blocks of the rest. All of these are compressed with each language's dictionary, and the language
-of the fewest bytes in all is the answer. The score is the margin to the second, as a share of the bytes of the best; a
+so it refers back), and blocks of the rest, whatever its length. All of these are compressed with each language's
+dictionary, and the language of the fewest bytes in all is the answer. The score is the margin to the second, as a share of the bytes of the best; a
 text whose margin is narrow is rejected.
 
 The dictionaries come from a bounded sample of labelled documents (about ``per_language`` for each language, chosen by
@@ -108,8 +108,7 @@ class Compressors:
 
     def sizes(self, text: str) -> list[int]:
         data = letters(text)
-        head, rest = data[:HEAD], data[HEAD:]
-        blocks = [b" " * 64 + b" ".join([head] * 4), *(rest[i : i + self.block] for i in range(0, len(rest), self.block))]
+        blocks = [b" " * 64 + b" ".join([data[:HEAD]] * 4), *(data[i : i + self.block] for i in range(HEAD, len(data), self.block))]
         return [sum(len(c.compress(b)) for b in blocks) for c in self.by_language]
 
     def best(self, text: str | None, before: tuple[str | None, int | None, int | None] = (None, None, None)) -> tuple[str | None, int | None, int | None]:
