@@ -172,11 +172,15 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
 
 
 def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """(id, text, label) of about so many labelled documents. Their ids are few and broadcast, so texts aren't shuffled."""
+    """(id, text, label) of about so many labelled documents. Their ids are few and broadcast, so only their texts are shuffled.
+
+    An id stands once, with the least of its texts, however often it repeats; so the sample is bounded.
+    """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("label"))
     share = min(1.0, sample / max(known.count(), 1))
     known = known.filter(F.pmod(F.xxhash64(id_col), F.lit(_SPAN)) < int(share * _SPAN))
-    return docs.select(id_col, text_col).join(F.broadcast(known), id_col).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), "label")
+    found = docs.select(id_col, text_col).join(F.broadcast(known), id_col).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), "label")
+    return found.groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
 
 
 def score_held_out(docs: DataFrame, labels: DataFrame) -> DataFrame:
