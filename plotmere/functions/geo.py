@@ -104,6 +104,11 @@ def flat_circle(lat: Column, lon: Column, miles: Column, points: int = 180) -> C
     return F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.struct((lat + dlat * F.cos(turn(i))).alias("lat"), (lon + dlon * F.sin(turn(i))).alias("lon")))
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), where value is worked out once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
+
+
 def _sides(ring: Column) -> Column:
     """Each point of a ring with the one before it."""
     before = F.concat(F.slice(ring, -1, 1), F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0))))
@@ -128,9 +133,9 @@ def _half(ring: Column, axis: str, limit: Column, above: bool) -> Column:
 
 def clipped(ring: Column, box: Column) -> Column:
     """The part of a convex ring (array of structs lat, lon) inside a box (struct s, w, n, e): one edge after the other cuts it."""
-    for axis, side, above in (("lat", "s", True), ("lat", "n", False), ("lon", "w", True), ("lon", "e", False)):
-        ring = _half(ring, axis, box[side], above)
-    return ring
+    edges = (("lat", "s", True), ("lat", "n", False), ("lon", "w", True), ("lon", "e", False))
+    cut = lambda r, k: r if k == len(edges) else _once(_half(r, edges[k][0], box[edges[k][1]], edges[k][2]), lambda v: cut(v, k + 1))
+    return _once(ring, lambda r: cut(r, 0))
 
 
 def ring_centre(ring: Column) -> Column:
@@ -142,8 +147,9 @@ def ring_centre(ring: Column) -> Column:
         step = a["lon"] * b["lat"] - b["lon"] * a["lat"]
         return F.struct((so_far["area"] + step).alias("area"), (so_far["lat"] + (a["lat"] + b["lat"]) * step).alias("lat"), (so_far["lon"] + (a["lon"] + b["lon"]) * step).alias("lon"))
 
-    found = F.aggregate(_sides(ring), zero, add)
-    mean = lambda c: F.aggregate(ring, F.lit(0.0), lambda s, p: s + p[c]) / F.size(ring)
-    flat = F.abs(found["area"]) < 1e-12
-    of = lambda c: F.when(flat, mean(c)).otherwise(found[c] / (3 * found["area"])).alias(c)
-    return F.when(F.size(ring) > 0, F.struct(of("lat"), of("lon")))
+    def centre(r: Column, found: Column) -> Column:
+        mean = lambda c: F.aggregate(r, F.lit(0.0), lambda s, p: s + p[c]) / F.size(r)
+        of = lambda c: F.when(F.abs(found["area"]) < 1e-12, mean(c)).otherwise(found[c] / (3 * found["area"])).alias(c)
+        return F.when(F.size(r) > 0, F.struct(of("lat"), of("lon")))
+
+    return _once(ring, lambda r: _once(F.aggregate(_sides(r), zero, add), lambda found: centre(r, found)))
