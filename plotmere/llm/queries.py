@@ -21,7 +21,8 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan.scan(docs, templates=license_scan.NEIGHBOURS, best=True, sentences=True).drop("text")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,18 +118,20 @@ FROM d LEFT JOIN lost USING (r) LEFT JOIN left_over USING (r)
 
 
 
-def _op3(templates: list[tuple[str, str]] = license_scan.TEMPLATES, threshold: float = license_scan.THRESHOLD) -> str:
-    """Every unit against every template, without the bounds and keys that prune."""
+def _op3(templates: list[tuple[str, str]] = license_scan.NEIGHBOURS, threshold: float = license_scan.THRESHOLD) -> str:
+    """Every unit against every template, without the bounds and keys that prune. chr(1), a space anyway, stands between sentences."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     rows = ", ".join(f"({i}, {quoted(name)}, {quoted(text)})" for i, (name, text) in enumerate(templates))
-    other = license_scan.OTHER
+    other, white = license_scan.OTHER, "[ \\t\\n\\x0B\\f\\r]"
     pairs = "unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))])"
+    sentences = f"string_split(regexp_replace(regexp_replace(replace(t, chr(1), ' '), '([.!?]){white}+', '\\1' || chr(1), 'g'), '\\n{white}*\\n', chr(1), 'g'), chr(1))"
+    plain = lambda u: f"regexp_replace({u}, '{other}', ' ', 'g')"
     return f"""
 WITH d AS (
-  SELECT row_number() OVER () AS r, doc_id, regexp_replace(coalesce(text, ''), '{other}', ' ', 'g') AS t FROM documents
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
 ), u AS (
-  SELECT DISTINCT r, lower(trim(regexp_replace(replace(u, chr(10), ' '), ' +', ' ', 'g'))) AS u
-  FROM (SELECT r, unnest(string_split(t, chr(10)) || regexp_split_to_array(t, '\\n *\\n') || [t]) AS u FROM d)
+  SELECT DISTINCT r, lower(trim(regexp_replace(replace({plain("u")}, chr(10), ' '), ' +', ' ', 'g'))) AS u
+  FROM (SELECT r, unnest(string_split(t, chr(10)) || regexp_split_to_array({plain("t")}, '\\n *\\n') || [t] || {sentences}) AS u FROM d)
 ), ub AS (
   SELECT r, u, g, count(*) AS c FROM (SELECT r, u, {pairs} AS g FROM (SELECT r, u, string_split(u, ' ') AS w FROM u)) GROUP BY r, u, g
 ), sizes AS (
@@ -139,10 +142,14 @@ WITH d AS (
   GROUP BY k, name, g
 ), m AS (
   SELECT k, sum(c) AS m FROM t GROUP BY k
-), hits AS (
+), every AS (
   SELECT r, u, name, 2.0 * c / (n + m) AS dice
   FROM (SELECT r, u, k, name, sum(least(ub.c, t.c)) AS c FROM ub JOIN t USING (g) GROUP BY r, u, k, name) JOIN sizes USING (r, u) JOIN m USING (k)
   WHERE 2.0 * c / (n + m) >= {threshold}
+), best_of AS (
+  SELECT * FROM every QUALIFY dice = max(dice) OVER (PARTITION BY r, u)
+), hits AS (
+  SELECT r, u, dice, CASE WHEN name = '{license_scan.BSD}' AND r IN (SELECT r FROM best_of WHERE name = 'BSD-3-Clause') THEN 'BSD-3-Clause' ELSE name END AS name FROM best_of
 ), best AS (
   SELECT r, max(dice) AS score FROM hits GROUP BY r
 ), lists AS (
