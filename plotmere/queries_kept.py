@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plotmere.functions import geo
 from plotmere.functions.number import exact_round
-from plotmere.operators import fill, places, saved, towns
+from plotmere.operators import fill, marks, places, saved, towns
 from plotmere.operators.shared import shared_folder
 from plotmere.queries import _AREAS, _LISTINGS, _SCORED, LAT, LON, _areas, _as_entities, _miles, _query, _table, listings, scored
 from plotmere.queries_columns import _pick
@@ -205,3 +205,24 @@ def saved_duplicates(spark, sf_dir):
     return saved.same_business(seen, rows.drop("rid"))
 
 
+
+
+@_query()
+def decided_clicks(spark, sf_dir):
+    """Purchases and errors as clicks of yes and no, views as undos of the event before; tested against one pass."""
+    e = _table(spark, sf_dir, "events").filter("event_type in ('purchase', 'error', 'view')")
+    k = F.col("event_id")
+    actions = e.select(
+        k.cast("string").alias("id"), (k % 40).cast("string").alias("uid"), F.col("ts").alias("at"), F.when(F.col("event_type") == "view", "undo").otherwise("click").alias("kind"),
+        F.when(F.col("event_type") == "purchase", "yes").when(F.col("event_type") == "error", "no").otherwise((k - 40).cast("string")).alias("value"), F.col("user_id").cast("string").alias("by"), F.when(k % 3 > 0, F.when(k % 2 == 0, "yes").otherwise("")).alias("was"))
+    return marks.decided(actions, _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("uid"))).select("id", "outcome", "previous")
+
+
+@_query("""SELECT uid, value, arg_max(coalesce(name, ''), (ts, id)) AS by_whom, max(ts) AS seen_at FROM (SELECT 'c' || o_custkey AS uid, o_orderstatus AS value, o_orderdate AS ts, o_orderkey AS id, c_name AS name FROM orders LEFT JOIN customer ON c_custkey = o_orderkey % 4000) GROUP BY ALL""")
+def answers_given_by(spark, sf_dir):
+    """Who gave each answer last: changes joined with their makers."""
+    o = _table(spark, sf_dir, "orders")
+    clicks = o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("uid"), F.col("o_orderstatus").alias("value"), F.col("o_orderdate").alias("at"), F.lit(None).cast("timestamp").alias("undone_at"))
+    c = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
+    makers = o.select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 4000).alias("k")).join(c, "k").select("id", "name")
+    return marks.given_by(clicks, makers).select("uid", "value", F.col("by").alias("by_whom"), F.col("at").alias("seen_at"))

@@ -305,3 +305,67 @@ def test_ranges_of_a_customer_file_end_at_whole_lines(spark, tmp_path):
         assert [(r.name, r.phone) for r in got] == expected, size
     keys = customers.with_keys(customers.read_customers(spark, [str(tmp_path / "x.csv")]), "salt")
     assert keys.columns == ["hash"] or keys.count() >= 0
+
+
+# ---------------------------------------------------------------- clicks
+
+
+def test_clicks_are_decided_as_one_after_the_other(spark):
+    from plotmere.operators import marks
+
+    rng = random.Random(17)
+    actions, ids = [], []
+    for k in range(260):
+        at, uid = 10 * k + rng.randrange(10), rng.choice(["a", "b", "c", "gone", None])
+        if rng.random() < 0.3 and ids:
+            actions.append((f"u{k:03d}", uid, at, "undo", rng.choice(ids[-6:]), "x", None))
+        else:
+            ids.append(f"c{k:03d}")
+            actions.append((ids[-1], uid, at, "click", rng.choice(["yes", "no", "yes", "maybe"]), rng.choice(["Ann", "ann", "Bo", ""]), rng.choice([None, "", "yes", "no"])))
+    merges = [("a", 700), ("b", 1500)]
+    expected, rows = {}, {u: {"value": "", "clicks": [], "open": False} for u in "abc"}
+    for at, _, action in sorted([(a[2], 1, a) for a in actions] + [(at, 0, (None, uid, at)) for uid, at in merges], key=lambda x: (x[0], x[1], x[2][0] or "")):
+        row = rows.get(action[1])
+        if len(action) == 3:
+            row["open"] = True
+            continue
+        id, uid, _, kind, value, by, was = action
+        if row is None:
+            expected[id] = ("unknown", "")
+            continue
+        before = row["value"]
+        standing = [c for c in row["clicks"] if not c["undone"]]
+        if kind == "undo":
+            ok = standing and standing[-1]["id"] == value and standing[-1]["at"] > at - 300 and row["value"] == standing[-1]["value"]
+            if ok:
+                standing[-1]["undone"] = True
+                row["value"] = standing[-1]["previous"]
+            expected[id] = ("undone" if ok else "too late", before)
+        elif value == "maybe":
+            expected[id] = ("bad value", before)
+        elif before == value and not row["open"]:
+            expected[id] = ("same", before)
+        else:
+            given = next((c["by"] for c in reversed(standing) if c["value"] == before), "")
+            if was is not None and before and before not in (was, value) and given and given.lower() != by.lower():
+                expected[id] = ("changed", before)
+                continue
+            row["clicks"].append({"id": id, "at": at, "value": value, "previous": before, "by": by, "undone": False})
+            row["value"], row["open"] = value, False
+            expected[id] = ("saved", before)
+    df = spark.createDataFrame(actions, "id string, uid string, at long, kind string, value string, by string, was string").withColumn("at", F.timestamp_seconds("at"))
+    seen = spark.createDataFrame([("a",), ("b",), ("c",), ("never",)], "uid string")
+    apart = spark.createDataFrame(merges, "uid string, at long").withColumn("at", F.timestamp_seconds("at"))
+    told = marks.decided(df, seen, apart).collect()
+    assert {r.id: (r.outcome, r.previous) for r in told} == expected and len(told) == len(actions)
+    assert {o for o, _ in expected.values()} == {"saved", "same", "changed", "unknown", "bad value", "undone", "too late"}
+    left = marks.current(marks.decided(df, seen, apart)).collect()
+    assert {r.uid: r.value for r in left} == {u: r["value"] for u, r in rows.items() if r["value"]}
+
+
+def test_who_gave_an_answer(spark):
+    from plotmere.operators import marks
+
+    clicks = spark.createDataFrame([("1", "a", "yes", 1.0, None), ("2", "a", "yes", 2.0, 3.0), ("3", "a", "no", 2.0, None), ("4", "b", "no", 5.0, None)], "id string, uid string, value string, at double, undone_at double")
+    makers = spark.createDataFrame([("1", "Ann"), ("2", "Bo"), ("3", "Cy"), ("3", "Cy")], "id string, name string")
+    assert {(r.uid, r.value, r.by) for r in marks.given_by(clicks, makers).collect()} == {("a", "yes", "Ann"), ("a", "no", "Cy"), ("b", "no", "")}
