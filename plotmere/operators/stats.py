@@ -46,6 +46,31 @@ def clusters(points: DataFrame, zoom: int, pixels: int = 60) -> DataFrame:
     return points.groupBy(F.floor(x * size / pixels).alias("cx"), F.floor(y * size / pixels).alias("cy")).agg(F.count(F.lit(1)).alias("n"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
 
 
+#: Pixels of a square in which pins are one circle, the zoom from which they aren't, and pixels (at that zoom) of one spot.
+SQUARE, UNTIL, SPOT = 56, 15, 6
+GROUPS = ["unchecked", "no", "yes", "competitor"]
+
+
+def map_marks(pins: DataFrame, zoom: int, square: int = SQUARE, until: int = UNTIL) -> DataFrame:
+    """(uid, cx, cy, n, lat, lon, together, unchecked, no, yes, competitor): what a map of a zoom level draws of pins (uid, lat, lon, grp).
+
+    Pins of one square are one circle (uid null) with how many each group has, at their mean place, where the zoom is below until
+    or all of them lie at one spot (together); else each is drawn alone. Squares are aggregated before the shuffle; only the verdict of a square goes back to its pins.
+    """
+    y = F.lit(0.5) - F.log((1 + F.sin(F.radians("lat"))) / (1 - F.sin(F.radians("lat")))) / (4 * F.pi())
+    rows = pins.select("uid", "lat", "lon", "grp", ((F.col("lon") + 180) / 360 * 256).alias("x"), (y * 256).alias("y"))
+    rows = rows.withColumns({"cx": F.floor(F.col("x") * 2.0**zoom / square), "cy": F.floor(F.col("y") * 2.0**zoom / square)})
+    wide = lambda c: (F.max(c) - F.min(c)) * 2.0**until < SPOT
+    found = rows.groupBy("cx", "cy").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), (wide("x") & wide("y")).alias("together"), *(F.count_if(F.col("grp") == g).alias(g) for g in GROUPS)
+    )
+    found = found.withColumn("circle", (F.col("n") > 1) & (F.lit(zoom < until) | F.col("together")))
+    circles = found.filter("circle").select(F.lit(None).cast("string").alias("uid"), "cx", "cy", "n", "lat", "lon", "together", *GROUPS)
+    alone = rows.join(found.filter("not circle").select("cx", "cy"), ["cx", "cy"], "left_semi")
+    one = alone.select("uid", "cx", "cy", F.lit(1).cast("long").alias("n"), "lat", "lon", F.lit(False).alias("together"), *((F.col("grp") == g).cast("long").alias(g) for g in GROUPS))
+    return circles.union(one)
+
+
 def town_counts(listings: DataFrame, most: int = 10, place: str = "place") -> DataFrame:
     """(town, n): the towns ("city, state", as far as they are listed) with the most listings; of equal ones the first in the order of place."""
     parts = F.concat_ws(", ", *(F.nullif(F.coalesce(F.col(c), F.lit("")), F.lit("")) for c in ("city", "state")))

@@ -88,12 +88,12 @@ def near(points: DataFrame, towns: DataFrame, zips: DataFrame, key: str) -> Data
 
 
 def with_towns(listings: DataFrame, towns: DataFrame, zips: DataFrame, key: str = "uid") -> DataFrame:
-    """listings (key, city, state, zip, lat, lon, ...) with listed_town, town and near_text.
+    """listings (key, city, state, zip, lat, lon, ...) with listed_town, town, near_text, near_town, near_state and near_zip.
 
     listed_town is the city's own name. A text that names nothing the gazetteer knows, of up to four letters, is the town
     the listing is near (by its place, else its ZIP area's) where that town begins so or has those initials; else it stays,
     made readable, or says nothing where it has one or two letters. town is the listed one, else the one it is near.
-    near_text says where a listing without a town or ZIP is: "near West Jordan, UT 84088".
+    near_text says where a listing without a town or ZIP is: "near West Jordan, UT 84088"; the near columns are blank for others.
 
     Cities are looked up once for each different text, so a city that a third of all rows have is one row there.
     """
@@ -117,7 +117,18 @@ def with_towns(listings: DataFrame, towns: DataFrame, zips: DataFrame, key: str
     away = (F.col("listed_town") == "") | (stripped("zip") == "")
     words = F.concat(F.lit("near "), F.col("near_town"), F.lit(", "), F.col("near_state"), F.when(F.col("near_zip") != "", F.concat(F.lit(" "), F.col("near_zip"))).otherwise(""))
     town = F.when(F.col("listed_town") != "", F.col("listed_town")).otherwise(F.coalesce("near_town", F.lit("")))
-    return rows.select(*names, "listed_town", town.alias("town"), F.when(away, F.coalesce(words, F.lit(""))).otherwise("").alias("near_text"))
+    of = lambda c: F.when(away, F.coalesce(c, F.lit(""))).otherwise("")
+    return rows.select(*names, "listed_town", town.alias("town"), of(words).alias("near_text"), *(of(F.col(c)).alias(c) for c in ("near_town", "near_state", "near_zip")))
+
+
+def place_columns(listings: DataFrame) -> DataFrame:
+    """listings (of with_towns) with shown_city, shown_state and shown_zip, as downloads have them: what is listed, else "near" and where it is."""
+    near = lambda c: F.when(F.col(c) != "", F.concat(F.lit("near "), F.col(c))).otherwise("")
+    return listings.withColumns({
+        "shown_city": F.when(F.col("listed_town") != "", F.col("listed_town")).otherwise(near("near_town")),
+        "shown_state": F.when(stripped("state") != "", state_code("state")).otherwise(F.col("near_state")),
+        "shown_zip": F.when(stripped("zip") != "", F.col("zip")).otherwise(near("near_zip")),
+    })
 
 
 # ---------------------------------------------------------------- addresses

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from plotmere.functions import geo
 from plotmere.functions.number import exact_round
-from plotmere.operators import fill, marks, places, saved, towns
+from plotmere.functions.text import split_address
+from plotmere.operators import fill, marks, places, saved, stats, towns
 from plotmere.operators.shared import shared_folder
 from plotmere.queries import _AREAS, _LISTINGS, _SCORED, LAT, LON, _areas, _as_entities, _miles, _query, _table, listings, scored
 from plotmere.queries_columns import _pick
@@ -226,3 +227,42 @@ def answers_given_by(spark, sf_dir):
     c = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
     makers = o.select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 4000).alias("k")).join(c, "k").select("id", "name")
     return marks.given_by(clicks, makers).select("uid", "value", F.col("by").alias("by_whom"), F.col("at").alias("seen_at"))
+
+
+# ---------------------------------------------------------------- maps and downloads
+
+_GROUP = "CASE WHEN nation = 24 THEN 'competitor' WHEN sqft % 5 = 0 THEN 'yes' WHEN sqft % 5 = 1 THEN 'no' ELSE 'unchecked' END"
+_PLACED = f"""SELECT uid, lat, lon, grp, x, y, CAST(floor(x * 512.0 / 56) AS BIGINT) AS cx, CAST(floor(y * 512.0 / 56) AS BIGINT) AS cy
+FROM (SELECT *, (lon + 180) / 360 * 256 AS x, (0.5 - ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) / (4 * pi())) * 256 AS y FROM (SELECT uid, lat, lon, {_GROUP} AS grp FROM ({_LISTINGS})))"""
+
+
+@_query(f"SELECT cx, cy, count(*) AS n, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon, CASE WHEN count(*) = 1 THEN min(uid) END AS uid, count(*) FILTER (grp = 'unchecked') AS unchecked, count(*) FILTER (grp = 'yes') AS yes, count(*) FILTER (grp = 'competitor') AS competitor FROM ({_PLACED}) GROUP BY cx, cy")
+def map_circles(spark, sf_dir):
+    """Circles and single pins of a map at zoom 9, with the groups in each."""
+    pins = listings(spark, sf_dir).withColumn("grp", F.expr(_GROUP))
+    return stats.map_marks(pins, 9).select("cx", "cy", "n", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "uid", "unchecked", "yes", "competitor")
+
+
+@_query(f"""SELECT uid, CASE WHEN listed <> '' THEN listed WHEN near IS NOT NULL THEN 'near ' || near ELSE '' END AS city, CASE WHEN k % 7 > 0 THEN 'UT' WHEN (listed = '' OR zip = '') AND near IS NOT NULL THEN 'UT' ELSE '' END AS state, CASE WHEN zip <> '' THEN zip WHEN near IS NOT NULL THEN 'near 84' || (CAST(nearest AS BIGINT) + 100) ELSE '' END AS zip
+FROM (SELECT c_custkey AS k, 'c' || c_custkey AS uid, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE n_name END AS listed, CASE WHEN c_custkey % 2 = 0 THEN '84001' ELSE '' END AS zip FROM customer JOIN nation ON c_nationkey = n_nationkey) LEFT JOIN {_NEAREST} USING (uid)
+LEFT JOIN (SELECT name AS near, n_nationkey AS nearest FROM ({_AREAS})) USING (near)""")
+def places_in_downloads(spark, sf_dir):
+    """City, state and ZIP as a download shows them; ZIP areas lie where the towns do."""
+    n = F.broadcast(_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))  # 25 nations
+    k = F.col("c_custkey")
+    c = _table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = c.select(F.concat(F.lit("c"), k.cast("string")).alias("uid"), F.when(k % 3 == 0, "").otherwise(F.col("n_name")).alias("city"), F.when(k % 7 > 0, "Utah").otherwise("").alias("state"), F.when(k % 2 == 0, "84001").otherwise("").alias("zip"))
+    rows = rows.join(listings(spark, sf_dir).select("uid", "lat", "lon"), "uid")
+    table = _areas(spark, sf_dir).select("name", F.lit("UT").alias("state"), "lat", "lon", "radius_miles", F.col("n_nationkey").alias("place"))
+    zips = table.select(F.concat(F.lit("84"), (F.col("place") + 100).cast("string")).alias("zip"), "lat", "lon", "radius_miles")
+    return towns.place_columns(towns.with_towns(rows, table, zips)).select("uid", F.col("shown_city").alias("city"), F.col("shown_state").alias("state"), F.col("shown_zip").alias("zip"))
+
+
+_WHOLE = ["{} Main St, Provo, UT 84601", "{} Main St, Orem UT 84057-1234", "{} Main St", "{} Elm St, Suite 4, Magna 84044", "{} Elm St, Lehi"]
+
+
+@_query(f"""SELECT c_custkey, CASE WHEN own = '' THEN ['Provo', 'Orem', '', 'Suite 4', 'Lehi'][c_custkey % 5 + 1] ELSE own END AS city, ['84601', '84057', '', '84044', ''][c_custkey % 5 + 1] AS zip FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'Sandy' ELSE '' END AS own FROM customer)""")
+def addresses_in_one_column(spark, sf_dir):
+    k = F.col("c_custkey")
+    city, zip5 = split_address(F.replace(_pick(_WHOLE, k), F.lit("{}"), k.cast("string")), F.when(k % 3 == 0, "Sandy").otherwise(""), F.lit(""))
+    return _table(spark, sf_dir, "customer").select("c_custkey", city.alias("city"), zip5.alias("zip"))

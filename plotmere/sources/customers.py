@@ -21,6 +21,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plotmere.functions.text import fingerprint, uploaded_keys
+
 #: Bytes of a range; of a file's beginning in which its header is looked for.
 RANGE, HEAD = 32 << 20, 1 << 20
 SEPARATORS = [",", "\t", ";"]
@@ -254,7 +256,6 @@ def _number(letters: str) -> int:
 
 
 def with_keys(customers: DataFrame, salt: str) -> DataFrame:
-    """(hash) of the customers' keys, for suppress.leave_out."""
-    from plotmere.operators.suppress import fingerprints
-
-    return fingerprints(customers.select(*(F.col(f) for f in FIELDS)), salt)
+    """(hash) of the customers' keys, for suppress.leave_out; their address may be one column."""
+    keys = uploaded_keys(*(F.col(c) for c in ("name", "phone", "address", "city", "zip")))
+    return customers.select(F.explode(keys).alias("key")).select(fingerprint(salt, F.col("key")).alias("hash")).distinct()

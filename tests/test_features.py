@@ -369,3 +369,24 @@ def test_who_gave_an_answer(spark):
     clicks = spark.createDataFrame([("1", "a", "yes", 1.0, None), ("2", "a", "yes", 2.0, 3.0), ("3", "a", "no", 2.0, None), ("4", "b", "no", 5.0, None)], "id string, uid string, value string, at double, undone_at double")
     makers = spark.createDataFrame([("1", "Ann"), ("2", "Bo"), ("3", "Cy"), ("3", "Cy")], "id string, name string")
     assert {(r.uid, r.value, r.by) for r in marks.given_by(clicks, makers).collect()} == {("a", "yes", "Ann"), ("a", "no", "Cy"), ("b", "no", "")}
+
+
+def test_pins_of_one_spot_stay_together(spark):
+    from plotmere.operators import stats
+
+    rows = [("a", 40.0, -111.0, "yes"), ("b", 40.00001, -111.00001, "no"), ("c", 40.0, -110.99, "yes"), ("d", 10.0, 10.0, "competitor")]
+    pins = spark.createDataFrame(rows, "uid string, lat double, lon double, grp string")
+    far = {(r.uid, r.n, r.together, r.yes, r.no, r.competitor) for r in stats.map_marks(pins, 3).collect()}
+    assert far == {(None, 3, False, 2, 1, 0), ("d", 1, False, 0, 0, 1)}
+    near = {(r.uid, r.n, r.together) for r in stats.map_marks(pins, 17).collect()}
+    assert near == {(None, 2, True), ("c", 1, False), ("d", 1, False)}  # beyond the last zoom of circles, but at one spot
+
+
+def test_names_of_parts_count_words(spark):
+    from test_listings import frame, lead
+
+    from plotmere.operators import resolve
+
+    outline = (39.99, -111.91, 40.01, -111.89)
+    rows = [lead(1, "Alder Medical", lat=40.0, outline=outline), lead(2, "Alder Medical South", lat=40.001), lead(3, "Alder Alder Medical", lat=40.002), lead(4, "Alder Medical Labs", lat=40.003)]
+    assert {(r.a.rid, r.b.rid) for r in resolve.site_pairs(frame(spark, rows)).collect()} == {(1, 2)}  # a word twice is another name
