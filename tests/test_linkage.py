@@ -68,6 +68,29 @@ def test_linkage_is_the_sequential_scan(spark):
     assert kept_apart == {frozenset(p[3:]) for p in pairs if expected.of[p[3]] != expected.of[p[4]]}
 
 
+def test_large_components_are_linked_in_rounds(spark):
+    """Random edges of one large component and of small ones: both ways give the sequential scan's groups, and the same pairs apart."""
+    rng = random.Random(40)
+    edges = {}
+    for k in range(900):
+        x, y = sorted((rng.randrange(70), rng.randrange(70))) if k % 9 else sorted((100 + rng.randrange(12), 100 + rng.randrange(12)))
+        if x != y and (x // 4 == y // 4 or rng.random() < 0.15):
+            edges[x, y] = (x, y, rng.randrange(3), -rng.randrange(4), rng.random(), x, y)
+    df = spark.createDataFrame(list(edges.values()), "x long, y long, strength int, reviews long, miles double, i long, j long").cache()
+    expected = Groups({n for e in edges for n in e})
+    pairs = sorted((s, r, m, i, j) for x, y, s, r, m, i, j in edges.values())
+    link(expected, pairs)
+    key = lambda r: (r[0], r[1] is None, r[1] or 0, r[2] or 0)
+    tidy = lambda rows: sorted(((min(r.x, r.apart), None, max(r.x, r.apart)) if r.apart is not None else (r.x, r.grp, None) for r in rows), key=key)
+    whole, rounds = tidy(resolve.linkage(df).collect()), tidy(resolve.linkage(df, 60).collect())
+    assert whole == rounds
+    got = Groups(expected.of)
+    for x, grp, apart in rounds:
+        if apart is None:
+            got.join(grp, x)
+    assert got.sets() == expected.sets() and len(expected.sets(3)) > 1
+
+
 def test_copies_are_gathered_by_the_sequential_scan(spark):
     rng = random.Random(3)
     rows = []
