@@ -621,5 +621,5 @@ def test_pipeline_stages(spark, tmp_path):
 
 
 def test_queries_are_registered(spark):
-    assert len(QUERIES) == 13 and {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert len(QUERIES) == 13 and {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert F is not None
