@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotmere.operators.resolve import upsert
-from plotmere.operators.shared import shared_folder
+from plotmere.operators.shared import names_in, shared_folder
 
 
 def heartbeats(beats: DataFrame, key: str = "run", at: str = "at", gap: str = "45 seconds", late: str = "2 minutes") -> DataFrame:
@@ -53,11 +53,6 @@ def rolling_budget(calls: DataFrame, key: str = "name", at: str = "at", seconds:
     return calls.groupBy(key).applyInPandasWithState(counted, f"{kinds}, used long", "seconds array<long>, calls array<long>", "append", "EventTimeTimeout")
 
 
-def hourly_alerts(alerts: DataFrame, at: str = "at", late: str = "10 minutes") -> DataFrame:
-    """(kind, text, hour, n): one row for each alert and hour, however often it is raised."""
-    return alerts.withWatermark(at, late).groupBy("kind", "text", F.window(at, "1 hour").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
-
-
 def changed_uids(log: DataFrame, uid: str = "uid", at: str = "at", late: str = "120 seconds") -> DataFrame:
     """Each changed uid once in a minute; events later than the look-back are dropped, as the batch form misses them."""
     return log.withWatermark(at, late).groupBy(F.window(at, "1 minute").alias("minute"), uid).agg(F.count(F.lit(1)).alias("n"))
@@ -67,12 +62,14 @@ def maintain_list(spark, folder: str, key: str = "uid") -> Callable[[DataFrame,
     """A foreachBatch sink: upserts a micro-batch (its latest row of each key) into the Parquet list below a folder.
 
     Versions are written side by side, and a version's number is the batch's, so a batch that is run again writes the
-    same version anew.
+    same version anew, from the last one before it, whichever that is. The whole list is written every time: for one of any
+    size KeptList writes what a batch touches.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         fresh = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), "last_seen").alias("_r")).select("_r.*")
-        have = spark.read.parquet(f"{folder}/v{number - 1}") if number else fresh.limit(0)
+        before = [int(n[1:]) for n in names_in(spark, folder) if n[1:].isdigit() and int(n[1:]) < number]
+        have = spark.read.parquet(f"{folder}/v{max(before)}") if before else fresh.limit(0)
         upsert(have, fresh, key).write.mode("overwrite").parquet(f"{folder}/v{number}")
 
     return write
