@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
-def latest(log: DataFrame, key: str, at: str, *columns: str, tie: str | None = None) -> DataFrame:
-    """(key, columns of the latest row, n rows). Equal times are decided by the larger tie."""
-    order = F.struct(at, tie) if tie else F.col(at)
-    last = F.max_by(F.struct(*columns), order).alias("_last")
-    return log.filter(F.col(key).isNotNull()).groupBy(key).agg(last, F.count(F.lit(1)).alias("n")).select(key, *(F.col(f"_last.{c}") for c in columns), "n")
+def latest(log: DataFrame, key: str, at: str, *columns: str, tie: str | None = None, place: str | None = None) -> DataFrame:
+    """(key, columns of the latest row, n rows). Equal times are decided by the larger tie, rows that are equal in that too by the least place."""
+    log, order = log.filter(F.col(key).isNotNull()), F.struct(at, tie) if tie else F.col(at)
+    rows, n = F.struct(*columns), F.count(F.lit(1))
+    if place:
+        log = log.groupBy(key, order.alias("_order")).agg(F.min_by(rows, place).alias("_row"), n.alias("_n"))
+        rows, order, n = F.col("_row"), F.col("_order"), F.sum("_n")
+    found = log.groupBy(key).agg(F.max_by(rows, order).alias("_last"), n.alias("n"))
+    return found.select(key, *(F.col(f"_last.{c}") for c in columns), "n")
 
 
 def latest_filled(log: DataFrame, key: str, at: str, column: str, tie: str) -> DataFrame:

@@ -376,7 +376,8 @@ _ORDER_MARKS = "SELECT 'u' || l_orderkey AS uid, l_shipdate AS seen_at, l_linenu
 
 def _order_marks(spark, sf_dir):
     value = F.when(F.col("l_returnflag") == "A", "yes").when(F.col("l_returnflag") == "R", "no").otherwise("")
-    return _table(spark, sf_dir, "lineitem").select(F.concat(F.lit("u"), F.col("l_orderkey").cast("string")).alias("uid"), F.col("l_shipdate").alias("at"), F.col("l_linenumber").alias("id"), value.alias("value"))
+    place = F.struct("_metadata.file_name", "_metadata.row_index")  # an order may have two lines of one number and day
+    return _table(spark, sf_dir, "lineitem").select(F.concat(F.lit("u"), F.col("l_orderkey").cast("string")).alias("uid"), F.col("l_shipdate").alias("at"), F.col("l_linenumber").alias("id"), value.alias("value"), place.alias("place"))
 
 
 _CURRENT = f"SELECT uid, arg_max(value, (seen_at, id)) AS value, max(seen_at) AS seen_at FROM ({_ORDER_MARKS}) WHERE value <> '' GROUP BY uid"
@@ -385,7 +386,7 @@ FROM ({_GROUPS}) LEFT JOIN ({_CURRENT}) USING (uid) GROUP BY grp HAVING count(va
 
 
 def _current_marks(spark, sf_dir):
-    return activity.latest(_order_marks(spark, sf_dir).filter("value <> ''"), "uid", "at", "value", "at", tie="id").select("uid", "value", "at")
+    return activity.latest(_order_marks(spark, sf_dir).filter("value <> ''"), "uid", "at", "value", "at", tie="id", place="place").select("uid", "value", "at")
 
 
 @_query(f"SELECT grp, keep_uid, CASE WHEN disagreed THEN 'yes' ELSE last END AS value, CASE WHEN disagreed THEN yes_at ELSE last_at END AS seen_at, disagreed FROM ({_TAKEN})")
