@@ -83,11 +83,11 @@ def control_characters(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", F.md5(text.clean_controls(F.concat(F.char(F.lit(1)), F.replace(F.coalesce("text", F.lit("")), F.lit(" "), F.char(F.lit(11)))))).alias("clean"))
 
 
-@_query(r"""SELECT page_id, regexp_replace(u, '(?i)([?&](?:key|api_key)=)[^&\s)''"]+', '\1REDACTED', 'g') AS safe
-FROM (SELECT page_id, coalesce(url, '') || '?a=1&KEY=s' || page_id || '&token=t&api_key=y' || page_id || ') key=z' AS u FROM pages)""")
+@_query(r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(u, '(?i)([?&](?:key|api_key)=)[^&\s)''"]+', '\1REDACTED', 'g'), '(?i)\b(token|secret|password)=[^&\s]+', '\1=***', 'g'), '(?i)(^|[^?&\w])(key|api_key)=[^&\s]+', '\1\2=***', 'g'), '(?i)\bBearer\s+\S+', 'Bearer ***', 'g') AS safe
+FROM (SELECT page_id, coalesce(url, '') || '?a=1&KEY=s' || page_id || '&token=t&api_key=y' || page_id || ') key=z bearer x' || page_id AS u FROM pages)""")
 def redacted_urls(spark, sf_dir):
     k = F.col("page_id").cast("string")
-    return _table(spark, sf_dir, "pages").select("page_id", text.redact(F.concat(F.coalesce("url", F.lit("")), F.lit("?a=1&KEY=s"), k, F.lit("&token=t&api_key=y"), k, F.lit(") key=z"))).alias("safe"))
+    return _table(spark, sf_dir, "pages").select("page_id", text.without_secrets(F.concat(F.coalesce("url", F.lit("")), F.lit("?a=1&KEY=s"), k, F.lit("&token=t&api_key=y"), k, F.lit(") key=z bearer x"), k)).alias("safe"))
 
 
 _ENTITIES = ["&lt;", "&gt;", "&quot;", "&#39;", "&#x27;", "&apos;", "&nbsp;", "&amp;"]
