@@ -18,9 +18,10 @@ from plotmere.plans import categories as K
 
 
 
-def part_id(source: Column | str = "source", source_id: Column | str = "source_id") -> Column:
-    """What tells parts apart: the source and its id."""
-    return F.concat(blank(source), F.lit(":"), blank(source_id))
+def part_id(source: Column | str = "source", source_id: Column | str = "source_id", name: Column | str | None = None) -> Column:
+    """What tells parts apart: the source and its id (or, where a name is given, that for parts without an id)."""
+    told = blank(source_id) if name is None else F.when(blank(source_id) != "", blank(source_id)).otherwise(blank(name))
+    return F.concat(blank(source), F.lit(":"), told)
 
 
 def offers(leads: DataFrame, saved: DataFrame, lead_parts: DataFrame | None = None, saved_parts: DataFrame | None = None, towns: list[str] | None = None) -> DataFrame:
