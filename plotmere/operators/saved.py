@@ -116,7 +116,8 @@ def same_business(rows: DataFrame, parts: DataFrame, ids: DataFrame | None = Non
     met = pairs.groupBy(F.least("g", "h").alias("x"), F.greatest("g", "h").alias("y")).agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("r"))
     whole = met.join(size.select(F.col("start").alias("x"), F.col("n").alias("nx")), "x").join(size.select(F.col("start").alias("y"), F.col("n").alias("ny")), "y").filter("n = nx * ny")
     edges = written(whole.select("x", "y", "r.*"), f"{folder}/edges")
-    linked = linkage(edges).filter("grp is not null").select(F.col("x").alias("start"), "grp")
+    spots = listings.select(F.col("rid").alias("node"), "lat", "lon")
+    linked = linkage(edges, spots=spots).filter("grp is not null").select(F.col("x").alias("start"), "grp")
     groups = written(own.select("start").distinct().join(linked, "start", "left").select("start", F.coalesce("grp", "start").alias("grp")), f"{folder}/groups")
     merged = merge_groups(listings.drop("uid", "start"), listings.select("rid", "start").join(groups, "start").select("rid", "grp"))
     sites = site_groups(written(merged.withColumnRenamed("grp", "rid"), f"{folder}/merged"), towns)
