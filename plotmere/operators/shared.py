@@ -91,9 +91,9 @@ def connected(edges: DataFrame) -> DataFrame:
     for number in itertools.count(1):
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        up = both.filter("b > a").join(low, "a").select(F.col("low").alias("a"), "b").distinct()
+        up = both.filter("b > a").hint("merge").join(low, "a").select(F.col("low").alias("a"), "b").distinct()
         least = up.groupBy("b").agg(F.min("a").alias("low"))
-        down = up.join(least, "b").select(F.explode(F.array(F.struct(F.col("low").alias("x"), F.col("b").alias("y")), F.struct(F.col("low").alias("x"), F.col("a").alias("y")))).alias("l"))
+        down = up.hint("merge").join(least, "b").select(F.explode(F.array(F.struct(F.col("low").alias("x"), F.col("b").alias("y")), F.struct(F.col("low").alias("x"), F.col("a").alias("y")))).alias("l"))
         links = written(down.filter("l.x < l.y").select(F.col("l.x").alias("a"), F.col("l.y").alias("b")).distinct(), f"{folder}/{number}")
         state = tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == last:
