@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotmere.functions.text import blank
-from plotmere.operators.resolve import duplicates, likely_pairs, linkage, merge_groups, merge_parts, prepared, ranked_duplicates, site_groups, site_pairs
+from plotmere.operators.resolve import TOLD, duplicates, likely_pairs, linkage, merge_groups, merge_parts, prepared, ranked_duplicates, site_groups, site_pairs
 from plotmere.operators.score import score
 from plotmere.operators.shared import connected, shared_folder, written
 from plotmere.plans import categories as K
@@ -39,15 +39,15 @@ def offers(leads: DataFrame, saved: DataFrame, lead_parts: DataFrame | None = No
     by_id = by_id.select("rid", "uid", F.lit(0).alias("priority"), F.lit(0.0).alias("miles"))
     columns = [c for c in leads.columns if c in saved.columns and c not in ("rid", "uid", "first_seen")]
     both = leads.select(F.col("rid").alias("_lead"), F.lit(None).cast("string").alias("_uid"), *columns).union(saved.select(F.lit(None).cast("long"), "uid", *columns))
-    both = written(prepared(both.withColumn("rid", F.monotonically_increasing_id())), f"{folder}/both")
+    both = written(prepared(both.withColumn("rid", F.monotonically_increasing_id() * 2 + F.col("_lead").isNull().cast("long"))), f"{folder}/both")  # leads are even
 
     def across(pairs: DataFrame, priority: int) -> DataFrame:
         pairs = pairs.select(F.col("a.rid").alias("x"), F.col("b.rid").alias("y"), "miles")
         who = lambda name: both.select(F.col("rid").alias(name), F.col("_lead").alias(f"{name}_lead"), F.col("_uid").alias(f"{name}_uid"))
-        found = pairs.join(who("x"), "x").join(who("y"), "y").filter(F.col("x_lead").isNull() != F.col("y_lead").isNull())
+        found = pairs.hint("merge").join(who("x"), "x").hint("merge").join(who("y"), "y")
         return found.select(F.coalesce("x_lead", "y_lead").alias("rid"), F.coalesce("x_uid", "y_uid").alias("uid"), F.lit(priority).alias("priority"), "miles")
 
-    found = by_id.union(across(duplicates(likely_pairs(both), towns), 1)).union(across(site_pairs(both, towns), 2))
+    found = by_id.union(across(duplicates(likely_pairs(both.select(*(c for c in TOLD if c in both.columns)), apart=True), towns), 1)).union(across(site_pairs(both, towns, apart=True), 2))
     return found.groupBy("rid", "uid").agg(F.min(F.struct("priority", "miles")).alias("o")).join(seen, "uid").select("rid", "uid", "o.priority", "o.miles", "first_seen")
 
 
