@@ -78,6 +78,11 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df over all tasks: a small file is read by one, however much is made of each of its rows."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, component) for links a, b (longs): the least node of what each is linked to.
 

@@ -6,18 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotmere.functions.text import customer_keys, fingerprint
+from plotmere.operators.shared import dealt
 
 
 def fingerprints(customers: DataFrame, salt: str) -> DataFrame:
     """Distinct hash of all keys of customers (name, phone, address, city, zip)."""
     keys = customer_keys(*(F.col(c) for c in ("name", "phone", "address", "city", "zip")))
-    return customers.select(F.explode(keys).alias("key")).select(fingerprint(salt, F.col("key")).alias("hash")).distinct()
+    return dealt(customers).select(F.explode(keys).alias("key")).select(fingerprint(salt, F.col("key")).alias("hash")).distinct()
 
 
 def known(listings: DataFrame, hashes: DataFrame, salt: str, key: str) -> DataFrame:
     """Distinct key of listings that share a fingerprint."""
     keys = customer_keys(*(F.col(c) for c in ("name", "phone", "address", "city", "zip")))
-    own = listings.select(key, F.explode(keys).alias("k")).select(key, fingerprint(salt, F.col("k")).alias("hash"))
+    own = dealt(listings).select(key, F.explode(keys).alias("k")).select(key, fingerprint(salt, F.col("k")).alias("hash"))
     return own.join(hashes.select("hash"), "hash", "left_semi").select(key).distinct()
 
 
@@ -28,4 +29,4 @@ def leave_out(listings: DataFrame, hashes: DataFrame, salt: str, key: str) -> Da
 def usable(customers: DataFrame) -> DataFrame:
     """One row: the customers that have a key."""
     keys = customer_keys(*(F.col(c) for c in ("name", "phone", "address", "city", "zip")))
-    return customers.agg(F.count_if(F.size(keys) > 0).alias("usable"))
+    return dealt(customers).agg(F.count_if(F.size(keys) > 0).alias("usable"))

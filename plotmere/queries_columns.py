@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plotmere.functions import geo, text, time
 from plotmere.operators import classify
 from plotmere.operators.score import building_name, generic_name
+from plotmere.operators.shared import dealt
 from plotmere.plans import categories as K
 from plotmere.queries import _LISTINGS, _NORM, _miles, _query, _table, listings
 
@@ -52,7 +53,7 @@ SELECT k, array_to_string(list_filter([CASE WHEN d <> '' THEN 'phone:' || d END,
   CASE WHEN who <> '' AND z <> '' THEN 'name:' || who || '|' || z END, CASE WHEN who <> '' AND town <> '' THEN 'namecity:' || who || '|' || town END], lambda x: x IS NOT NULL), ';') AS keys FROM t""")
 def customer_match_keys(spark, sf_dir):
     k, n = F.col("c_custkey"), _table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    rows = _table(spark, sf_dir, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
+    rows = dealt(_table(spark, sf_dir, "customer")).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
     name = F.replace(_pick(_WHO, k), F.lit("{}"), F.col("c_mktsegment"))
     address = F.concat(F.when(k % 7 == 0, "").otherwise(F.concat((k % 900).cast("string"), F.lit(" "))), _pick(_STREETS, k))
     city, phone = F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("West "), F.col("n_name"))), F.concat(F.lit("+1 801 555 "), F.lpad((k % 20000).cast("string"), 4, "0"))
