@@ -1,7 +1,7 @@
 """Scores of listings: category, brand, reviews, footprint and keywords, less penalties; tiers and reasons.
 
 Listings as for classify, with address, phone, website, rating_count, yelp_reviews, footprint_sqft, business_status and
-primary_category. Null numbers count as none, null texts as "". A projection from end to end.
+primary_category. Null numbers count as none, null texts as "". A projection from end to end, dealt over all tasks.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from plotmere.functions.text import blank, compact, has_term, literals, normalize, plain, site_label, split_hyphens, term_pattern
 from plotmere.operators import classify as C
+from plotmere.operators.shared import dealt
 from plotmere.operators.towns import at_facilities
 from plotmere.plans import categories as K
 
@@ -96,7 +97,7 @@ def footprint_points(column: Column | str = "footprint_sqft") -> Column:
 def score(listings: DataFrame, keywords: Iterable[str] = ()) -> DataFrame:
     """listings, classified, with brand, matched_keywords, score (0 to 100), tier, flags, reasons, lead_type and category."""
     added = ("brand", "matched_keywords", "score", "tier", "flags", "reasons", "lead_type", "category")
-    found = C.classify(listings.drop(*added))
+    found = C.classify(dealt(listings.drop(*added)))
     names = found.columns
     found = C.with_facts(found)
     blocked = F.col("category_key").isNull() & (C.non_prospect_type() | C.non_prospect_name() | C.utility_structure() | C.self_storage() | C.service_plant() | C.vehicle_wash() | C.clinic())
