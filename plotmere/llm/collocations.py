@@ -25,6 +25,7 @@ from typing import NamedTuple
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,6 +40,8 @@ HELD = 100
 TEXT = 16 << 20
 #: Hashes of a file; numbers that a bucket holds on average; memory of duckdb in a bucket.
 FILE, BUCKET, MEMORY = 1 << 23, 4_000_000, "256MB"
+#: Stands between the runs of a piece: a word that no piece has, so no pair with it is frequent.
+BREAK = " \n "
 #: Rows that a frequent one-word part is spread over.
 SALTS = 16
 
@@ -214,8 +217,8 @@ def _text(part: Part, first: np.ndarray, last: np.ndarray) -> pa.Array:
 
 
 def phrases(held: DataFrame, known: list[Frequent], runs: bool) -> DataFrame:
-    """(words int, lang, phrase, many): frequent phrases, a row for each that a task has. With runs, words 0 for what of a piece longer phrases may stand in:
-    its runs of two or more frequent pairs."""
+    """(words int, lang, phrase, many): frequent phrases, a row for each that a task has. With runs, one row with words 0 for what of a piece longer phrases may stand in:
+    its runs of two or more frequent pairs, with BREAK between."""
 
     def found(batches):
         for part in _parts(batches):
@@ -235,7 +238,7 @@ def phrases(held: DataFrame, known: list[Frequent], runs: bool) -> DataFrame:
                     ends = np.flatnonzero(joined & ~np.concatenate([joined[1:], [False]])) + 1  # its last word
                     long = ends - begins >= 2
                     if w.hash.size:
-                        yield from rows(part, 0, begins[long], ends[long], part.many[begins[long]])
+                        yield from whole(part, begins[long], ends[long])
 
     def rows(part, n, first, last, many):
         langs = pa.array(part.langs)
@@ -244,6 +247,17 @@ def phrases(held: DataFrame, known: list[Frequent], runs: bool) -> DataFrame:
             columns = [np.full(x.size, n, np.int32), langs.take(pa.array(part.lang[x])), _text(part, x, y).cast(pa.string()), many[a : a + 20_000]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["words", "lang", "phrase", "many"])
 
+    def whole(part, first, last):
+        row = part.words.row[first]
+        edges = np.append(np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])), row.size) if row.size else np.zeros(1, np.int64)
+        for a in range(0, edges.size - 1, 20_000):
+            cuts = edges[a : a + 20_001]
+            runs = _text(part, first[cuts[0] : cuts[-1]], last[cuts[0] : cuts[-1]]).cast(pa.string())
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array((cuts - cuts[0]).astype(np.int32)), runs), BREAK)
+            x = first[cuts[:-1]]
+            columns = [np.zeros(x.size, np.int32), pa.array(part.langs).take(pa.array(part.lang[x])), joined, part.many[x]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["words", "lang", "phrase", "many"])
+
     return held.mapInArrow(found, "words int, lang string, phrase string, many long")
 
 
