@@ -1,7 +1,8 @@
 """Corpus preparation as a chain of stages, each written as Parquet and read again.
 
 language_id    rows whose text has no letter, or whose language is not clear, go
-simhash_dedup  of each group of near-duplicates (five-word shingles, Jaccard 0.8 or more) the row with the least doc_id stays
+simhash_dedup  of each group of near-duplicates the row with the least doc_id stays; links are SimHash fingerprints within
+               3 bits, as in op2 (three words), and texts whose five-word shingles have a Jaccard similarity of 0.8 or more
 substring_dedup  words in repeated windows of 35 words are cut out of the texts
 decontaminate  rows with a window of 10 words of a benchmark item go
 sentencepiece  token ids of the texts, and whether they decode to the text again
@@ -18,6 +19,9 @@ from pyspark.sql import functions as F
 from plotmere.llm import decontaminate, language_id, piece_bpe, shingle_dedup, substring_dedup
 from plotmere.llm.shared import workspace
 
+#: Differing bits at which the fingerprints of near-duplicates link.
+NEAR_BITS = 3
+
 
 def in_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the rows' own labels; keeps the rows whose language is told apart."""
@@ -26,7 +30,8 @@ def in_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return shingle_dedup.one_of_each(docs).select(*docs.columns)
+    """By SimHash, and by shingles where near texts lie more bits apart than anchors cover."""
+    return shingle_dedup.one_of_each(docs, bits=NEAR_BITS).select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,9 @@ spanning forest of its links. One of more than ``hot`` nodes is dealt over sever
 node; members that no chain in their shard joins to that node go, in a second pass, to the bucket's other shards, so
 every two members are either joined by chains or compared, and a dense bucket costs no more than its members.
 
+With ``bits`` the SimHash fingerprints of the texts (simhash_dedup: three words, covering-code anchors) link as well, and
+groups are those of both kinds of links: texts within so many bits, and those of this similarity that lie further apart.
+
 Edge cases: a text of fewer words than a shingle is one shingle; null and texts without a word are one node, linked to
 nothing else. Rows that repeat a doc_id keep a row each. Rows with a null doc_id are linked, but never name a component
 (component_id is null if no member has an id).
@@ -24,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plotmere.llm import simhash_dedup
 from plotmere.llm.shared import alphabet, components, grams, mix, saved, slices, words, workspace
 
 SHINGLE, LIKENESS = 5, 0.8
@@ -70,8 +74,14 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
 
 
-def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(id, hash, node, bands: their keys as bytes, none for a text without a word) for every row of (id, hash, text)."""
+def signatures(docs: DataFrame, shingle: int = SHINGLE, bits: int | None = None) -> DataFrame:
+    """(id, hash, node, bands: their keys as bytes, none for a text without a word) for every row of (id, hash, text).
+
+    With bits also fp, the SimHash fingerprint (of equal nodes it is equal: it is made of the same words).
+    """
+    names, schema = ["id", "hash", "node", "bands"], "id long, hash long, node long, bands binary"
+    if bits is not None:
+        names, schema = [*names, "fp"], f"{schema}, fp long"
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,9 +91,13 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 full = [h for h in part if h.size]
                 found = iter(bands([grams(h, min(shingle, h.size)) for h in full])) if full else iter(())
                 keys += [next(found).tobytes() if h.size else b"" for h in part]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(keys, pa.binary())], ["id", "hash", "node", "bands"])
+            columns = [*batch.columns[:2], pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(keys, pa.binary())]
+            if bits is not None:
+                fps = np.fromiter((simhash_dedup.fingerprint(t.as_py()) for t in batch.column(2)), np.uint64, batch.num_rows)
+                columns.append(pa.array(fps.view(np.int64)))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(of, "id long, hash long, node long, bands binary")
+    return docs.mapInArrow(of, schema)
 
 
 def forest(sets: list[np.ndarray], likeness: float) -> tuple[list[int], list[int]]:
@@ -190,28 +204,42 @@ def linked(docs: DataFrame, rows: DataFrame, shingle: int, likeness: float, hot:
     return links.union(compared(split.union(guests), "more").filter("b is not null").select("a", "b"))
 
 
-def _components(docs: DataFrame, shingle: int, likeness: float, hot: int) -> DataFrame:
+def near_prints(rows: DataFrame, bits: int, folder: str) -> DataFrame:
+    """Links (a, b) between nodes of rows (node, fp) whose fingerprints differ in so many bits or fewer, or by chains of such."""
+    nodes = saved(rows.select("node", "fp").distinct(), f"{folder}/prints")
+    first = saved(nodes.groupBy("fp").agg(F.min("node").alias("first")), f"{folder}/first")
+    same = nodes.join(first, "fp").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    ends = simhash_dedup.linked(first, bits)
+    for end in ("a", "b"):
+        ends = ends.join(first.select(F.col("fp").alias(end), F.col("first").alias(f"_{end}")), end).drop(end).withColumnRenamed(f"_{end}", end)
+    return same.union(ends.select("a", "b"))
+
+
+def _components(docs: DataFrame, shingle: int, likeness: float, hot: int, bits: int | None) -> DataFrame:
     """(id, hash, node, component_id) for every row of (id, hash, text)."""
     folder = workspace(docs.sparkSession, "shingles")
-    rows = saved(signatures(docs, shingle), f"{folder}/signatures")
-    joined = components(linked(docs, rows, shingle, likeness, hot, folder), "shingle-components").withColumnRenamed("component", "root")
+    rows = saved(signatures(docs, shingle, bits), f"{folder}/signatures")
+    links = linked(docs, rows, shingle, likeness, hot, folder)
+    if bits is not None:
+        links = links.union(near_prints(rows, bits, folder))
+    joined = components(links, "shingle-components").withColumnRenamed("component", "root")
     distinct = rows.groupBy("node").agg(F.min("id").alias("least"))
     named = saved(distinct.join(joined, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), f"{folder}/roots")
     named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
     return rows.join(named, "node").select("id", "hash", "node", "component_id")
 
 
-def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, likeness: float = LIKENESS, hot: int = HOT) -> DataFrame:
+def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, likeness: float = LIKENESS, hot: int = HOT, bits: int | None = None) -> DataFrame:
     """(id, node, component_id: the least id that links lead to) for every row."""
-    return _components(_keyed(docs, id_col, text_col), shingle, likeness, hot).select(F.col("id").alias(id_col), "node", "component_id")
+    return _components(_keyed(docs, id_col, text_col), shingle, likeness, hot, bits).select(F.col("id").alias(id_col), "node", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, likeness: float = LIKENESS, hot: int = HOT) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, likeness: float = LIKENESS, hot: int = HOT, bits: int | None = None) -> DataFrame:
     """docs without the near-duplicates: of each component the row with the least id stays, as it was.
 
     Rows of the component that repeat the kept id stay with it, and rows with a null id are kept.
     """
-    gone = _components(_keyed(docs, id_col, text_col), shingle, likeness, hot).filter("id <> component_id")
+    gone = _components(_keyed(docs, id_col, text_col), shingle, likeness, hot, bits).filter("id <> component_id")
     gone = gone.select(F.col("id").alias("__near_id"), F.col("hash").alias("__near_hash")).distinct()
     same = (F.col(id_col).cast("long") == F.col("__near_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__near_hash"))
     return docs.join(gone, same, "left_anti")

@@ -202,6 +202,20 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark):
     assert sorted((r.doc_id or 0, r.text or "") for r in shingle_dedup.one_of_each(df).collect()) == [(0, b), (3, a), (5, b), (7, "")]
 
 
+def test_f11_near_duplicate_stage_links_fingerprints_too(spark):
+    """What SimHash links (op2) is one group in the stage, whatever its shingles, and joins the groups of shingles."""
+    same = "one two three " * 60
+    rows = [(1, same + "alpha beta gamma"), (2, same.upper() + "delta epsilon zeta eta theta iota"), (3, "quite another text of nine words or so, alone"), (4, None), (5, "")]
+    long = [f"w{k}" for k in range(200)]
+    rows += [(6, " ".join(long)), (7, " ".join([*long[:100], "changed", *long[101:]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.fingerprint for r in simhash_dedup.cluster(df).collect()}
+    assert (int(found[1], 16) ^ int(found[2], 16)).bit_count() <= 3
+    assert {r.doc_id: r.component_id for r in shingle_dedup.cluster(df).collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 6, 7: 6}
+    assert {r.doc_id: r.component_id for r in shingle_dedup.cluster(df, bits=3).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6, 7: 6}
+    assert {r.doc_id for r in corpus_pipeline.STAGES[1][1](spark, df, "").collect()} == {1, 3, 4, 6}
+
+
 def test_license_notices_with_many_line_ends(spark):
     """Neither blank lines within a notice nor line feeds after it cut it off."""
     mit = license_scan.TEMPLATES[12][1]
