@@ -634,6 +634,20 @@ def test_pipeline_stages(spark, tmp_path):
     assert out and all(r.n_tokens == len(r.ids) for r in out)
 
 
+def test_pipeline_batches_are_bounded_by_bytes(spark):
+    """Long texts reach Python some megabytes at a time, whatever the number of rows: a batch ends with the row that passes the bound."""
+    docs = spark.range(0, 12, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("words "), F.when(F.col("id") == 5, 1_000_000).otherwise(200_000).cast("int")).alias("text"), F.lit("en").alias("lang"))
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.slice(0, b.num_rows - 1).nbytes])], ["n", "before"]) for b in batches)
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+            stage(spark, docs.limit(0).withColumns({"source": F.lit("s"), "n_chars": F.lit(1)}), "/root/testdata/sf0.001")
+            found = docs.mapInArrow(sizes, "n long, before long").collect()
+            assert sum(r.n for r in found) == 12 and len(found) > 2 and all(r.before <= corpus_pipeline.BATCH_BYTES for r in found)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+
+
 def test_queries_are_registered(spark):
     assert len(QUERIES) == 13 and {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert F is not None
