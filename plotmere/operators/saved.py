@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotmere.functions.text import blank
+from plotmere.operators.dense import dense_regions, linked_regions
 from plotmere.operators.resolve import TOLD, duplicates, likely_pairs, linkage, merge_groups, merge_parts, prepared, ranked_duplicates, site_groups, site_pairs
 from plotmere.operators.score import score
 from plotmere.operators.shared import connected, shared_folder, written
@@ -109,15 +110,20 @@ def same_business(rows: DataFrame, parts: DataFrame, ids: DataFrame | None = Non
     start = connected(meet(by_record))
     own = written(first.join(start.withColumnRenamed("node", "a"), "a", "left").select("uid", F.coalesce("component", "a").alias("start")), f"{folder}/start")
     listings = listings.join(own, "uid")
-    of = lambda side, name: listings.select(F.col("rid").alias(side), F.col("start").alias(name))
-    pairs = ranked_duplicates(listings.drop("uid", "start"), towns).join(of("i", "g"), "i").join(of("j", "h"), "j").filter("g <> h")
+    # Pairs are made outside dense regions only.
+    dense = dense_regions(listings, towns)
+    alone = None if dense is None else written(linked_regions(dense), f"{folder}/alone")
+    others = listings if dense is None else written(listings.join(alone, "start", "left_anti"), f"{folder}/others")
+    of = lambda side, name: others.select(F.col("rid").alias(side), F.col("start").alias(name))
+    pairs = ranked_duplicates(others.drop("uid", "start"), towns).join(of("i", "g"), "i").join(of("j", "h"), "j").filter("g <> h")
     rank = F.struct("strength", "reviews", "miles", "i", "j")
-    size = listings.groupBy("start").agg(F.count(F.lit(1)).alias("n"))
+    size = others.groupBy("start").agg(F.count(F.lit(1)).alias("n"))
     met = pairs.groupBy(F.least("g", "h").alias("x"), F.greatest("g", "h").alias("y")).agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("r"))
     whole = met.join(size.select(F.col("start").alias("x"), F.col("n").alias("nx")), "x").join(size.select(F.col("start").alias("y"), F.col("n").alias("ny")), "y").filter("n = nx * ny")
     edges = written(whole.select("x", "y", "r.*"), f"{folder}/edges")
     spots = listings.select(F.col("rid").alias("node"), "lat", "lon")
     linked = linkage(edges, spots=spots).filter("grp is not null").select(F.col("x").alias("start"), "grp")
+    linked = linked if alone is None else linked.union(alone)
     groups = written(own.select("start").distinct().join(linked, "start", "left").select("start", F.coalesce("grp", "start").alias("grp")), f"{folder}/groups")
     merged = merge_groups(listings.drop("uid", "start"), listings.select("rid", "start").join(groups, "start").select("rid", "grp"))
     sites = site_groups(written(merged.withColumnRenamed("grp", "rid"), f"{folder}/merged"), towns)
