@@ -21,7 +21,7 @@ from plotmere.operators.shared import connected, shared_folder, written
 
 #: Listings of one signature in one region from which on their pairs are not made; listings that one task links at once;
 #: the side of a tile in reaches.
-DENSE, TASK_LISTINGS, TILE_REACHES = 1_000, 20_000, 8
+DENSE, TASK_LISTINGS, TILE_REACHES = 1_000, 200_000, 16
 
 
 def reach() -> Column:
@@ -100,6 +100,8 @@ class _Places:
         self.y = np.floor(lon / (high / max(0.01, float(self.cos.min())))).astype(np.int64)
         self.y -= self.y.min() - 1
         self.wide = int(self.y.max()) + 2
+        self.spots = np.stack([self.cos * np.cos(np.radians(lon)), self.cos * np.sin(np.radians(lon)), np.sin(np.radians(lat))], axis=1)
+        self.chord = 4 * np.sin(reach / (2 * EARTH_MILES)) ** 2
         key = self.x * self.wide + self.y
         self.order = np.argsort(key, kind="stable")
         self.keys = key[self.order]
@@ -110,9 +112,18 @@ class _Places:
         low, high = np.searchsorted(self.keys, middle - 1, "left"), np.searchsorted(self.keys, middle + 1, "right")
         found = np.concatenate([self.order[a:b] for a, b in zip(low, high, strict=True)])
         found = found[fits[found]]
-        miles = self.miles(p, found)
-        met = (miles <= self.reach) & (found != p)
-        return found[met], miles[met]
+        found = found[self.reaches(p, found) & (found != p)]
+        return found, self.miles(p, found)
+
+    def reaches(self, p: int, others: np.ndarray) -> np.ndarray:
+        """Which of the others lie within reach of p: by chords on the unit sphere, and by miles where those are close to it."""
+        apart = self.spots[others] - self.spots[p]
+        chord = np.einsum("ij,ij->i", apart, apart)
+        found = chord <= self.chord
+        close = np.flatnonzero(np.abs(chord - self.chord) < 1e-8 * self.chord)
+        if close.size:
+            found[close] = self.miles(p, others[close]) <= self.reach
+        return found
 
     def miles(self, p: int, others: np.ndarray) -> np.ndarray:
         return miles_from(self.lat[p], self.lon[p], self.lat[others], self.lon[others], self.cos[p], self.cos[others])
@@ -126,12 +137,12 @@ def linked_places(rid: np.ndarray, group: np.ndarray, lat: np.ndarray, lon: np.n
     its group reaches. Listings of equal reviews take turns by a heap; they hold so many neighbours between them. Groups
     that aren't own wait, and so does whatever could join one that waits.
     """
+    dealt = _Places(lat, lon, reach).order  # neighbours lie together
+    rid, group, lat, lon, best, own = (c[dealt] for c in (rid, group, lat, lon, best, own))
     places = _Places(lat, lon, reach)
-    group = group.copy()
-    members: dict[int, np.ndarray] = {}
-    by = np.argsort(group, kind="stable")
-    for part in np.split(by, np.flatnonzero(np.diff(group[by])) + 1):
-        members[int(group[part[0]])] = part
+    members: dict[int, list[int]] = defaultdict(list)
+    for k, g in enumerate(group.tolist()):
+        members[g].append(k)
     waits = ~own
     open_, fresh = np.ones(rid.size, bool), own.copy()  # of groups that can still grow; that don't wait either
 
@@ -145,9 +156,9 @@ def linked_places(rid: np.ndarray, group: np.ndarray, lat: np.ndarray, lon: np.n
             m, i, j = after
             later = (miles > m) | ((miles == m) & ((low > i) | ((low == i) & (high > j))))
             found, miles, low, high = found[later], miles[later], low[later], high[later]
-        for m in members[group[p]].tolist():
+        for m in members[int(group[p])]:
             if m != p and found.size:
-                keep = places.miles(m, found) <= reach
+                keep = places.reaches(m, found)
                 found, miles, low, high = found[keep], miles[keep], low[keep], high[keep]
         order = np.lexsort((high, low, miles))[:most]
         return [found[order], miles[order], found.size > most]
@@ -158,16 +169,16 @@ def linked_places(rid: np.ndarray, group: np.ndarray, lat: np.ndarray, lon: np.n
         if not owners.size:
             continue
         most = max(64, held // owners.size)
-        level = int(best[owners[0]])
         left: dict[int, list] = {}
+        taking: dict[int, list[int]] = defaultdict(list)  # the owners in each group
+        behind: set[int] = set()  # owners that may hold listings which their group doesn't reach
         turn: dict[int, int] = defaultdict(int)
         heap: list[tuple] = []
 
         def push(p: int) -> None:
             found, miles, more = left[p]
             if not found.size and more:
-                left[p] = candidates(p, most, last[p])  # noqa: B023
-                found, miles, more = left[p]
+                left[p] = found, miles, more = candidates(p, most, last[p])  # noqa: B023
             if found.size:
                 q = int(found[0])
                 last[p] = float(miles[0]), int(min(rid[p], rid[q])), int(max(rid[p], rid[q]))  # noqa: B023
@@ -185,6 +196,7 @@ def linked_places(rid: np.ndarray, group: np.ndarray, lat: np.ndarray, lon: np.n
             if waits[p]:
                 stop(p)
             else:
+                taking[int(group[p])].append(p)
                 left[p] = candidates(p, most, None)
                 push(p)
         while heap:
@@ -195,39 +207,45 @@ def linked_places(rid: np.ndarray, group: np.ndarray, lat: np.ndarray, lon: np.n
                 stop(p)
                 continue
             found, miles, more = left[p]
-            q, rest = int(found[0]), [found[1:], miles[1:], more]
+            q, left[p] = int(found[0]), [found[1:], miles[1:], more]
             g, h = int(group[p]), int(group[q])
-            if g == h or not all((places.miles(m, members[g]) <= reach).all() for m in members[h].tolist()):
-                left[p] = rest
+            sure = p not in behind and len(members[h]) == 1
+            if g == h or not (sure or all(places.reaches(m, np.array(members[g])).all() for m in members[h])):
                 push(p)
                 continue
             if waits[q]:
                 stop(p)
                 continue
-            left[p] = rest
-            a, b = members[g], members[h]
-            active = [(o, b) for o in a[best[a] == level].tolist() if o in left] + [(o, a) for o in b[best[b] == level].tolist() if o in left]
-            if a.size < b.size:
+            met = [(o, members[h]) for o in taking[g]] + [(o, members[g]) for o in taking[h]]
+            # Pairs that can't come to anything are dropped early where that is cheap; others when their turn comes.
+            if len(met) <= 4:
+                for o, others in met:
+                    if o in left:
+                        found, miles, more = left[o]
+                        if o != p or len(others) > 1:
+                            keep = (group[found] != g) & (group[found] != h)
+                            found, miles = found[keep], miles[keep]
+                        for m in others:
+                            keep = places.reaches(m, found)
+                            found, miles = found[keep], miles[keep]
+                        left[o] = [found, miles, more]
+            else:
+                behind.update(o for o, _ in met)
+            if len(members[g]) < len(members[h]):
                 g, h = h, g
             group[members[h]] = g
-            members[g] = np.concatenate([members[g], members.pop(h)])
-            # Pairs that can't come to anything are dropped early where that is cheap; others when their turn comes.
-            if len(active) <= 4:
-                for o, others in active:
-                    found, miles, more = left[o]
-                    keep = group[found] != g
-                    for m in others.tolist():
-                        keep[keep] = places.miles(m, found[keep]) <= reach
-                    left[o] = [found[keep], miles[keep], more]
+            members[g] += members.pop(h)
+            taking[g] += taking.pop(h, [])
+            for o in taking[g] if len(met) <= 4 else [p]:
+                if o in left:
                     turn[o] += 1
                     push(o)
-            else:
-                push(p)
         for p in owners.tolist():
             if not waits[p]:
                 whole = members[int(group[p])]
                 open_[whole], fresh[whole] = False, False
-    return group, waits
+    back = np.argsort(dealt)
+    return group[back], waits[back]
 
 
 def _linked(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
