@@ -172,6 +172,7 @@ def linked_places(rid: np.ndarray, group: np.ndarray, lat: np.ndarray, lon: np.n
         left: dict[int, list] = {}
         taking: dict[int, list[int]] = defaultdict(list)  # the owners in each group
         behind: set[int] = set()  # owners that may hold listings which their group doesn't reach
+        apart: set[tuple[int, int]] = set()  # groups that don't reach each other, whatever joins them
         turn: dict[int, int] = defaultdict(int)
         heap: list[tuple] = []
 
@@ -210,7 +211,9 @@ def linked_places(rid: np.ndarray, group: np.ndarray, lat: np.ndarray, lon: np.n
             q, left[p] = int(found[0]), [found[1:], miles[1:], more]
             g, h = int(group[p]), int(group[q])
             sure = p not in behind and len(members[h]) == 1
-            if g == h or not (sure or all(places.reaches(m, np.array(members[g])).all() for m in members[h])):
+            if g != h and (g, h) not in apart and not (sure or all(places.reaches(m, np.array(members[g])).all() for m in members[h])):
+                apart |= {(g, h), (h, g)}
+            if g == h or (g, h) in apart:
                 push(p)
                 continue
             if waits[q]:
@@ -234,7 +237,7 @@ def linked_places(rid: np.ndarray, group: np.ndarray, lat: np.ndarray, lon: np.n
             if len(members[g]) < len(members[h]):
                 g, h = h, g
             group[members[h]] = g
-            members[g] += members.pop(h)
+            members[g] += members.pop(h)  # a name that goes is never used again
             taking[g] += taking.pop(h, [])
             for o in taking[g] if len(met) <= 4 else [p]:
                 if o in left:
